@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 GRAM = 20
 BLOCK_BYTES = 4 << 20
@@ -239,7 +239,10 @@ def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
-    """Adds n_bytes, n_removed, n_spans long, kept_sha256 string and kept binary to ``docs(doc_id, text, ...)``."""
+    """Adds n_bytes, n_removed, n_spans long and kept_sha256, kept string to ``docs(doc_id, text, ...)``.
+
+    ``kept`` is the remaining text without characters that lost a byte; the digest is that of all remaining bytes.
+    """
     if length < GRAM + 8:
         raise ValueError(f"the length must be {GRAM + 8} at least")
     spark = docs.sparkSession
@@ -378,12 +381,12 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
             if n_removed:
                 spans = int(out[0]) + int((out[1:] & ~out[:-1]).sum())
                 kept = np.frombuffer(text, np.uint8)[~out].tobytes()
-            for c, v in zip(rows, (len(text), n_removed, spans, hashlib.sha256(kept).hexdigest(), kept), strict=True):
+            for c, v in zip(rows, (len(text), n_removed, spans, hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore")), strict=True):
                 rows[c].append(v)
         row = table.column("row").take(pa.array(found.order))
-        return pa.Table.from_arrays([row, *[pa.array(v, t) for v, t in zip(rows.values(), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)]], ["row", *rows])
+        return pa.Table.from_arrays([row, *[pa.array(v, t) for v, t in zip(rows.values(), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]], ["row", *rows])
 
-    done_type = StructType([blocks.schema["row"], *(StructField(c, t) for c, t in zip(RESULTS, (LongType(), LongType(), LongType(), StringType(), BinaryType()), strict=True))])
+    done_type = StructType([blocks.schema["row"], *(StructField(c, t) for c, t in zip(RESULTS, (LongType(), LongType(), LongType(), StringType(), StringType()), strict=True))])
 
     # The text is dealt out once; each of the three passes reads that exchange.
     keys = blocks.groupBy("block").applyInArrow(send_keys, "bucket int, block int, keys binary, twice binary")
