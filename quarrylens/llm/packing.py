@@ -25,8 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int"
-MEMORY_UNITS = 300_000
+MEMORY_UNITS = 1_000_000
 _ODD = re.compile("[\x1c-\x1f]")
+#: Letters followed by ASCII punctuation other than the apostrophe, which the tokenizer always parts.
+_TAIL = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
 
 
 class UnitEncoder:
@@ -40,10 +42,39 @@ class UnitEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.memory: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of units of letters, each one word to the tokenizer, encoded in one go and parted at the words' ends."""
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4")
+        stops = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
+        if len(stops) != len(words) or (stops and stops[-1] != len(ids)):
+            return self._encode(words)
+        return [ids[a:b].tobytes() for a, b in zip([0, *stops], stops, strict=False)]
+
+    def _learn(self, units: list[str]) -> None:
+        memory, words, others, joined = self.memory, set(), set(), []
+        for unit in units:
+            if unit.isalpha():
+                words.add(unit)
+            elif parts := _TAIL.fullmatch(unit):
+                joined.append((unit, *parts.groups()))
+                words.add(parts[1])
+                others.add(parts[2])
+            else:
+                others.add(unit)
+        for some, encode in ((words, self._encode_words), (others, self._encode)):
+            some = list(some.difference(memory))
+            for k in range(0, len(some), 4096):
+                memory.update(zip(part := some[k : k + 4096], encode(part), strict=True))
+        for unit, word, tail in joined:
+            memory[unit] = memory[word] + memory[tail]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.memory) > MEMORY_UNITS:
             self.memory.clear()
@@ -53,9 +84,8 @@ class UnitEncoder:
                 out += self._encode([text])
                 continue
             units = text.split()
-            if new := list(set(units).difference(memory)):
-                for k in range(0, len(new), 4096):
-                    memory.update(zip(part := new[k : k + 4096], self._encode(part), strict=True))
+            if new := set(units).difference(memory):
+                self._learn(list(new))
             out.append(b"".join(map(memory.__getitem__, units)))
         return out
 
