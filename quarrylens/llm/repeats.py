@@ -232,13 +232,15 @@ def _pack(x: np.ndarray, kind: str) -> bytes:
 
 
 def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    if not len(bucket):
+        return
     order = np.argsort(bucket, kind="stable")
-    edge = np.flatnonzero(np.concatenate([[True], bucket[order][1:] != bucket[order][:-1]])) if len(bucket) else []
+    edge = np.flatnonzero(np.concatenate([[True], bucket[order][1:] != bucket[order][:-1]]))
     for low, high in zip(edge, [*edge[1:], len(bucket)], strict=True):
         yield int(bucket[order[low]]), order[low:high]
 
 
-def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, block_bytes: int = BLOCK_BYTES, key_bucket_bytes: int = BUCKET_KEYS_BYTES, bucket_bytes: int = BUCKET_BYTES, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
     """Adds n_bytes, n_removed, n_spans long and kept_sha256, kept string to ``docs(doc_id, text, ...)``.
 
     ``kept`` is the remaining text without characters that lost a byte; the digest is that of all remaining bytes.
@@ -247,7 +249,7 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
         raise ValueError(f"the length must be {GRAM + 8} at least")
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks, n_key_buckets, n_buckets = (max(8, -(-total // x)) for x in (BLOCK_BYTES, BUCKET_KEYS_BYTES, BUCKET_BYTES))
+    n_blocks, n_key_buckets, n_buckets = (max(8, -(-total // x)) for x in (block_bytes, key_bucket_bytes, bucket_bytes))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_blocks // 4)
     key_shift, shift = _U(32), _U(11)
 
@@ -277,7 +279,7 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
         which, at, n = np.unique(keys, return_inverse=True, return_counts=True)
         any_twice = np.zeros(len(which), bool)
         any_twice[at[twice > 0]] = True
-        shared, hot = ((n > 1) | any_twice)[at], (n > HOT_BLOCKS)[at]
+        shared, hot = ((n > 1) | any_twice)[at], (n > hot_blocks)[at]
         out, low = [], 0
         for b, x in zip(block, raw, strict=True):
             keep, warm = shared[low : low + len(x)], hot[low : low + len(x)]

@@ -1,0 +1,282 @@
+"""The training-data operators against brute force, and on null, empty, long, tied, repeated and odd rows."""
+
+import random
+import sys
+import zlib
+from pathlib import Path
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+sys.path.insert(0, str(Path(__file__).parent))
+import brute
+
+from quarrylens.llm import ann, chunks, packing, pu, quality, queries, repeats, reshard, simhash, urllists, wfst
+from quarrylens.llm.common import connected_components
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, block int"
+
+
+def sentence(rng, n):
+    return " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(n))
+
+
+def texts():
+    rng = random.Random(3)
+    shared = sentence(rng, 30)
+    long = sentence(rng, 60_000)
+    near = sentence(rng, 300)
+    rows = [(0, sentence(rng, 50)), (1, shared + " " + sentence(rng, 20)), (2, "x " + shared + " é " + sentence(rng, 5)), (3, None), (4, ""), (5, "   \n\t "), (6, long), (7, long[1000:5000]), (8, near), (9, near + " tail"), (10, near)]
+    rows += [(11, "short"), (12, "short"), (13, "a" * 400), (14, "a" * 120), (14, "a" * 120), (None, shared), (None, None), (15, "Ünïcode " * 30), (16, "Zß日本 " + "Ünïcode " * 20), (17, "A B c"), (18, "a b C")]
+    return rows
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, "en", f"s{(i or 0) % 2}", len(t or ""), "k", 1) for i, t in rows], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return frame(spark, texts()).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_min_cost_flow_moves_least():
+    flow = reshard.min_cost_flow([10, 0, 5], [4, 6, 5], [[0, 1, 1], [1, 0, 1], [1, 1, 0]])
+    assert flow == [{0: 4, 1: 6}, {}, {2: 5}]
+    flow = reshard.min_cost_flow([3, 3], [3, 3], [[5, 1], [1, 1]])
+    assert flow == [{1: 3}, {0: 3}]
+    with pytest.raises(ValueError):
+        reshard.min_cost_flow([3], [2], [[0]])
+
+
+def test_reshard(spark, docs, none, tmp_path):
+    rows = reshard.reshard_documents(docs, F.lit(0), 1, 3).collect()
+    assert len(rows) == len(texts())
+    shards = {}
+    for r in rows:
+        shards.setdefault(r["shard"], []).append(r)
+    assert all(sorted(r["slot"] for r in x) == list(range(len(x))) for x in shards.values())
+    assert sorted((r["size"], r["text_crc32"]) for r in rows) == sorted((len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for _, t in texts())
+    assert reshard.reshard_documents(none, F.lit(0), 1, 3).count() == 0
+    many = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 90).cast("int")).alias("text"))
+    placed = reshard.reshard_documents(many, F.when(F.col("doc_id") % 3 > 0, 0).otherwise(F.col("doc_id") % 5), 5, 8).cache()
+    sizes = [r["b"] for r in placed.groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert len(sizes) == 8 and max(sizes) - min(sizes) < 500
+    moved = placed.where("old <> shard").agg(F.sum("size")).first()[0]
+    old = {r["old"]: r["b"] for r in placed.groupBy("old").agg(F.sum("size").alias("b")).collect()}
+    assert moved <= sum(max(0, b - sum(sizes) / 8) for b in old.values()) + 1000
+    touched = reshard.rewrite_affected(many, placed, str(tmp_path / "out"))
+    written = spark.read.parquet(str(tmp_path / "out"))
+    assert written.count() == placed.join(touched, "shard").count()
+
+
+def test_packing(docs, none):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    tok = Tokenizer.from_file(path)
+    rows = packing.pack(docs, path, keep_ids=True, longest=1024).collect()
+    assert len({r["sequence_id"] for r in rows}) == len(rows)
+    assert all(r["length"] & (r["length"] - 1) == 0 and r["length"] <= 1024 and r["offset"] == 0 for r in rows)
+    of = {}
+    for r in rows:
+        of.setdefault((r["doc_id"], r["doc_tokens"]), []).append(r)
+    for i, t in texts():
+        ids = tok.encode(t or "", add_special_tokens=False).ids + [2]
+        pieces = sorted(of[i, len(ids)], key=lambda r: r["start"])
+        if i is not None and i != 14:
+            assert [x for p in pieces for x in p["ids"]] == ids
+            assert all(p["ids_crc32"] == zlib.crc32(np.array(p["ids"], "<u4").tobytes()) for p in pieces)
+    assert packing.pack(none, path).count() == 0
+
+
+def test_unit_encoder_is_the_tokenizer():
+    encoder = packing.UnitEncoder(queries.tokenizer_path())
+    odd = ["İstanbul İİ ΑΣ Σ", "a\x1cb", "don't we'll x'S o'clock", "foo<|endoftext|>bar <|startoftext|>", "é Å", "x_y__ 3.14% ¾ ²x", "", "한국어 하", "the,,, the&&& 'tis it's. A B C"]
+    assert encoder.encode(odd) == encoder._encode(odd)
+
+
+def test_golay_keys_meet():
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 1 << 64, 3000, dtype=np.uint64)
+    y = x.copy()
+    for _ in range(3):
+        y ^= np.uint64(1) << rng.integers(0, 64, len(x), dtype=np.uint64)
+    met = np.zeros(len(x), bool)
+    for a, b in zip(simhash._keys(x), simhash._keys(y), strict=True):
+        met |= (a[:, :1] == b).any(axis=1)
+    assert met.all()
+
+
+def test_near_duplicates(docs, none):
+    got = simhash.near_duplicates(docs).collect()
+    prints = {i: brute.simhash(t) for i, t in texts() if i is not None}
+    groups = brute.components(prints)
+    assert len(got) == len(texts())
+    for r in got:
+        if r["doc_id"] is not None:
+            assert r["fingerprint"] == f"{prints[r['doc_id']]:016x}" and r["component_id"] == groups[r["doc_id"]]
+        else:
+            assert r["component_id"] is None
+    assert groups[10] == 8 and groups[9] == 8 and groups[18] == 17
+    assert simhash.near_duplicates(none).count() == 0
+
+
+def test_components_of_chains_and_stars(spark):
+    chain = [(i, i + 1) for i in range(40)]
+    star = [(100, 100 + i) for i in range(1, 60)] + [(159, 50)]
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(chain + star + [(7, 7)], "a long, b long")).collect()}
+    assert {got[i] for i in range(41)} == {0} and {got[i] for i in [50, *range(100, 160)]} == {50}
+
+
+def test_repeats(docs, none):
+    got = repeats.remove_repeats(docs)
+    rows = got.collect()
+    mine = sorted((brute.LAST if r["doc_id"] is None else r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows)
+    assert mine == sorted(brute.repeats(texts()))
+    assert [r["block"] for r in rows] == [1] * len(rows) and set(got.columns) >= {"lang", "kept"}
+    assert repeats.remove_repeats(none).count() == 0
+
+
+def test_repeats_with_hot_keys_and_many_blocks(docs):
+    found = repeats.remove_repeats(docs.select("doc_id", "text"), block_bytes=20_000, key_bucket_bytes=50_000, bucket_bytes=20_000, hot_blocks=1)
+    mine = sorted((brute.LAST if r["doc_id"] is None else r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in found.collect())
+    assert mine == sorted(brute.repeats(texts()))
+
+
+def test_sentencepiece(docs, none):
+    import sentencepiece
+
+    path = queries.tokenizer_path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    encoded = wfst.encode(docs, path)
+    by = {(r["doc_id"], tuple(r["ids"])) for r in encoded.collect()}
+    assert by == {(i, tuple(sp.encode(t or ""))) for i, t in texts()}
+    back = {(r["doc_id"], r["text"]) for r in wfst.decode(encoded, path).collect()}
+    assert back == {(i, t or "") for i, t in texts()}
+    assert all(r["same"] for r in wfst.round_trip(docs, path).collect())
+    assert wfst.encode(none, path).count() == 0
+    m = wfst.Transducer(path)
+    for text in ("  two  spaces ", "▁▁x", "\U0001f600 é\n\t", " " * 37, "in the beginning"):
+        ids = np.frombuffer(m.encode(text), "<u4").tolist()
+        assert ids == sp.encode(text) and m.decode(m.encode(text)) == sp.decode(ids)
+
+
+def test_quality_rules(spark, docs, none):
+    got = quality.judge(docs, ["doc_id", "text", "kept"]).drop("kept").collect()
+    assert len(got) == len(texts())
+    for r in got:
+        expected = brute.base_counts(r["text"])
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == expected
+        assert r["base_failed"] == (expected[0] < 10 or 100 * expected[4] > 20 * expected[0])
+    assert quality.judge(none, ["doc_id"]).count() == 0
+    clean = "the cat of the house and a dog in that field was to be seen as it is for you on this day by all with care from here or there at once and they are so"
+    rng = random.Random(1)
+    rows = [(i, " ".join(rng.sample(clean.split(), 30)) + f" number {i}.") for i in range(50)] + [(99, " ".join(w.upper() + "!!" for w in clean.split()))]
+    kept = {r["doc_id"]: r["kept"] for r in quality.judge(frame(spark, rows), ["doc_id"]).collect()}
+    assert not kept.pop(99) and all(kept.values())
+
+
+def test_js_distance(spark):
+    df = spark.createDataFrame([([0.5, 0.5], [0.5, 0.5]), ([1.0, 0.0], [0.0, 1.0]), ([1.0, 0.0], [0.5, 0.5])], "p array<double>, q array<double>")
+    got = [r[0] for r in df.select(quality.js_distance(F.col("p"), F.col("q"))).collect()]
+    assert np.allclose(got, [0.0, 1.0, np.sqrt(0.5 * np.log2(4 / 3) + 0.25 * np.log2(2 / 3) + 0.25)])
+
+
+def test_pu_classifier(spark, docs, none):
+    labels = spark.createDataFrame([(1, 1, 0), (2, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    rows = pu.score(docs, labels, ["doc_id"]).collect()
+    assert len(rows) == len(texts()) and all(0 <= r["score"] <= 1 for r in rows)
+    assert {r["doc_id"]: r["held_out"] for r in rows if r["doc_id"]} == {i: zlib.crc32(str(i).encode()) % 5 == 0 for i, _ in texts() if i}
+    assert {r["score"] for r in pu.score(docs, labels.where("false"), ["doc_id"]).collect()} == {0.5}
+    assert pu.score(none, labels, ["doc_id"]).count() == 0
+
+
+def test_pu_held_out_accuracy(spark):
+    d = "/root/testdata/sf0.001"
+    got = queries.op7_pu_classifier(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").collect()
+    held = [r for r in got if r["held_out"]]
+    assert sum(r["predicted"] == r["quality"] for r in held) / len(held) >= 0.9
+
+
+def test_chunks(spark, docs, none):
+    data = sentence(random.Random(5), 2000).encode()
+    bounds, moved = chunks.cut([data, b"inserted " + data])
+    assert bounds[0] == 0 and bounds[-1] == len(data) and max(np.diff(bounds)) <= chunks.MAX_BYTES and min(np.diff(bounds[:-1])) >= chunks.MIN_BYTES
+    assert len(set(bounds) & {b - 9 for b in moved}) > 0.95 * len(bounds)
+    assert chunks.cut([b"", b"ab"]) == [[0], [0, 2]]
+    rows = chunks.dedup_chunks(docs).collect()
+    assert len(rows) == len(texts())
+    by = {r["doc_id"]: r for r in rows}
+    assert by[10]["n_removed"] == by[10]["n_bytes"] and by[10]["first_doc_ids"] == [8] and by[8]["n_removed"] == 0
+    assert by[2]["n_removed"] > 60 and 1 in by[2]["first_doc_ids"] and by[0]["n_removed"] == 0
+    assert by[7]["n_removed"] > 3500 and by[3]["n_chunks"] == 0
+    seen, lost = set(), {}
+    for i, t in sorted((x for x in texts() if x[0] is not None and x[0] != 14), key=lambda x: x[0]):
+        raw = (t or "").encode()
+        for a, b in zip(chunks.cut([raw])[0], chunks.cut([raw])[0][1:], strict=False):
+            lost[i] = lost.get(i, 0) + (b - a) * (raw[a:b] in seen)
+            seen.add(raw[a:b])
+    assert all(by[i]["n_removed"] == n for i, n in lost.items())
+    assert chunks.dedup_chunks(none).count() == 0
+
+
+def test_hilbert_curve_has_unit_steps():
+    for d, bits in ((2, 3), (3, 2)):
+        cells = np.indices((1 << bits,) * d).reshape(d, -1).T
+        path = cells[np.argsort(ann.hilbert_keys(cells, bits))]
+        assert (np.abs(np.diff(path, axis=0)).sum(axis=1) == 1).all()
+
+
+def test_nearest(spark):
+    rng = np.random.default_rng(2)
+    vectors = rng.normal(size=(400, 16))
+    vectors[100:150] = vectors[7]
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in enumerate(vectors)]
+    rows += [(500, None), (501, []), (502, [0.0] * 16), (503, [float("nan")] * 16), (504, [None] + [1.0] * 15), (505, [1e30] * 16), (None, [1.0] * 16)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rep", F.lit(1))
+    got = ann.nearest(df, F.col("vec_id") % 50 == 0, window_share=1.0).collect()
+    ids = np.array([*range(400), 505])
+    m = np.array([r[1] for r in rows[:400]] + [[float(np.float32(1e30))] * 16])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    for q in [*range(0, 400, 50)]:
+        s = m @ m[q]
+        s[q] = -9
+        best = [int(i) for i in ids[np.lexsort((ids, -np.round(s, 12)))][:5]]
+        mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q)
+        assert [x[1] for x in mine] == best and np.allclose([x[2] for x in mine], sorted(s, reverse=True)[:5])
+    few = ann.nearest(df.where("vec_id in (0, 1, 2)"), F.col("vec_id") % 50 == 0).collect()
+    assert len(few) == 2
+    assert ann.nearest(df.where("false"), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_nearest_recall(spark):
+    d = "/root/testdata/sf0.001"
+    table = spark.read.parquet(f"{d}/embeddings.parquet").toPandas()
+    m, ids = np.array(table["embedding"].tolist(), float), table["vec_id"].to_numpy()
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    got = queries.op9_hilbert_ann(spark, d).toPandas()
+    hits = 0
+    for q in np.flatnonzero(ids % 50 == 0):
+        s = m @ m[q]
+        s[q] = -9
+        hits += len(set(ids[np.argsort(-s)[:5]]) & set(got[got.query_id == ids[q]].vec_id))
+    assert hits >= 0.9 * len(got)
+
+
+def test_url_lists(spark):
+    day = lambda s: f"2024-{s}"
+    entries = [("domain", "bad.org", day("01-10"), "add"), ("domain", "bad.org", day("03-01"), "remove"), ("domain", "bad.org", day("03-01"), "add"), ("host", "h.net", day("02-01"), "add"), ("url", "http://x.com/a", day("01-01"), "add"), ("url", None, day("01-01"), "add")]
+    entries = spark.createDataFrame(entries, "kind string, pattern string, day string, action string").withColumn("day", F.to_date("day"))
+    captures = [(1, "http://www.BAD.org/x", day("01-09")), (2, "http://www.bad.org/x", day("01-10")), (3, "https://u@bad.org:8080/", day("02-29")), (4, "http://bad.org", day("03-01")), (5, "http://h.net/", day("12-31")), (6, "http://a.h.net/", day("12-31")), (7, "http://x.com/a#f", day("01-01")), (8, None, day("02-01")), (9, "http://notbad.org/", day("02-01")), (3, "https://u@bad.org:8080/", day("02-29")), (10, "http://bad.org", None)]
+    captures = spark.createDataFrame(captures, "page_id long, url string, day string").withColumn("day", F.to_date("day"))
+    got = sorted((r["page_id"], r["blocked"], r["kinds"]) for r in urllists.apply_lists(captures, entries).collect())
+    assert got == [(1, False, ""), (2, True, "domain"), (3, True, "domain"), (3, True, "domain"), (4, False, ""), (5, True, "host"), (6, False, ""), (7, True, "url"), (8, False, ""), (9, False, ""), (10, False, "")]
+    assert urllists.apply_lists(captures.where("false"), entries).count() == 0
+    assert urllists.apply_lists(captures, entries.where("false")).where("blocked").count() == 0
