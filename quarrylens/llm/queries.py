@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm import ann, chunks, packing, pu, quality, repeats, reshard, simhash, urllists, wfst
+from quarrylens.llm import ann, chunks, packing, pu, quality, repeats, reshard, simhash, sql, urllists, wfst
 
 OLD_SHARDS, NEW_SHARDS = 32, 40
 
@@ -93,4 +93,4 @@ _ALL = (
     op10_temporal_url_lists,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op6_divergence_rules": sql.QUALITY, "op10_temporal_url_lists": sql.URL_LISTS}

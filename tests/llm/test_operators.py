@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-sys.path.insert(0, str(Path(__file__).parent))
+sys.path[:0] = [str(Path(__file__).parent), str(Path(__file__).parents[1])]
 import brute
 
 from quarrylens.llm import ann, chunks, packing, pu, quality, queries, repeats, reshard, simhash, urllists, wfst
@@ -280,3 +280,11 @@ def test_url_lists(spark):
     assert got == [(1, False, ""), (2, True, "domain"), (3, True, "domain"), (3, True, "domain"), (4, False, ""), (5, True, "host"), (6, False, ""), (7, True, "url"), (8, False, ""), (9, False, ""), (10, False, "")]
     assert urllists.apply_lists(captures.where("false"), entries).count() == 0
     assert urllists.apply_lists(captures, entries.where("false")).where("blocked").count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_native_queries_match_sql(spark, name):
+    from oracle import compare, duck
+
+    d = "/root/testdata/sf0.001"
+    assert compare(spark, duck(d), queries.QUERIES[name], queries.SQL[name], d) == ""
