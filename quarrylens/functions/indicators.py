@@ -117,20 +117,21 @@ def _host_item(host: Column) -> Column:
     return F.when(kind.isin("domain", "ipv4", "ipv6"), F.struct(kind.alias("type"), F.lower(host).alias("value")))
 
 
-#: Types in the order of their scans, with pattern, flags and a cheap test that texts with a match pass.
+#: Types in the order of their scans, with pattern, flags and a quick pattern that any text with a match has.
 SCANS = (
     ("url", URL, "(?i)", "://"),
-    ("email", EMAIL, "", "@"),
-    ("sha256", SHA256, "", ""),
-    ("sha1", SHA1, "", ""),
-    ("md5", MD5, "", ""),
-    ("cve", CVE, "(?i)", "-"),
-    ("btc_address", BTC_BECH32, "", "bc1"),
-    ("btc_address", BTC_LEGACY, "", ""),
-    ("ipv6", IPV6, "(?i)", ":"),
-    ("ipv4", IPV4, "", "."),
-    ("domain", DOMAIN, "", "."),
+    ("email", EMAIL, "", "@[a-zA-Z0-9-]"),
+    ("sha256", SHA256, "", "[a-fA-F0-9]{64}"),
+    ("sha1", SHA1, "", "[a-fA-F0-9]{40}"),
+    ("md5", MD5, "", "[a-fA-F0-9]{32}"),
+    ("cve", CVE, "(?i)", "(?i)cve-[0-9]"),
+    ("btc_address", BTC_BECH32, "", "bc1[a-z0-9]{39}"),
+    ("btc_address", BTC_LEGACY, "", "[13][a-km-zA-HJ-NP-Z1-9]{25}"),
+    ("ipv6", IPV6, "(?i)", "[A-Fa-f0-9]:[A-Fa-f0-9]|::[A-Fa-f0-9]"),
+    ("ipv4", IPV4, "", "[0-9][.][0-9]"),
+    ("domain", DOMAIN, "", "[a-zA-Z0-9][.][a-zA-Z]{2}"),
 )
+DEFANGED = r"(?i)hxxp|fxp|\[|\(at\)|\(dot\)|\(\.\)|\(:\)|\{"
 
 
 def with_iocs(df: DataFrame, text_col: str, out: str = "iocs", do_refang: bool = True, hosts: bool = True) -> DataFrame:
@@ -141,10 +142,10 @@ def with_iocs(df: DataFrame, text_col: str, out: str = "iocs", do_refang: bool =
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     none = F.array().cast("array<string>")
-    step = df.withColumn("_t", refang(text) if do_refang else text)
+    step = df.withColumn("_t", F.when(text.rlike(DEFANGED), refang(text)).otherwise(text) if do_refang else text)
     t = F.col("_t")
     scans = list(enumerate(SCANS))
-    step = step.withColumns({f"_h{n}": F.when(t.contains(guard), F.regexp_extract_all(t, F.lit(flags + pattern), F.lit(0))).otherwise(none) for n, (_, pattern, flags, guard) in scans})
+    step = step.withColumns({f"_h{n}": F.when(t.rlike(guard), F.regexp_extract_all(t, F.lit(flags + pattern), F.lit(0))).otherwise(none) for n, (_, pattern, flags, guard) in scans})
     step = step.withColumns({f"_b{n}": F.when(F.size(f"_h{n}") > 0, F.split(t, flags + pattern, -1)).otherwise(none) for n, (_, pattern, flags, _) in scans})
     step = step.withColumn("_all", F.concat(*[_spans(F.col(f"_h{n}"), F.col(f"_b{n}"), kind) for n, (kind, *_) in scans]))
     overlaps = lambda a, f: F.exists(a, lambda x: (x["begin"] < f["end"]) & (x["end"] > f["begin"]))

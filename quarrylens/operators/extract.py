@@ -12,7 +12,9 @@ from quarrylens.functions.indicators import with_iocs
 def extract(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     """(keep..., pos, type, value): the distinct indicators of every text, in the order of their extraction."""
     found = with_iocs(df.select(*keep, text_col), text_col)
-    return found.select(*keep, F.posexplode("iocs").alias("pos", "ioc")).select(*keep, "pos", "ioc.type", "ioc.value")
+    # The outer form: for the inner one Spark infers a filter on the array, whose expression it would push to the scan.
+    each = found.select(*keep, F.posexplode_outer("iocs").alias("pos", "ioc")).where("pos is not null")
+    return each.select(*keep, "pos", "ioc.type", "ioc.value")
 
 
 def rank_decodings(df: DataFrame, text_col: str, limit: int = 5) -> DataFrame:

@@ -20,7 +20,7 @@ RATE_LIMIT, RATE_SECONDS = 10, 60
 def indicators(lines: DataFrame, text_col: str = "value", ts_col: str = "ts", horizon: str = "10 minutes") -> DataFrame:
     """(type, value, ts, line) once for each indicator within ``horizon``: later repeats are dropped by state."""
     found = with_iocs(lines.select(F.col(text_col).alias("line"), F.col(ts_col).alias("ts")), "line")
-    each = found.withWatermark("ts", horizon).select("ts", "line", F.explode("iocs").alias("ioc")).select("ioc.type", "ioc.value", "ts", "line")
+    each = found.withWatermark("ts", horizon).select("ts", "line", F.explode_outer("iocs").alias("ioc")).where("ioc is not null").select("ioc.type", "ioc.value", "ts", "line")
     return each.dropDuplicatesWithinWatermark(["type", "value"])
 
 
