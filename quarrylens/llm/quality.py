@@ -3,9 +3,8 @@
 Every text gets counts (words, symbols, repeated lines and 5-word windows) and two histograms: of character classes
 and of its language's common words. The pooled histograms of a language over all documents that pass the base rules
 are its reference. A document is rejected if the Jensen-Shannon distance (base 2, 0 to 1) of its character classes
-from the reference is over ``max_class_distance``, or that of its common words is over ``max_word_distance`` and it
-has ``min_words_for_words`` words at least: short texts say little about word frequencies. Character classes are
-judged from ``min_words`` words on, below which the base rules have rejected it.
+from the reference is over MAX_CLASS_DISTANCE, or that of its common words is over MAX_WORD_DISTANCE. Short texts say
+little about frequencies, so either is judged only from a least number of words on.
 
 Languages without a reference (unknown, null, or with no accepted document) are judged by character classes alone,
 against the nearest of the references.
@@ -33,7 +32,8 @@ COMMON = {
 CLASSES = ("space", "lower", "upper", "digit", "punctuation", "symbol", "other")
 #: Rule parameters.
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
-MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, MIN_WORDS_FOR_WORDS = 0.30, 0.55, 80
+MAX_CLASS_DISTANCE, MIN_WORDS_FOR_CLASSES = 0.30, 50
+MAX_WORD_DISTANCE, MIN_WORDS_FOR_WORDS = 0.31, 100
 
 
 def _only(text: Column, chars: str) -> Column:
@@ -104,7 +104,7 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(total / 2, F.lit(0.0)))
 
 
-def judge(docs: DataFrame, keep: list[str], max_class_distance: float = MAX_CLASS_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE, min_words_for_words: int = MIN_WORDS_FOR_WORDS) -> DataFrame:
+def judge(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of ``docs(text, lang, ...)`` with counts, distances, base_failed and kept.
 
     The counts are written to the shared folder once, since references and verdicts both need them. A reference is
@@ -139,7 +139,8 @@ def judge(docs: DataFrame, keep: list[str], max_class_distance: float = MAX_CLAS
         class_distance = F.when(is_x, js_distance(class_shares, reference[x]["classes"])).otherwise(class_distance)
         word_distance = F.when(is_x, js_distance(word_shares, reference[x]["words"])).otherwise(word_distance)
     judged = counted.withColumn("class_distance", class_distance).withColumn("word_distance", word_distance)
-    odd = (F.coalesce("class_distance", F.lit(0.0)) > max_class_distance) | ((F.col("n_words") >= min_words_for_words) & (F.coalesce("word_distance", F.lit(0.0)) > max_word_distance))
+    far = lambda c, most, least: (F.col("n_words") >= least) & (F.coalesce(c, F.lit(0.0)) > most)
+    odd = far("class_distance", MAX_CLASS_DISTANCE, MIN_WORDS_FOR_CLASSES) | far("word_distance", MAX_WORD_DISTANCE, MIN_WORDS_FOR_WORDS)
     clash = {c.lower() for c in keep}
     extra = [c for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance") if c not in clash]
     return judged.withColumn("kept", ~F.col("base_failed") & ~odd).select("_row.*", *extra, *([] if "kept" in clash else ["kept"]))

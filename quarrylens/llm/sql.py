@@ -54,6 +54,6 @@ qr AS (SELECT lang, bin, n / sum(n) OVER (PARTITION BY lang) AS q FROM qs),
 hd AS (SELECT h.doc_id AS doc_id, {_js("(h.n / greatest(1.0, f.n_chars))", "hr.q")} AS d FROM h JOIN f ON h.doc_id = f.doc_id JOIN hr ON h.lang = hr.lang AND h.bin = hr.bin GROUP BY h.doc_id),
 qd AS (SELECT f.doc_id AS doc_id, {_js("(coalesce(q.n, 0) / greatest(1.0, f.n_words))", "qr.q")} AS d FROM f JOIN qr ON f.lang = qr.lang LEFT JOIN q ON q.doc_id = f.doc_id AND q.bin = qr.bin GROUP BY f.doc_id)
 SELECT f.doc_id AS doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
- NOT base_failed AND NOT (coalesce(hd.d, 0.0) > {quality.MAX_CLASS_DISTANCE} OR (n_words >= {quality.MIN_WORDS_FOR_WORDS} AND coalesce(qd.d, 0.0) > {quality.MAX_WORD_DISTANCE})) AS kept
+ NOT base_failed AND NOT ((n_words >= {quality.MIN_WORDS_FOR_CLASSES} AND coalesce(hd.d, 0.0) > {quality.MAX_CLASS_DISTANCE}) OR (n_words >= {quality.MIN_WORDS_FOR_WORDS} AND coalesce(qd.d, 0.0) > {quality.MAX_WORD_DISTANCE})) AS kept
 FROM f LEFT JOIN hd ON f.doc_id = hd.doc_id LEFT JOIN qd ON f.doc_id = qd.doc_id
 """

@@ -5,11 +5,11 @@ a character map are refused. The piece machine reads a piece's characters and wr
 negative score; characters without a piece go through byte fallback (or to the unknown id). For BPE models a pair
 acceptor follows: ``(a, b)`` may stand side by side only if merging the text a + b by score ends in a, b. A sequence
 is what the merges yield exactly if every neighbouring pair is accepted, so the composed machine has one path for
-each input, and each prefix of the input has one last piece; unigram models have no acceptor and the weights decide.
-The shortest path in the tropical semiring is found left to right with one state a position.
+each input, and each prefix of the input has one last piece, so that a position is one state. It is then the shortest. Unigram models
+have no acceptor; the shortest path in the tropical semiring is found from left to right.
 
-No piece holds U+2581 behind another character, so an input falls into units at its spaces; a unit is composed once
-in a while and remembered.
+No piece holds U+2581 behind another character, so an input falls into units at its spaces, and these into parts
+between characters that no piece joins; a part is composed once in a while and remembered.
 
 Decoding runs the piece machine backwards, bytes together, and drops the first space.
 
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-MEMORY_UNITS, MEMORY_PAIRS = 400_000, 1_000_000
+MEMORY_UNITS, MEMORY_PAIRS = 800_000, 1_000_000
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -66,6 +66,8 @@ class Transducer:
             elif p.type == 2:
                 self.written[i] = " ⁇ ".encode()
         self.longest = max(map(len, self.piece), default=1)
+        #: Pairs of characters that some piece joins: between all others every path has a boundary.
+        self.joined = {p[i : i + 2] for p in self.piece for i in range(len(p) - 1)}
         self.units: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
 
@@ -106,30 +108,43 @@ class Transducer:
 
     def shortest_path(self, unit: str) -> list[str]:
         """The pieces (or single characters without piece) of a unit along the path of least weight."""
-        n, pieces, pairs = len(unit), self.piece, self.pairs
-        if self.is_bpe and unit in pieces and self.accepts("", unit):
-            return [unit]
-        last, weight = [""] * (n + 1), [0.0] * (n + 1)
-        reached = [0]  # every position is reached: a single character always has an arc
+        return self._accepted_path(unit) if self.is_bpe else self._lightest_path(unit)
+
+    def _accepted_path(self, unit: str) -> list[str]:
+        """The one path that the pair acceptor leaves. Long arcs are tried first; a position that leads nowhere is dead."""
+        pieces, pairs, n = self.piece, self.pairs, len(unit)
+        path: list[str] = []
+        dead: set[int] = set()
+        at, before, size = 0, "", min(self.longest, n)
+        while at < n:
+            while size:
+                text = unit[at : at + size]
+                if (text in pieces or size == 1) and at + size not in dead:
+                    fits = pairs.get((before, text))
+                    if fits or (fits is None and self.accepts(before, text)):
+                        break
+                size -= 1
+            if size:
+                path.append(text)
+                at, before = at + size, text
+                size = min(self.longest, n - at)
+            else:
+                dead.add(at)
+                size = len(path.pop())
+                at, before = at - size, path[-1] if path else ""
+                size -= 1
+        return path
+
+    def _lightest_path(self, unit: str) -> list[str]:
+        """The shortest path in the tropical semiring, position by position."""
+        n, pieces = len(unit), self.piece
+        last, weight = [""] * (n + 1), [0.0] + [float("inf")] * n
         for end in range(1, n + 1):
-            best = float("inf")
-            for start in reached if end <= self.longest else range(end - self.longest, end):
+            for start in range(max(0, end - self.longest), end):
                 text = unit[start:end]
-                if text not in pieces:
-                    if end - start > 1:
-                        continue
-                    cost = weight[start]
-                else:
-                    cost = weight[start] + pieces[text][1]
-                if self.is_bpe:
-                    fits = pairs.get((last[start], text))
-                    if fits or (fits is None and self.accepts(last[start], text)):
-                        last[end], best = text, cost
-                        break
-                elif cost < best:
-                    last[end], best = text, cost
-            weight[end] = best
-            reached.append(end)
+                arc = pieces.get(text) or ((self.unknown, 0.0) if end - start == 1 else None)
+                if arc and weight[start] + arc[1] < weight[end]:
+                    last[end], weight[end] = text, weight[start] + arc[1]
         out, end = [], n
         while end:
             out.append(last[end])
@@ -148,6 +163,15 @@ class Transducer:
                 out.append(self.unknown)
         return np.array(out, "<u4").tobytes()
 
+    def _parts(self, unit: str) -> list[str]:
+        joined, low, out = self.joined, 0, []
+        for i in range(1, len(unit)):
+            if unit[i - 1 : i + 1] not in joined:
+                out.append(unit[low:i])
+                low = i
+        out.append(unit[low:])
+        return out
+
     def encode(self, text: str) -> bytes:
         """Ids as packed little-endian unsigned 32-bit numbers."""
         if not text:
@@ -157,7 +181,12 @@ class Transducer:
         if len(memory) > MEMORY_UNITS:
             memory.clear()
         for unit in set(units).difference(memory):
-            memory[unit] = self._ids(unit)
+            parts = self._parts(unit)
+            for part in parts:
+                if part not in memory:
+                    memory[part] = self._ids(part)
+            if len(parts) > 1:
+                memory[unit] = b"".join([memory[p] for p in parts])
         return b"".join(map(memory.__getitem__, units))
 
     def decode(self, ids: bytes) -> str:

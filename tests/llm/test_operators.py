@@ -178,7 +178,7 @@ def test_quality_rules(spark, docs, none):
     assert quality.judge(none, ["doc_id"]).count() == 0
     clean = "the cat of the house and a dog in that field was to be seen as it is for you on this day by all with care from here or there at once and they are so"
     rng = random.Random(1)
-    rows = [(i, " ".join(rng.sample(clean.split(), 30)) + f" number {i}.") for i in range(50)] + [(99, " ".join(w.upper() + "!!" for w in clean.split()))]
+    rows = [(i, " ".join(rng.choices(clean.split(), k=60)) + f" number {i}.") for i in range(50)] + [(99, " ".join(w.upper() + "!!" for w in clean.split() + clean.split()[::-1]))]
     kept = {r["doc_id"]: r["kept"] for r in quality.judge(frame(spark, rows), ["doc_id"]).collect()}
     assert not kept.pop(99) and all(kept.values())
 
