@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import base64 as b64
+import binascii
+import html as markup
+import zlib as deflate
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _TURNED = "nopqrstuvwxyzabcdefghijklmNOPQRSTUVWXYZABCDEFGHIJKLM"
@@ -44,7 +50,48 @@ def jwt(s: Column) -> Column:
     return F.when(valid, F.concat(F.lit('{"header":'), head, F.lit(',"payload":'), body, F.lit("}")))
 
 
-DECODERS: dict[str, Callable[[Column], Column]] = {"base64": base64, "hex": hex_text, "jwt": jwt, "rot13": rot13, "url": url_text}
+def _each(f: Callable[[str], str | None]) -> Callable[[Column], Column]:
+    """A decoder that SQL functions cannot express, over Arrow batches."""
+
+    @F.pandas_udf(StringType())
+    def run(texts: pd.Series) -> pd.Series:
+        def one(text: str | None) -> str | None:
+            try:
+                return f(text) if text else None
+            except (binascii.Error, ValueError, deflate.error):
+                return None
+
+        return texts.map(one)
+
+    return run
+
+
+def _base32(text: str) -> str:
+    text = "".join(text.split()).upper().rstrip("=")
+    return b64.b32decode(text + "=" * (-len(text) % 8)).decode(errors="replace")
+
+
+def _entities(text: str) -> str | None:
+    return out if (out := markup.unescape(text)) != text else None
+
+
+def _inflate(window: int) -> Callable[[str], str]:
+    """Compressed bytes, given as base64 or hexadecimal text; at most 16 MiB come out."""
+
+    def f(text: str) -> str:
+        text = "".join(text.split())
+        try:
+            raw = b64.b64decode(text + "=" * (-len(text) % 4), validate=True)
+        except binascii.Error:
+            raw = bytes.fromhex(text)
+        return deflate.decompressobj(window).decompress(raw, 16 << 20).decode(errors="replace")
+
+    return f
+
+
+base32, html, gzip, zlib = _each(_base32), _each(_entities), _each(_inflate(31)), _each(_inflate(15))
+
+DECODERS: dict[str, Callable[[Column], Column]] = {"base32": base32, "base64": base64, "gzip": gzip, "hex": hex_text, "html": html, "jwt": jwt, "rot13": rot13, "url": url_text, "zlib": zlib}
 
 
 def decode(operation: str, s: Column) -> Column:

@@ -59,3 +59,17 @@ def test_names_and_networks(spark):
     assert column(spark, ["a.b.co.uk", "www.example.com", "localhost"], network.second_level_label) == ["b", "example", "localhost"]
     assert column(spark, ["aab", ""], lambda c: F.round(network.entropy(c), 4)) == [0.9183, 0.0]
     assert column(spark, ["10.1.2.3", "8.8.8.8", "192.0.2.9", "no"], lambda c: network.classify_ipv4(c)["tags"]) == ["private,rfc1918", "public", "bogon,test-net-1,non-routable", None]
+
+
+def test_decoders_over_arrow_batches(spark):
+    import base64
+    import gzip
+    import zlib
+
+    packed = base64.b64encode(gzip.compress(b"hello")).decode()
+    assert column(spark, ["NBSWY3DP", "nbswy3dp====", "1!"], decoders.base32) == ["hello", "hello", None]
+    assert column(spark, ["&lt;a&gt;", "plain", None], decoders.html) == ["<a>", None, None]
+    assert column(spark, [packed, "garbage", base64.b64encode(zlib.compress(b"x")).decode()], decoders.gzip) == ["hello", None, None]
+    assert column(spark, [base64.b64encode(zlib.compress(b"hello")).decode(), packed], decoders.zlib) == ["hello", None]
+    with pytest.raises(ValueError):
+        decoders.decode("rot14", F.lit("x"))
