@@ -106,30 +106,48 @@ def fit(table: DataFrame, mean: np.ndarray, std: np.ndarray, prior: float) -> np
     return best[1]
 
 
-def score(docs: DataFrame, labels: DataFrame, keep: list[str], bar: float = BAR) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with held_out, score and predicted; learns from ``labels(doc_id, quality)``."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), F.col("doc_id").alias("_id"), "text")
-    counted = text_counts(packed, ["_row", "_id"]).select("_row", "_id", F.array(*features()).alias("x"))
+def _learn(counted: DataFrame, labels: DataFrame) -> tuple[DataFrame, Column]:
+    """The stored table of ``counted(_id, x, ...)``, and the score as an expression of x."""
     known = labels.where((fold(F.col("doc_id")) != HELD_OUT) & F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
-    known = known.groupBy("doc_id").agg(F.min("quality").alias("q"))
-    table = materialize(counted.join(known.withColumnRenamed("doc_id", "_id"), "_id", "left").withColumn("trusted", F.coalesce(F.col("q") == 1, F.lit(False))), "features")
+    known = known.groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("q"))
+    table = materialize(counted.join(known, "_id", "left").withColumn("trusted", F.coalesce(F.col("q") == 1, F.lit(False))), "features")
 
     k = len(features())
     figures = table.agg(F.count("q"), F.count_if("trusted"), *[f(F.get("x", F.lit(i))) for i in range(k) for f in (F.avg, F.stddev_pop)]).first()
     n_known, n_trusted = figures[:2]
-    held = (fold(F.col("_id")) == HELD_OUT).alias("held_out")
     prior = min(max(n_trusted / n_known, 0.01), 0.99) if n_known else 0.5
     if not n_trusted:
-        value = F.lit(prior)
-    else:
-        mean, std = np.array(figures[2::2], float), np.maximum(np.array(figures[3::2], float), 1e-6)
-        w = fit(table, mean, std, prior)
-        z = [F.least(F.lit(CLIP), F.greatest(F.lit(-CLIP), (F.get("x", F.lit(i)) - float(mean[i])) / float(std[i]))) for i in range(k)]
-        g = F.lit(float(w[0]))
-        for i in range(k):
-            g = g + float(w[1 + i]) * z[i] + float(w[1 + k + i]) * z[i] * z[i]
-        value = 1 / (1 + F.exp(-g))
-    out = table.select("_row", held, value.cast("double").alias("score"))
+        return table, F.lit(prior)
+    mean, std = np.array(figures[2::2], float), np.maximum(np.array(figures[3::2], float), 1e-6)
+    w = fit(table, mean, std, prior)
+    g = F.lit(float(w[0]))
+    for i in range(k):
+        z = F.least(F.lit(CLIP), F.greatest(F.lit(-CLIP), (F.get("x", F.lit(i)) - float(mean[i])) / float(std[i])))
+        g = g + float(w[1 + i]) * z + float(w[1 + k + i]) * z * z
+    return table, 1 / (1 + F.exp(-g))
+
+
+def _counted(docs: DataFrame, keep: list[str]) -> DataFrame:
+    return text_counts(docs.select(*keep, F.col("doc_id").alias("_id"), "text"), [*keep, "_id"]).select(*keep, "_id", F.array(*features()).alias("x"))
+
+
+def score(docs: DataFrame, labels: DataFrame, keep: list[str], bar: float = BAR) -> DataFrame:
+    """The columns ``keep`` of ``docs`` with held_out, score and predicted; learns from ``labels(doc_id, quality)``."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), "doc_id", "text")
+    table, value = _learn(_counted(rows, ["_row"]), labels)
+    out = table.select("_row", (fold(F.col("_id")) == HELD_OUT).alias("held_out"), value.cast("double").alias("score"))
     clash = {c.lower() for c in keep}
     names = [c for c in ("held_out", "score") if c not in clash] + ([] if "predicted" in clash else ["predicted"])
     return out.withColumn("predicted", (F.col("score") >= bar).cast("int")).select("_row.*", *names)
+
+
+def accepted(docs: DataFrame, labels: DataFrame, bar: float = BAR) -> DataFrame:
+    """The documents with a score of ``bar`` or more, with all their columns.
+
+    Texts are counted twice, for the fit and for the scores, so that no text is stored or shuffled. For the mark see
+    ``quality.accepted``.
+    """
+    _, value = _learn(_counted(docs.select("doc_id", "text"), []), labels)
+    rows = _counted(docs.select(F.struct("*").alias("_doc"), "doc_id", "text"), ["_doc"])
+    scored = rows.select("_doc", value.alias("_score"), F.monotonically_increasing_id().alias("_mark"))
+    return scored.where((F.col("_score") >= bar) & (F.col("_mark") >= 0)).select("_doc.*")

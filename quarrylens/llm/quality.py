@@ -104,11 +104,12 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(total / 2, F.lit(0.0)))
 
 
-def judge(docs: DataFrame, keep: list[str]) -> DataFrame:
+def judge(docs: DataFrame, keep: list[str], store: bool = True) -> DataFrame:
     """The columns ``keep`` of ``docs(text, lang, ...)`` with counts, distances, base_failed and kept.
 
-    The counts are written to the shared folder once, since references and verdicts both need them. A reference is
-    a row a language of ``COMMON``, so what the driver reads back does not grow.
+    The counts are written to the shared folder once, since references and verdicts both need them; without ``store``
+    they are taken twice instead, which spares the disk where ``keep`` holds the texts. A reference is a row a language
+    of ``COMMON``, so what the driver reads back does not grow.
     """
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), F.col("lang").cast("string").alias("_lang"), "text")
     counted = text_counts(packed, ["_row", "_lang"])
@@ -120,14 +121,17 @@ def judge(docs: DataFrame, keep: list[str]) -> DataFrame:
         tally = F.when(F.col("_lang") == lang, own).otherwise(tally)
     rest = F.array(F.col("n_words") - F.aggregate("words", F.lit(0).cast("long"), lambda a, x: a + x))
     counted = counted.withColumn("classes", classes).withColumn("words", tally).withColumn("words", F.concat("words", rest)).withColumn("base_failed", base_failed()).drop("_common")
-    counted = materialize(counted, "counts")
+    if store:
+        counted = materialize(counted, "counts")
 
-    sums = [F.array(*[F.sum(F.get(c, F.lit(i))) for i in range(n)]).alias(c) for c, n in (("classes", len(CLASSES)), ("words", 1 + len(COMMON["en"])))]
-    found = counted.where(F.col("_lang").isin(list(COMMON)) & ~F.col("base_failed")).groupBy("_lang").agg(*sums).collect()
+    # Conditions inside the sums, not as a filter, whose expressions Spark would copy down to the texts.
+    known = F.when(F.col("_lang").isin(list(COMMON)), F.col("_lang")).alias("lang")
+    sums = [F.array(*[F.sum(F.when(~F.col("base_failed"), F.get(c, F.lit(i)))) for i in range(n)]).alias(c) for c, n in (("classes", len(CLASSES)), ("words", 1 + len(COMMON["en"])))]
+    found = [r for r in counted.groupBy(known).agg(*sums).collect() if r["lang"]]
     reference: dict[str, dict[str, Column]] = {}
     for r in found:
-        if all(sum(r[c]) > 0 for c in ("classes", "words")):
-            reference[r["_lang"]] = {c: F.array(*[F.lit(x / sum(r[c])) for x in r[c]]) for c in ("classes", "words")}
+        if all(sum(x or 0 for x in r[c]) > 0 for c in ("classes", "words")):
+            reference[r["lang"]] = {c: F.array(*[F.lit(x / sum(r[c])) for x in r[c]]) for c in ("classes", "words")}
 
     class_shares, word_shares = _shares(F.col("classes")), _shares(F.col("words"))
     class_distance = word_distance = F.lit(None).cast("double")
@@ -144,3 +148,13 @@ def judge(docs: DataFrame, keep: list[str]) -> DataFrame:
     clash = {c.lower() for c in keep}
     extra = [c for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance") if c not in clash]
     return judged.withColumn("kept", ~F.col("base_failed") & ~odd).select("_row.*", *extra, *([] if "kept" in clash else ["kept"]))
+
+
+def accepted(docs: DataFrame) -> DataFrame:
+    """The documents that are kept, with all their columns.
+
+    The filter also reads a mark that is not deterministic, so that Spark evaluates it on the finished counts instead
+    of pushing copies of their expressions down to the scan.
+    """
+    judged = judge(docs.select(F.struct("*").alias("_doc"), "lang", "text"), ["_doc"], store=False)
+    return judged.withColumn("_mark", F.monotonically_increasing_id()).where("kept and _mark >= 0").select("_doc.*")

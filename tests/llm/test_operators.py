@@ -288,3 +288,13 @@ def test_native_queries_match_sql(spark, name):
 
     d = "/root/testdata/sf0.001"
     assert compare(spark, duck(d), queries.QUERIES[name], queries.SQL[name], d) == ""
+
+
+def test_accepted_documents_are_those_judged_good(spark):
+    d = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    good = {r[0] for r in quality.judge(docs, ["doc_id"]).where("kept").select("doc_id").collect()}
+    assert {r["doc_id"] for r in quality.accepted(docs).collect()} == good
+    good = {r[0] for r in pu.score(docs, labels, ["doc_id"]).where("predicted = 1").select("doc_id").collect()}
+    found = pu.accepted(docs, labels)
+    assert {r["doc_id"] for r in found.collect()} == good and found.columns == docs.columns
