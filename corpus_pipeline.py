@@ -18,13 +18,12 @@ from quarrylens.llm.queries import tokenizer_path
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are near their language's distributions."""
-    return quality.judge(docs, docs.columns).where("kept").select(*docs.columns)
+    return quality.accepted(docs)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on what is left of the labelled ones, takes for good."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return pu.score(docs, labels, docs.columns).where("predicted = 1").select(*docs.columns)
+    return pu.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
