@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm import packing, pu, quality, repeats, simhash
+from quarrylens.llm import packing, pu, quality, repeats, similar
 from quarrylens.llm.common import materialize
 from quarrylens.llm.queries import tokenizer_path
 
@@ -27,9 +27,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id; documents without id stay."""
-    groups = simhash.near_duplicates(docs)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
+    """Of each group of texts with similar 5-word shingles (0.8 or more) the document with the smallest id; documents without id stay."""
+    first = similar.similar_texts(docs).groupBy("component_id").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 

@@ -40,23 +40,35 @@ SEED = 42
 _CHUNK = 1 << 15
 
 
-def fingerprint(text: bytes, words: int = 3) -> int:
-    """The SimHash of a whole text, as a number of 64 bits: A-Z lower-cased, words at ASCII white space."""
+def shingle_hashes(text: bytes, words: int = 3) -> np.ndarray:
+    """A hash of each run of ``words`` words, as often as it occurs: A-Z lower-cased, words at ASCII white space."""
     parts = text.lower().split()
     if not parts:
-        return 0
+        return np.zeros(0, np.uint64)
     if len(parts) < words:
         shingles = [b" ".join(parts)]
     elif words == 3:
         shingles = [b"%b %b %b" % x for x in zip(parts, parts[1:], parts[2:], strict=False)]
+    elif words == 5:
+        shingles = [b"%b %b %b %b %b" % x for x in zip(parts, parts[1:], parts[2:], parts[3:], parts[4:], strict=False)]
     else:
         shingles = [b" ".join(parts[i : i + words]) for i in range(len(parts) - words + 1)]
     one = xxhash.xxh64_intdigest
+    return np.array([one(s, SEED) for s in shingles], dtype=np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The SimHash of shingle hashes: each bit that more than half of them have."""
     ones = np.zeros(64, np.int64)
-    for k in range(0, len(shingles), _CHUNK):
-        h = np.array([one(s, SEED) for s in shingles[k : k + _CHUNK]], dtype=">u8")
+    for k in range(0, len(hashes), _CHUNK):
+        h = hashes[k : k + _CHUNK].astype(">u8")
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(shingles)).tobytes(), "big")
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+
+
+def fingerprint(text: bytes, words: int = 3) -> int:
+    """The SimHash of a whole text, as a number of 64 bits."""
+    return majority(shingle_hashes(text, words))
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
