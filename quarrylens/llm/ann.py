@@ -25,7 +25,11 @@ from pyspark.sql.window import Window
 
 from quarrylens.llm.common import materialize
 
-ORDERINGS, DIRECTIONS, BITS = 8, 8, 4
+ORDERINGS, DIRECTIONS = 8, 8
+#: Levels of the grid, and how many of them a key of 8 directions holds. The finest cells are near the precision of
+#: float32, so rows of a tight cluster lie on the curve by their place, in each ordering another way.
+BITS, KEY_BITS = 28, 7
+KEYS = [f"key{i}" for i in range(BITS // KEY_BITS)]
 WINDOW_SHARE = 0.2
 BLOCK_ROWS, QUERY_SLICE = 2048, 2048
 #: Rows from which centre and spread of the projections are fitted; every row is indexed.
@@ -33,8 +37,11 @@ FIT_ROWS = 20_000
 SEED = 11
 
 
-def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
-    """Positions of the rows of ``cells`` (integers below 2 ** bits) along a Hilbert curve, by Skilling's transform."""
+def hilbert_keys(cells: np.ndarray, bits: int, key_bits: int | None = None) -> np.ndarray:
+    """Positions of the rows of ``cells`` (integers below 2 ** bits) along a Hilbert curve, by Skilling's transform.
+
+    With ``key_bits``, the position in digits of so many levels each, the highest first, as columns.
+    """
     axes = [cells[:, i].astype(np.int64) for i in range(cells.shape[1])]
     n, q = len(axes), 1 << (bits - 1)
     while q > 1:
@@ -52,11 +59,14 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     while q > 1:
         turn = np.where((axes[-1] & q) != 0, turn ^ (q - 1), turn)
         q >>= 1
-    key = np.zeros_like(axes[0])
-    for b in range(bits - 1, -1, -1):
-        for a in axes:
-            key = (key << 1) | ((a ^ turn) >> b & 1)
-    return key
+    keys = []
+    for top in range(bits, 0, -(key_bits or bits)):
+        key = np.zeros_like(axes[0])
+        for b in range(top - 1, max(top - (key_bits or bits), 0) - 1, -1):
+            for a in axes:
+                key = (key << 1) | ((a ^ turn) >> b & 1)
+        keys.append(key)
+    return np.stack(keys, axis=1) if key_bits else keys[0]
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -111,12 +121,14 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, window_share: floa
             x /= np.linalg.norm(x, axis=1, keepdims=True)
             for o, (turn, shift, (mean, std)) in enumerate(zip(turns, shifts, fits, strict=True)):
                 place = (x @ turn - mean) / std / 6 + 0.5
-                cells = np.clip((place * 0.9 + shift) * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), o, np.int32)), pa.array(hilbert_keys(cells, BITS)), batch.column("rep"), batch.column("v"), batch.column("asked")], ["ordering", "key", "rep", "v", "asked"])
+                # The grid is eight times as wide as six deviations, so that rows far out do not share its border.
+                cells = np.clip((place * 0.9 + shift + 4) / 8 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
+                keys = hilbert_keys(cells, BITS, KEY_BITS)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), o, np.int32)), *[pa.array(k.copy()) for k in keys.T], batch.column("rep"), batch.column("v"), batch.column("asked")], ["ordering", *KEYS, "rep", "v", "asked"])
 
     per_ordering = max(1, -(-count // BLOCK_ROWS))
-    keyed = distinct.select("rep", "v", "asked").mapInArrow(order, "ordering int, key long, rep long, v array<double>, asked boolean")
-    blocks = keyed.repartitionByRange(ORDERINGS * per_ordering, "ordering", "key", "rep").withColumn("block", F.spark_partition_id())
+    keyed = distinct.select("rep", "v", "asked").mapInArrow(order, f"ordering int, {' long, '.join(KEYS)} long, rep long, v array<double>, asked boolean")
+    blocks = keyed.repartitionByRange(ORDERINGS * per_ordering, "ordering", *KEYS, "rep").withColumn("block", F.spark_partition_id()).drop(*KEYS)
     blocks = materialize(blocks, "blocks")
 
     reach = max(1, -(-int(window_share * count) // (2 * BLOCK_ROWS)))
