@@ -5,7 +5,7 @@ one suffix array of a corpus is a matter of every byte; here only the suffixes t
 
 1. Windows of ``length`` bytes are keyed by the smallest hash of the GRAM-byte strings in them. The key is a function
    of the window alone, so equal windows meet under equal keys; neighbouring windows mostly share theirs, and a run
-   of windows with one key is a *fragment*. Documents are dealt into blocks by id. Each block sends every key once,
+   of windows with one key is a *fragment*. Documents are dealt into blocks by id and text. Each block sends every key once,
    packed into one row for each bucket of keys, and learns which of its keys occur in another document.
 2. Each block sends its distinct fragments under those keys to the buckets. A bucket sorts the suffixes (windows) of
    its fragments by their bytes, so that all equal windows of the corpus are neighbours; in suffix order it takes the
@@ -14,8 +14,9 @@ one suffix array of a corpus is a matter of every byte; here only the suffixes t
 3. Each block marks the bytes of its documents and keeps the rest.
 
 A block sends a key or a fragment once, however many of its documents hold it, so copies and boilerplate in a third
-of all rows weigh no more than the number of blocks. Keys that more than HOT_BLOCKS blocks hold are sent as single
-windows under a hash of the window instead, which spreads text that follows a very frequent phrase. Blocks and
+of all rows weigh no more than the number of blocks. Keys that more than HOT_BLOCKS blocks hold, or about HOT_FRAGMENTS
+distinct fragments of the blocks, are sent as single windows under a hash of the window instead, which spreads text
+that stands around a very frequent phrase, at any size of the corpus. Blocks and
 buckets have a fixed size; their numbers grow with the corpus. Nothing is dropped or capped: false sharing of the
 32-bit keys only sends more fragments, and bytes decide.
 
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -40,6 +41,8 @@ BLOCK_BYTES = 4 << 20
 BUCKET_KEYS_BYTES = 32 << 20
 BUCKET_BYTES = 4 << 20
 HOT_BLOCKS = 4096
+#: Their windows take some 30 MB of arrays in a bucket.
+HOT_FRAGMENTS = 8192
 RESULTS = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
 _SLICE = 1 << 18
 _LAST = (1 << 63) - 1
@@ -120,13 +123,25 @@ class Block:
         inside = np.searchsorted(self.start, self.begin, side="right") - 1
         self.of = self.doc[inside] if len(inside) else np.zeros(0, np.int64)
 
-    def keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct keys, and whether each is in two documents of this block."""
+    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct keys, whether each is in two documents of this block, and its number of distinct fragments here."""
         order = np.lexsort((self.of, self.key))
         key, of = self.key[order], self.of[order]
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         last = np.concatenate([first[1:], [len(key)]]) - 1 if len(key) else first
-        return key[first], of[first] != of[last]
+        n = last - first + 1
+        many = np.repeat(n > 1, n)
+        at = order[many]
+        if len(at):
+            # Equal fragments of a key count once.
+            size = self.end[at] - self.begin[at]
+            value = self._content(self.begin[at], self.end[at] + self.length - 1)
+            group = np.repeat(np.arange(len(n)), n)[many]
+            by = np.lexsort((value, size, group))
+            new = np.ones(len(by), bool)
+            new[1:] = (group[by][1:] != group[by][:-1]) | (size[by][1:] != size[by][:-1]) | (value[by][1:] != value[by][:-1])
+            n = np.where(n > 1, np.bincount(group[by][new], minlength=len(n)), n)
+        return key[first], of[first] != of[last], n
 
     def select(self, shared: np.ndarray, hot: np.ndarray) -> None:
         """Keep the fragments with a shared key and cut those with a hot key into windows. Sets unit and bucket hash."""
@@ -227,6 +242,26 @@ def earliest(data: bytes, begin: np.ndarray, count: np.ndarray, doc: np.ndarray,
     return frag, out
 
 
+def marks(twice: np.ndarray, fragments: np.ndarray) -> np.ndarray:
+    """One byte a key: the upper bit says that two documents of the block hold it, the others that it has at most 2 ** n fragments."""
+    return (np.ceil(np.log2(np.maximum(fragments, 1))).astype(np.uint8)) | (twice.astype(np.uint8) << 7)
+
+
+def judge_keys(keys: np.ndarray, mark: np.ndarray, hot_blocks: int, hot_fragments: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the keys that blocks sent, with their marks: whether two documents hold each, and whether it is hot."""
+    which, at, n = np.unique(keys, return_inverse=True, return_counts=True)
+    any_twice = np.zeros(len(which), bool)
+    any_twice[at[mark > 127]] = True
+    fragments = np.bincount(at, weights=np.exp2(mark & 127), minlength=len(which))
+    shared = (n > 1) | any_twice
+    return shared[at], (shared & ((n > hot_blocks) | (fragments > hot_fragments)))[at]
+
+
+def block_of(n_blocks: int) -> Column:
+    """The block of a row of (rank, text). Results compare ids, so equal ids may lie in different blocks."""
+    return F.pmod(F.xxhash64("rank", "text"), F.lit(n_blocks)).cast("int")
+
+
 def _pack(x: np.ndarray, kind: str) -> bytes:
     return x.astype(kind).tobytes()
 
@@ -240,7 +275,7 @@ def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(bucket[order[low]]), order[low:high]
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, block_bytes: int = BLOCK_BYTES, key_bucket_bytes: int = BUCKET_KEYS_BYTES, bucket_bytes: int = BUCKET_BYTES, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, block_bytes: int = BLOCK_BYTES, key_bucket_bytes: int = BUCKET_KEYS_BYTES, bucket_bytes: int = BUCKET_BYTES, hot_blocks: int = HOT_BLOCKS, hot_fragments: int = HOT_FRAGMENTS) -> DataFrame:
     """Adds n_bytes, n_removed, n_spans long and kept_sha256, kept string to ``docs(doc_id, text, ...)``.
 
     ``kept`` is the remaining text without characters that lost a byte; the digest is that of all remaining bytes.
@@ -258,7 +293,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, block_bytes: int = BLOCK_B
         F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("rank"),
         F.col("text").cast("binary").alias("text"),
         F.struct("doc_id", *[F.col(f"`{c}`") for c in others]).alias("row"),
-    ).withColumn("block", F.pmod(F.xxhash64("rank"), F.lit(n_blocks)).cast("int"))
+    ).withColumn("block", block_of(n_blocks))
     blocks = blocks.repartition(parts, "block")
 
     def bucket_of_keys(key: np.ndarray) -> np.ndarray:
@@ -266,20 +301,17 @@ def remove_repeats(docs: DataFrame, length: int = 50, block_bytes: int = BLOCK_B
 
     def send_keys(key: tuple, table: pa.Table) -> pa.Table:
         block, found = key[0].as_py(), Block(table, length)
-        keys, twice = found.keys()
+        keys, twice, fragments = found.keys()
+        mark = marks(twice, fragments)
         rows: list[tuple] = []
         for b, at in _by_bucket(bucket_of_keys(keys)):
-            rows.append((b, block, _pack(keys[at], "<u4"), _pack(twice[at], "u1")))
-        return pa.Table.from_pylist([dict(zip(("bucket", "block", "keys", "twice"), r, strict=True)) for r in rows], pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("twice", pa.binary())]))
+            rows.append((b, block, _pack(keys[at], "<u4"), _pack(mark[at], "u1")))
+        return pa.Table.from_pylist([dict(zip(("bucket", "block", "keys", "mark"), r, strict=True)) for r in rows], pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("mark", pa.binary())]))
 
     def match_keys(table: pa.Table) -> pa.Table:
         block, raw = table.column("block").to_pylist(), [np.frombuffer(x, "<u4") for x in table.column("keys").to_pylist()]
-        twice = np.concatenate([np.frombuffer(x, "u1") for x in table.column("twice").to_pylist()])
-        keys = np.concatenate(raw)
-        which, at, n = np.unique(keys, return_inverse=True, return_counts=True)
-        any_twice = np.zeros(len(which), bool)
-        any_twice[at[twice > 0]] = True
-        shared, hot = ((n > 1) | any_twice)[at], (n > hot_blocks)[at]
+        mark = np.concatenate([np.frombuffer(x, "u1") for x in table.column("mark").to_pylist()])
+        shared, hot = judge_keys(np.concatenate(raw), mark, hot_blocks, hot_fragments)
         out, low = [], 0
         for b, x in zip(block, raw, strict=True):
             keep, warm = shared[low : low + len(x)], hot[low : low + len(x)]
@@ -391,7 +423,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, block_bytes: int = BLOCK_B
     done_type = StructType([blocks.schema["row"], *(StructField(c, t) for c, t in zip(RESULTS, (LongType(), LongType(), LongType(), StringType(), StringType()), strict=True))])
 
     # The text is dealt out once; each of the three passes reads that exchange.
-    keys = blocks.groupBy("block").applyInArrow(send_keys, "bucket int, block int, keys binary, twice binary")
+    keys = blocks.groupBy("block").applyInArrow(send_keys, "bucket int, block int, keys binary, mark binary")
     shared = keys.groupBy("bucket").applyInArrow(match_keys, "block int, keys binary, hot binary, bucket int").repartition(parts, "block")
     fragments = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(send_fragments, "bucket int, block int, unit binary, doc binary, size binary, data binary")
     sources = fragments.groupBy("bucket").applyInArrow(match_fragments, "block int, unit binary, offset binary, source binary")
