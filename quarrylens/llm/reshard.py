@@ -2,11 +2,15 @@
 
 From the sizes of the old shards and the capacities of the new ones a small flow network is solved on the driver;
 its size depends on the numbers of shards alone. Each unit of flow between different shards costs one byte moved,
-staying costs nothing. The flow is then applied to rows: each old shard is laid out along a byte axis, cut where
-the flow says, and every row goes where its middle byte lies.
+staying costs nothing. The flow decides all transfers: how many bytes of which old shard go to which new one. It is
+then applied to rows, which cannot be cut:
 
-Rows above 1/256 of a capacity are placed one by one first (there are at most 256 of them for each new shard, so
-this list is bounded by the shard count), which keeps the cuts between small rows and the sizes near equal.
+1. An old shard's rows above 1/256 of a new shard's size (at most 256 of them for each new shard, so this list is
+   bounded by the shard count) are fitted into its transfers, the largest first, each into the one with most room.
+2. The other rows are laid out along a byte axis, which is cut where the room that is left in the transfers says;
+   every row goes where its middle byte lies.
+3. What rounding is left, up to a row a transfer, is corrected by moving single rows of step 1 from the fullest to
+   the emptiest shard, as long as that brings the two nearer to each other and they differ by more than 1/64.
 
 Defined results: a null text has size 16 and CRC-32 0; a null source is an old shard like any other; repeated rows
 each get a slot; an empty table gives an empty result; further columns are not read.
@@ -22,8 +26,10 @@ from pyspark.sql import functions as F
 from quarrylens.llm.common import materialize
 
 ROW_OVERHEAD = 16
-LARGE_SHARE = 256
-BLOCK_ROWS = 8192
+LARGE_SHARE, TOLERANCE = 256, 64
+BLOCK_ROWS, TOP_BLOCKS = 8192, 1024
+#: What names a row of a table of files.
+FILE_ROW = ("_metadata.file_path", "_metadata.row_index")
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]]) -> list[dict[int, int]]:
@@ -85,34 +91,55 @@ def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]])
     return [{j: f for j, f in sorted(x.items()) if f} for x in flow]
 
 
-def _level(fixed: list[int], amount: int) -> list[int]:
-    """Room for each shard such that ``amount`` fills all shards, which hold ``fixed`` already, to one level."""
-    order, total, k = sorted(fixed), 0, 0
-    while k < len(order) and (k == 0 or order[k] * k - total < amount):
-        total += order[k]
-        k += 1
-    level = -(-(amount + total) // k)
-    return [max(0, level - x) for x in fixed]
-
-
-def _place_large(large: list[tuple[int, int, int]], n_new: int, target: float) -> tuple[dict[int, int], list[int]]:
-    """Shards for (uid, size, old shard): at home while it fits, else in the emptiest shard, largest first."""
-    held, at = [0] * n_new, {}
-    away = []
+def place_large(large: list[tuple[int, int, int]], flow: list[dict[int, int]]) -> tuple[dict[int, int], list[dict[int, int]]]:
+    """Shards for (uid, size, old shard) within the transfers of ``flow``, and the room that each transfer has left."""
+    room, at = [dict(x) for x in flow], {}
     for uid, size, old in sorted(large, key=lambda x: (-x[1], x[0])):
-        if old < n_new and held[old] + size <= target:
-            held[old] += size
-            at[uid] = old
-        else:
-            away.append((uid, size))
-    heap = [(h, j) for j, h in enumerate(held)]
-    heapq.heapify(heap)
-    for uid, size in away:
-        h, j = heapq.heappop(heap)
-        held[j] += size
-        at[uid] = j
-        heapq.heappush(heap, (h + size, j))
-    return at, held
+        at[uid] = max(room[old], key=lambda j: (room[old][j], -j))
+        room[old][at[uid]] -= size
+    return at, room
+
+
+def correct(at: dict[int, int], large: list[tuple[int, int, int]], held: list[int], tolerance: float) -> int:
+    """Even out ``held``, the bytes of the new shards, by moves of single large rows; changes both, returns their number."""
+    rows: dict[int, list[tuple[int, int]]] = {}
+    for uid, size, _ in large:
+        rows.setdefault(at[uid], []).append((size, uid))
+    moves, fit = 0, []
+    while True:
+        empty = min(range(len(held)), key=held.__getitem__)
+        for full in sorted(rows, key=lambda j: -held[j]):  # one that holds a single very large row cannot give any
+            gap = held[full] - held[empty]
+            fit = [x for x in rows[full] if x[0] < gap] if gap > tolerance else []
+            if fit or gap <= tolerance:
+                break
+        if not fit:
+            return moves
+        size, uid = min(fit, key=lambda x: (abs(gap - 2 * x[0]), x[1]))
+        rows[full].remove((size, uid))
+        rows.setdefault(empty, []).append((size, uid))
+        at[uid] = empty
+        held[full] -= size
+        held[empty] += size
+        moves += 1
+
+
+def cut_points(flow: list[dict[int, int]], room: list[dict[int, int]], small: list[int]) -> list[tuple[int, int, int, int]]:
+    """(old, low, high, new): where the byte axis of each old shard's small rows is cut."""
+    cuts = []
+    for i, out in enumerate(room):
+        free = {j: max(0, r) for j, r in out.items()}
+        total, done, low = sum(free.values()), 0, 0
+        for j, r in free.items():
+            done += r
+            high = small[i] * done // total if total else 0
+            if high > low:
+                cuts.append((i, low, high, j))
+                low = high
+        # The end is open, and an old shard whose transfers are full keeps to its largest one.
+        last = cuts.pop()[1::2] if low else (0, max(flow[i], key=lambda j: (flow[i][j], -j), default=0))
+        cuts.append((i, last[0], 1 << 62, last[1]))
+    return cuts
 
 
 def reshard(rows: DataFrame, n_old: int, n_new: int) -> DataFrame:
@@ -124,37 +151,32 @@ def reshard(rows: DataFrame, n_old: int, n_new: int) -> DataFrame:
     rows = materialize(rows.withColumn("uid", F.monotonically_increasing_id()), "rows")
     sizes = {r["old"]: (r["b"], r["n"]) for r in rows.groupBy("old").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()}
     total, count = sum(b for b, _ in sizes.values()), sum(n for _, n in sizes.values())
-    target = total / n_new
-    bar = max(1, int(target / LARGE_SHARE))
+    bar = max(1, int(total / n_new / LARGE_SHARE))
     large = [tuple(r) for r in rows.where(F.col("size") > bar).select("uid", "size", "old").collect()]  # at most LARGE_SHARE a shard
-    at, held = _place_large(large, n_new, target)
     supply = [sizes.get(i, (0, 0))[0] for i in range(n_old)]
-    for _, size, old in large:
-        supply[old] -= size
     cost = [[int(i != j) for j in range(n_new)] for i in range(n_old)]
-    flow = min_cost_flow(supply, _level(held, sum(supply)), cost)
-
-    cuts, pieces = [], 0
-    for i, out in enumerate(flow):
-        low = 0
-        for j, amount in out.items():
-            cuts.append((i, low, low + amount, j))
-            low += amount
-            pieces += 1
-        if out:
-            cuts[-1] = (*cuts[-1][:2], 1 << 62, cuts[-1][3])
+    flow = min_cost_flow(supply, [-(-total // n_new)] * n_new, cost)
+    at, room = place_large(large, flow)
+    small = list(supply)
+    for _, size, old in large:
+        small[old] -= size
+    cuts = cut_points(flow, room, small)
+    held = [0] * n_new
+    for uid, size, _ in large:
+        held[at[uid]] += size
+    for i, low, high, j in cuts:
+        held[j] += min(high, small[i]) - low
+    correct(at, large, held, total / n_new / TOLERANCE)
     cuts = spark.createDataFrame(cuts or [(0, 0, 0, 0)], "old int, low long, high long, to int")
     fixed = spark.createDataFrame(list(at.items()) or [(-1, 0)], "uid long, fixed int")
 
     blocks = max(1024, count // BLOCK_ROWS)
     rows = rows.withColumn("block", F.pmod(F.xxhash64("uid"), F.lit(blocks)).cast("int")).withColumn("small", F.when(F.col("size") > bar, 0).otherwise(F.col("size")))
-    before = Window.partitionBy("old").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("old", "block").agg(F.sum("small").alias("b")).withColumn("start", F.coalesce(F.sum("b").over(before), F.lit(0))).drop("b")
     inside = Window.partitionBy("old", "block").orderBy("uid").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
         rows.repartition("block")
         .withColumn("inside", F.coalesce(F.sum("small").over(inside), F.lit(0)))
-        .join(starts, ["old", "block"])
+        .join(_starts(rows, "old", F.sum("small")), ["old", "block"])
         .withColumn("mid", F.col("start") + F.col("inside") + F.expr("small div 2"))
         .join(F.broadcast(fixed), "uid", "left")
         .join(F.broadcast(cuts), (rows["old"] == cuts["old"]) & (F.col("mid") >= cuts["low"]) & (F.col("mid") < cuts["high"]) & F.col("fixed").isNull(), "left")
@@ -163,37 +185,49 @@ def reshard(rows: DataFrame, n_old: int, n_new: int) -> DataFrame:
         .drop("low", "high", "to", "fixed", "start", "inside", "mid", "small")
     )
     placed = materialize(placed, "placed")
-    return _slots(placed).drop("uid", "block")
+    # Gapless numbers within each shard: numbers within a block plus what lies before.
+    inside = Window.partitionBy("shard", "block").orderBy("uid")
+    numbered = placed.repartition("block").withColumn("k", F.row_number().over(inside)).join(_starts(placed, "shard", F.count("*")), ["shard", "block"])
+    return numbered.withColumn("slot", (F.col("start") + F.col("k") - 1).cast("long")).drop("start", "k", "uid", "block")
 
 
-def _slots(placed: DataFrame) -> DataFrame:
-    """Gapless numbers within each shard without gathering a shard: numbers within a block plus what lies before."""
-    before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = placed.groupBy("shard", "block").agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    inside = Window.partitionBy("shard", "block").orderBy("uid")
-    return placed.repartition("block").withColumn("k", F.row_number().over(inside)).join(starts, ["shard", "block"]).withColumn("slot", (F.col("start") + F.col("k") - 1).cast("long")).drop("start", "k")
+def _starts(rows: DataFrame, group: str, value: Column) -> DataFrame:
+    """(group, block, start): running sums of ``value`` over the blocks before, in two levels, so that no task sees a whole group's blocks."""
+    top = F.expr(f"block div {TOP_BLOCKS}")
+    each = rows.groupBy(group, "block", top.alias("top")).agg(value.alias("v"))
+    before = lambda keys, order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    tops = each.groupBy(group, "top").agg(F.sum("v").alias("v")).select(group, "top", F.coalesce(F.sum("v").over(before([group], "top")), F.lit(0)).alias("high"))
+    low = F.coalesce(F.sum("v").over(before([group, "top"], "block")), F.lit(0)).alias("low")
+    return each.select(group, "top", "block", low).join(tops, [group, "top"]).select(group, "block", (F.col("high") + F.col("low")).alias("start"))
 
 
-def reshard_documents(docs: DataFrame, old_shard: Column, n_old: int = 32, n_new: int = 40) -> DataFrame:
-    """Move documents from ``n_old`` shards (``old_shard`` gives each row's) to ``n_new`` of near equal bytes."""
+def reshard_documents(docs: DataFrame, old_shard: Column, n_old: int = 32, n_new: int = 40, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Move documents from ``n_old`` shards (``old_shard`` gives each row's) to ``n_new`` of near equal bytes.
+
+    ``keep`` adds columns, such as FILE_ROW for ``rewrite_affected``.
+    """
     text = F.col("text").cast("binary")
     rows = docs.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_OVERHEAD).cast("long").alias("size"),
         F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"),
         old_shard.cast("int").alias("old"),
+        *keep,
     )
     return reshard(rows, n_old, n_new)
 
 
-def rewrite_affected(docs: DataFrame, moves: DataFrame, out: str) -> DataFrame:
+def rewrite_affected(docs: DataFrame, placed: DataFrame, out: str) -> DataFrame:
     """Write the shards that gain or lose rows to ``out`` (one folder a shard); the others stay as they are.
 
-    ``moves(doc_id, old, shard)`` has one row a document, with unique ids. Returns (shard, rewritten): shards that
-    are missing there keep their old files. Rows are spread over 16 writers a shard.
+    ``placed`` is the result of ``reshard_documents`` over the same files with FILE_ROW kept: a row is known by its
+    file and its place in it, so null and repeated ids and repeated rows go where they belong. Returns
+    (shard, rewritten): shards that are missing there keep their old files. Rows are spread over 16 writers a shard.
     """
-    changed = moves.where("old <> shard")
+    changed = placed.where("old <> shard")
     touched = changed.select(F.explode(F.array("old", "shard")).alias("shard")).distinct()
-    rows = docs.join(moves.select("doc_id", "shard"), "doc_id").join(F.broadcast(touched), "shard", "left_semi")
-    rows.repartition("shard", F.pmod(F.xxhash64("doc_id"), F.lit(16))).write.partitionBy("shard").parquet(out)
+    moves = placed.join(F.broadcast(touched), "shard", "left_semi").select(F.col("file_path").alias("_file"), F.col("row_index").alias("_row"), F.col("shard").alias("_shard"))
+    rows = docs.select(F.struct("*").alias("_doc"), *[F.col(c).alias(n) for c, n in zip(FILE_ROW, ("_file", "_row"), strict=True)])
+    rows = rows.join(moves, ["_file", "_row"]).select("_doc.*", "_file", "_row", F.col("_shard").alias("shard"))
+    rows.repartition("shard", F.pmod(F.xxhash64("_file", "_row"), F.lit(16))).drop("_file", "_row").write.partitionBy("shard").parquet(out)
     return touched.withColumn("rewritten", F.lit(True))

@@ -70,3 +70,69 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
     hit = {i + k for i, w in enumerate(windows) if often[w] > 1 for k in range(5)}
     lines = [x for x in text.split("\n") if WORD.search(x)]
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(hit)
+
+
+def gear_chunks(data: bytes, gear: list[int], low: int, high: int, bits: int) -> list[bytes]:
+    """Chunks by a rolling hash of one byte after the other."""
+    out, start, h = [], 0, 0
+    for i, b in enumerate(data):
+        h = ((h << 1) + gear[b]) & 0xFFFFFFFF
+        n = i + 1 - start
+        if (n >= low and h >> (32 - bits) == 0) or n == high:
+            out.append(data[start : i + 1])
+            start = i + 1
+    return out + [data[start:]] * (start < len(data))
+
+
+def shingle_set(text: str | None, n: int = 5) -> frozenset:
+    words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset(tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))) if words else frozenset()
+
+
+def jaccard(a: frozenset, b: frozenset) -> float:
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def similar_groups(texts: dict, least: float = 0.8) -> dict:
+    """The smallest key of each text's group; all pairs of texts that share a shingle are compared."""
+    sets = {i: shingle_set(t) for i, t in texts.items()}
+    parent = {i: i for i in texts}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    holders: dict = {}
+    for i in sorted(sets):
+        for j in {j for s in sets[i] or [None] for j in holders.get(s, ())}:
+            if jaccard(sets[i], sets[j]) >= least:
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+        for s in sets[i] or [None]:
+            holders.setdefault(s, []).append(i)
+    return {i: find(i) for i in texts}
+
+
+def merges(text: str, score: dict[str, float]) -> list[str]:
+    """Byte-pair merges: the best pair of neighbours first, the left one of equals."""
+    parts = list(text)
+    while True:
+        offers = [(-score[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in score]
+        if not offers:
+            return parts
+        i = min(offers)[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+def factors(suffixes: list[tuple[bytes, int]], least: int) -> list[int]:
+    """The longest prefix of each suffix with which one of a smaller document begins, 0 if shorter than ``least``."""
+
+    def common(x: bytes, y: bytes) -> int:
+        n = 0
+        while n < min(len(x), len(y)) and x[n] == y[n]:
+            n += 1
+        return n
+
+    best = [max([common(s, t) for t, e in suffixes if e < d], default=0) for s, d in suffixes]
+    return [n if n >= least else 0 for n in best]
