@@ -7,11 +7,16 @@ one suffix array of a corpus is a matter of every byte; here only the suffixes t
    of the window alone, so equal windows meet under equal keys; neighbouring windows mostly share theirs, and a run
    of windows with one key is a *fragment*. Documents are dealt into blocks by id and text. Each block sends every key once,
    packed into one row for each bucket of keys, and learns which of its keys occur in another document.
-2. Each block sends its distinct fragments under those keys to the buckets. A bucket sorts the suffixes (windows) of
-   its fragments by their bytes, so that all equal windows of the corpus are neighbours; in suffix order it takes the
-   chain of previous and of next smaller documents within a common prefix of ``length`` or more, whose ends give the
-   earliest document with that factor. It answers each block with that document for every fragment.
-3. Each block marks the bytes of its documents and keeps the rest.
+2. Each block sends its distinct fragments under those keys to the buckets. A bucket puts all suffixes of its
+   fragments that hold a window in suffix order, with the common prefix of each with the one before. In that order the
+   previous and the next suffix of a smaller document give the longest previous factor of each suffix: the longest
+   string from there on that a smaller document holds in the bucket. Factors of ``length`` or more are answered, and
+   the smallest document of each fragment.
+3. Each block marks the factors in its documents (whole fragments where a smaller document holds them) and keeps the
+   rest.
+
+A fragment has at most as many windows as can share one place of the smallest hash; longer runs (of periodic text)
+are cut, so that suffixes are short and their order needs few steps.
 
 A block sends a key or a fragment once, however many of its documents hold it, so copies and boilerplate in a third
 of all rows weigh no more than the number of blocks. Keys that more than HOT_BLOCKS blocks hold, or about HOT_FRAGMENTS
@@ -43,6 +48,8 @@ BUCKET_BYTES = 4 << 20
 HOT_BLOCKS = 4096
 #: Their windows take some 30 MB of arrays in a bucket.
 HOT_FRAGMENTS = 8192
+#: What a bucket answers of a block's fragments: the smallest document, the number of factors, their offsets and lengths.
+FACTORS = ("unit", "least", "n", "factors")
 RESULTS = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
 _SLICE = 1 << 18
 _LAST = (1 << 63) - 1
@@ -119,7 +126,12 @@ class Block:
             keys.append(least[edge[:-1][good]])
             low = high - length + 1
         join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        self.begin, self.end, self.key = join(begins, np.int64), join(ends, np.int64), join(keys, np.uint64)
+        begin, end, key = join(begins, np.int64), join(ends, np.int64), join(keys, np.uint64)
+        most = length - GRAM + 1
+        pieces = -(-(end - begin) // most)
+        part = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        self.begin, self.key = np.repeat(begin, pieces) + part * most, np.repeat(key, pieces)
+        self.end = np.minimum(np.repeat(end, pieces), self.begin + most)
         inside = np.searchsorted(self.start, self.begin, side="right") - 1
         self.of = self.doc[inside] if len(inside) else np.zeros(0, np.int64)
 
@@ -207,39 +219,93 @@ def _member(x: np.ndarray, values: np.ndarray) -> np.ndarray:
     return values[at] == x
 
 
-def earliest(data: bytes, begin: np.ndarray, count: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window of ``length`` bytes: its fragment, and the smallest document with the same bytes.
+def _equal_bytes(x: np.ndarray) -> np.ndarray:
+    """How many leading bytes of big-endian words are zero."""
+    return sum((x >> _U(64 - 8 * j)) == 0 for j in range(1, 9)).astype(np.int64)
+
+
+def suffix_order(data: bytes, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the suffixes data[at : at + size], and the common prefix of each with the one before it in that order.
 
-    Fragment f holds ``count[f]`` windows from ``begin[f]`` on. Windows are put in suffix order; in it, the chains of
-    previous and of next smaller documents are followed to their ends as running minima, as far as neighbours have a
-    common prefix of ``length``.
+    Words of 8 bytes, big-endian, are compared from the left; only those suffixes that are still tied are looked at
+    again. Of two suffixes of which one begins with the other, the shorter one is first.
     """
-    frag = np.repeat(np.arange(len(begin)), count)
-    at = np.repeat(begin, count) + np.arange(len(frag)) - np.repeat(np.cumsum(count) - count, count)
     padded = np.frombuffer(data + bytes(8), np.uint8)
-    # Big-endian words of 8 bytes at each offset make byte order and number order the same.
     word = np.zeros(len(padded) - 7, np.uint64)
     for k in range(8):
         word = (word << _U(8)) | padded[k : k + len(word)]
-    offsets = [*range(0, length - 8, 8), length - 8]
-    columns = [word[at + o] for o in offsets]
-    order = np.lexsort(columns[::-1])
-    equal = np.ones(len(order), bool)  # has a common prefix of ``length`` with the one before
-    equal[:1] = False
-    for c in columns:
-        s = c[order]
-        equal[1:] &= s[1:] == s[:-1]
-    run = np.cumsum(~equal)
+
+    def words(which: np.ndarray, k: int) -> np.ndarray:
+        rest = size[which] - 8 * k
+        w = word[np.minimum(at[which] + 8 * k, len(word) - 1)]
+        short = rest < 8
+        if short.any():
+            keep = 8 * np.clip(rest[short], 0, 8).astype(np.uint64)
+            w[short] = np.where(keep > 0, w[short] >> (_U(64) - np.maximum(keep, _U(8))) << (_U(64) - np.maximum(keep, _U(8))), _U(0))
+        return w
+
+    n = len(at)
+    order, new, common = np.arange(n), np.zeros(n, bool), np.zeros(n, np.int64)
+    new[:1] = True
+    place, group = np.arange(n), np.zeros(n, np.int64)
+    for k in range(-(-int(size.max(initial=0)) // 8) + 1):
+        if not len(place):
+            break
+        suffix = order[place]
+        last = 8 * k >= size[suffix].max()
+        w = size[suffix].astype(np.uint64) if last else words(suffix, k)
+        by = np.lexsort((w, group)) if k else np.argsort(w, kind="stable")
+        suffix, w = suffix[by], w[by]
+        order[place] = suffix
+        apart = np.flatnonzero((group[1:] == group[:-1]) & ((w[1:] != w[:-1]) | last)) + 1
+        common[place[apart]] = 8 * k if last else 8 * k + _equal_bytes(w[apart] ^ w[apart - 1])
+        new[place[apart]] = True
+        tied = ~new[place]
+        tied[:-1] |= ~new[place[1:]] & (np.diff(place) == 1)
+        place = place[tied]
+        group = np.cumsum(new)[place]
+    common[1:] = np.minimum(common[1:], np.minimum(size[order[1:]], size[order[:-1]]))  # no prefix is longer than the shorter one
+    return order, common
+
+
+def _smaller_before(doc: np.ndarray, common: np.ndarray, length: int) -> np.ndarray:
+    """For each suffix in order: its common prefix with the nearest one before it of a smaller document, 0 if below ``length``.
+
+    Pointers jump: what a pointer skips is of no smaller document, so a pointer may take over that of its goal.
+    """
+    found, low, before = np.zeros(len(doc), np.int64), common.copy(), np.arange(len(doc)) - 1
+    active = np.flatnonzero(common >= length)
+    while len(active):
+        to = before[active]
+        smaller = doc[to] < doc[active]
+        found[active[smaller]] = low[active[smaller]]
+        active, to = active[~smaller], to[~smaller]
+        low[active], before[active] = np.minimum(low[active], low[to]), before[to]
+        active = active[low[active] >= length]
+    return found
+
+
+def previous_factors(data: bytes, begin: np.ndarray, count: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(fragment, offset, longest previous factor) of the suffixes that start at the windows of the fragments.
+
+    Fragment f is data[begin[f] : begin[f] + count[f] + length - 1], of document doc[f]. A suffix's longest previous
+    factor is its longest prefix with which a suffix of a smaller document begins; those below ``length`` count as 0.
+    """
+    frag = np.repeat(np.arange(len(begin)), count)
+    offset = np.arange(len(frag)) - np.repeat(np.cumsum(count) - count, count)
+    order, common = suffix_order(data, begin[frag] + offset, count[frag] + length - 1 - offset)
     holder = doc[frag][order]
-    # Running minima restart at each run: fold the run's number into the order of the values.
-    rank = np.unique(holder, return_inverse=True)
-    values, r = rank[0], rank[1].reshape(-1)
-    step = len(values) + 1
-    left = np.minimum.accumulate(r - run * step) + run * step  # end of the chain of previous smaller documents
-    right = np.minimum.accumulate((r + run * step - run.max(initial=0) * step)[::-1])[::-1] - run * step + run.max(initial=0) * step
-    out = np.empty(len(order), np.int64)
-    out[order] = values[np.minimum(left, right)] if len(order) else holder
-    return frag, out
+    after = np.concatenate([common[:1] * 0, common[1:][::-1]])
+    longest = np.zeros(len(frag), np.int64)
+    longest[order] = np.maximum(_smaller_before(holder, common, length), _smaller_before(holder[::-1], after, length)[::-1])
+    return frag, offset, longest
+
+
+def longest_factors(frag: np.ndarray, longest: np.ndarray) -> np.ndarray:
+    """Which suffixes have a factor that is not the rest of the one before."""
+    new = longest > 0
+    new[1:] &= (frag[1:] != frag[:-1]) | (longest[1:] >= longest[:-1])
+    return np.flatnonzero(new)
 
 
 def marks(twice: np.ndarray, fragments: np.ndarray) -> np.ndarray:
@@ -280,8 +346,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, block_bytes: int = BLOCK_B
 
     ``kept`` is the remaining text without characters that lost a byte; the digest is that of all remaining bytes.
     """
-    if length < GRAM + 8:
-        raise ValueError(f"the length must be {GRAM + 8} at least")
+    if not GRAM + 8 <= length < 1 << 15:
+        raise ValueError(f"the length must be {GRAM + 8} at least and below {1 << 15}")
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks, n_key_buckets, n_buckets = (max(8, -(-total // x)) for x in (block_bytes, key_bucket_bytes, bucket_bytes))
@@ -362,51 +428,45 @@ def remove_repeats(docs: DataFrame, length: int = 50, block_bytes: int = BLOCK_B
         _, first = np.unique(unique, return_index=True)
         least = np.full(len(first), _LAST, np.int64)
         np.minimum.at(least, unique, doc)
-        frag, source = earliest(data, begin[first], count[first], least, length)
-        # Runs of windows of a fragment with one source: where each begins, its first window, its source.
-        new = np.ones(len(frag), bool)
-        new[1:] = (frag[1:] != frag[:-1]) | (source[1:] != source[:-1])
-        piece = np.flatnonzero(new)
-        window = np.concatenate([[0], np.cumsum(count[first])])
-        offset, piece_source, piece_frag = piece - window[frag[piece]], source[piece], frag[piece]
-        low = np.searchsorted(piece_frag, np.arange(len(first)), side="left")
-        n = np.searchsorted(piece_frag, np.arange(len(first)), side="right") - low
+        frag, offset, longest = previous_factors(data, begin[first], count[first], least, length)
+        piece = longest_factors(frag, longest)
+        factor = np.stack([offset[piece], longest[piece]], axis=1)
+        low = np.searchsorted(frag[piece], np.arange(len(first)), side="left")
+        n = np.searchsorted(frag[piece], np.arange(len(first)), side="right") - low
         rows, at = [], 0
         for b, raw in zip(cols["block"], cols["unit"], strict=True):
             unit = np.frombuffer(raw, "<u4")
-            u = unique[at : at + len(unit)]
+            u, own = unique[at : at + len(unit)], doc[at : at + len(unit)]
             at += len(unit)
-            k = np.repeat(low[u], n[u]) + np.arange(n[u].sum()) - np.repeat(np.cumsum(n[u]) - n[u], n[u])
-            rows.append({"block": b, "unit": _pack(np.repeat(unit, n[u]), "<u4"), "offset": _pack(offset[k], "<u4"), "source": _pack(piece_source[k], "<i8")})
-        return pa.Table.from_pylist(rows, pa.schema([("block", pa.int32()), ("unit", pa.binary()), ("offset", pa.binary()), ("source", pa.binary())]))
+            said = (least[u] < own) | (n[u] > 0)  # of all others the block holds the smallest document itself
+            unit, u = unit[said], u[said]
+            if len(u):
+                k = np.repeat(low[u], n[u]) + np.arange(n[u].sum()) - np.repeat(np.cumsum(n[u]) - n[u], n[u])
+                rows.append({"block": b, "unit": _pack(unit, "<u4"), "least": _pack(least[u], "<i8"), "n": _pack(n[u], "<u2"), "factors": _pack(factor[k], "<u2")})
+        return pa.Table.from_pylist(rows, pa.schema([("block", pa.int32()), *[(c, pa.binary()) for c in FACTORS]]))
 
     def finish(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         # The keys' answers and the fragments' answers come as rows of one table.
         is_key = answers.column("keys").is_valid()
         found = chosen(table, answers.filter(is_key))
         mark = np.zeros(len(found.bytes) + 1, np.int32)
-        units, offsets, sources = [], [], []
-        for x in answers.filter(answers.column("source").is_valid()).select(["unit", "offset", "source"]).to_pylist():
-            units.append(np.frombuffer(x["unit"], "<u4"))
-            offsets.append(np.frombuffer(x["offset"], "<u4"))
-            sources.append(np.frombuffer(x["source"], "<i8"))
-        if units:
-            unit, offset, source = np.concatenate(units).astype(np.int64), np.concatenate(offsets).astype(np.int64), np.concatenate(sources)
-            order = np.lexsort((offset, unit))
-            unit, offset, source = unit[order], offset[order], source[order]
-            low = np.searchsorted(unit, np.arange(len(found.first)), side="left")
-            n = np.searchsorted(unit, np.arange(len(found.first)), side="right") - low
-            u = found.unit
-            total_n = int(n[u].sum())
-            k = np.repeat(low[u], n[u]) + np.arange(total_n) - np.repeat(np.cumsum(n[u]) - n[u], n[u])
-            holder = np.repeat(np.arange(len(u)), n[u])
-            start = found.frag_begin[holder] + offset[k]
-            last_of = np.ones(total_n, bool)
-            last_of[:-1] = holder[1:] != holder[:-1]
-            stop = np.where(last_of, found.frag_end[holder], np.concatenate([start[1:], [0]]) if total_n else start)
-            gone = source[k] < found.frag_of[holder]
-            np.add.at(mark, start[gone], 1)
-            np.add.at(mark, stop[gone] + length - 1, -1)
+        if len(found.first):
+            least, low, n = found.frag_of[found.first].copy(), np.zeros(len(found.first), np.int64), np.zeros(len(found.first), np.int64)
+            factors, done = [np.zeros((0, 2), np.int64)], 0
+            for x in answers.filter(answers.column("unit").is_valid()).select(list(FACTORS)).to_pylist():
+                unit, many = np.frombuffer(x["unit"], "<u4"), np.frombuffer(x["n"], "<u2").astype(np.int64)
+                least[unit], n[unit], low[unit] = np.frombuffer(x["least"], "<i8"), many, done + np.cumsum(many) - many
+                factors.append(np.frombuffer(x["factors"], "<u2").reshape(-1, 2).astype(np.int64))
+                done += len(factors[-1])
+            factor = np.concatenate(factors)
+            whole = found.frag_of > least[found.unit]
+            np.add.at(mark, found.frag_begin[whole], 1)
+            np.add.at(mark, found.frag_end[whole] + length - 1, -1)
+            part, u = found.frag_begin[~whole], found.unit[~whole]
+            k = np.repeat(low[u], n[u]) + np.arange(n[u].sum()) - np.repeat(np.cumsum(n[u]) - n[u], n[u])
+            start = np.repeat(part, n[u]) + factor[k, 0]
+            np.add.at(mark, start, 1)
+            np.add.at(mark, start + factor[k, 1], -1)
         removed = np.cumsum(mark[:-1]) > 0
         rows: dict[str, list] = {c: [] for c in RESULTS}
         for i, text in enumerate(found.texts):
@@ -426,8 +486,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, block_bytes: int = BLOCK_B
     keys = blocks.groupBy("block").applyInArrow(send_keys, "bucket int, block int, keys binary, mark binary")
     shared = keys.groupBy("bucket").applyInArrow(match_keys, "block int, keys binary, hot binary, bucket int").repartition(parts, "block")
     fragments = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(send_fragments, "bucket int, block int, unit binary, doc binary, size binary, data binary")
-    sources = fragments.groupBy("bucket").applyInArrow(match_fragments, "block int, unit binary, offset binary, source binary")
+    sources = fragments.groupBy("bucket").applyInArrow(match_fragments, "block int, unit binary, least binary, n binary, factors binary")
     none = lambda *names: [F.lit(None).cast("binary" if n != "bucket" else "int").alias(n) for n in names]
-    answers = shared.select("block", "bucket", "keys", "hot", *none("unit", "offset", "source")).unionByName(sources.select("block", *none("bucket", "keys", "hot"), "unit", "offset", "source")).repartition(parts, "block")
+    answers = shared.select("block", "bucket", "keys", "hot", *none(*FACTORS)).unionByName(sources.select("block", *none("bucket", "keys", "hot"), *FACTORS)).repartition(parts, "block")
     done = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, done_type)
     return done.select("row.*", *RESULTS)
