@@ -1,25 +1,32 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-The model is compiled to three machines. The normaliser turns spaces into U+2581 and adds one in front; models with
-a character map are refused. The piece machine reads a piece's characters and writes its id, at the weight of its
-negative score; characters without a piece go through byte fallback (or to the unknown id). For BPE models a pair
-acceptor follows: ``(a, b)`` may stand side by side only if merging the text a + b by score ends in a, b. A sequence
-is what the merges yield exactly if every neighbouring pair is accepted, so the composed machine has one path for
-each input, and each prefix of the input has one last piece, so that a position is one state. It is then the shortest. Unigram models
-have no acceptor; the shortest path in the tropical semiring is found from left to right.
+The model is compiled once, to
+
+* the normaliser, which turns spaces into U+2581 and adds one in front (models with a character map are refused);
+* the piece machine: a trie whose arcs read characters and whose final states write a piece's id, at the weight of its
+  negative score; characters without a piece have an arc to their bytes' ids (or to the unknown id), at the weight that
+  the library gives to unknown characters;
+* for BPE models the pair acceptor. Its states are pieces; ``a`` may be followed by ``b`` only if no merge across
+  their boundary comes before the merges that make a and b, which is read off the two pieces' merge trees. What the
+  merges yield is the one sequence of pieces whose neighbours are all accepted. Unigram models have no acceptor.
+
+An input is composed with these machines while its lattice is built from left to right: a state is a position and the
+last piece. Each keeps the least weight by which it is reached, and the shortest path in the tropical semiring (sums
+along a path, minima over paths) is read off backwards. For BPE each prefix has just one accepted last piece.
 
 No piece holds U+2581 behind another character, so an input falls into units at its spaces, and these into parts
 between characters that no piece joins; a part is composed once in a while and remembered.
 
 Decoding runs the piece machine backwards, bytes together, and drops the first space.
 
-Defined results: a null or empty text has no ids and decodes to an empty text; invalid bytes become U+FFFD; repeated
-rows give repeated results; an empty table gives an empty result; extra columns are not read.
+Defined results: a null or empty text has no ids and decodes to an empty text; invalid bytes become U+FFFD; of paths of
+equal weight the one whose last pieces are longest is taken; repeated rows give repeated results; an empty table gives
+an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
 
-import heapq
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -30,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
+FINAL = ""
 MEMORY_UNITS, MEMORY_PAIRS = 800_000, 1_000_000
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -58,93 +66,94 @@ class Transducer:
             if p.type == 6:  # byte
                 self.byte[int(p.piece[3:5], 16)] = i
                 self.written[i] = bytes([int(p.piece[3:5], 16)])
-            elif p.type in (1, 4):  # normal, user defined
+            elif p.type == 1:  # normal
                 self.piece[p.piece] = (i, -p.score)
                 self.written[i] = p.piece.replace(SPACE, " ").encode()
                 if SPACE in p.piece.lstrip(SPACE):
                     raise ValueError("a piece joins words")
             elif p.type == 2:
                 self.written[i] = " ⁇ ".encode()
-        self.longest = max(map(len, self.piece), default=1)
+            elif p.type == 4:
+                raise ValueError("user-defined pieces are not supported")
+        self.unknown_weight = max((w for _, w in self.piece.values()), default=0.0) + 10.0
         #: Pairs of characters that some piece joins: between all others every path has a boundary.
         self.joined = {p[i : i + 2] for p in self.piece for i in range(len(p) - 1)}
+        self.split = {p: parts for p in self.piece if (parts := self._last_merge(p))} if self.is_bpe else {}
+        self.root: dict = {}
+        for text, (_, weight) in self.piece.items():
+            if self.is_bpe and len(text) > 1 and text not in self.split:
+                continue  # no merges yield it
+            state = self.root
+            for c in text:
+                state = state.setdefault(c, {})
+            state[FINAL] = (text, weight)
         self.units: dict[str, bytes] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
-
-    def merged(self, text: str) -> list[str]:
-        """What merging neighbours by score, the best first and the left one of equals, leaves of a text."""
-        parts, alive = list(text), len(text)
-        after, before = list(range(1, alive + 1)), list(range(-1, alive - 1))
-        heap: list[tuple[float, int, int, int]] = []
-
-        def offer(i: int) -> None:
-            j = after[i] if i >= 0 else len(parts)
-            if i >= 0 and j < len(parts) and (p := self.piece.get(parts[i] + parts[j])):
-                heapq.heappush(heap, (p[1], i, len(parts[i]), len(parts[j])))
-
-        for i in range(alive - 1):
-            offer(i)
-        while heap:
-            _, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if j >= len(parts) or len(parts[i]) != a or len(parts[j]) != b:
-                continue
-            parts[i] += parts[j]
-            parts[j] = ""
-            after[i] = after[j]
-            if after[i] < len(parts):
-                before[after[i]] = i
-            offer(before[i])
-            offer(i)
-        return [p for p in parts if p]
+        self.follows: dict[str, dict[str, bool]] = {}
+        self.n_pairs = 0
+
+    def _last_merge(self, text: str) -> tuple[str, str] | None:
+        """The two parts whose merge makes a piece: neighbours merge by score, the best first and the left one of equals."""
+        parts, last = list(text), None
+        while len(parts) > 1:
+            offers = [(self.piece[x + y][1], i) for i, (x, y) in enumerate(zip(parts, parts[1:], strict=False)) if x + y in self.piece]
+            if not offers:
+                return None
+            i = min(offers)[1]
+            last = (parts[i], parts[i + 1])
+            parts[i : i + 2] = ["".join(last)]
+        return last
 
     def accepts(self, a: str, b: str) -> bool:
-        found = self.pairs.get((a, b))
-        if found is None:
-            if len(self.pairs) > MEMORY_PAIRS:
-                self.pairs.clear()
-            found = self.pairs[a, b] = self.merged(a + b) == ([a, b] if a else [b])
-        return found
-
-    def shortest_path(self, unit: str) -> list[str]:
-        """The pieces (or single characters without piece) of a unit along the path of least weight."""
-        return self._accepted_path(unit) if self.is_bpe else self._lightest_path(unit)
-
-    def _accepted_path(self, unit: str) -> list[str]:
-        """The one path that the pair acceptor leaves. Long arcs are tried first; a position that leads nowhere is dead."""
-        pieces, pairs, n = self.piece, self.pairs, len(unit)
-        path: list[str] = []
-        dead: set[int] = set()
-        at, before, size = 0, "", min(self.longest, n)
-        while at < n:
-            while size:
-                text = unit[at : at + size]
-                if (text in pieces or size == 1) and at + size not in dead:
-                    fits = pairs.get((before, text))
-                    if fits or (fits is None and self.accepts(before, text)):
-                        break
-                size -= 1
-            if size:
-                path.append(text)
-                at, before = at + size, text
-                size = min(self.longest, n - at)
-            else:
-                dead.add(at)
-                size = len(path.pop())
-                at, before = at - size, path[-1] if path else ""
-                size -= 1
-        return path
-
-    def _lightest_path(self, unit: str) -> list[str]:
-        """The shortest path in the tropical semiring, position by position."""
-        n, pieces = len(unit), self.piece
-        last, weight = [""] * (n + 1), [0.0] + [float("inf")] * n
-        for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):
-                text = unit[start:end]
-                arc = pieces.get(text) or ((self.unknown, 0.0) if end - start == 1 else None)
-                if arc and weight[start] + arc[1] < weight[end]:
-                    last[end], weight[end] = text, weight[start] + arc[1]
+        """Whether piece b may follow piece a: undo their merges, the latest first, and look for a merge across that came before."""
+        pieces, split, limit = self.piece, self.split, float("inf")
+        while True:
+            across = pieces.get(a + b)
+            if across and across[1] < limit:
+                return False
+            made_a = pieces[a][1] if a in split else -1.0
+            made_b = pieces[b][1] if b in split else -1.0
+            if made_a < 0 and made_b < 0:
+                return True
+            if made_a > made_b:
+                limit, a = made_a, split[a][1]
+            else:  # a merge across is left of those within b, so it also wins ties
+                limit, b = math.nextafter(made_b, math.inf), split[b][0]
+
+    def shortest_path(self, text: str) -> list[str]:
+        """The pieces (or single characters without piece) along the shortest path of the text composed with the machines."""
+        n, far, root, is_bpe = len(text), float("inf"), self.root, self.is_bpe
+        weight, last = [0.0] + [far] * n, [""] * (n + 1)
+        for start in range(n):
+            so_far, before = weight[start], last[start]
+            if so_far == far:
+                continue
+            follows = self.follows.get(before)
+            if follows is None:
+                follows = self.follows[before] = {}
+            state = root
+            for end in range(start, n):
+                state = state.get(text[end])
+                if state is None:
+                    break
+                arc = state.get(FINAL)
+                if arc is None:
+                    continue
+                piece, cost = arc
+                if so_far + cost < weight[end + 1]:
+                    if is_bpe and before:
+                        fits = follows.get(piece)
+                        if fits is None:
+                            fits = follows[piece] = self.accepts(before, piece)
+                            self.n_pairs += 1
+                        if not fits:
+                            continue
+                    weight[end + 1], last[end + 1] = so_far + cost, piece
+            if (state is None and end == start) or FINAL not in root[text[start]]:
+                cost = so_far + self.unknown_weight
+                if cost < weight[start + 1]:
+                    weight[start + 1], last[start + 1] = cost, text[start]
+        if self.n_pairs > MEMORY_PAIRS:
+            self.follows, self.n_pairs = {}, 0
         out, end = [], n
         while end:
             out.append(last[end])
@@ -187,7 +196,13 @@ class Transducer:
                     memory[part] = self._ids(part)
             if len(parts) > 1:
                 memory[unit] = b"".join([memory[p] for p in parts])
-        return b"".join(map(memory.__getitem__, units))
+        out = b"".join(map(memory.__getitem__, units))
+        if not self.byte:  # a run of unknown characters is one unknown piece
+            ids = np.frombuffer(out, "<u4")
+            again = np.zeros(len(ids), bool)
+            again[1:] = (ids[1:] == self.unknown) & (ids[:-1] == self.unknown)
+            out = ids[~again].tobytes()
+        return out
 
     def decode(self, ids: bytes) -> str:
         text = b"".join(map(self.written.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", errors="replace")
