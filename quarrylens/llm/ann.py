@@ -2,8 +2,9 @@
 
 Vectors are normalised and projected to a few random directions, once for each ordering; the projections, shifted
 at random, are cells of a grid, and a Hilbert curve through the grid gives each vector a key. Spark range-partitions
-all (ordering, key) rows into blocks of fixed size. A query is compared with the blocks around its own in every
-ordering; the best of each block are merged and reranked.
+all (ordering, key) rows into blocks, at least MIN_BLOCKS an ordering and of BLOCK_ROWS rows in large tables. A query
+is compared with the blocks around its own in every ordering (at the ends of a curve with as many on the inner side);
+the best of each block are merged and reranked.
 
 The window is a share of the table (``window_share`` of all rows in each ordering), so that recall does not fall as
 the table grows; isotropic vectors of many dimensions, such as the test tables', need much of the table for a recall
@@ -31,7 +32,9 @@ ORDERINGS, DIRECTIONS = 8, 8
 BITS, KEY_BITS = 28, 7
 KEYS = [f"key{i}" for i in range(BITS // KEY_BITS)]
 WINDOW_SHARE = 0.2
-BLOCK_ROWS, QUERY_SLICE = 2048, 2048
+BLOCK_ROWS, MIN_BLOCKS, QUERY_SLICE = 2048, 32, 2048
+#: A window holds so many rows at least, so that small tables are searched whole.
+WINDOW_ROWS = 64
 #: Rows from which centre and spread of the projections are fitted; every row is indexed.
 FIT_ROWS = 20_000
 SEED = 11
@@ -126,16 +129,23 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, window_share: floa
                 keys = hilbert_keys(cells, BITS, KEY_BITS)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), o, np.int32)), *[pa.array(k.copy()) for k in keys.T], batch.column("rep"), batch.column("v"), batch.column("asked")], ["ordering", *KEYS, "rep", "v", "asked"])
 
-    per_ordering = max(1, -(-count // BLOCK_ROWS))
+    per_ordering = max(1, min(count, max(MIN_BLOCKS, -(-count // BLOCK_ROWS))))
     keyed = distinct.select("rep", "v", "asked").mapInArrow(order, f"ordering int, {' long, '.join(KEYS)} long, rep long, v array<double>, asked boolean")
     blocks = keyed.repartitionByRange(ORDERINGS * per_ordering, "ordering", *KEYS, "rep").withColumn("block", F.spark_partition_id()).drop(*KEYS)
     blocks = materialize(blocks, "blocks")
 
-    reach = max(1, -(-int(window_share * count) // (2 * BLOCK_ROWS)))
-    slices = max(1, -(-(n_asked or 0) * (2 * reach + 1) // (per_ordering * QUERY_SLICE)))
+    # First and last block of each ordering, one row each. A block that holds the ends of two orderings counts in both.
+    ends = {r["ordering"]: (r["low"], r["high"]) for r in blocks.groupBy("ordering").agg(F.min("block").alias("low"), F.max("block").alias("high")).collect()}
+    end = lambda k: F.get(F.array(*[F.lit(ends.get(o, (0, 0))[k]) for o in range(ORDERINGS)]), F.col("ordering"))
+    most = max((high - low + 1 for low, high in ends.values()), default=1)
+    window = min(1.0, max(window_share, WINDOW_ROWS / max(count, 1)))
+    reach = max(0, -(-(int(window * most + 0.999) - 1) // 2))
+    slices = max(1, -(-(n_asked or 0) * (2 * reach + 1) // (most * QUERY_SLICE)))
     part = F.pmod(F.xxhash64("rep"), F.lit(slices)).cast("int")
-    queries = blocks.where("asked").select(F.explode(F.sequence(F.col("block") - reach, F.col("block") + reach)).alias("block"), part.alias("part"), "rep", "v")
-    candidates = blocks.select("block", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("part"), "rep", "v")
+    first = F.greatest(end(0), F.least(F.col("block") - reach, end(1) - 2 * reach))
+    near = F.sequence(first, F.least(first + 2 * reach, end(1)))
+    queries = blocks.where("asked").select("ordering", F.explode(near).alias("block"), part.alias("part"), "rep", "v")
+    candidates = blocks.select("ordering", "block", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("part"), "rep", "v")
 
     def rerank(asked_rows: pa.Table, near: pa.Table) -> pa.Table:
         if not asked_rows.num_rows or not near.num_rows:
@@ -157,7 +167,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, window_share: floa
         keep = place < n
         return pa.table({"q": q_id[qi[keep]], "rep": c_id[ci[keep]], "score": score[keep]})
 
-    found = queries.groupBy("block", "part").cogroup(candidates.groupBy("block", "part")).applyInArrow(rerank, "q long, rep long, score double")
+    found = queries.groupBy("ordering", "block", "part").cogroup(candidates.groupBy("ordering", "block", "part")).applyInArrow(rerank, "q long, rep long, score double")
     best = Window.partitionBy("q").orderBy(F.desc("score"), "rep")
     top = found.groupBy("q", "rep").agg(F.max("score").alias("score")).withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
     listed = top.join(distinct.select("rep", "ids"), "rep").groupBy("q").agg(F.collect_list(F.struct("score", "ids")).alias("near"))
