@@ -2,10 +2,14 @@
 
 A logistic model of text statistics minimises the non-negative unbiased risk of Kiryo et al. (2017):
 ``prior * E_P[loss(g)] + max(0, E_U[loss(-g)] - prior * E_P[loss(-g)])``. P are the trusted positives (label 1 in the
-training fold), U are all documents, whose texts need no label. The class prior is the share of label 1 among the
-labelled rows of the training fold; those labels are used for nothing else. Each step is one Spark job over the
-table of features that sums gradient and curvature within tasks; a damped Newton step follows on the driver. When the
-part for negatives falls below zero, the step goes back up that part, as the estimator prescribes.
+training fold), U are all documents, whose texts need no label. Labels of 0 are used nowhere. Each step is one Spark
+job over the table of features that sums gradient and curvature within tasks; a damped Newton step follows on the
+driver. When the part for negatives falls below zero, the step goes back up that part, as the estimator prescribes.
+
+The class prior is estimated from positives and unlabelled documents alone (best bin estimation, Garg et al. 2021): a
+classifier that tells half of the positives from the unlabelled documents orders all scores; among its top bins the
+share of unlabelled documents over that of the other positives is at least the prior, and nearest to it where hardly
+any negative scores as high. The least ratio, within its margin of error, is the estimate.
 
 Features are shares and counts of ``quality.text_counts``; ids, languages, sources and labels are none of them.
 Every document trains as unlabelled text and every labelled row counts: nothing is sampled.
@@ -30,6 +34,7 @@ from quarrylens.llm.quality import text_counts
 
 FOLDS, HELD_OUT, BAR = 5, 0, 0.3
 STEPS, RIDGE, CLIP = 25, 1e-3, 6.0
+PRIOR_STEPS, PRIOR_BINS, PRIOR_DELTA, PRIOR_GAMMA = 8, 512, 0.1, 0.01
 
 
 def fold(doc_id: Column) -> Column:
@@ -61,7 +66,7 @@ def _sums(table: DataFrame, mean: np.ndarray, std: np.ndarray, w: np.ndarray) ->
                 continue
             x = _design(batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1), mean, std)
             p = batch.column("trusted").to_numpy(zero_copy_only=False).astype(bool)
-            g = x @ w
+            g = np.clip(x @ w, -500, 500)
             s = 1 / (1 + np.exp(-g))
             soft = np.logaddexp(0, g)
             parts = [[len(g), soft.sum()], s @ x, ((x * (s * (1 - s))[:, None]).T @ x).ravel(), [p.sum(), soft[p].sum(), g[p].sum()], s[p] @ x[p], x[p].sum(axis=0)]
@@ -106,25 +111,68 @@ def fit(table: DataFrame, mean: np.ndarray, std: np.ndarray, prior: float) -> np
     return best[1]
 
 
+def tell_apart(table: DataFrame, mean: np.ndarray, std: np.ndarray) -> np.ndarray:
+    """Weights that tell the trusted rows of ``table`` from all rows, at equal weight of both."""
+    d = 1 + 2 * len(mean)
+    w, ridge = np.zeros(d), RIDGE * np.r_[0, np.ones(d - 1)]
+    for _ in range(PRIOR_STEPS):
+        a = _sums(table, mean, std, w)
+        n, rest = a[0], a[2:]
+        slope_u, curve, rest = rest[:d] / n, rest[d : d + d * d].reshape(d, d) / n, rest[d + d * d :]
+        slope_p, x_p = rest[3 : 3 + d] / rest[0], rest[3 + d :] / rest[0]
+        # The curvature of the positives' half is taken to be that of all rows.
+        step = np.linalg.solve(curve + np.diag(ridge + 1e-6), 0.5 * (slope_u + slope_p - x_p) + ridge * w)
+        w = w - step / max(1.0, np.abs(step).max() / 4)
+    return w
+
+
+def best_bin(unlabelled: np.ndarray, positives: np.ndarray) -> float:
+    """The class prior, from counts of unlabelled and of positive rows in bins of rising score."""
+    u, p = (np.cumsum(x[::-1]) / x.sum() for x in (unlabelled, positives))
+    error = sum(np.sqrt(np.log(4 / PRIOR_DELTA) / (2 * x.sum())) for x in (unlabelled, positives))
+    seen = p > 0
+    u, p = u[seen], p[seen]
+    at = np.argmin((u + (1 + PRIOR_GAMMA) * error) / p)
+    return float(min(max(u[at] / p[at], 0.01), 0.99))
+
+
+def _margin(w: np.ndarray, mean: np.ndarray, std: np.ndarray) -> Column:
+    """The score before the logistic function, as an expression of x."""
+    k, g = len(mean), F.lit(float(w[0]))
+    for i in range(k):
+        z = F.least(F.lit(CLIP), F.greatest(F.lit(-CLIP), (F.get("x", F.lit(i)) - float(mean[i])) / float(std[i])))
+        g = g + float(w[1 + i]) * z + float(w[1 + k + i]) * z * z
+    return g
+
+
+def estimate_prior(table: DataFrame, mean: np.ndarray, std: np.ndarray) -> float:
+    """The share of positives among all rows of ``table(_id, x, trusted)``."""
+    first = fold(F.col("_id")) % 2 == 0
+    halves = table.select("x", "trusted", (F.col("trusted") & first).alias("fits"), (F.col("trusted") & ~first).alias("judges"))
+    n_fit, n_judge = halves.agg(F.count_if("fits"), F.count_if("judges")).first()
+    fits, judges = ("fits", "judges") if n_fit and n_judge else ("trusted", "trusted")
+    w = tell_apart(halves.select("x", F.col(fits).alias("trusted")), mean, std)
+    place = F.floor(PRIOR_BINS / (1 + F.exp(-_margin(w, mean, std))))
+    bins = halves.groupBy(F.least(F.lit(PRIOR_BINS - 1), place).cast("int").alias("bin")).agg(F.count("*").alias("n"), F.count_if(judges).alias("p")).collect()  # at most PRIOR_BINS rows
+    counts = np.zeros((2, PRIOR_BINS))
+    for r in bins:
+        counts[:, r["bin"]] = r["n"], r["p"]
+    return best_bin(*counts)
+
+
 def _learn(counted: DataFrame, labels: DataFrame) -> tuple[DataFrame, Column]:
     """The stored table of ``counted(_id, x, ...)``, and the score as an expression of x."""
     known = labels.where((fold(F.col("doc_id")) != HELD_OUT) & F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
-    known = known.groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("q"))
-    table = materialize(counted.join(known, "_id", "left").withColumn("trusted", F.coalesce(F.col("q") == 1, F.lit(False))), "features")
+    trusted = known.groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("q")).where("q = 1").withColumn("trusted", F.lit(True)).drop("q")
+    table = materialize(counted.join(trusted, "_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False))), "features")
 
     k = len(features())
-    figures = table.agg(F.count("q"), F.count_if("trusted"), *[f(F.get("x", F.lit(i))) for i in range(k) for f in (F.avg, F.stddev_pop)]).first()
-    n_known, n_trusted = figures[:2]
-    prior = min(max(n_trusted / n_known, 0.01), 0.99) if n_known else 0.5
-    if not n_trusted:
-        return table, F.lit(prior)
-    mean, std = np.array(figures[2::2], float), np.maximum(np.array(figures[3::2], float), 1e-6)
-    w = fit(table, mean, std, prior)
-    g = F.lit(float(w[0]))
-    for i in range(k):
-        z = F.least(F.lit(CLIP), F.greatest(F.lit(-CLIP), (F.get("x", F.lit(i)) - float(mean[i])) / float(std[i])))
-        g = g + float(w[1 + i]) * z + float(w[1 + k + i]) * z * z
-    return table, 1 / (1 + F.exp(-g))
+    figures = table.agg(F.count_if("trusted"), *[f(F.get("x", F.lit(i))) for i in range(k) for f in (F.avg, F.stddev_pop)]).first()
+    if not figures[0]:
+        return table, F.lit(0.5)
+    mean, std = np.array(figures[1::2], float), np.maximum(np.array(figures[2::2], float), 1e-6)
+    prior = estimate_prior(table, mean, std)
+    return table, 1 / (1 + F.exp(-_margin(fit(table, mean, std, prior), mean, std)))
 
 
 def _counted(docs: DataFrame, keep: list[str]) -> DataFrame:
