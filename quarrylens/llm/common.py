@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
@@ -13,16 +14,44 @@ MAX_LONG = (1 << 63) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees: ``spark.checkpoint.dir``, or one of our own where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that every executor sees: ``spark.checkpoint.dir``, or what ``setCheckpointDir`` named.
+
+    In local mode, where driver and executor are one process, an own folder serves if neither is set; on a cluster
+    their absence is an error, since executors would write to folders of their own.
+    """
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not base:
+        named = context._jsc.sc().getCheckpointDir()
+        base = named.get() if named.isDefined() else None
     if base:
         return base.rstrip("/")
-    app = spark.sparkContext.applicationId
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = context.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="quarrylens-")
     return _OWN[app]
 
 
+def row_key(*columns: str) -> list[Column]:
+    """(_k1, _k2): a digest of ``columns`` and the text, and one of the text, by which narrow tables name rows.
+
+    Rows with equal keys have equal texts and columns, so whatever follows from these holds for all of them.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    return [F.xxhash64(*columns, text).alias("_k1"), F.unhex(F.md5(text)).alias("_k2")]
+
+
+def rows_of(docs: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:
+    """The rows of ``docs`` whose ``row_key(*columns)`` is in ``keys(_k1, _k2)``, with their own columns.
+
+    The keys are the side that is held in memory, part by part; the texts are not sorted.
+    """
+    packed = docs.select(F.struct("*").alias("_doc"), *row_key(*columns))
+    return packed.join(keys.select("_k1", "_k2").hint("shuffle_hash"), ["_k1", "_k2"], "left_semi").select("_doc.*")
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
@@ -48,7 +77,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     def counted(df: DataFrame) -> tuple[DataFrame, tuple]:
         df = materialize(df, "edges")
-        row = df.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum((F.hash("b", "a") % 65521).cast("long"))).first()
+        row = df.agg(F.count("*"), *[F.sum(F.xxhash64(*x).cast("decimal(20,0)")) for x in (("a", "b"), ("b", "a"))]).first()
         return df, tuple(row)
 
     links = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()

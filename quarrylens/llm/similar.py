@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylens.llm.common import connected_components, materialize
@@ -43,9 +43,14 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return key ^ (key >> np.uint64(32))
 
 
+def digest(text: Column) -> Column:
+    """What tells distinct texts apart; a null text is an empty one."""
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
+
+
 def _texts(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("digest"), text.alias("text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("digest"), text.alias("text"))
 
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

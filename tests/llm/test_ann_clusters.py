@@ -1,13 +1,9 @@
 """Nearest neighbours where a third of the rows are nearly equal vectors."""
 
-import sys
-from pathlib import Path
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-sys.path[:0] = [str(Path(__file__).parents[2])]
 from quarrylens.llm import ann
 
 

@@ -1,13 +1,9 @@
 """Relief for keys with very many fragments, however few blocks there are."""
 
 import random
-import sys
-from pathlib import Path
-
 import numpy as np
 import pyarrow as pa
 
-sys.path[:0] = [str(Path(__file__).parent), str(Path(__file__).parents[2])]
 import brute
 
 from quarrylens.llm import repeats

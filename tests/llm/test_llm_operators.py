@@ -1,17 +1,13 @@
 """The training-data operators against brute force, and on null, empty, long, tied, repeated and odd rows."""
 
 import random
-import sys
 import zlib
-from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-sys.path[:0] = [str(Path(__file__).parent), str(Path(__file__).parents[1])]
 import brute
-
 from quarrylens.llm import ann, chunks, packing, pu, quality, queries, repeats, reshard, simhash, urllists, wfst
 from quarrylens.llm.common import connected_components
 
@@ -71,9 +67,56 @@ def test_reshard(spark, docs, none, tmp_path):
     moved = placed.where("old <> shard").agg(F.sum("size")).first()[0]
     old = {r["old"]: r["b"] for r in placed.groupBy("old").agg(F.sum("size").alias("b")).collect()}
     assert moved <= sum(max(0, b - sum(sizes) / 8) for b in old.values()) + 1000
-    touched = reshard.rewrite_affected(many, placed, str(tmp_path / "out"))
+
+
+def test_flow_decides_the_transfers(monkeypatch, spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    seen = {}
+    solve, fix = reshard.min_cost_flow, reshard.correct
+
+    def solved(supply, capacity, cost):
+        seen["flow"] = solve(supply, capacity, cost)
+        seen["supply"] = sum(supply)
+        return seen["flow"]
+
+    monkeypatch.setattr(reshard, "min_cost_flow", solved)
+    monkeypatch.setattr(reshard, "correct", lambda *a: seen.setdefault("moves", fix(*a)))
+    old = F.pmod(F.crc32(F.col("source").cast("binary")), F.lit(32))
+    rows = reshard.reshard_documents(docs, old).toPandas()
+    assert seen["supply"] == rows["size"].sum() and seen["moves"] < 0.05 * len(rows)
+    cost = sum(n for i, out in enumerate(seen["flow"]) for j, n in out.items() if i != j)
+    moved = rows.loc[rows["old"] != rows["shard"], "size"].sum()
+    assert abs(moved - cost) <= 0.01 * cost
+    allowed = {(i, j) for i, out in enumerate(seen["flow"]) for j in out}
+    assert len(set(zip(rows["old"], rows["shard"], strict=True)) - allowed) <= seen["moves"]
+    sizes = rows.groupby("shard")["size"].sum()
+    assert len(sizes) == 40 and sizes.max() - sizes.min() < 0.05 * sizes.mean()
+
+
+def test_very_large_rows_leave_the_others_even():
+    flow = reshard.min_cost_flow([1000, 200], [400, 400, 400], [[0, 1, 1], [1, 0, 1]])
+    large = [(0, 700, 0), (1, 100, 0), (2, 100, 0), (3, 100, 0), (4, 100, 1), (5, 100, 1)]
+    at, room = reshard.place_large(large, flow)
+    held = [0, 0, 0]
+    for uid, size, _ in large:
+        held[at[uid]] += size
+    reshard.correct(at, large, held, 1)
+    assert sorted(held) == [200, 300, 700]
+
+
+def test_rewritten_shards_hold_every_row(spark, tmp_path):
+    rows = [(i % 7 if i % 5 else None, f"text {i % 3}", f"s{i % 2}" if i % 4 else None, i, "x") for i in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, n int, shard_name string").repartition(3).write.parquet(str(tmp_path / "in"))
+    docs = spark.read.parquet(str(tmp_path / "in"))
+    old = F.pmod(F.crc32(F.coalesce("source", F.lit("")).cast("binary")), F.lit(4))
+    placed = reshard.reshard_documents(docs, old, 4, 5, keep=reshard.FILE_ROW).cache()
+    touched = reshard.rewrite_affected(docs, placed, str(tmp_path / "out")).toPandas()["shard"].tolist()
     written = spark.read.parquet(str(tmp_path / "out"))
-    assert written.count() == placed.join(touched, "shard").count()
+    sizes = {r["shard"]: r["count"] for r in placed.where(F.col("shard").isin(touched)).groupBy("shard").count().collect()}
+    assert {r["shard"]: r["count"] for r in written.groupBy("shard").count().collect()} == sizes
+    assert set(touched) == {x for r in placed.where("old <> shard").collect() for x in (r["old"], r["shard"])}
+    assert written.select("n").distinct().count() == written.count() == sum(sizes.values())
+    assert written.where("doc_id is null").count() > 0
 
 
 def test_packing(docs, none):
@@ -144,6 +187,32 @@ def test_repeats(docs, none):
     assert repeats.remove_repeats(none).count() == 0
 
 
+def test_longest_previous_factors():
+    rng = random.Random(1)
+    for turn in range(200):
+        length = rng.choice([28, 30, 50])
+        base = bytes(rng.choice(b"ab\0") for _ in range(200))
+        parts, doc = [], []
+        for _ in range(rng.randint(1, 12)):
+            n = rng.randint(length, length + 30)
+            at = rng.randint(0, 200 - n)
+            part = bytearray(base[at : at + n])
+            if rng.random() < 0.4:
+                part[rng.randrange(n)] = rng.choice(b"abc")
+            parts.append(bytes(part) if turn % 10 else b"a" * (length + 5))
+            doc.append(rng.randint(0, 5))
+        count = np.array([len(x) - length + 1 for x in parts])
+        begin = np.cumsum([0] + [len(x) for x in parts])[:-1]
+        data = b"".join(parts)
+        frag, offset, longest = repeats.previous_factors(data, begin, count, np.array(doc), length)
+        suffixes = [(parts[f][o:], doc[f]) for f, o in zip(frag, offset, strict=True)]
+        assert longest.tolist() == brute.factors(suffixes, length)
+        order, common = repeats.suffix_order(data, begin[frag] + offset, np.array([len(x) for x, _ in suffixes]))
+        ordered = [suffixes[i][0] for i in order]
+        assert ordered == sorted(ordered)
+        assert all(n == brute.factors([(y, 1), (x, 0)], 0)[0] for x, y, n in zip(ordered, ordered[1:], common[1:], strict=False))
+
+
 def test_repeats_with_hot_keys_and_many_blocks(docs):
     found = repeats.remove_repeats(docs.select("doc_id", "text"), block_bytes=20_000, key_bucket_bytes=50_000, bucket_bytes=20_000, hot_blocks=1)
     mine = sorted((brute.LAST if r["doc_id"] is None else r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in found.collect())
@@ -168,6 +237,60 @@ def test_sentencepiece(docs, none):
         assert ids == sp.encode(text) and m.decode(m.encode(text)) == sp.decode(ids)
 
 
+def test_pair_acceptor_leaves_what_merges_yield():
+    m = wfst.Transducer(queries.tokenizer_path("piece_bpe_32k.model"))
+    score = {p: -w for p, (_, w) in m.piece.items()}
+    rng = random.Random(2)
+    common = [p for p in m.piece if p.isascii()]
+    for _ in range(300):
+        text = "".join(rng.choice(common) for _ in range(rng.randint(1, 6)))
+        text = text if rng.random() < 0.7 else "".join(rng.choice("aabcx\u4e2d\U0001f600'") for _ in range(12))
+        assert m.shortest_path(text) == brute.merges(text, score)
+
+
+@pytest.mark.parametrize("fallback", [True, False])
+def test_unigram_model(tmp_path, spark, docs, fallback):
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    model = pb.ModelProto()
+    model.trainer_spec.model_type = 1
+    model.trainer_spec.byte_fallback = fallback
+    model.normalizer_spec.add_dummy_prefix = True
+    model.normalizer_spec.remove_extra_whitespaces = False
+    model.normalizer_spec.escape_whitespaces = True
+
+    def add(piece, score, kind):
+        p = model.pieces.add()
+        p.piece, p.score, p.type = piece, score, kind
+
+    for name, kind in (("<unk>", 2), ("<s>", 3), ("</s>", 3)):
+        add(name, 0, kind)
+    if fallback:
+        for b in range(256):
+            add(f"<0x{b:02X}>", 0, 6)
+    rng = random.Random(5)
+    known = {"\u2581", *"abcdefgh"} | {"".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 4))) for _ in range(300)}
+    known |= {"\u2581" + p for p in sorted(known)[:60] if "\u2581" not in p}
+    for p in sorted(known):
+        add(p, -rng.randint(4, 40) / 4 - len(p) / 8, 1)
+    path = str(tmp_path / "unigram.model")
+    with open(path, "wb") as f:
+        f.write(model.SerializeToString())
+    sp, m = sentencepiece.SentencePieceProcessor(model_file=path), wfst.Transducer(path)
+
+    def weight(ids):
+        return sum(model.pieces[i].score if model.pieces[i].type == 1 else -m.unknown_weight * (model.pieces[i].type == 2) for i in ids)
+
+    for _ in range(400):
+        text = "".join(rng.choice("abcdefgh xy\u00e9") for _ in range(rng.randint(0, 40)))
+        ids = np.frombuffer(m.encode(text), "<u4").tolist()
+        other = sp.encode(text)
+        assert ids == other or (weight(ids) == weight(other) and m.decode(m.encode(text)) == sp.decode(other)), text
+    got = {(r["doc_id"], len(r["ids"])) for r in wfst.encode(docs, path).collect()}
+    assert len(got) <= len(texts()) and (3, 0) in got
+
+
 def test_quality_rules(spark, docs, none):
     got = quality.judge(docs, ["doc_id", "text", "kept"]).drop("kept").collect()
     assert len(got) == len(texts())
@@ -195,9 +318,70 @@ def test_pu_classifier(spark, docs, none):
     assert len(rows) == len(texts()) and all(0 <= r["score"] <= 1 for r in rows)
     assert {r["doc_id"]: r["held_out"] for r in rows if r["doc_id"]} == {i: zlib.crc32(str(i).encode()) % 5 == 0 for i, _ in texts() if i}
     assert {r["score"] for r in pu.score(docs, labels.where("false"), ["doc_id"]).collect()} == {0.5}
+    tied = pu.score(docs, labels, ["doc_id", "text", "kept"]).collect()
+    by = {}
+    for r in tied:
+        by.setdefault(r["text"] or "", set()).add(r["score"])
+    assert all(len(x) == 1 for x in by.values()) and {r["kept"] for r in tied} == {"k"}
     assert pu.score(none, labels, ["doc_id"]).count() == 0
 
 
+def test_pu_sums_are_those_of_the_risk(spark):
+    """Risk, gradient and curvature of one step against their definitions, by finite differences."""
+    rng = np.random.default_rng(3)
+    x, p = rng.normal(size=(200, 2)), rng.random(200) < 0.3
+    table = spark.createDataFrame([(v.tolist(), bool(t)) for v, t in zip(x, p, strict=True)], "x array<double>, trusted boolean").repartition(3)
+    mean, std, w = x.mean(axis=0), x.std(axis=0), rng.normal(size=5)
+    a = pu._sums(table, mean, std, w)
+    z = pu._design(x, mean, std)
+
+    def loss(v):
+        return np.log1p(np.exp(-v))
+
+    def total(v):
+        return loss(-(z @ v)).sum()
+
+    assert np.allclose([a[0], a[1]], [200, total(w)])
+    step = 1e-5 * np.eye(5)
+    slope = [(total(w + e) - total(w - e)) / 2e-5 for e in step]
+    assert np.allclose(a[2:7], slope, rtol=1e-4)
+    half = [[(total(w + e + f) - total(w + e - f) - total(w - e + f) + total(w - e - f)) / 4e-10 for f in step] for e in step]
+    assert np.allclose(a[7:32].reshape(5, 5), half, rtol=1e-2, atol=1e-2)
+    n, soft, g = a[32:35]
+    assert n == p.sum() and np.isclose(soft - g, loss(z[p] @ w).sum())
+    assert np.allclose(a[40:], z[p].sum(axis=0))
+
+
+def test_pu_fit_lowers_the_non_negative_risk(spark):
+    rng = np.random.default_rng(4)
+    y = rng.random(600) < 0.7
+    x = rng.normal(size=(600, 2)) + np.where(y, 1.5, -1.5)[:, None]
+    trusted = y & (rng.random(600) < 0.4)
+    table = spark.createDataFrame([(i, v.tolist(), bool(t)) for i, (v, t) in enumerate(zip(x, trusted, strict=True))], "_id long, x array<double>, trusted boolean")
+    mean, std = x.mean(axis=0), x.std(axis=0)
+    z = pu._design(x, mean, std)
+
+    def risk(w, prior):
+        g = z @ w
+        loss = lambda v: np.logaddexp(0, -v)
+        return prior * loss(g[trusted]).mean() + max(0.0, loss(-g).mean() - prior * loss(-g[trusted]).mean()) + 0.5 * pu.RIDGE * (w[1:] ** 2).sum()
+
+    prior = pu.estimate_prior(table, mean, std)
+    assert abs(prior - y.mean()) < 0.12
+    w = pu.fit(table.select("x", "trusted"), mean, std, prior)
+    start = np.r_[np.log(prior / (1 - prior)), np.zeros(4)]
+    assert risk(w, prior) < 0.7 * risk(start, prior)
+    assert all(risk(w, prior) <= risk(w + 0.5 * rng.normal(size=5), prior) + 1e-3 for _ in range(50))
+    assert ((z @ w > 0) == y).mean() > 0.95
+
+
+def test_prior_of_bins():
+    rng = np.random.default_rng(1)
+    pos, neg = rng.beta(8, 2, 30_000), rng.beta(2, 8, 10_000)
+    hist = lambda v: np.histogram(v, 512, (0, 1))[0].astype(float)
+    assert abs(pu.best_bin(hist(np.r_[pos, neg]), hist(rng.beta(8, 2, 3000))) - 0.75) < 0.04
+
+
 def test_pu_held_out_accuracy(spark):
     d = "/root/testdata/sf0.001"
     got = queries.op7_pu_classifier(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").collect()
@@ -218,12 +402,22 @@ def test_chunks(spark, docs, none):
     assert by[2]["n_removed"] > 60 and 1 in by[2]["first_doc_ids"] and by[0]["n_removed"] == 0
     assert by[7]["n_removed"] > 3500 and by[3]["n_chunks"] == 0
     seen, lost = set(), {}
-    for i, t in sorted((x for x in texts() if x[0] is not None and x[0] != 14), key=lambda x: x[0]):
-        raw = (t or "").encode()
-        for a, b in zip(chunks.cut([raw])[0], chunks.cut([raw])[0][1:], strict=False):
-            lost[i] = lost.get(i, 0) + (b - a) * (raw[a:b] in seen)
-            seen.add(raw[a:b])
-    assert all(by[i]["n_removed"] == n for i, n in lost.items())
+    of = {}
+    for i, t in texts():
+        found = brute.gear_chunks((t or "").encode(), chunks._GEAR.tolist(), chunks.MIN_BYTES, chunks.MAX_BYTES, chunks.MASK_BITS)
+        of.setdefault(brute.LAST if i is None else i, []).append(found)
+    for i in sorted(of):
+        # Rows with equal ids both keep what is first in either.
+        first = {}
+        for found in of[i]:
+            for k, c in enumerate(found):
+                first[c] = min(first.get(c, k), k)
+        lost[i] = sorted(sum(len(c) for k, c in enumerate(found) if c in seen or first[c] != k) for found in of[i])
+        seen |= set(first)
+    removed = {}
+    for r in rows:
+        removed.setdefault(brute.LAST if r["doc_id"] is None else r["doc_id"], []).append(r["n_removed"])
+    assert {i: sorted(n) for i, n in removed.items()} == lost
     assert chunks.dedup_chunks(none).count() == 0
 
 
@@ -256,8 +450,9 @@ def test_nearest(spark):
     assert ann.nearest(df.where("false"), F.col("vec_id") % 50 == 0).count() == 0
 
 
-def test_nearest_recall(spark):
-    d = "/root/testdata/sf0.001"
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_nearest_recall(spark, sf):
+    d = f"/root/testdata/{sf}"
     table = spark.read.parquet(f"{d}/embeddings.parquet").toPandas()
     m, ids = np.array(table["embedding"].tolist(), float), table["vec_id"].to_numpy()
     m /= np.linalg.norm(m, axis=1, keepdims=True)

@@ -1,10 +1,6 @@
 """Near-dedup of the pipeline: 5-word shingles, similarity 0.8 or more."""
 
 import random
-import sys
-from pathlib import Path
-
-sys.path[:0] = [str(Path(__file__).parents[2])]
 import corpus_pipeline
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars int"
