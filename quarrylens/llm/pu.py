@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylens.llm.common import materialize
+from quarrylens.llm.common import materialize, row_key, rows_of
 from quarrylens.llm.quality import text_counts
 
 FOLDS, HELD_OUT, BAR = 5, 0, 0.3
@@ -192,10 +192,8 @@ def score(docs: DataFrame, labels: DataFrame, keep: list[str], bar: float = BAR)
 def accepted(docs: DataFrame, labels: DataFrame, bar: float = BAR) -> DataFrame:
     """The documents with a score of ``bar`` or more, with all their columns.
 
-    Texts are counted twice, for the fit and for the scores, so that no text is stored or shuffled. For the mark see
-    ``quality.accepted``.
+    Texts are counted once, into the narrow table of features; its scores meet the rows again by key.
     """
-    _, value = _learn(_counted(docs.select("doc_id", "text"), []), labels)
-    rows = _counted(docs.select(F.struct("*").alias("_doc"), "doc_id", "text"), ["_doc"])
-    scored = rows.select("_doc", value.alias("_score"), F.monotonically_increasing_id().alias("_mark"))
-    return scored.where((F.col("_score") >= bar) & (F.col("_mark") >= 0)).select("_doc.*")
+    keyed = docs.select(*row_key("doc_id"), "doc_id", "text")
+    table, value = _learn(_counted(keyed, ["_k1", "_k2"]), labels)
+    return rows_of(docs, table.where(value >= bar), "doc_id")

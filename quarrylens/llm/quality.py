@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylens.llm.common import materialize
+from quarrylens.llm.common import materialize, row_key, rows_of
 
 SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 5
@@ -104,12 +104,11 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(total / 2, F.lit(0.0)))
 
 
-def judge(docs: DataFrame, keep: list[str], store: bool = True) -> DataFrame:
+def judge(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of ``docs(text, lang, ...)`` with counts, distances, base_failed and kept.
 
-    The counts are written to the shared folder once, since references and verdicts both need them; without ``store``
-    they are taken twice instead, which spares the disk where ``keep`` holds the texts. A reference is a row a language
-    of ``COMMON``, so what the driver reads back does not grow.
+    The counts are written to the shared folder once, since references and verdicts both need them. A reference is a
+    row a language of ``COMMON``, so what the driver reads back does not grow.
     """
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), F.col("lang").cast("string").alias("_lang"), "text")
     counted = text_counts(packed, ["_row", "_lang"])
@@ -121,8 +120,7 @@ def judge(docs: DataFrame, keep: list[str], store: bool = True) -> DataFrame:
         tally = F.when(F.col("_lang") == lang, own).otherwise(tally)
     rest = F.array(F.col("n_words") - F.aggregate("words", F.lit(0).cast("long"), lambda a, x: a + x))
     counted = counted.withColumn("classes", classes).withColumn("words", tally).withColumn("words", F.concat("words", rest)).withColumn("base_failed", base_failed()).drop("_common")
-    if store:
-        counted = materialize(counted, "counts")
+    counted = materialize(counted, "counts")
 
     # Conditions inside the sums, not as a filter, whose expressions Spark would copy down to the texts.
     known = F.when(F.col("_lang").isin(list(COMMON)), F.col("_lang")).alias("lang")
@@ -153,8 +151,8 @@ def judge(docs: DataFrame, keep: list[str], store: bool = True) -> DataFrame:
 def accepted(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with all their columns.
 
-    The filter also reads a mark that is not deterministic, so that Spark evaluates it on the finished counts instead
-    of pushing copies of their expressions down to the scan.
+    Texts are counted once, into a narrow stored table; its verdicts meet the rows again by key, in one shuffle of
+    the texts, which costs a small part of counting them twice.
     """
-    judged = judge(docs.select(F.struct("*").alias("_doc"), "lang", "text"), ["_doc"], store=False)
-    return judged.withColumn("_mark", F.monotonically_increasing_id()).where("kept and _mark >= 0").select("_doc.*")
+    keyed = docs.select(*row_key("doc_id", "lang"), "lang", "text")
+    return rows_of(docs, judge(keyed, ["_k1", "_k2"]).where("kept"), "doc_id", "lang")
