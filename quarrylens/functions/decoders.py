@@ -5,8 +5,9 @@ from __future__ import annotations
 import base64 as b64
 import binascii
 import html as markup
+import json
 import zlib as deflate
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 _ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_URL_SAFE = str.maketrans("+/", "-_")
 _TURNED = "nopqrstuvwxyzabcdefghijklmNOPQRSTUVWXYZABCDEFGHIJKLM"
 
 
@@ -42,14 +44,6 @@ def rot13(s: Column) -> Column:
     return F.when(s.rlike("[A-Za-z]"), F.translate(s, _ALPHABET, _TURNED))
 
 
-def jwt(s: Column) -> Column:
-    """Header and payload of a token as one JSON text; the signature is not verified."""
-    parts = F.split(F.trim(s), r"\.")
-    head, body = base64(F.get(parts, F.lit(0))), base64(F.get(parts, F.lit(1)))
-    valid = (F.size(parts) == 3) & F.try_parse_json(head).isNotNull() & F.try_parse_json(body).isNotNull()
-    return F.when(valid, F.concat(F.lit('{"header":'), head, F.lit(',"payload":'), body, F.lit("}")))
-
-
 def _each(f: Callable[[str], str | None]) -> Callable[[Column], Column]:
     """A decoder that SQL functions cannot express, over Arrow batches."""
 
@@ -75,21 +69,51 @@ def _entities(text: str) -> str | None:
     return out if (out := markup.unescape(text)) != text else None
 
 
-def _inflate(window: int) -> Callable[[str], str]:
-    """Compressed bytes, given as base64 or hexadecimal text; at most 16 MiB come out."""
-
-    def f(text: str) -> str:
-        text = "".join(text.split())
+def _readings(text: str) -> Iterator[bytes]:
+    """Bytes that a text may stand for: base64 of either alphabet, hexadecimal, its characters as Latin-1."""
+    plain = "".join(text.split())
+    for read in (lambda: b64.urlsafe_b64decode(plain.translate(_URL_SAFE) + "=" * (-len(plain) % 4)), lambda: bytes.fromhex(plain)):
         try:
-            raw = b64.b64decode(text + "=" * (-len(text) % 4), validate=True)
-        except binascii.Error:
-            raw = bytes.fromhex(text)
-        return deflate.decompressobj(window).decompress(raw, 16 << 20).decode(errors="replace")
+            yield read()
+        except (binascii.Error, ValueError):
+            continue
+    yield text.encode("latin-1", errors="replace")
+
+
+def _inflate(window: int, most: int = 0) -> Callable[[str], str | None]:
+    """Compressed bytes as text, by the first reading that can be inflated. With ``most``, longer outputs are null; none is cut."""
+
+    def f(text: str) -> str | None:
+        for raw in _readings(text):
+            stream = deflate.decompressobj(window)
+            try:
+                out = stream.decompress(raw, most)
+            except deflate.error:
+                continue
+            return None if most and stream.unconsumed_tail else out.decode(errors="replace") if stream.eof else None
+        return None
 
     return f
 
 
-base32, html, gzip, zlib = _each(_base32), _each(_entities), _each(_inflate(31)), _each(_inflate(15))
+def _jwt(text: str) -> str | None:
+    """Header and payload of a token as indented JSON; the signature is not verified."""
+    parts = text.strip().split(".")
+    if len(parts) != 3:
+        return None
+    read = lambda x: json.loads(b64.urlsafe_b64decode(x + "=" * (-len(x) % 4)))
+    return json.dumps({"header": read(parts[0]), "payload": read(parts[1])}, indent=2)
+
+
+def gunzip(most: int = 0) -> Callable[[Column], Column]:
+    return _each(_inflate(31, most))
+
+
+def inflate(most: int = 0) -> Callable[[Column], Column]:
+    return _each(_inflate(15, most))
+
+
+base32, html, gzip, zlib, jwt = _each(_base32), _each(_entities), gunzip(), inflate(), _each(_jwt)
 
 DECODERS: dict[str, Callable[[Column], Column]] = {"base32": base32, "base64": base64, "gzip": gzip, "hex": hex_text, "html": html, "jwt": jwt, "rot13": rot13, "url": url_text, "zlib": zlib}
 

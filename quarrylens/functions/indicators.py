@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,10 +69,11 @@ def url_host(url: Column) -> Column:
 
 
 def is_ipv6(value: Column) -> Column:
-    """Eight groups, or fewer around one double colon."""
+    """Eight groups, or at most seven around one double colon; the last two may be an IPv4 address, a zone may follow."""
+    v = F.regexp_replace(F.regexp_replace(value, "%[^%]+$", ""), ":" + STRICT_IPV4.removeprefix("^"), ":0:0")
     groups = r"[A-Fa-f0-9]{1,4}"
-    full = value.rlike(f"^(?:{groups}:){{7}}{groups}$")
-    short = value.rlike(f"^(?:(?:{groups}:)*{groups})?::(?:(?:{groups}:)*{groups})?$") & (F.size(F.split(value, ":")) <= 8)
+    full = v.rlike(f"^(?:{groups}:){{7}}{groups}$")
+    short = v.rlike(f"^(?:(?:{groups}:)*{groups})?::(?:(?:{groups}:)*{groups})?$") & (F.size(F.filter(F.split(v, ":"), lambda g: g != "")) <= 7)
     return full | short
 
 
@@ -98,23 +100,9 @@ def detect_type(value: Column) -> Column:
     )
 
 
-def _spans(hits: Column, between: Column, kind: str) -> Column:
-    """array<struct<kind, hit, begin, end>> of matches: positions add up from what lies between and within them."""
-    total = lambda parts: F.aggregate(parts, F.lit(0), lambda a, x: a + F.length(x))
-
-    def span(hit: Column, k: Column) -> Column:
-        begin = total(F.slice(between, 1, k + 1)) + total(F.slice(hits, 1, k))
-        kept = F.rtrim(hit, F.lit(".,;:)")) if kind == "url" else hit
-        return F.struct(F.lit(kind).alias("kind"), kept.alias("hit"), begin.alias("begin"), (begin + F.length(kept)).alias("end"))
-
-    found = F.transform(hits, span)
-    return F.filter(found, lambda f: is_ipv6(f["hit"])) if kind == "ipv6" else found
-
-
 def _host_item(host: Column) -> Column:
-    """The host as an indicator of its own if it is a domain or an address, else null."""
-    kind = detect_type(host)
-    return F.when(kind.isin("domain", "ipv4", "ipv6"), F.struct(kind.alias("type"), F.lower(host).alias("value")))
+    """The host as an indicator of its own (type, space, value) if it is a domain or an address, else null."""
+    return let(detect_type(host), lambda kind: F.when(kind.isin("domain", "ipv4", "ipv6"), F.concat(kind, F.lit(" "), F.lower(host))))
 
 
 #: Types in the order of their scans, with pattern, flags and a quick pattern that any text with a match has.
@@ -134,32 +122,81 @@ SCANS = (
 DEFANGED = r"(?i)hxxp|fxp|\[|\(at\)|\(dot\)|\(\.\)|\(:\)|\{"
 
 
-def with_iocs(df: DataFrame, text_col: str, out: str = "iocs", do_refang: bool = True, hosts: bool = True) -> DataFrame:
-    """``df`` with ``out``: array<struct<type, value>>, the distinct indicators of a text in the order of extraction.
+#: No indicator holds one of these characters, and each of them bounds words, so matches lie between them.
+BREAKS = r"[\s<>\"'\[\]{}|\\^`]+"
+#: Only addresses hold these.
+MORE_BREAKS = r"[,;()!?#$&*/=~]+"
+#: A quick pattern that every text with an indicator has.
+LIKELY = r"[.:@\-][A-Za-z0-9:/]|[A-Za-z0-9]{26}"
 
-    A match that overlaps a match of an earlier type is left out as a whole. Every scan is a column of its own, which
-    Spark computes once. A null text has none.
-    """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    none = F.array().cast("array<string>")
-    step = df.withColumn("_t", F.when(text.rlike(DEFANGED), refang(text)).otherwise(text) if do_refang else text)
-    t = F.col("_t")
-    scans = list(enumerate(SCANS))
-    step = step.withColumns({f"_h{n}": F.when(t.rlike(guard), F.regexp_extract_all(t, F.lit(flags + pattern), F.lit(0))).otherwise(none) for n, (_, pattern, flags, guard) in scans})
-    step = step.withColumns({f"_b{n}": F.when(F.size(f"_h{n}") > 0, F.split(t, flags + pattern, -1)).otherwise(none) for n, (_, pattern, flags, _) in scans})
-    step = step.withColumn("_all", F.concat(*[_spans(F.col(f"_h{n}"), F.col(f"_b{n}"), kind) for n, (kind, *_) in scans]))
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _spans(token: Column, n: int, kind: str, pattern: str) -> Column:
+    """array<struct<scan, begin, end, hit>> of the matches in a token: positions add up from what lies between and within them."""
+    gaps, hits = F.split(token, pattern, -1), F.regexp_extract_all(token, F.lit(pattern), F.lit(0))
+    pairs = F.filter(F.zip_with(gaps, hits, lambda g, h: F.struct(F.length(g).alias("gap"), h.alias("hit"))), lambda x: x["hit"].isNotNull())
+    none = F.array().cast("array<struct<scan:int,begin:int,end:int,hit:string>>")
+
+    def step(a: Column, x: Column) -> Column:
+        begin = a["at"] + x["gap"]
+        kept = F.rtrim(x["hit"], F.lit(".,;:)")) if kind == "url" else x["hit"]
+        span = F.struct(F.lit(n).alias("scan"), begin.alias("begin"), (begin + F.length(kept)).alias("end"), kept.alias("hit"))
+        return F.struct((begin + F.length(x["hit"])).alias("at"), F.concat(a["found"], F.array(span)).alias("found"))
+
+    found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda a: a["found"])
+    return F.filter(found, lambda f: is_ipv6(f["hit"])) if kind == "ipv6" else found
+
+
+def _kept(token: Column) -> Column:
+    """The matches of a token in the order of the scans; one that overlaps a match of an earlier scan is left out as a whole."""
+    none = F.array().cast("array<struct<scan:int,begin:int,end:int,hit:string>>")
+    scans = [F.when(token.rlike(guard), _spans(token, n, kind, flags + pattern)).otherwise(none) for n, (kind, pattern, flags, guard) in enumerate(SCANS)]
     overlaps = lambda a, f: F.exists(a, lambda x: (x["begin"] < f["end"]) & (x["end"] > f["begin"]))
-    start = F.array().cast("array<struct<kind:string,hit:string,begin:int,end:int>>")
-    step = step.withColumn("_kept", F.aggregate("_all", start, lambda a, f: F.when(overlaps(a, f), a).otherwise(F.concat(a, F.array(f)))))
+    return F.aggregate(F.concat(*scans), none, lambda a, f: F.when(overlaps(a, f), a).otherwise(F.concat(a, F.array(f))))
+
+
+def iocs_of(text: Column, do_refang: bool = True, hosts: bool = True) -> Column:
+    """array<struct<type, value>>: the distinct indicators of a text in the order of extraction; a null text has none.
+
+    The text is cut where no match can lie, so that positions and overlaps concern one token at a time and the work
+    grows with the text. Matches are then ordered by scan and place.
+    """
+    kinds = F.array(*[F.lit(kind) for kind, *_ in SCANS])
+    some = "|".join(f"(?:{guard})" if not guard.startswith("(?i)") else f"(?i:{guard[4:]})" for *_, guard in SCANS)
+
+    def tokens(t: Column) -> Column:
+        likely = F.filter(F.split(t, BREAKS), lambda x: x.rlike(LIKELY))
+        parts = F.flatten(F.transform(likely, lambda x: F.when(x.contains("://") | ~x.rlike(MORE_BREAKS), F.array(x)).otherwise(F.split(x, MORE_BREAKS))))
+        return F.filter(parts, lambda x: x.rlike(some))
+
+    def matches(parts: Column) -> Column:
+        each = F.transform(parts, lambda x, i: F.transform(_kept(x), lambda f: F.struct(f["scan"].alias("scan"), i.alias("i"), f["begin"].alias("begin"), f["hit"].alias("hit"))))
+        return F.sort_array(F.flatten(each))
 
     def items(f: Column) -> Column:
-        kind, hit = f["kind"], f["hit"]
+        kind, hit = F.get(kinds, f["scan"]), f["hit"]
         value = F.when(kind.isin(*LOWER_CASED), F.lower(hit)).when(kind == "cve", F.upper(hit)).otherwise(hit)
-        own = F.struct(kind.alias("type"), value.alias("value"))
+        own = F.concat(kind, F.lit(" "), value)
         if not hosts:
             return F.array(own)
         host = F.when(kind == "url", url_host(hit)).when(kind == "email", F.element_at(F.split(hit, "@"), 2))
-        return F.array(own, _host_item(host))
+        return F.array(own, let(host, _host_item))
+
+    def found(t: Column) -> Column:
+        named = F.filter(F.flatten(F.transform(matches(tokens(t)), items)), lambda x: x.isNotNull())
+        # Texts are told apart by hash, structures would be compared with each other.
+        return F.transform(F.array_distinct(named), lambda x: F.struct(F.substring_index(x, " ", 1).alias("type"), F.substr(x, F.locate(" ", x) + 1).alias("value")))
 
-    found = F.filter(F.flatten(F.transform("_kept", items)), lambda x: x.isNotNull())
-    return step.withColumn(out, F.array_distinct(found)).select(*df.columns, out)
+    none = F.array().cast("array<struct<type:string,value:string>>")
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    plain = F.when(text.rlike(DEFANGED), refang(text)).otherwise(text) if do_refang else text
+    return F.coalesce(let(plain, lambda t: F.when(t.rlike(LIKELY), found(t)).otherwise(none)), none)
+
+
+def with_iocs(df: DataFrame, text_col: str, out: str = "iocs", do_refang: bool = True, hosts: bool = True) -> DataFrame:
+    """``df`` with ``out``, the indicators of its column ``text_col``."""
+    return df.select("*", iocs_of(F.col(text_col), do_refang, hosts).alias(out))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quarrylens.functions.indicators import is_ipv6, let
+
 # Special-purpose IPv4 networks in the order of their test, as (first, last, verdict, score, tags).
 IPV4_CLASSES = (
     ("0.0.0.0", 8, "suspicious", 0.8, "bogon,this-network,non-routable"),
@@ -22,7 +24,33 @@ IPV4_CLASSES = (
     ("192.168.0.0", 16, "benign", 0.3, "private,rfc1918"),
     ("224.0.0.0", 4, "benign", 0.3, "multicast"),
 )
-COMPOUND_SUFFIXES = "co.uk co.jp co.kr co.in co.za com.au com.br com.mx com.cn com.tw com.hk com.sg com.tr ac.uk gov.uk org.uk ne.jp go.jp".split()
+# Special-purpose IPv6 networks in the order of their test, as (first 16-bit groups, bits, verdict, tags).
+IPV6_CLASSES = (
+    ((0, 0, 0, 0, 0, 0, 0, 1), 128, "benign", "loopback"),
+    ((0xFE80,), 10, "benign", "link-local"),
+    ((0xFEC0,), 10, "benign", "site-local"),
+    ((0, 0, 0, 0, 0, 0, 0, 0), 128, "benign", "private,ula"),
+    ((0, 0, 0, 0, 0, 0xFFFF), 96, "benign", "private,ula"),
+    ((0x64, 0xFF9B, 1), 48, "benign", "private,ula"),
+    ((0x100, 0, 0, 0), 64, "benign", "private,ula"),
+    ((0x2001, 0xDB8), 32, "benign", "private,ula"),
+    ((0x2002,), 16, "benign", "private,ula"),
+    ((0x2001, 1, 0, 0, 0, 0, 0, 1), 128, "unknown", "public"),
+    ((0x2001, 1, 0, 0, 0, 0, 0, 2), 128, "unknown", "public"),
+    ((0x2001, 3), 32, "unknown", "public"),
+    ((0x2001, 4, 0x112), 48, "unknown", "public"),
+    ((0x2001, 0x20), 28, "unknown", "public"),
+    ((0x2001, 0x30), 28, "unknown", "public"),
+    ((0x2001, 0), 23, "benign", "private,ula"),
+    ((0xFC00,), 7, "benign", "private,ula"),
+    ((0xFF00,), 8, "benign", "multicast"),
+)
+#: Reserved where neither 2000::/3 nor any of the above.
+IPV6_GLOBAL = (0x2000, 0x3FFF)
+COMPOUND_SUFFIXES = (
+    "co.uk", "co.jp", "co.kr", "co.in", "co.za", "com.au", "com.br", "com.mx", "com.cn", "com.tw", "com.hk", "com.sg", "com.tr",
+    "ac.uk", "gov.uk", "org.uk", "ne.jp", "go.jp",
+)
 
 
 def ip_number(dotted: str) -> int:
@@ -31,9 +59,51 @@ def ip_number(dotted: str) -> int:
 
 
 def ipv4_to_long(ip: Column) -> Column:
+    """The number of a dotted address; null unless it has four parts of at most 255."""
     parts = F.split(ip, r"\.")
     byte = lambda i: F.get(parts, F.lit(i)).try_cast("long")
-    return byte(0) * (1 << 24) + byte(1) * (1 << 16) + byte(2) * (1 << 8) + byte(3)
+    fine = ip.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$") & F.forall(parts, lambda x: x.try_cast("int") <= 255)
+    return F.when(fine, byte(0) * (1 << 24) + byte(1) * (1 << 16) + byte(2) * (1 << 8) + byte(3))
+
+
+def ipv6_groups(ip: Column) -> Column:
+    """The eight 16-bit numbers of an address, whose double colon is filled with zeros; null if it is none."""
+    groups = lambda x: F.filter(F.split(x, ":"), lambda g: g != "")
+
+    def numbers(v: Column) -> Column:
+        left, right = groups(F.substring_index(v, "::", 1)), groups(F.when(v.contains("::"), F.substring_index(v, "::", -1)).otherwise(""))
+        sides = F.struct(left.alias("left"), right.alias("right"))
+        whole = let(sides, lambda x: F.concat(x["left"], F.array_repeat(F.lit("0"), 8 - F.size(x["left"]) - F.size(x["right"])), x["right"]))
+        return F.transform(whole, lambda g: F.conv(g, 16, 10).cast("int"))
+
+    def with_hex_tail(v: Column) -> Column:
+        tail = lambda n: F.concat(F.regexp_replace(v, r"[0-9.]+$", ""), F.lower(F.hex(F.floor(n / 65536))), F.lit(":"), F.lower(F.hex(n % 65536)))
+        return let(ipv4_to_long(F.regexp_extract(v, r":([0-9.]+)$", 1)), lambda n: F.when(n.isNull(), v).otherwise(tail(n)))
+
+    plain = let(F.regexp_replace(ip, "%[^%]+$", ""), with_hex_tail)
+    return F.when(is_ipv6(ip), let(plain, numbers))
+
+
+def classify_ipv6(ip: Column) -> Column:
+    """struct<verdict, score, tags string>, as for IPv4; the order of the networks decides."""
+
+    def result(verdict: str, tags: str) -> Column:
+        score = {"suspicious": 0.8, "benign": 0.3}.get(verdict, 0.0)
+        return F.struct(F.lit(verdict).alias("verdict"), F.lit(score).alias("score"), F.lit(tags).alias("tags"))
+
+    def of(g: Column) -> Column:
+        out = F.when(g.isNull(), None)
+        for first, bits, verdict, tags in IPV6_CLASSES:
+            inside = F.lit(True)
+            for i, want in enumerate(first):
+                left = min(16, bits - 16 * i)
+                if left > 0:
+                    mask = (0xFFFF << (16 - left)) & 0xFFFF
+                    inside = inside & (F.get(g, F.lit(i)).bitwiseAND(F.lit(mask)) == (want & mask))
+            out = out.when(inside, result(verdict, tags))
+        return out.when(~F.get(g, F.lit(0)).between(*IPV6_GLOBAL), result("suspicious", "reserved")).otherwise(result("unknown", "public"))
+
+    return let(ipv6_groups(ip), of)
 
 
 def classify_ipv4(ip: Column) -> Column:
@@ -50,7 +120,7 @@ def second_level_label(name: Column) -> Column:
     """The label left of the public suffix (two labels for compound suffixes); the whole name if there is one label."""
     labels = F.split(F.rtrim(F.lower(name), F.lit(".")), r"\.")
     n = F.size(labels)
-    compound = (n >= 3) & F.concat_ws(".", F.get(labels, n - 2), F.get(labels, n - 1)).isin(COMPOUND_SUFFIXES)
+    compound = (n >= 3) & F.concat_ws(".", F.get(labels, n - 2), F.get(labels, n - 1)).isin(*COMPOUND_SUFFIXES)
     return F.when(n < 2, F.get(labels, F.lit(0))).when(compound, F.get(labels, n - 3)).otherwise(F.get(labels, n - 2))
 
 
@@ -62,6 +132,11 @@ def entropy(text: Column) -> Column:
     return F.when(n == 0, 0.0).otherwise(-F.aggregate(F.array_distinct(F.filter(chars, lambda c: c != "")), F.lit(0.0), lambda a, c: a + p(c) * F.log2(p(c))))
 
 
+def byte_entropy(content: Column) -> Column:
+    """Shannon entropy of bytes in bits a byte; 0 for none. Each byte is a character of Latin-1."""
+    return entropy(F.decode(content, "ISO-8859-1"))
+
+
 def consonant_run(text: Column) -> Column:
     """Length of the longest run of consonants; y is none."""
     runs = F.regexp_extract_all(F.lower(text), F.lit("[bcdfghjklmnpqrstvwxz]+"), F.lit(0))

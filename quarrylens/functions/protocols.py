@@ -50,6 +50,39 @@ BAD_JA3 = {
     "06d47c8d6f2b1f0b6e6a5f2b8e2c9a1e": "Trickbot (reported)",
     "e7d705a3286e19ea42f587b344ee6865": "Emotet (reported)",
 }
+BAD_JA3S = {
+    "623de93db17d313345d7ea481e7443cf": "Cobalt Strike teamserver (default)",
+    "ec74a5c51106f0419184d0dd08fb05bc": "Metasploit handler (reported)",
+}
+SMB2_COMMANDS = {
+    0: "NEGOTIATE", 1: "SESSION_SETUP", 2: "LOGOFF", 3: "TREE_CONNECT", 4: "TREE_DISCONNECT", 5: "CREATE", 6: "CLOSE", 7: "FLUSH", 8: "READ",
+    9: "WRITE", 10: "LOCK", 11: "IOCTL", 14: "QUERY_DIRECTORY", 16: "QUERY_INFO", 17: "SET_INFO",
+}
+PACKERS = (
+    ("UPX", "UPX0", "section"),
+    ("UPX", "UPX1", "section"),
+    ("UPX", "UPX2", "section"),
+    ("UPX", "UPX!", "content"),
+    ("ASPack", ".aspack", "section"),
+    ("ASPack", ".adata", "section"),
+    ("MPRESS", ".MPRESS1", "section"),
+    ("MPRESS", ".MPRESS2", "section"),
+    ("PECompact", "PEC2", "section"),
+    ("PECompact", "PECompact2", "content"),
+    ("FSG", "FSG!", "content"),
+    ("Themida", ".themida", "section"),
+    ("Themida", "Themida", "content"),
+    ("VMProtect", ".vmp0", "section"),
+    ("VMProtect", ".vmp1", "section"),
+    ("VMProtect", ".vmp2", "section"),
+    ("Petite", ".petite", "section"),
+    ("Enigma", ".enigma1", "section"),
+    ("Enigma", ".enigma2", "section"),
+    ("ConfuserEx", "ConfusedByAttribute", "content"),
+    ("Obsidium", ".obsidium", "section"),
+    ("Yoda", "yC", "section"),
+)
+HEAD_BYTES = 1 << 20
 TLS_PORTS = (443, 465, 563, 636, 853, 989, 990, 992, 993, 994, 995, 5061, 8443)
 RC4, AES = (23, 24), (17, 18)
 
@@ -101,10 +134,40 @@ def ja3(version: Column, ciphers: Column, extensions: Column, curves: Column, fo
     return F.md5(ja3_text(version, ciphers, extensions, curves, formats))
 
 
+def _label(value: Column, table: dict) -> Column:
+    out = F.lit(None).cast("string")
+    for k, v in table.items():
+        out = F.when(value == k, v).otherwise(out)
+    return out
+
+
+def ja3s(version: Column, cipher: Column, extensions: Column) -> Column:
+    return F.md5(F.concat_ws(",", version.cast("string"), cipher.cast("string"), _plain(extensions)))
+
+
+def known_ja3(fingerprint: Column, server: bool = False) -> Column:
+    """What a client's (or a server's) fingerprint is known as, else null."""
+    return _label(fingerprint, BAD_JA3S if server else BAD_JA3)
+
+
 def known_bad_ja3(hellos: DataFrame, ja3_col: str = "ja3") -> DataFrame:
     """Hellos with a fingerprint of the list of five, labelled."""
-    table = hellos.sparkSession.createDataFrame(list(BAD_JA3.items()), f"{ja3_col} string, label string")
-    return hellos.join(F.broadcast(table), ja3_col)
+    return hellos.withColumn("label", known_ja3(F.col(ja3_col))).where("label is not null")
+
+
+def smb2_command(number: Column) -> Column:
+    """The name of an SMB2 command, or its number as text."""
+    return F.coalesce(_label(number, SMB2_COMMANDS), number.cast("string"))
+
+
+def packer(sections: Column, content: Column) -> Column:
+    """The packer of the first signature that is in a section's name or in the first MiB of the file, else null."""
+    head = F.decode(F.substring(content, 1, HEAD_BYTES), "ISO-8859-1")
+    out = F.lit(None).cast("string")
+    for name, pattern, where in reversed(PACKERS):
+        hit = F.exists(sections, lambda n: n.contains(pattern)) if where == "section" else head.contains(pattern)  # noqa: B023
+        out = F.when(hit, name).otherwise(out)
+    return out
 
 
 def tls_anomaly(port: Column, server_name: Column) -> Column:
@@ -133,7 +196,7 @@ def is_rc4_downgrade(message: Column, etypes: Column) -> Column:
 def netntlmv2(user: Column, domain: Column, challenge: Column, response: Column) -> Column:
     """``user::domain:challenge:proof:blob`` in hexadecimal; null for other versions and damaged messages."""
     h = F.lower(F.hex(response))
-    whole = F.concat_ws(":", user, F.lit(""), domain, F.lower(F.hex(challenge)), F.substring(h, 1, 32), F.substring(h, 33, 1 << 20))
+    whole = F.concat_ws(":", user, F.lit(""), domain, F.lower(F.hex(challenge)), F.substring(h, 1, 32), F.substr(h, F.lit(33)))
     return F.when((F.octet_length(challenge) == 8) & (F.octet_length(response) >= 16) & (user != ""), whole)
 
 

@@ -26,10 +26,12 @@ def email_to_domain(verdicts: DataFrame) -> DataFrame:
 
 
 def shared_subnet(verdicts: DataFrame) -> DataFrame:
-    """Pairs of distinct IPv4 addresses of a /24 network, of which there are 256 at most, so that pairs stay linear."""
-    ips = verdicts.where("type = 'ipv4'").groupBy("value").agg(F.min("pos").alias("pos"))
-    n = ipv4_to_long(F.col("value"))
-    ips = ips.select("value", "pos", F.floor(n / 256).alias("net")).where("net is not null")
+    """Pairs of distinct IPv4 addresses of a /24 network, of which there are 256 at most, so that pairs stay linear.
+
+    Notations of one address count as one, shown as it was first written.
+    """
+    ips = verdicts.where("type = 'ipv4'").select("value", "pos", ipv4_to_long(F.col("value")).alias("n")).where("n is not null")
+    ips = ips.groupBy("n").agg(F.min_by("value", "pos").alias("value"), F.min("pos").alias("pos")).select("value", "pos", F.floor(F.col("n") / 256).alias("net"))
     a, b = ips.alias("a"), ips.alias("b")
     pairs = a.join(b, (F.col("a.net") == F.col("b.net")) & (F.col("a.pos") < F.col("b.pos")))
     net = F.concat_ws(".", F.floor(F.col("a.net") / 65536), F.floor(F.col("a.net") / 256) % 256, F.col("a.net") % 256, F.lit("0/24"))

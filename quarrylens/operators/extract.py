@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylens.functions.decoders import DECODERS
-from quarrylens.functions.indicators import with_iocs
+from quarrylens.functions.indicators import iocs_of, let, with_iocs
 
 
 def extract(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
@@ -23,12 +23,15 @@ def rank_decodings(df: DataFrame, text_col: str, limit: int = 5) -> DataFrame:
     A score is .85 of the share of printable characters plus .05 for each indicator (at most .15), at most 1; below
     a share of .6 it is .3 of that share.
     """
-    tried = df.withColumn("_d", F.explode(F.array(*[F.struct(F.lit(name).alias("operation"), f(F.col(text_col)).alias("decoded")) for name, f in sorted(DECODERS.items())])))
-    tried = tried.select(*df.columns, "_d.*").where(F.length("decoded") > 0)
-    scored = with_iocs(tried, "decoded", "_iocs").withColumn("ioc_count", F.size("_iocs"))
-    share = F.length(F.regexp_replace("decoded", r"[^\P{C}\n\t\r]", "")) / F.length("decoded")
-    score = F.when(share < 0.6, share * 0.3).otherwise(F.least(F.lit(1.0), share * 0.85 + F.least(F.lit(0.15), F.col("ioc_count") * 0.05)))
-    ranked = scored.withColumn("score", score)
-    best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), (-F.col("ioc_count")).alias("c"), "operation", "decoded"))), 1, limit)
-    out = ranked.groupBy(*df.columns).agg(best.alias("b")).select(*df.columns, F.posexplode("b").alias("rank", "b"))
+    tried = F.filter(F.array(*[F.struct(F.lit(name).alias("operation"), f(F.col(text_col)).alias("decoded")) for name, f in sorted(DECODERS.items())]), lambda d: F.length(d["decoded"]) > 0)
+
+    def rated(d):
+        share = F.length(F.regexp_replace(d["decoded"], r"[^\P{C}\n\t\r]", "")) / F.length(d["decoded"])
+        count = F.size(iocs_of(d["decoded"]))
+        score = lambda n: F.when(share < 0.6, share * 0.3).otherwise(F.least(F.lit(1.0), share * 0.85 + F.least(F.lit(0.15), n * 0.05)))
+        return let(count, lambda n: F.struct((-score(n)).alias("s"), (-n).alias("c"), d["operation"].alias("operation"), d["decoded"].alias("decoded")))
+
+    # Ranked within the row, so equal rows keep their own results and nothing is shuffled.
+    best = F.slice(F.sort_array(F.transform("_tried", rated)), 1, limit)
+    out = df.select("*", tried.alias("_tried")).select(*df.columns, F.posexplode(best).alias("rank", "b"))
     return out.select(*df.columns, (F.col("rank") + 1).alias("rank"), "b.operation", "b.decoded", (-F.col("b.s")).alias("score"), (-F.col("b.c")).alias("ioc_count"))
