@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrylens.functions.network import looks_generated, second_level_label
+
 # Default thresholds.
 BEACON_PACKETS, BEACON_INTERVALS, BEACON_CV, BEACON_LOW, BEACON_HIGH = 6, 5, 0.30, 1.0, 600.0
 SCAN_PORTS, SWEEP_HOSTS = 25, 30
@@ -12,18 +14,19 @@ EXFIL_BYTES, EXFIL_RATIO = 262_144, 0.05
 ICMP_BYTES, ICMP_COUNT = 64, 20
 TXT_BYTES, QUERIES, QUERIES_A_SECOND = 4000, 50, 5.0
 RESPONSES, NX_RATIO = 50, 0.5
-FLOW = ["lo_ip", "lo_port", "hi_ip", "hi_port", "proto"]
+GENERATED_NAMES, SHOWN_NAMES = 3, 8
 
 
-def flows(packets: DataFrame) -> DataFrame:
+def flows(packets: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Bidirectional flows of ``packets(frame_no, ts, src_ip, src_port, dst_ip, dst_port, proto, size, tcp_flags)``.
 
-    Side a sent the flow's first packet. Flags: SYN 2, ACK 16, FIN 1, RST 4.
+    Side a sent the flow's first packet. Flags: SYN 2, ACK 16, FIN 1, RST 4. ``by`` names columns, such as the capture's
+    file, that flows do not cross.
     """
     src, dst = F.struct(F.col("src_ip").alias("ip"), F.col("src_port").alias("port")), F.struct(F.col("dst_ip").alias("ip"), F.col("dst_port").alias("port"))
     keyed = packets.select("*", F.least(src, dst).alias("lo"), F.greatest(src, dst).alias("hi"), (src <= dst).alias("up"))
     flag = lambda bits: F.bool_or(F.col("tcp_flags").bitwiseAND(bits) == bits)
-    by = keyed.groupBy("lo", "hi", "proto").agg(
+    sums = keyed.groupBy(*by, "lo", "hi", "proto").agg(
         F.min_by("up", "frame_no").alias("a_is_lo"),
         F.min("ts").alias("first_ts"),
         F.max("ts").alias("last_ts"),
@@ -37,7 +40,8 @@ def flows(packets: DataFrame) -> DataFrame:
         flag(4).alias("saw_rst"),
     )
     side = lambda x, y: F.when(F.col("a_is_lo"), x).otherwise(y)
-    return by.select(
+    return sums.select(
+        *by,
         side(F.col("lo.ip"), F.col("hi.ip")).alias("a_ip"),
         side(F.col("lo.port"), F.col("hi.port")).alias("a_port"),
         side(F.col("hi.ip"), F.col("lo.ip")).alias("b_ip"),
@@ -81,29 +85,29 @@ def _probes(packets: DataFrame) -> DataFrame:
     return packets.where((F.col("dst_port") != 0) & (((F.col("proto") == 6) & syn) | (F.col("proto") == 17)))
 
 
-def port_scans(packets: DataFrame, ports: int = SCAN_PORTS) -> DataFrame:
-    by = _probes(packets).groupBy("src_ip", "dst_ip", "proto").agg(F.count_distinct("dst_port").alias("n_ports"))
-    return by.where(F.col("n_ports") >= ports)
+def port_scans(packets: DataFrame, ports: int = SCAN_PORTS, by: tuple[str, ...] = ()) -> DataFrame:
+    found = _probes(packets).groupBy(*by, "src_ip", "dst_ip", "proto").agg(F.count_distinct("dst_port").alias("n_ports"))
+    return found.where(F.col("n_ports") >= ports)
 
 
-def host_sweeps(packets: DataFrame, hosts: int = SWEEP_HOSTS) -> DataFrame:
-    by = _probes(packets).groupBy("src_ip", "proto", "dst_port").agg(F.count_distinct("dst_ip").alias("n_hosts"))
-    return by.where(F.col("n_hosts") >= hosts)
+def host_sweeps(packets: DataFrame, hosts: int = SWEEP_HOSTS, by: tuple[str, ...] = ()) -> DataFrame:
+    found = _probes(packets).groupBy(*by, "src_ip", "proto", "dst_port").agg(F.count_distinct("dst_ip").alias("n_hosts"))
+    return found.where(F.col("n_hosts") >= hosts)
 
 
 def one_sided(flow: DataFrame, least: int = EXFIL_BYTES, ratio: float = EXFIL_RATIO) -> DataFrame:
     return flow.where((F.col("bytes_a2b") >= least) & (F.col("bytes_b2a") <= ratio * F.col("bytes_a2b")))
 
 
-def icmp_tunnels(packets: DataFrame, least: int = ICMP_BYTES, count: int = ICMP_COUNT) -> DataFrame:
+def icmp_tunnels(packets: DataFrame, least: int = ICMP_BYTES, count: int = ICMP_COUNT, by: tuple[str, ...] = ()) -> DataFrame:
     big = packets.where((F.col("proto") == 1) & (F.col("size") - 8 >= least))
-    return big.groupBy("src_ip", "dst_ip").agg(F.count("*").alias("n"), F.avg(F.col("size") - 8).alias("avg_size")).where(F.col("n") >= count)
+    return big.groupBy(*by, "src_ip", "dst_ip").agg(F.count("*").alias("n"), F.avg(F.col("size") - 8).alias("avg_size")).where(F.col("n") >= count)
 
 
-def dns_stats(messages: DataFrame) -> DataFrame:
+def dns_stats(messages: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Totals of ``messages(is_response, qname, qtype, rcode, size)``: queries, responses, NXDOMAIN, bytes of TXT answers."""
     r = F.col("is_response")
-    return messages.agg(
+    return messages.groupBy(*by).agg(
         F.count_if(~r).alias("queries"), F.count_if(r).alias("responses"), F.count_if(r & (F.col("rcode") == 3)).alias("nxdomain"), F.coalesce(F.sum(F.when(r & (F.col("qtype") == 16), F.col("size"))), F.lit(0)).alias("txt_bytes")
     )
 
@@ -114,6 +118,48 @@ def dns_query_rates(messages: DataFrame, queries: int = QUERIES, rate: float = Q
     return by.where((F.col("n") >= queries) & (F.col("n") >= rate * F.greatest("seconds", F.lit(1.0))))
 
 
+def dns_types(messages: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """How many messages have each query type."""
+    return messages.groupBy(*by, "qtype").agg(F.count("*").alias("n"))
+
+
+def dns_names(messages: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(qname, queries, nxdomain, txt) for each name that was asked for or answered."""
+    r = F.col("is_response")
+    named = messages.where("qname <> ''")
+    return named.groupBy(*by, "qname").agg(F.count_if(~r).alias("queries"), F.count_if(r & (F.col("rcode") == 3)).alias("nxdomain"), F.count_if(F.col("qtype") == 16).alias("txt"))
+
+
+def generated_names(messages: DataFrame, by: tuple[str, ...], least: int = GENERATED_NAMES, shown: int = SHOWN_NAMES) -> DataFrame:
+    """(by, n_names, many, names): captures with names that look generated; ``many`` from ``least`` on, the first ones in order."""
+    names = messages.where("qname <> ''").select(*by, "qname").distinct().where(looks_generated(second_level_label(F.col("qname"))))
+    first = names.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("qname"))).where(F.col("place") <= shown)
+    first = first.groupBy(*by).agg(F.sort_array(F.collect_list("qname")).alias("names"))
+    return names.groupBy(*by).agg(F.count("*").alias("n_names")).withColumn("many", F.col("n_names") >= least).join(first, list(by))
+
+
+def txt_volume(stats: DataFrame, least: int = TXT_BYTES) -> DataFrame:
+    return stats.where(F.col("txt_bytes") >= least)
+
+
+def busy_labels(messages: DataFrame, durations: DataFrame, by: tuple[str, ...], queries: int = QUERIES, rate: float = QUERIES_A_SECOND) -> DataFrame:
+    """Second-level labels with many queries a second of their capture, of ``durations(by, seconds)``."""
+    asked = messages.where(~F.col("is_response") & (F.col("qname") != "")).groupBy(*by, second_level_label(F.col("qname")).alias("sld")).agg(F.count("*").alias("n"))
+    return asked.join(durations, list(by)).where((F.col("seconds") > 0) & (F.col("n") >= queries) & (F.col("n") / F.col("seconds") >= rate)).select(*by, "sld", "n")
+
+
+def capture_summary(packets: DataFrame, hellos: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """(by, packets, seconds, hosts, names, fingerprints): totals of each capture, of ``hellos(by, server_name, ja3)``.
+
+    Hosts are counted once for both ends; each is expanded from its packet and combined before the shuffle.
+    """
+    ends = packets.select(*by, "ts", F.explode(F.array("src_ip", "dst_ip")).alias("ip"))
+    totals = ends.groupBy(*by).agg((F.count("*") / 2).cast("long").alias("packets"), (F.max("ts") - F.min("ts")).alias("seconds"), F.count_distinct("ip").alias("hosts"))
+    tls = hellos.groupBy(*by).agg(F.count_distinct(F.when(F.col("server_name") != "", F.col("server_name"))).alias("names"), F.count_distinct("ja3").alias("fingerprints"))
+    zero = F.lit(0).cast("long")
+    return totals.join(tls, list(by), "left").select(*by, "packets", "seconds", "hosts", F.coalesce("names", zero).alias("names"), F.coalesce("fingerprints", zero).alias("fingerprints"))
+
+
 def nxdomain_ratio(stats: DataFrame, responses: int = RESPONSES, ratio: float = NX_RATIO) -> DataFrame:
     return stats.where((F.col("responses") >= responses) & (F.col("nxdomain") >= ratio * F.col("responses")))
 

@@ -6,20 +6,21 @@ one scan of the events and counted together; the rules that compare users or sou
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Severities, weak encryption types, lists of names, and patterns of suspicious command lines.
 LOW, MEDIUM, HIGH, CRITICAL = 30, 50, 70, 90
 WEAK_ETYPES = (0x17, 0x18, 0x3)
 LOLBINS = (
-    "certutil.exe mshta.exe wscript.exe cscript.exe regsvr32.exe regsvcs.exe regasm.exe installutil.exe msiexec.exe wmic.exe powershell.exe pwsh.exe rundll32.exe "
-    "schtasks.exe at.exe bitsadmin.exe msdt.exe odbcconf.exe cmstp.exe msbuild.exe dnscmd.exe pcalua.exe xwizard.exe appsyncpublishingserver.exe "
-    "presentationhost.exe syncappvpublishingserver.exe infdefaultinstall.exe ieexec.exe msdeploy.exe bginfo.exe csi.exe dnsclient.exe ftp.exe bash.exe wsl.exe "
-    "diskshadow.exe esentutl.exe expand.exe extrac32.exe findstr.exe forfiles.exe hh.exe makecab.exe mavinject.exe microsoft.workflow.compiler.exe mmc.exe "
-    "mtstocom.exe nltest.exe ntdsutil.exe cfc.exe reg.exe regsvc.exe replace.exe rpcping.exe runscripthelper.exe sc.exe scriptrunner.exe wab.exe wfc.exe winrm.cmd "
-    "aspnet_compiler.exe adplus.exe"
-).split()
+    "certutil.exe", "mshta.exe", "wscript.exe", "cscript.exe", "regsvr32.exe", "regsvcs.exe", "regasm.exe", "installutil.exe", "msiexec.exe",
+    "wmic.exe", "powershell.exe", "pwsh.exe", "rundll32.exe", "schtasks.exe", "at.exe", "bitsadmin.exe", "msdt.exe", "odbcconf.exe", "cmstp.exe",
+    "msbuild.exe", "dnscmd.exe", "pcalua.exe", "xwizard.exe", "appsyncpublishingserver.exe", "presentationhost.exe", "syncappvpublishingserver.exe",
+    "infdefaultinstall.exe", "ieexec.exe", "msdeploy.exe", "bginfo.exe", "csi.exe", "dnsclient.exe", "ftp.exe", "bash.exe", "wsl.exe",
+    "diskshadow.exe", "esentutl.exe", "expand.exe", "extrac32.exe", "findstr.exe", "forfiles.exe", "hh.exe", "makecab.exe", "mavinject.exe",
+    "microsoft.workflow.compiler.exe", "mmc.exe", "mtstocom.exe", "nltest.exe", "ntdsutil.exe", "cfc.exe", "reg.exe", "regsvc.exe", "replace.exe",
+    "rpcping.exe", "runscripthelper.exe", "sc.exe", "scriptrunner.exe", "wab.exe", "wfc.exe", "winrm.cmd", "aspnet_compiler.exe", "adplus.exe",
+)
 SENSITIVE_GROUPS = (
     "Domain Admins",
     "Enterprise Admins",
@@ -95,8 +96,7 @@ def rules() -> list[tuple[str, int, Column, Column, int]]:
         ("lsass_access", CRITICAL, (e == 10) & basename(field("TargetImage")).isin("lsass.exe", "lsaiso.exe"), field("SourceImage"), 1),
         ("pipe_lsass_connect", CRITICAL, (e == 18) & F.lower(field("PipeName")).startswith("\\lsass"), field("Image"), 1),
         ("pipe_create_suspicious", HIGH, (e == 17) & F.lower(field("Image")).rlike(r"\\(temp|public|programdata)\\"), field("PipeName"), 1),
-        ("defender_threat_severe", CRITICAL, (e == 1116) & field("Severity Name").rlike("Severe|High"), field("Threat Name"), 1),
-        ("defender_threat_detected", HIGH, (e == 1116) & ~field("Severity Name").rlike("Severe|High"), field("Threat Name"), 1),
+        ("defender_threat_detected", HIGH, e == 1116, field("Threat Name"), 1),
         ("defender_threat_actioned", HIGH, e == 1117, field("Threat Name"), 1),
         ("sysmon_rare_port", LOW, (e == 3) & port.between(1024, 65535) & ~port.isin(1433, 1521, 3128, 3306, 3389, 5432, 5985, 5986, 8000, 8080, 8443, 8888), port.cast("string"), 3),
         ("firewall_disabled", HIGH, e.isin(4950, 2004) & field("SettingValue").rlike("Disabled|Off"), field("SettingValue"), 1),
@@ -109,17 +109,35 @@ def rules() -> list[tuple[str, int, Column, Column, int]]:
     ]
 
 
-def rule_findings(events: DataFrame, evidence: int = 20) -> DataFrame:
-    """(file, rule, severity, n, evidence): one row a rule and file; evidence lists distinct values in order.
+#: Rules that give a finding an event; all others give one a file.
+EACH_EVENT = ("evtx.security_log_cleared", "evtx.system_log_cleared")
 
-    Distinct values are counted once a (file, rule, value) before they are listed, so that a rule that very many
-    events meet sends few rows.
+
+def rule_findings(events: DataFrame, evidence: int = 20, width: int | None = None) -> DataFrame:
+    """(file, rule, severity, n, evidence): one row a rule and file, for cleared logs one row an event.
+
+    A change of some group is reported only for files without a change of a sensitive one. Detected threats are
+    critical if one of them is severe. Evidence lists the ``evidence`` first distinct values in order (of at most
+    ``width`` characters, if given): they are ranked before they are gathered, so a rule that very many events meet
+    sends few of them.
     """
-    hits = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(f"evtx.{r}").alias("rule"), F.lit(s).alias("severity"), F.substring(x, 1, 200).alias("x"), F.lit(least).alias("least"))) for r, s, c, x, least in rules()]))
-    each = events.select("file", F.explode(hits).alias("h")).groupBy("file", "h.rule", "h.severity", "h.least", "h.x").agg(F.count("*").alias("n"))
-    some = F.slice(F.sort_array(F.collect_set(F.when(F.col("x") != "", F.col("x")))), 1, evidence)
-    by = each.groupBy("file", "rule", "severity", "least").agg(F.sum("n").alias("n"), some.alias("evidence"))
-    return by.where("n >= least").drop("least")
+    severe = F.when((F.col("event_id") == 1116) & field("Severity Name").rlike("Severe|High"), CRITICAL)
+    shown = lambda x: F.substring(x, 1, width) if width else x
+    hits = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(f"evtx.{r}").alias("rule"), F.lit(s).alias("s"), shown(x).alias("x"), F.lit(least).alias("least"))) for r, s, c, x, least in rules()]))
+    each = events.select("file", "record_id", severe.alias("severe"), F.explode(hits).alias("h"))
+    severity = F.when(F.col("h.rule") == "evtx.defender_threat_detected", F.coalesce("severe", "h.s")).otherwise(F.col("h.s"))
+    alone = F.when(F.col("h.rule").isin(*EACH_EVENT), F.col("record_id"))
+    keys = ["file", "rule", "record"]
+    each = each.select("file", F.col("h.rule").alias("rule"), alone.alias("record"), severity.alias("severity"), "h.least", "h.x")
+    each = each.groupBy(*keys, "least", "x").agg(F.count("*").alias("n"), F.max("severity").alias("severity"))
+    counts = each.groupBy(*keys, "least").agg(F.sum("n").alias("n"), F.max("severity").alias("severity")).where("n >= least")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("x"))
+    some = each.where("x <> ''").select(*keys, "x", place.alias("place")).where(F.col("place") <= evidence)
+    some = some.groupBy(*keys).agg(F.sort_array(F.collect_list("x")).alias("evidence"))
+    same = [counts[k].eqNullSafe(some[k]) for k in keys]
+    found = counts.join(some, same, "left").select(*[counts[k] for k in ("file", "rule", "severity", "n")], F.coalesce("evidence", F.array().cast("array<string>")).alias("evidence"))
+    sensitive = counts.where("rule = 'evtx.sensitive_group_change'").select("file", F.lit("evtx.group_membership_change").alias("rule"))
+    return found.join(sensitive, ["file", "rule"], "left_anti").select("file", "rule", "severity", "n", "evidence")
 
 
 def brute_force(events: DataFrame, count: int = BRUTE_FORCE) -> DataFrame:

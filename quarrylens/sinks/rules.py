@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,7 +89,8 @@ def suricata(verdicts: DataFrame, least: str = "malicious", first_sid: int = FIR
         .otherwise("")
     )
     rows = at_least(verdicts, least).withColumn("_b", body).where("_b is not null").withColumn("_c", content).select("type", "value", "verdict", "_b", "_c")
-    rows = rows.repartitionByRange(buckets, "type", "value").withColumn("_k", F.spark_partition_id())
+    # Held, so that both uses below read one dealing of the rows, whatever Spark reuses or computes again.
+    rows = rows.repartitionByRange(buckets, "type", "value").withColumn("_k", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
     rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_k").orderBy("type", "value")))
     starts = rows.groupBy("_k").agg(F.count("*").alias("_size"))
     starts = starts.withColumn("_start", F.coalesce(F.sum("_size").over(Window.orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # at most ``buckets`` rows

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The schemas of the payloads and the bounds of their scores.
@@ -46,3 +46,18 @@ def interpret(source: str, payload: Column) -> Column:
     bad = (pulses >= 5) | (reputation < -2)
     score = F.when(bad, F.least(F.lit(1.0), pulses / 10 + F.greatest(zero, -reputation / 10))).when(pulses >= 1, F.least(F.lit(0.6), pulses / 10)).otherwise(zero)
     return _result(F.when(bad, "malicious").when(pulses >= 1, "suspicious").otherwise("unknown"), score)
+
+
+def exit_addresses(lines: DataFrame, line_col: str = "value") -> DataFrame:
+    """(value) for each distinct address of a text table of exit relays; lines that begin with # are comments."""
+    text = F.col(line_col)
+    return lines.where(~text.startswith("#")).select(F.trim(F.regexp_replace(text, r"^\s+|\s+$", "")).alias("value")).where("value <> ''").distinct()
+
+
+def exit_results(iocs: DataFrame, exits: DataFrame) -> DataFrame:
+    """What the list says of the addresses among ``iocs(type, value)``: an equality join that Spark sizes itself."""
+    listed = exits.select("value", F.lit(True).alias("listed"))
+    rows = iocs.where(F.col("type").isin("ipv4", "ipv6")).join(listed, "value", "left")
+    hit = F.coalesce("listed", F.lit(False))
+    tags = F.when(hit, F.array(F.lit("tor"), F.lit("anonymizer"))).otherwise(F.array().cast("array<string>"))
+    return rows.select("type", "value", F.lit("tor_exit").alias("source"), F.when(hit, "suspicious").otherwise("unknown").alias("verdict"), F.when(hit, 0.5).otherwise(0.0).alias("score"), tags.alias("tags"))

@@ -71,9 +71,15 @@ def debounce(found: DataFrame, key: str = "type", seconds: float = DEBOUNCE_SECO
 
 
 def rate_limited(requests: DataFrame, limit: int = RATE_LIMIT, seconds: int = RATE_SECONDS) -> DataFrame:
-    """(id, ts, allowed): at most ``limit`` requests in a window of ``seconds`` that starts at a client's first request."""
+    """(id, ts, allowed): at most ``limit`` requests in a window of ``seconds`` that starts at a client's first request.
+
+    ``requests(id, ts)`` needs a watermark on ts; a client's state goes when the watermark has passed its window.
+    """
 
     def step(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         began, used = state.get if state.exists else (float("-inf"), 0)
         times = sorted(t for f in frames for t in f.ts)
         allowed = []
@@ -85,6 +91,7 @@ def rate_limited(requests: DataFrame, limit: int = RATE_LIMIT, seconds: int = RA
             allowed.append(used <= limit)
         if times:
             state.update((began, used))
+            state.setTimeoutTimestamp(max(int((began + seconds) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"id": [name[0]] * len(times), "ts": times, "allowed": allowed})
 
-    return requests.groupBy("id").applyInPandasWithState(step, "id string, ts timestamp, allowed boolean", "began double, used int", "append", GroupStateTimeout.NoTimeout)
+    return requests.groupBy("id").applyInPandasWithState(step, "id string, ts timestamp, allowed boolean", "began double, used int", "append", GroupStateTimeout.EventTimeTimeout)

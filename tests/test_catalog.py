@@ -19,7 +19,5 @@ def test_query_matches_sql(spark, con, name):
 
 
 def test_queries_without_sql_give_rows(spark):
-    assert set(QUERIES) - set(SQL) == {"ioc_type_counts", "magic_rank"}
-    counts = {r["type"]: r["n"] for r in QUERIES["ioc_type_counts"](spark, DIR).collect()}
-    assert counts["url"] >= 50 and counts["domain"] >= 1
+    assert set(QUERIES) - set(SQL) == {"magic_rank"}
     assert all(r["operation"] == "base64" for r in QUERIES["magic_rank"](spark, DIR).where("rank = 1").collect())

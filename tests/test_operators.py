@@ -27,11 +27,13 @@ def test_cache_upsert_keeps_the_newest_and_no_errors(spark):
 
 
 def test_correlations(spark):
-    rows = [(i, "ipv4", v, t) for i, (v, t) in enumerate([("185.220.101.1", ["redline"]), ("185.220.101.2", ["redline"]), ("185.220.101.3", ["country:US"]), ("8.8.8.8", ["redline", "country:US"])])]
+    rows = [(i, "ipv4", v, t) for i, (v, t) in enumerate([("192.0.2.11", ["stealer-x"]), ("192.0.2.12", ["stealer-x"]), ("192.0.2.13", ["country:FR"]), ("198.51.100.4", ["stealer-x", "country:FR"])])]
     df = spark.createDataFrame(rows, "pos int, type string, value string, tags array<string>")
     assert correlate.shared_subnet(df).count() == 3
     assert correlate.shared_tag(df, all_pairs=True).count() == 3
-    assert {(r["source"], r["target"]) for r in correlate.shared_tag(df).collect()} == {("185.220.101.1", "185.220.101.2"), ("185.220.101.1", "8.8.8.8")}
+    assert {(r["source"], r["target"]) for r in correlate.shared_tag(df).collect()} == {("192.0.2.11", "192.0.2.12"), ("192.0.2.11", "198.51.100.4")}
+    same = spark.createDataFrame([(0, "ipv4", "192.0.2.4", []), (1, "ipv4", "192.0.2.004", []), (2, "ipv4", "192.0.2.5", [])], "pos int, type string, value string, tags array<string>")
+    assert [(r["source"], r["target"]) for r in correlate.shared_subnet(same).collect()] == [("192.0.2.4", "192.0.2.5")]
 
 
 def test_beacon_needs_even_intervals(spark):
@@ -79,3 +81,15 @@ def test_feeds(spark):
     df = spark.createDataFrame([(payload,), ("no json",), (None,)], "p string")
     got = [tuple(r["r"]) for r in df.select(feeds.interpret("virustotal", df["p"]).alias("r")).collect()]
     assert got == [("malicious", 0.6), ("unknown", 0.0), ("unknown", 0.0)]
+
+
+def test_event_evidence_is_bounded_and_cleared_logs_stand_alone(spark):
+    rows = [("f", i, 4698, "Security", "x", {"TaskName": f"t{i:03d}"}) for i in range(60)] + [("f", 100 + i, 1102, "Security", "x", {"SubjectUserName": "eve"}) for i in range(3)]
+    rows += [("f", 200, 4728, "Security", "x", {"TargetUserName": "Readers"}), ("f", 201, 4728, "Security", "x", {"TargetUserName": "Domain Admins"}), ("g", 1, 4728, "Security", "x", {"TargetUserName": "Readers"})]
+    rows += [("g", 2, 1116, "Defender", "x", {"Severity Name": "Low"}), ("g", 3, 1116, "Defender", "x", {"Severity Name": "Severe"})]
+    df = spark.createDataFrame(rows, "file string, record_id int, event_id int, channel string, provider string, fields map<string,string>")
+    got = winevents.rule_findings(df).collect()
+    assert [r["evidence"] for r in got if r["rule"] == "evtx.scheduled_task_created"] == [[f"t{i:03d}" for i in range(20)]]
+    assert [(r["n"], r["evidence"]) for r in got if r["rule"] == "evtx.security_log_cleared"] == [(1, ["eve"])] * 3
+    assert {(r["file"], r["rule"]) for r in got if "group" in r["rule"]} == {("f", "evtx.sensitive_group_change"), ("g", "evtx.group_membership_change")}
+    assert [(r["severity"], r["n"]) for r in got if "defender" in r["rule"]] == [(90, 2)]

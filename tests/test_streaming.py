@@ -47,6 +47,6 @@ def test_debounce_by_silence_and_by_number(spark, tmp_path):
 
 def test_rate_limit_window_starts_at_the_first_request(spark, tmp_path):
     rows = [("a", at(s)) for s in (5, 10, 20, 64, 66)] + [("b", at(7))]
-    requests = stream(spark, tmp_path / "in", rows, "id string, ts timestamp")
+    requests = stream(spark, tmp_path / "in", rows, "id string, ts timestamp").withWatermark("ts", "0 seconds")
     got = sorted((r["id"], (r["ts"] - T0).seconds, r["allowed"]) for r in run(spark, watch.rate_limited(requests, limit=2), "limited"))
     assert got == [("a", 5, True), ("a", 10, True), ("a", 20, False), ("a", 64, False), ("a", 66, True), ("b", 7, True)]
