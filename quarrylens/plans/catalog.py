@@ -6,34 +6,16 @@ the same arithmetic in Spark and in SQL. All queries read whole tables.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylens.functions import decoders, indicators, network
 from quarrylens.operators import correlate, enrich, extract, findings, flows, scoring, winevents
+from quarrylens.plans import indicator_sql
+from quarrylens.plans.registry import QUERIES, SQL, query, table
 from quarrylens.sinks import rules
 from quarrylens.sources import feeds
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def ascii_text(c: str = "text"):
     """Word boundaries differ between engines outside ASCII; compared queries blank such characters on both sides."""
     return F.regexp_replace(F.col(c), "[^\\x00-\\x7F]", " ")
@@ -46,11 +28,13 @@ HOST_SQL = r"lower(regexp_extract(url, '^[A-Za-z]+://(?:[^/?#@]*@)?([^/?#:]*)',
 # --- extraction -------------------------------------------------------------------------------------------------
 
 
-@query()
+@query(indicator_sql.TYPE_COUNTS)
 def ioc_type_counts(spark, sf_dir):
-    """The whole extraction over pages and documents: how often each type occurs, and in how many texts."""
-    both = table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), "page_id").alias("id"), F.col("url").alias("text")).unionByName(table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text"))
-    return extract.extract(both, "text", ["id"]).groupBy("type").agg(F.count("*").alias("n"), F.count_distinct("id").alias("n_texts"), F.count_distinct("value").alias("n_values"))
+    """The whole extraction over pages (addresses and markup) and documents: how often each type occurs, and in how many texts."""
+    pages = table(spark, sf_dir, "pages")
+    parts = [pages.select(F.concat(F.lit("p"), "page_id").alias("id"), F.col("url").alias("text")), pages.select(F.concat(F.lit("h"), "page_id").alias("id"), F.col("html").alias("text"))]
+    texts = parts[0].unionByName(parts[1]).unionByName(table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text"))
+    return extract.extract(texts, "text", ["id"]).groupBy("type").agg(F.count("*").alias("n"), F.count_distinct("id").alias("n_texts"), F.count_distinct("value").alias("n_values"))
 
 
 def _scan(df: DataFrame, key: str, pattern: str, flags: str = "") -> DataFrame:
@@ -542,7 +526,7 @@ def event_top(spark, sf_dir):
 _RULE_NAMES = ("evtx.kerberoasting", "evtx.lolbin_execution", "pcap.beaconing", "pcap.host_sweep", "evtx.ntlm_auth", "none.such")
 _SEVERITIES = (30, 30, 50, 70, 10)
 _FINDINGS_SQL = f"SELECT l_orderkey AS path, ([{', '.join(repr(x) for x in _RULE_NAMES)}])[CAST(l_partkey % 6 AS INT) + 1] AS rule, ([{', '.join(map(str, _SEVERITIES))}])[CAST(l_suppkey % 5 AS INT) + 1] AS severity FROM lineitem"
-_TECHNIQUES_SQL = "WITH t(rule, t) AS (VALUES " + ", ".join(f"('{r}', '{t}')" for r, *ts in (x.split() for x in findings.TECHNIQUES.strip().splitlines()) for t in ts) + ")"
+_TECHNIQUES_SQL = "WITH t(rule, t) AS (VALUES " + ", ".join(f"('{r}', '{t}')" for r, ts in findings.TECHNIQUES.items() for t in ts) + ")"
 
 
 def _findings(spark, sf_dir):
@@ -636,3 +620,8 @@ def session_batches(spark, sf_dir):
     """The batch form of the debounce: events of a user with less than a day of silence between them."""
     s = table(spark, sf_dir, "events").groupBy("user_id", F.session_window("ts", "1 day")).agg(F.min("ts").alias("began"), F.count("*").alias("n"))
     return s.select("user_id", F.unix_micros(F.col("began").cast("timestamp")).alias("began_us"), "n")
+
+
+from quarrylens.plans import captures, facts, reports  # noqa: E402
+
+__all__ = ["QUERIES", "SQL", "captures", "facts", "reports"]
