@@ -25,9 +25,8 @@ HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
 def host_of(url: Column) -> Column:
-    """Lower-case host of an absolute address, without user and port; null if there is none."""
-    host = F.lower(F.regexp_extract(url, HOST, 1))
-    return F.when(host != "", F.rtrim(host, F.lit(".")))
+    """Lower-case host of an absolute address, without user, port and dots at its end; null if nothing is left."""
+    return F.nullif(F.rtrim(F.lower(F.regexp_extract(url, HOST, 1)), F.lit(".")), F.lit(""))
 
 
 def plain(url: Column) -> Column:

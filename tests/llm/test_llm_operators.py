@@ -306,6 +306,24 @@ def test_quality_rules(spark, docs, none):
     assert not kept.pop(99) and all(kept.values())
 
 
+def test_unknown_languages_are_judged_by_the_nearest_reference(spark):
+    rng = random.Random(7)
+    clean = {"en": "the house of a dog and this field was to be seen as it is for you", "de": "der Hund und die Katze in den Feldern von einem Haus mit der Tür ist nicht hier"}
+    text = lambda lang, n: " ".join(rng.choices(clean[lang].split(), k=80)) + f" {n}."
+    rows = [(n, text(lang, n), lang) for n, lang in enumerate(["en", "de"] * 30)]
+    shout = " ".join("#" + w.upper() + "!!" for w in rng.choices(clean["en"].split(), k=80))
+    rows += [(100, text("de", 0), None), (101, text("en", 0), "xx"), (102, shout, None), (103, shout, "xx"), (104, shout, "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in quality.judge(df, ["doc_id"]).collect()}
+    assert [got[i]["kept"] for i in range(100, 105)] == [True, True, False, False, False]
+    assert all(got[i]["word_distance"] is None for i in (100, 101, 102, 103)) and got[104]["word_distance"] is not None
+    # The distance is that to the nearest reference: not over the one to the text's own language.
+    same = spark.createDataFrame([(r[0], r[1], None if r[0] == 0 else r[2]) for r in rows[:60]], df.schema)
+    free = {r["doc_id"]: r["class_distance"] for r in quality.judge(same, ["doc_id"]).collect()}
+    own = {r["doc_id"]: r["class_distance"] for r in quality.judge(df.where("doc_id < 60"), ["doc_id"]).collect()}
+    assert free[0] <= own[0] + 0.02
+
+
 def test_js_distance(spark):
     df = spark.createDataFrame([([0.5, 0.5], [0.5, 0.5]), ([1.0, 0.0], [0.0, 1.0]), ([1.0, 0.0], [0.5, 0.5])], "p array<double>, q array<double>")
     got = [r[0] for r in df.select(quality.js_distance(F.col("p"), F.col("q"))).collect()]
@@ -473,6 +491,9 @@ def test_url_lists(spark):
     captures = spark.createDataFrame(captures, "page_id long, url string, day string").withColumn("day", F.to_date("day"))
     got = sorted((r["page_id"], r["blocked"], r["kinds"]) for r in urllists.apply_lists(captures, entries).collect())
     assert got == [(1, False, ""), (2, True, "domain"), (3, True, "domain"), (3, True, "domain"), (4, False, ""), (5, True, "host"), (6, False, ""), (7, True, "url"), (8, False, ""), (9, False, ""), (10, False, "")]
+    odd = spark.createDataFrame([(1, "http://./x"), (2, "http://" + "a." * 5000 + "bad.org/" + "x" * 100_000), (3, "no address"), (4, "http://BAD.org./")], "page_id long, url string")
+    odd = odd.select("*", F.lit("2024-02-01").cast("date").alias("day"), F.lit(1).alias("n_active"), F.lit("k").alias("kind"), F.lit("p").alias("pattern"))
+    assert sorted((r["page_id"], r["host"] is None, r["blocked"]) for r in urllists.apply_lists(odd, entries).collect()) == [(1, True, False), (2, False, True), (3, True, False), (4, False, True)]
     assert urllists.apply_lists(captures.where("false"), entries).count() == 0
     assert urllists.apply_lists(captures, entries.where("false")).where("blocked").count() == 0
 
