@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylens.functions.network import looks_generated, second_level_label
@@ -70,10 +70,34 @@ def top_ports(flow: DataFrame, k: int = 10) -> DataFrame:
     return by.orderBy(F.desc("flows"), "b_port").limit(k)
 
 
-def beacons(events: DataFrame, keys: list[str], ts: str, order: str, packets: int = BEACON_PACKETS, intervals: int = BEACON_INTERVALS, cv: float = BEACON_CV, low: float = BEACON_LOW, high: float = BEACON_HIGH) -> DataFrame:
-    """Keys whose events come at even intervals: mean within bounds and a small coefficient of variation."""
-    gap = F.col(ts) - F.lag(ts).over(Window.partitionBy(*keys).orderBy(order))
-    gaps = events.withColumn("_gap", gap)
+def _carried(rows: DataFrame, keys: list[str], last: Column) -> DataFrame:
+    """(keys, _part, _carry): for each part of a key the newest ``last`` of its earlier parts; parts are few against rows."""
+    lasts = rows.groupBy(*keys, "_part").agg(last.alias("_last"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return lasts.select(*keys, "_part", F.last("_last", ignorenulls=True).over(before).alias("_carry"))
+
+
+def _with_carry(rows: DataFrame, keys: list[str], carried: DataFrame) -> DataFrame:
+    names = [*keys, "_part"]
+    carried = carried.select(*[F.col(k).alias(f"_of{i}") for i, k in enumerate(names)], "_carry")
+    same = [F.col(k).eqNullSafe(F.col(f"_of{i}")) for i, k in enumerate(names)]
+    return rows.join(carried, same, "left").drop(*[f"_of{i}" for i in range(len(names))])
+
+
+def beacons(
+    events: DataFrame, keys: list[str], ts: str, order: str, packets: int = BEACON_PACKETS, intervals: int = BEACON_INTERVALS, cv: float = BEACON_CV, low: float = BEACON_LOW, high: float = BEACON_HIGH, part: Column | None = None
+) -> DataFrame:
+    """Keys whose events come at even intervals: mean within bounds and a small coefficient of variation.
+
+    ``part``, an expression that never falls along ``order``, cuts a key's events, so that no task sorts all of a hot
+    key's; the last time of a part is carried over to the next.
+    """
+    rows = events.withColumn("_part", part if part is not None else F.lit(0))
+    before = F.lag(ts).over(Window.partitionBy(*keys, "_part").orderBy(order))
+    if part is not None:
+        rows = _with_carry(rows, keys, _carried(rows, keys, F.max_by(ts, order)))
+        before = F.coalesce(before, F.col("_carry"))
+    gaps = rows.withColumn("_gap", F.col(ts) - before)
     some = F.when(F.col("_gap") > 0, F.col("_gap"))
     by = gaps.groupBy(*keys).agg(F.count("*").alias("n"), F.count(some).alias("n_intervals"), F.avg(some).alias("mean"), F.stddev_pop(some).alias("sd"), F.count_distinct(F.bround(some, 2)).alias("n_distinct"))
     found = by.where((F.col("n") >= packets) & (F.col("n_intervals") >= intervals) & F.col("mean").between(low, high) & (F.col("sd") / F.col("mean") <= cv) & ~((F.col("n_distinct") < 3) & (F.col("mean") < 5)))
@@ -164,7 +188,12 @@ def nxdomain_ratio(stats: DataFrame, responses: int = RESPONSES, ratio: float =
     return stats.where((F.col("responses") >= responses) & (F.col("nxdomain") >= ratio * F.col("responses")))
 
 
-def last_challenge(messages: DataFrame, flow: list[str], order: str) -> DataFrame:
-    """As-of fill: each message with the latest challenge before it on its flow."""
-    w = Window.partitionBy(*flow).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return messages.withColumn("as_of", F.last("challenge", ignorenulls=True).over(w))
+def last_challenge(messages: DataFrame, flow: list[str], order: str, part: Column | None = None) -> DataFrame:
+    """As-of fill: each message with the latest challenge before it on its flow; for ``part`` see ``beacons``."""
+    rows = messages.withColumn("_part", part if part is not None else F.lit(0))
+    w = Window.partitionBy(*flow, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    latest = F.last("challenge", ignorenulls=True).over(w)
+    if part is not None:
+        rows = _with_carry(rows, flow, _carried(rows, flow, F.max_by("challenge", F.when(F.col("challenge").isNotNull(), F.col(order)))))
+        latest = F.coalesce(latest, F.col("_carry"))
+    return rows.withColumn("as_of", latest).select(*messages.columns, "as_of")

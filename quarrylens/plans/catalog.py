@@ -418,7 +418,7 @@ _BEACON_SQL = """WITH g AS (SELECT user_id, event_type, epoch_ms(ts) / 86400000.
 def beacons(spark, sf_dir):
     """In days, with a loose bound: the events of the tables come at random."""
     e = table(spark, sf_dir, "events").select("user_id", "event_type", (F.unix_millis(F.col("ts").cast("timestamp")) / 86400000.0).alias("d"), F.struct(F.unix_millis(F.col("ts").cast("timestamp")), "event_id").alias("at"))
-    found = flows.beacons(e, ["user_id", "event_type"], "d", "at", cv=0.8, low=0.001, high=100)
+    found = flows.beacons(e, ["user_id", "event_type"], "d", "at", cv=0.8, low=0.001, high=100, part=F.floor(F.col("d") / 7))
     return found.select("user_id", "event_type", "n", F.round("mean", 4).alias("mean"), F.round("cv", 4).alias("cv"))
 
 
@@ -469,7 +469,7 @@ def dns_query_rates(spark, sf_dir):
 @query("WITH m AS (SELECT user_id, event_id, CASE WHEN event_type = 'view' THEN event_id END AS c, event_type FROM events), a AS (SELECT *, last_value(c IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS as_of FROM m) SELECT user_id, event_id, as_of FROM a WHERE event_type = 'click'")
 def asof_challenge(spark, sf_dir):
     m = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.when(F.col("event_type") == "view", F.col("event_id")).alias("challenge"))
-    return flows.last_challenge(m, ["user_id"], "event_id").where("event_type = 'click'").select("user_id", "event_id", "as_of")
+    return flows.last_challenge(m, ["user_id"], "event_id", part=F.floor(F.col("event_id") / 4096)).where("event_type = 'click'").select("user_id", "event_id", "as_of")
 
 
 # --- Windows events ---------------------------------------------------------------------------------------------
@@ -622,6 +622,6 @@ def session_batches(spark, sf_dir):
     return s.select("user_id", F.unix_micros(F.col("began").cast("timestamp")).alias("began_us"), "n")
 
 
-from quarrylens.plans import captures, facts, reports  # noqa: E402
+from quarrylens.plans import captures, facts, reports, streams  # noqa: E402
 
-__all__ = ["QUERIES", "SQL", "captures", "facts", "reports"]
+__all__ = ["QUERIES", "SQL", "captures", "facts", "reports", "streams"]

@@ -1,5 +1,7 @@
 """Scores, caches, correlations, flows, event rules and outputs on small rows."""
 
+from pyspark.sql import functions as F
+
 from quarrylens.operators import correlate, enrich, flows, scoring, winevents
 from quarrylens.sinks import rules
 from quarrylens.sources import feeds
@@ -93,3 +95,13 @@ def test_event_evidence_is_bounded_and_cleared_logs_stand_alone(spark):
     assert [(r["n"], r["evidence"]) for r in got if r["rule"] == "evtx.security_log_cleared"] == [(1, ["eve"])] * 3
     assert {(r["file"], r["rule"]) for r in got if "group" in r["rule"]} == {("f", "evtx.sensitive_group_change"), ("g", "evtx.group_membership_change")}
     assert [(r["severity"], r["n"]) for r in got if "defender" in r["rule"]] == [(90, 2)]
+
+
+def test_parts_of_a_hot_flow_carry_over(spark):
+    rows = [("a" if i % 3 else None, i, 10.0 * i + (i % 2) * 0.1, i if i % 7 == 0 else None) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, n int, ts double, challenge int")
+    part = (F.col("n") / 16).cast("int")
+    plain, cut = (sorted(map(str, flows.last_challenge(df, ["k"], "n", p).collect())) for p in (None, part))
+    assert plain == cut
+    plain, cut = ([tuple(r) for r in flows.beacons(df, ["k"], "ts", "n", cv=0.5, part=p).orderBy("k").collect()] for p in (None, part))
+    assert [r[:2] for r in plain] == [r[:2] for r in cut] and all(abs(x[2] - y[2]) < 1e-9 for x, y in zip(plain, cut, strict=True)) and len(plain) == 2
