@@ -2,36 +2,12 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
-MAX_LONG = (1 << 63) - 1
-
+from quarrylens.storage import fresh_path
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees: ``spark.checkpoint.dir``, or what ``setCheckpointDir`` named.
-
-    In local mode, where driver and executor are one process, an own folder serves if neither is set; on a cluster
-    their absence is an error, since executors would write to folders of their own.
-    """
-    context = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if not base:
-        named = context._jsc.sc().getCheckpointDir()
-        base = named.get() if named.isDefined() else None
-    if base:
-        return base.rstrip("/")
-    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    app = context.applicationId
-    if app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="quarrylens-")
-    return _OWN[app]
+MAX_LONG = (1 << 63) - 1
 
 
 def row_key(*columns: str) -> list[Column]:
@@ -59,11 +35,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     when the session's file system is closed.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quarrylens-{uuid.uuid4().hex}/{name}"
+    path = fresh_path(spark, name)
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    top = jvm.org.apache.hadoop.fs.Path(path).getParent()
-    top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(top)
     return spark.read.schema(df.schema).parquet(path)
 
 

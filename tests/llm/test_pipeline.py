@@ -90,7 +90,7 @@ def test_other_stages_of_odd_rows(spark, odd):
 def test_shared_folder_is_required_on_a_cluster(spark):
     from types import SimpleNamespace
 
-    from quarrylens.llm.common import shared_dir
+    from quarrylens.storage import shared_dir
 
     none = SimpleNamespace(isDefined=lambda: False)
     context = SimpleNamespace(getConf=lambda: SimpleNamespace(get=lambda k: None), _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)), master="spark://host:7077", applicationId="x")
