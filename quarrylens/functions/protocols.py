@@ -211,11 +211,11 @@ def url_id(url: Column) -> Column:
     return F.translate(F.base64(F.encode(url, "utf-8")), "+/=\r\n", "-_")
 
 
-def ftp_credentials(packets: DataFrame) -> DataFrame:
-    """(src_ip, dst_ip, verb, value): the first USER, PASS, RETR and STOR of each pair on port 21."""
+def ftp_credentials(packets: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, src_ip, dst_ip, verb, value): the first USER, PASS, RETR and STOR of each pair on port 21."""
     ftp = packets.where("proto = 6 and (dst_port = 21 or src_port = 21)")
     head = F.decode(F.substring("payload", 1, 512), "ISO-8859-1")
-    lines = ftp.select("src_ip", "dst_ip", "frame_no", F.posexplode(F.regexp_extract_all(head, F.lit(r"(?m)^(?:USER|PASS|RETR|STOR)\s+\S+\r?\n"), F.lit(0))).alias("pos", "line"))
+    lines = ftp.select(*by, "src_ip", "dst_ip", "frame_no", F.posexplode(F.regexp_extract_all(head, F.lit(r"(?m)^(?:USER|PASS|RETR|STOR)\s+\S+\r?\n"), F.lit(0))).alias("pos", "line"))
     parts = F.split(F.trim(F.regexp_replace("line", r"[\r\n]+$", "")), r"\s+", 2)
-    each = lines.select("src_ip", "dst_ip", F.get(parts, F.lit(0)).alias("verb"), F.get(parts, F.lit(1)).alias("value"), F.struct("frame_no", "pos").alias("at"))
-    return each.groupBy("src_ip", "dst_ip", "verb").agg(F.min_by("value", "at").alias("value"))
+    each = lines.select(*by, "src_ip", "dst_ip", F.get(parts, F.lit(0)).alias("verb"), F.get(parts, F.lit(1)).alias("value"), F.struct("frame_no", "pos").alias("at"))
+    return each.groupBy(*by, "src_ip", "dst_ip", "verb").agg(F.min_by("value", "at").alias("value"))

@@ -79,6 +79,41 @@ def agent_findings(requests: DataFrame) -> DataFrame:
     return _union([finding(odd, "pcap.suspicious_user_agent", MEDIUM, "c2", shown), finding(requests.where("basic_auth"), "pcap.plaintext_http_basic", HIGH, "credentials", _arrow("src_ip", "dst_ip", "dst_port"))])
 
 
+def server_findings(servers: DataFrame) -> DataFrame:
+    """Known fingerprints of ``servers(file, ja3s)``."""
+    known = servers.withColumn("label", protocols.known_ja3(F.col("ja3s"), server=True)).where("label is not null")
+    return finding(known, "pcap.ja3s_known_bad", MEDIUM, "c2", F.col("ja3s"), F.col("label"))
+
+
+def share_findings(shares: DataFrame) -> DataFrame:
+    """Administrative shares and the first dialect, of ``shares(file, src_ip, dst_ip, dialect, path)``; each is named once."""
+    admin = shares.where(protocols.is_admin_share(F.col("path"))).select("file", "src_ip", "dst_ip", "path").distinct()
+    old = shares.where("dialect = 'SMB1'").select("file", "src_ip", "dst_ip").distinct()
+    return _union([
+        finding(admin, "pcap.smb_admin_share", HIGH, "lateral_movement", F.col("path"), _arrow("src_ip", "dst_ip")),
+        finding(old, "pcap.smb1_in_use", MEDIUM, "anomaly", _arrow("src_ip", "dst_ip")),
+    ])
+
+
+def ticket_findings(tickets: DataFrame) -> DataFrame:
+    """Of ``tickets(file, client, service, realm, message, etype, etypes, preauth)``: roasting and weak offers."""
+    roast = tickets.where(protocols.is_kerberoastable(F.col("message"), F.col("etype"), F.col("service")))
+    open_ = tickets.where(protocols.is_asrep_roastable(F.col("message"), F.col("preauth")))
+    weak = tickets.where(protocols.is_rc4_downgrade(F.col("message"), F.col("etypes")))
+    return _union([
+        finding(roast, "pcap.kerberoasting", HIGH, "credentials", F.col("service"), F.col("realm")),
+        finding(open_, "pcap.asrep_roasting", HIGH, "credentials", F.col("client"), F.col("realm")),
+        finding(weak, "pcap.kerberos_rc4_downgrade", MEDIUM, "c2", F.col("client"), F.col("realm")),
+    ])
+
+
+def credential_findings(responses: DataFrame, logins: DataFrame) -> DataFrame:
+    """Of ``responses(file, user, domain, challenge, response)`` and ``logins(file, src_ip, dst_ip, verb, value)`` in plain text."""
+    line = protocols.netntlmv2(*[F.col(c) for c in ("user", "domain", "challenge", "response")])
+    taken = responses.withColumn("line", line).where("line is not null")
+    return _union([finding(taken, "pcap.netntlmv2_capture", HIGH, "credentials", F.col("line")), finding(logins, "pcap.plaintext_ftp_creds", HIGH, "credentials", _arrow("src_ip", "dst_ip"))])
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:

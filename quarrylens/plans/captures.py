@@ -127,6 +127,38 @@ def capture_summary(spark, sf_dir):
     return flows.capture_summary(_packets(spark, sf_dir), _hellos(spark, sf_dir), ("file",))
 
 
+_SHARES, _ETYPES = ("ADMIN$", "c$", "IPC$", "data"), (17, 18, 23, 24)
+_SERVERS = (*protocols.BAD_JA3S, "0" * 32)
+
+
+@query(
+    f"""WITH o AS (SELECT 'f' || (o_orderkey % 2) AS file, 's' || (o_custkey % 3) AS s, 'd' || (o_orderkey % 5) AS d, {pick_sql('o_custkey', _SHARES)} AS sh, o_orderkey % 4 = 0 AS old, o_orderkey % 4 + 10 AS m, {pick_sql('o_custkey', _ETYPES)} AS e,
+ CASE WHEN o_custkey % 5 = 0 THEN 'krbtgt/X' ELSE 'svc/h' || (o_custkey % 5) END AS sv, 'c' || (o_custkey % 9) AS c, o_custkey % 3 = 0 AS pre, {pick_sql('o_custkey', _SERVERS)} AS js, md5(CAST(o_orderkey AS VARCHAR)) AS h, o_custkey % 5 AS u FROM orders),
+ t(f, label) AS (VALUES {", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in protocols.BAD_JA3S.items())}),
+ x AS (SELECT DISTINCT file, 'pcap.smb_admin_share' AS rule, 70 AS severity, chr(92) || chr(92) || 'h' || chr(92) || sh || ' ' || s || '->' || d AS evidence FROM o WHERE sh IN ('ADMIN$', 'c$')
+ UNION ALL SELECT DISTINCT file, 'pcap.smb1_in_use', 50, s || '->' || d FROM o WHERE old
+ UNION ALL SELECT file, 'pcap.kerberoasting', 70, sv || ' R' FROM o WHERE m = 13 AND e IN (23, 24) AND sv <> 'krbtgt/X' UNION ALL SELECT file, 'pcap.asrep_roasting', 70, c || ' R' FROM o WHERE m = 10 AND NOT pre
+ UNION ALL SELECT file, 'pcap.kerberos_rc4_downgrade', 50, c || ' R' FROM o WHERE m IN (10, 12) AND e IN (23, 24)
+ UNION ALL SELECT file, 'pcap.ja3s_known_bad', 50, js || ' ' || label FROM o JOIN t ON o.js = t.f
+ UNION ALL SELECT file, 'pcap.netntlmv2_capture', 70, 'u' || u || '::D:' || substr(h, 1, 16) || ':' || h || ':' FROM o WHERE u <> 0
+ UNION ALL SELECT DISTINCT file, 'pcap.plaintext_ftp_creds', 70, s || '->' || d FROM o)
+ SELECT file, rule, severity, evidence, count(*) AS n FROM x GROUP BY 1, 2, 3, 4"""
+)
+def auth_findings(spark, sf_dir):
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    text = lambda prefix, n: F.concat(F.lit(prefix), n.cast("string"))
+    rows = table(spark, sf_dir, "orders").select("*", text("f", o % 2).alias("file"), text("s", c % 3).alias("src_ip"), text("d", o % 5).alias("dst_ip"))
+    shares = rows.select("file", "src_ip", "dst_ip", F.when(o % 4 == 0, "SMB1").otherwise("SMB2").alias("dialect"), F.concat(F.lit("\\\\h\\"), pick(c, _SHARES)).alias("path"))
+    etype, service = pick(c, _ETYPES), F.when(c % 5 == 0, "krbtgt/X").otherwise(text("svc/h", c % 5))
+    tickets = rows.select("file", text("c", c % 9).alias("client"), service.alias("service"), F.lit("R").alias("realm"), (o % 4 + 10).cast("int").alias("message"), etype.alias("etype"), F.array(etype).alias("etypes"), (c % 3 == 0).alias("preauth"))
+    h = F.md5(o.cast("string"))
+    responses = rows.select("file", F.when(c % 5 == 0, "").otherwise(text("u", c % 5)).alias("user"), F.lit("D").alias("domain"), F.unhex(F.substring(h, 1, 16)).alias("challenge"), F.unhex(h).alias("response"))
+    packets = rows.select("file", o.alias("frame_no"), "src_ip", "dst_ip", F.lit(5000).alias("src_port"), F.lit(21).alias("dst_port"), F.lit(6).alias("proto"), F.concat(text("USER u", c), F.lit("\r\n")).cast("binary").alias("payload"))
+    found = captures.share_findings(shares).unionByName(captures.ticket_findings(tickets)).unionByName(captures.server_findings(rows.select("file", pick(c, _SERVERS).alias("ja3s"))))
+    found = found.unionByName(captures.credential_findings(responses, protocols.ftp_credentials(packets, ("file",))))
+    return found.groupBy("file", "rule", "severity", F.array_join("evidence", " ").alias("evidence")).agg(F.count("*").alias("n"))
+
+
 # --- event logs -------------------------------------------------------------------------------------------------
 
 _ENCODED = "powershell.exe -enc " + "QUJD" * 8
