@@ -3,8 +3,9 @@
 At this similarity the 64 bits of two SimHash fingerprints differ in about ten, more than any index of their bits can
 look up, so fingerprints within 3 bits are only one source of candidates. The other is minimum hashes: BANDS keys, each
 of ROWS minima, of which two texts share at least one with a probability of 1 - (1 - J ** ROWS) ** BANDS (0.9998 at
-0.8). All pairs of a key with at most ALL_PAIRS texts are candidates; of a larger one, each text with the first of them,
-so that the work grows with the texts and not with their pairs. Every candidate is verified on the whole shingle sets,
+0.8). All pairs of a key with at most ALL_PAIRS texts are candidates; of a larger one, each text with one of them, which a
+hash of text and key picks, so that a group meets another one under each of its keys and the work grows with the texts and
+not with their pairs. Every candidate is verified on the whole shingle sets,
 and verified pairs become groups by ``connected_components``.
 
 The rows are distinct texts, known by a digest; copies cost nothing more. Texts are shuffled once, for the shingle sets
@@ -77,7 +78,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def candidates(nodes: DataFrame) -> DataFrame:
     """(a, b), a < b, for pairs of ``nodes(node, fp, size, bands)`` that may be similar; those whose sizes forbid it are left out."""
     keyed = nodes.select(F.explode("bands").alias("key"), F.struct("node", "size").alias("x"))
-    groups = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("x").alias("first")).where("n > 1")
+    groups = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min_by("x", F.xxhash64("x.node", "key")).alias("first")).where("n > 1")
     linked = materialize(keyed.join(groups, "key"), "bands")
     star = linked.select(F.col("first").alias("x"), F.col("x").alias("y"))
     few = linked.where(F.col("n").between(3, ALL_PAIRS)).groupBy("key").agg(F.collect_list("x").alias("all"))
@@ -87,8 +88,8 @@ def candidates(nodes: DataFrame) -> DataFrame:
     near = links(same.select("fp", F.col("x.node").alias("node")))
     of = lambda end: same.select(F.col("x.node").alias(end), F.col("x").alias(f"{end}x"))
     near = near.join(of("a"), "a").join(of("b"), "b").select(F.col("ax").alias("x"), F.col("bx").alias("y"))
-    found = star.unionByName(pairs).unionByName(alike).unionByName(near).where("x.node < y.node and 5 * least(x.size, y.size) >= 4 * greatest(x.size, y.size)")
-    return found.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    found = star.unionByName(pairs).unionByName(alike).unionByName(near).where("x.node <> y.node and 5 * least(x.size, y.size) >= 4 * greatest(x.size, y.size)")
+    return found.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def similar_texts(docs: DataFrame) -> DataFrame:
