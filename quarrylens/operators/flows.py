@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrylens.functions.indicators import let
 from quarrylens.functions.network import looks_generated, second_level_label
 
 # Default thresholds.
@@ -154,9 +155,15 @@ def dns_names(messages: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return named.groupBy(*by, "qname").agg(F.count_if(~r).alias("queries"), F.count_if(r & (F.col("rcode") == 3)).alias("nxdomain"), F.count_if(F.col("qtype") == 16).alias("txt"))
 
 
+def _labelled(messages: DataFrame, by: tuple[str, ...], n: Column) -> DataFrame:
+    """(by, qname, n, label): each name once, with its second-level label, which is taken after the aggregation, once a name."""
+    named = messages.where("qname <> ''").groupBy(*by, "qname").agg(n.alias("n"), F.max("qname").alias("_name"))
+    return named.select(*by, "qname", "n", let(F.col("_name"), second_level_label).alias("label"))
+
+
 def generated_names(messages: DataFrame, by: tuple[str, ...], least: int = GENERATED_NAMES, shown: int = SHOWN_NAMES) -> DataFrame:
     """(by, n_names, many, names): captures with names that look generated; ``many`` from ``least`` on, the first ones in order."""
-    names = messages.where("qname <> ''").select(*by, "qname").distinct().where(looks_generated(second_level_label(F.col("qname"))))
+    names = _labelled(messages, by, F.count("*")).where(let(F.col("label"), looks_generated)).select(*by, "qname")
     first = names.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("qname"))).where(F.col("place") <= shown)
     first = first.groupBy(*by).agg(F.sort_array(F.collect_list("qname")).alias("names"))
     return names.groupBy(*by).agg(F.count("*").alias("n_names")).withColumn("many", F.col("n_names") >= least).join(first, list(by))
@@ -168,7 +175,7 @@ def txt_volume(stats: DataFrame, least: int = TXT_BYTES) -> DataFrame:
 
 def busy_labels(messages: DataFrame, durations: DataFrame, by: tuple[str, ...], queries: int = QUERIES, rate: float = QUERIES_A_SECOND) -> DataFrame:
     """Second-level labels with many queries a second of their capture, of ``durations(by, seconds)``."""
-    asked = messages.where(~F.col("is_response") & (F.col("qname") != "")).groupBy(*by, second_level_label(F.col("qname")).alias("sld")).agg(F.count("*").alias("n"))
+    asked = _labelled(messages, by, F.count_if(~F.col("is_response"))).groupBy(*by, F.col("label").alias("sld")).agg(F.sum("n").alias("n"))
     return asked.join(durations, list(by)).where((F.col("seconds") > 0) & (F.col("n") >= queries) & (F.col("n") / F.col("seconds") >= rate)).select(*by, "sld", "n")
 
 
