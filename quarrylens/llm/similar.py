@@ -4,9 +4,13 @@ At this similarity the 64 bits of two SimHash fingerprints differ in about ten,
 look up, so fingerprints within 3 bits are only one source of candidates. The other is minimum hashes: BANDS keys, each
 of ROWS minima, of which two texts share at least one with a probability of 1 - (1 - J ** ROWS) ** BANDS (0.9998 at
 0.8). All pairs of a key with at most ALL_PAIRS texts are candidates; of a larger one, each text with one of them, which a
-hash of text and key picks, so that a group meets another one under each of its keys and the work grows with the texts and
-not with their pairs. Every candidate is verified on the whole shingle sets,
-and verified pairs become groups by ``connected_components``.
+hash of text and key picks. Every candidate is verified on the whole shingle sets, and verified pairs become groups by
+``connected_components``.
+
+Where a large key still holds texts of several groups, ``across`` looks at what is left exactly: two sets of this
+similarity share one of the rarest shingles of each (a fifth of the set and one more), so these alone are joined, a
+position bound drops what cannot reach the similarity any more, and members of a shingle's largest group never meet each
+other. The work so grows with the texts and with those pairs of groups that share rare shingles, not with the pairs of a key.
 
 The rows are distinct texts, known by a digest; copies cost nothing more. Texts are shuffled once, for the shingle sets
 of candidates, and only the sets of candidates are stored.
@@ -75,11 +79,15 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([node], pa.int64()), pa.array([found], pa.list_(pa.int64()))], ["node", "shingles"])
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """(a, b), a < b, for pairs of ``nodes(node, fp, size, bands)`` that may be similar; those whose sizes forbid it are left out."""
-    keyed = nodes.select(F.explode("bands").alias("key"), F.struct("node", "size").alias("x"))
-    groups = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min_by("x", F.xxhash64("x.node", "key")).alias("first")).where("n > 1")
-    linked = materialize(keyed.join(groups, "key"), "bands")
+def keyed(nodes: DataFrame) -> DataFrame:
+    """(key, x struct<node, size>, n, first): each key that two or more of ``nodes(node, size, bands)`` have, and its texts."""
+    rows = nodes.select(F.explode("bands").alias("key"), F.struct("node", "size").alias("x"))
+    groups = rows.groupBy("key").agg(F.count("*").alias("n"), F.min_by("x", F.xxhash64("x.node", "key")).alias("first")).where("n > 1")
+    return rows.join(groups, "key")
+
+
+def candidates(nodes: DataFrame, linked: DataFrame) -> DataFrame:
+    """(a, b), a < b, for pairs of ``nodes(node, fp, size)`` that may be similar; those whose sizes forbid it are left out."""
     star = linked.select(F.col("first").alias("x"), F.col("x").alias("y"))
     few = linked.where(F.col("n").between(3, ALL_PAIRS)).groupBy("key").agg(F.collect_list("x").alias("all"))
     pairs = few.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y")).where("x.node < y.node")
@@ -92,6 +100,41 @@ def candidates(nodes: DataFrame) -> DataFrame:
     return found.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
+def across(linked: DataFrame, groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b), a < b, for all pairs of different groups that may be similar, among the texts of large keys with several groups.
+
+    ``groups(node, component)`` has the texts in groups of two or more, ``sets(node, shingles)`` those of all large keys.
+    """
+    large = linked.where(F.col("n") > ALL_PAIRS).select("key", F.col("x.node").alias("node")).join(groups, "node", "left")
+    large = large.withColumn("component", F.coalesce("component", "node"))
+    mixed = large.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    rest = large.join(mixed, "key").select("node", "component").distinct()
+    # Repeated rows of the table have repeated sets.
+    one = sets.join(rest, "node").dropDuplicates(["node"])
+    rows = materialize(one.select("node", "component", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle")), "rest")
+    shared = rows.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    sorted_ = rows.join(shared, "shingle").groupBy("node", "component", "size").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("all"))
+    # Shingles of no other text come first; of what follows, the prefix has these.
+    alone = F.col("size") - F.size("all")
+    length = F.expr("size - (4 * size + 4) div 5 + 1").cast("int") - alone
+    prefix = sorted_.where(length > 0).select("node", "component", "size", alone.alias("alone"), F.posexplode(F.slice("all", 1, length)).alias("i", "x"))
+    prefix = materialize(prefix.select("x.shingle", "node", "component", "size", (F.col("size") - F.col("alone") - F.col("i")).alias("left")), "prefix")
+    by_group = prefix.groupBy("shingle", "component").agg(F.count("*").alias("n"))
+    main = by_group.groupBy("shingle").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("k")).where("k > 1")
+    x = prefix.join(main, "shingle").where("component <> main").select("shingle", "main", *[F.col(c).alias(f"x_{c}") for c in ("node", "component", "size", "left")])
+    # Nothing before the first shared shingle is shared, so with it all of the overlap is in what is left of both.
+    may = "x_component <> component and (component = main or x_node < node) and 5 * least(x_size, size) >= 4 * greatest(x_size, size) and 9 * least(x_left, left) >= 4 * (x_size + size)"
+    return x.join(prefix, "shingle").where(may).select(F.least("x_node", "node").alias("a"), F.greatest("x_node", "node").alias("b")).distinct()
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose shingle sets have a Jaccard index of 0.8 or more."""
+    of = lambda end: sets.select(F.col("node").alias(end), F.col("shingles").alias(f"{end}_set"))
+    both = F.size(F.array_intersect("a_set", "b_set"))
+    # J >= 4 / 5 in whole numbers
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(9 * both >= 4 * (F.size("a_set") + F.size("b_set"))).select("a", "b")
+
+
 def similar_texts(docs: DataFrame) -> DataFrame:
     """(doc_id long, digest binary, component_id long) for each distinct text of the rows with a doc_id.
 
@@ -101,13 +144,14 @@ def similar_texts(docs: DataFrame) -> DataFrame:
     prints = materialize(texts.mapInArrow(_prints, "doc_id long, digest binary, fp long, size int, bands array<long>"), "prints")
     nodes = prints.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *[F.min(c).alias(c) for c in ("fp", "size", "bands")])
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    pairs = materialize(candidates(nodes), "candidates")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc_id", "digest"), "node")
+    linked = materialize(keyed(nodes), "bands")
+    pairs = materialize(candidates(nodes, linked), "candidates")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(linked.where(F.col("n") > ALL_PAIRS).select("x.node")).distinct()
+    wanted = wanted.join(nodes.select("node", "doc_id", "digest"), "node")
     sets = texts.join(wanted, ["doc_id", "digest"]).select("node", "text").mapInArrow(_sets, "node long, shingles array<long>")
     sets = materialize(sets, "shingles")
-    of = lambda end: sets.select(F.col("node").alias(end), F.col("shingles").alias(f"{end}_set"))
-    both = F.size(F.array_intersect("a_set", "b_set"))
-    # J >= 4 / 5 in whole numbers
-    similar = pairs.join(of("a"), "a").join(of("b"), "b").where(9 * both >= 4 * (F.size("a_set") + F.size("b_set"))).select("a", "b")
-    groups = connected_components(similar)
+    groups = connected_components(verified(pairs, sets))
+    more = materialize(verified(across(linked, groups, sets), sets), "across")
+    if not more.isEmpty():
+        groups = connected_components(more.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     return nodes.join(groups, "node", "left").select("doc_id", "digest", F.coalesce("component", "node").alias("component_id"))

@@ -1,8 +1,12 @@
 """Near-dedup of the pipeline: 5-word shingles, similarity 0.8 or more."""
 
 import random
+
+import brute
 import corpus_pipeline
 
+from quarrylens.llm import similar
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars int"
 
 
@@ -46,3 +50,33 @@ def test_near_dedup_joins_similar_texts(spark):
     kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, frame(spark, rows + group), "").collect()}
     assert kept & {i for i, _ in rows} == {i for i, _ in rows} - dropped
     assert kept & {i for i, _ in group} == {2000}
+
+
+def test_texts_of_frequent_keys_lose_no_link(spark, monkeypatch):
+    """A passage in all texts gives them common keys; pairs and chains of similar ones among them are still found."""
+    monkeypatch.setattr(similar, "ALL_PAIRS", 2)
+    rng = random.Random(8)
+    passage, rows = words(rng, 170), []
+    for i in range(120):
+        base = passage + words(rng, 40)
+        rows.append(base)
+        if i % 3 == 0:
+            rows += [changed(rng, base, 3), changed(rng, rows[-1], 2)]
+    rng.shuffle(rows)
+    texts = {i: " ".join(t) for i, t in enumerate(rows)} | {900: texts_end(rows[0], rng), 901: ""}
+    table = frame(spark, list(texts.items()) + [(0, texts[0]), (5, texts[5])])
+    linked = similar.keyed(nodes(spark, texts))
+    assert linked.where("n > 16").count() > 200
+    found = {r["doc_id"]: r["component_id"] for r in similar.similar_texts(table).collect()}
+    groups = brute.similar_groups(texts)
+    partition = lambda of: {frozenset(i for i in of if of[i] == g) for g in of.values()}
+    assert partition(found) == partition(groups)
+
+
+def texts_end(words_, rng):
+    return " ".join(words_ + words(rng, 2))
+
+
+def nodes(spark, texts):
+    rows = [(i, len(h := similar.np.unique(similar.shingle_hashes(t.encode(), 5))), similar.band_keys(h).view("int64").tolist()) for i, t in texts.items()]
+    return spark.createDataFrame(rows, "node long, size int, bands array<long>")
