@@ -4,6 +4,7 @@ import random
 
 import brute
 import corpus_pipeline
+import pytest
 
 from quarrylens.llm import similar
 
@@ -52,9 +53,12 @@ def test_near_dedup_joins_similar_texts(spark):
     assert kept & {i for i, _ in group} == {2000}
 
 
-def test_texts_of_frequent_keys_lose_no_link(spark, monkeypatch):
-    """A passage in all texts gives them common keys; pairs and chains of similar ones among them are still found."""
-    monkeypatch.setattr(similar, "ALL_PAIRS", 2)
+@pytest.mark.parametrize("some", [True, False])
+def test_texts_of_frequent_keys_lose_no_link(spark, monkeypatch, some):
+    """A passage in all texts gives them common keys; without any other candidates, the exact way alone finds all groups."""
+    monkeypatch.setattr(similar, "ALL_PAIRS", 1)
+    candidates = similar.candidates
+    monkeypatch.setattr(similar, "candidates", lambda *x: candidates(*x).where("a % 3 = 0" if some else "false"))
     rng = random.Random(8)
     passage, rows = words(rng, 170), []
     for i in range(120):
