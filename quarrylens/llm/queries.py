@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm import ann, chunks, packing, pu, quality, repeats, reshard, simhash, sql, urllists, wfst
+from quarrylens.llm import align, ann, centroids, chunks, exact, packing, pu, quality, repeats, reshard, simhash, sql, urllists, wfst
 
 OLD_SHARDS, NEW_SHARDS = 32, 40
 
@@ -80,6 +80,21 @@ def op10_temporal_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urllists.apply_lists(pages.select("page_id", "url", fetched.alias("day")), _list_entries(pages))
 
 
+def op11_streaming_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact.dedup(spark, f"{sf_dir}/documents.parquet")
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def op12_threshold_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """40 clusters in five rounds; they start from the vectors whose ids have the smallest digests."""
+    order = F.sha2(F.concat(F.lit("2:"), F.col("vec_id").cast("string")).cast("binary"), 256)
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"), 40, 5, 64, order)
+
+
+def op13_mph_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align_documents(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 _ALL = (
     op1_mincost_reshard,
     op2_pow2_packing,
@@ -91,6 +106,9 @@ _ALL = (
     op8_gear_chunk_dedup,
     op9_hilbert_ann,
     op10_temporal_url_lists,
+    op11_streaming_exact_dedup,
+    op12_threshold_centroids,
+    op13_mph_token_alignment,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
-SQL: dict[str, str] = {"op6_divergence_rules": sql.QUALITY, "op10_temporal_url_lists": sql.URL_LISTS}
+SQL: dict[str, str] = {"op6_divergence_rules": sql.QUALITY, "op10_temporal_url_lists": sql.URL_LISTS, "op11_streaming_exact_dedup": sql.EXACT, "op12_threshold_centroids": sql.CENTROIDS}

@@ -57,3 +57,32 @@ SELECT f.doc_id AS doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat
  NOT base_failed AND NOT ((n_words >= {quality.MIN_WORDS_FOR_CLASSES} AND coalesce(hd.d, 0.0) > {quality.MAX_CLASS_DISTANCE}) OR (n_words >= {quality.MIN_WORDS_FOR_WORDS} AND coalesce(qd.d, 0.0) > {quality.MAX_WORD_DISTANCE})) AS kept
 FROM f LEFT JOIN hd ON f.doc_id = hd.doc_id LEFT JOIN qd ON f.doc_id = qd.doc_id
 """
+
+EXACT = r"""
+WITH x AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
+g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM x GROUP BY t)
+SELECT x.doc_id AS doc_id, g.keep_id AS keep_id, g.group_size AS group_size, x.doc_id = g.keep_id AS kept, sha256(x.t) AS text_sha256 FROM x JOIN g ON x.t = g.t
+"""
+
+
+def _centroids(k: int, rounds: int, dim: int) -> str:
+    assigned = lambda r: (
+        f"d{r} AS (SELECT x.n AS n, c.k AS k, CAST(sum((x.x - c.x) * (x.x - c.x)) AS BIGINT) AS d FROM x JOIN c{r} c ON x.i = c.i GROUP BY x.n, c.k),\n"
+        f"a{r} AS MATERIALIZED (SELECT n, k, d FROM d{r} QUALIFY row_number() OVER (PARTITION BY n ORDER BY d, k) = 1)"
+    )
+    # A quotient rounded down, whatever the sign of the sum.
+    moved = lambda r: f"c{r + 1} AS MATERIALIZED (SELECT c.k AS k, c.i AS i, coalesce(CAST((m.s - ((m.s % m.m) + m.m) % m.m) // m.m AS BIGINT), c.x) AS x FROM c{r} c LEFT JOIN (SELECT a.k AS k, x.i AS i, CAST(sum(x.x) AS BIGINT) AS s, count(*) AS m FROM a{r} a JOIN x ON a.n = x.n GROUP BY 1, 2) m ON c.k = m.k AND c.i = m.i)"
+    return f"""
+WITH v AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS n, embedding AS e FROM embeddings WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0),
+x AS MATERIALIZED (SELECT n, unnest(range({dim})) AS i, unnest(list_transform(e, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT))) AS x FROM v),
+f AS (SELECT n, row_number() OVER (ORDER BY sha256('2:' || CAST(vec_id AS VARCHAR))) - 1 AS k FROM v QUALIFY k < {k}),
+c0 AS MATERIALIZED (SELECT f.k AS k, x.i AS i, x.x AS x FROM f JOIN x ON f.n = x.n),
+{", ".join(f"{assigned(r)}, {moved(r)}" for r in range(rounds))}, {assigned(rounds)},
+s AS (SELECT k, sum(d) AS s FROM a{rounds} GROUP BY k),
+h AS (SELECT k, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS h FROM c{rounds} GROUP BY k)
+SELECT v.vec_id AS vec_id, CAST(a.k AS INTEGER) AS cluster, a.d AS distance, CAST(s.s AS BIGINT) AS cluster_inertia, CAST((SELECT sum(d) FROM a{rounds}) AS BIGINT) AS inertia, h.h AS centroid_sha256
+FROM a{rounds} a JOIN v ON a.n = v.n JOIN s ON a.k = s.k JOIN h ON a.k = h.k
+"""
+
+
+CENTROIDS = _centroids(40, 5, 64)
