@@ -1,9 +1,7 @@
 """Alignment of two tokenizers over a corpus, with counts of linked id pairs behind a minimal perfect hash.
 
-A text is encoded by a byte-level tokenizer (A) and a SentencePiece model (B). Where tokens of both end, the text falls
-into groups; within a group every A token is linked with every B token. No token of either crosses from a character
-other than a space to a space with a visible character behind it, so texts fall into units there; a unit is encoded
-and aligned once in a while and remembered.
+A text is encoded by a byte-level tokenizer (A) and a SentencePiece model (B), once; the ids are written to the shared
+folder. Where tokens of both end, the text falls into groups; within a group every A token is linked with every B token.
 
 1. The first pass aligns all documents and adds up, within a task, how many hold each pair of ids: ``seen``.
 2. The distinct pairs are dealt into buckets by a hash. A task builds each bucket's minimal perfect hash: pairs that
@@ -18,13 +16,13 @@ are one number an id. Documents' rows never leave their tasks.
 
 Defined results: null and empty texts, and those of which a tokenizer's bytes are not the text's (one that holds U+2581),
 have no tokens and zeros; repeated rows count each; an empty table gives an empty result; extra columns are not read.
-Texts of any length are taken whole; units of over UNIT_CHARS characters are not remembered.
+Texts of any length are taken whole; a long one is a slice of its own, whose distinct pairs are held at once.
 """
 
 from __future__ import annotations
 
+import json
 import re
-from collections import Counter
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -36,13 +34,16 @@ from pyspark.sql import functions as F
 
 from quarrylens.llm.common import materialize
 
-MEMORY_UNITS, UNIT_CHARS = 150_000, 64
+#: Units that a worker remembers, and the characters of the longest of them.
+MEMORY_UNITS, UNIT_CHARS = 400_000, 64
+#: Bytes of A's ids that are aligned at a time, and links of a group from which they are counted by distinct pair.
+SLICE_BYTES, LARGE_GROUP = 1 << 18, 1024
 #: Pairs a task adds up before it writes them; pairs of a bucket, and of a range that a task holds at a time.
 FLUSH_PAIRS, BUCKET_PAIRS, RANGE_PAIRS = 500_000, 4096, 1 << 22
 #: Bits a pair in each array of the hash, and vectors that one task sums.
 GAMMA, FAN_IN = 2, 32
-#: A space that begins no unit.
-_GLUED = re.compile(r" (?:\s|\Z)|\A\s")
+#: A unit with what begins it; texts that are more than such units, and where these are cut.
+_UNIT, _GLUED, _GLUED_CUT = re.compile(r"[ \n]\S+"), re.compile(r"\s\s|[^\S \n]|\s\Z"), re.compile(r"(?<=\S)(?=[ \n]\S)")
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
@@ -53,27 +54,23 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Unit:
-    """A unit's numbers of tokens, groups and links, its groups as text, and its distinct pairs with their links."""
+# Fixed value: how the byte-level tokenizer splits texts.
+_PRE_TOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-    __slots__ = ("counts", "groups", "pairs", "times")
 
-    def __init__(self, counts, groups, pairs, times):
-        self.counts, self.groups, self.pairs, self.times = counts, groups, pairs, times
+class Encoder:
+    """Both tokenizers, with a bounded memory of units' ids as packed little-endian unsigned numbers.
 
-
-#: Stands for a unit of which a tokenizer changes the bytes.
-BAD = Unit((0, 0, 0, 0), b"", (), ())
-
-
-class Aligner:
-    """Both tokenizers, with a bounded memory of units."""
+    Equal pieces of texts have equal ids wherever neither tokenizer joins them with their neighbours: at a space or
+    line end between visible characters. Units are learned many at a time, as one text.
+    """
 
     def __init__(self, path_a: str, path_b: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(path_a)
@@ -83,112 +80,202 @@ class Aligner:
         vocabulary = self.a.get_vocab(with_added_tokens=False)
         self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
-            self.bytes_a[i] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode()
+            self.bytes_a[i] = bytes(alphabet[c] for c in token)
         self.n_b = self.b.get_piece_size()
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i in range(self.n_b) for p in [self.b.id_to_piece(i)]]
-        self.memory: dict[str, Unit] = {}
+        if any("▁" in p.lstrip("▁") or "\n" in p for i in range(self.n_b) for p in [self.b.id_to_piece(i)]):
+            raise ValueError("a piece joins units")
+        self.size_a, self.size_b = (np.array([len(x) for x in of]) for of in (self.bytes_a, self.bytes_b))
+        self.kind = "<u2" if max(len(self.bytes_a), self.n_b) < 1 << 16 else "<u4"
+        with open(path_a, encoding="utf-8") as f:
+            merges = json.load(f)["model"]["merges"]
+        joined = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in merges]
+        # Where ids are numbered as merges come, ranks give the same ids faster.
+        by_rank = all(vocabulary.get(t) == 256 + i for i, t in enumerate(joined)) and sorted(vocabulary[c] for c in alphabet) == list(range(256))
+        self.ranks = tiktoken.Encoding("ranks", pat_str=_PRE_TOKENS, mergeable_ranks={x: i for i, x in enumerate(self.bytes_a) if x}, special_tokens={}) if by_rank else None
+        self.memory_a: dict[str, bytes] = {}
+        self.memory_b: dict[str, bytes] = {}
 
     @staticmethod
     def cut(text: str) -> list[str]:
-        """The units of a text, each without the space in front of it."""
-        parts = text.split(" ")
-        if not _GLUED.search(text):
-            return parts
-        units, open_end = [parts[0]], not parts[0]
-        for p in parts[1:]:
-            if open_end or not p or p[0].isspace():
-                units[-1] += " " + p
+        """The units of a text that begins with a space."""
+        return _GLUED_CUT.split(text) if _GLUED.search(text) else _UNIT.findall(text)
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.kind).tobytes()
+
+    def _alone(self, unit: str) -> tuple[bytes, bytes] | None:
+        """Ids of a unit behind the letter a, without those of the letter; None if a tokenizer changes the unit's bytes."""
+        a, b = self.a.encode("a" + unit, add_special_tokens=False).ids, self.b.encode("a" + unit)
+        raw = b"a" + unit.encode()
+        if b"".join(map(self.bytes_a.__getitem__, a)) != raw or b"".join(map(self.bytes_b.__getitem__, b)) != b" " + raw:
+            return None
+        return self._packed(a[1:]), self._packed(b[1:])
+
+    def _together(self, units: list[str]) -> bool:
+        """Learn units that end visibly, encoded as one text; False if that text's bytes are changed."""
+        text = "a" + "".join(units)
+        a = self.ranks.encode_ordinary(text) if self.ranks else self.a.encode(text, add_special_tokens=False).ids
+        b = self.b.encode(text)
+        raw = text.encode()
+        if b"".join(map(self.bytes_a.__getitem__, a)) != raw or b"".join(map(self.bytes_b.__getitem__, b)) != b" " + raw:
+            return False
+        stops = np.cumsum([1, *[len(u) if u.isascii() else len(u.encode()) for u in units]])
+        for ids, sizes, more, memory in ((a, self.size_a, 0, self.memory_a), (b, self.size_b, 1, self.memory_b)):
+            packed, ends = self._packed(ids), np.cumsum(sizes[ids])
+            at = (np.searchsorted(ends, stops + more) + 1) * np.dtype(self.kind).itemsize
+            memory.update(zip(units, [packed[low:high] for low, high in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], strict=True))
+        return True
+
+    def encode(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
+        """Packed ids of each text by A and by B; nothing for texts that a tokenizer changes."""
+        if len(self.memory_a) > MEMORY_UNITS:
+            self.memory_a.clear()
+            self.memory_b.clear()
+        cut = [self.cut(" " + t) if t else [] for t in texts]
+        new = set().union(*cut).difference(self.memory_a)
+        own: dict[str, tuple[bytes, bytes] | None] = {}
+        plain = [u for u in new if len(u) <= UNIT_CHARS and not u[-1].isspace()]
+        for low in range(0, len(plain), 4096):
+            some = plain[low : low + 4096]
+            if not self._together(some):
+                own.update((u, self._alone(u)) for u in some)
+        plain = set(plain)
+        own.update((u, self._alone(u)) for u in new if u not in plain)
+        out = []
+        for units in cut:
+            if own and not own.keys().isdisjoint(units):
+                both = [own[u] if u in own else (self.memory_a[u], self.memory_b[u]) for u in units]
+                out.append((b"", b"") if None in both else (b"".join([x for x, _ in both]), b"".join([y for _, y in both])))
             else:
-                units.append(p)
-            open_end = not p
-        return units
-
-    def unit(self, key: str, a: list[int], b: list[int]) -> Unit:
-        raw = b" " + key.encode()
-        in_a, in_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        if b"".join(in_a) != raw or b"".join(in_b) != raw:
-            return BAD
-        groups, links = [], Counter()
-        i = j = low_i = low_j = at_a = at_b = 0
-        while i < len(a) or j < len(b):
-            if at_a <= at_b:
-                at_a += len(in_a[i])
-                i += 1
-            else:
-                at_b += len(in_b[j])
-                j += 1
-            if at_a == at_b:
-                of_a, of_b = a[low_i:i], b[low_j:j]
-                groups.append(",".join(map(str, of_a)) + "|" + ",".join(map(str, of_b)))
-                if len(of_a) == len(of_b) == 1:
-                    links[of_a[0] * self.n_b + of_b[0]] += 1
-                else:
-                    times_b = Counter(of_b).items()
-                    for x, n in Counter(of_a).items():
-                        for y, m in times_b:
-                            links[x * self.n_b + y] += n * m
-                low_i, low_j = i, j
-        return Unit((len(a), len(b), len(groups), links.total()), ";".join(groups).encode(), tuple(links), tuple(links.values()))
-
-    def units(self, texts: list[str]) -> list[list[Unit]]:
-        """The units of each text; none if a tokenizer changes its bytes."""
-        if len(self.memory) > MEMORY_UNITS:
-            self.memory.clear()
-        cut = [self.cut(t) if t else [] for t in texts]
-        known = self.memory
-        new = list(set().union(*cut).difference(known)) if cut else []
-        if new:
-            found, large = known, {}
-            for low in range(0, len(new), 1024):
-                some = new[low : low + 1024]
-                for key, a, b in zip(some, self.a.encode_batch([" " + k for k in some], add_special_tokens=False), self.b.encode(some, num_threads=1), strict=True):
-                    (found if len(key) <= UNIT_CHARS else large)[key] = self.unit(key, a.ids, b)
-            known = _Both(known, large) if large else known
-        out = [list(map(known.__getitem__, keys)) for keys in cut]
-        return [[] if BAD in units else units for units in out]
-
-
-class _Both(dict):
-    """A large table and a small one beside it."""
-
-    def __init__(self, large: dict, small: dict):
-        super().__init__(small)
-        self.large = large
-
-    def __missing__(self, key: str) -> Unit:
-        return self.large[key]
-
-
-_ALIGNERS: dict[tuple[str, str], Aligner] = {}
-
-
-def aligner(path_a: str, path_b: str) -> Aligner:
+                out.append((b"".join(map(self.memory_a.__getitem__, units)), b"".join(map(self.memory_b.__getitem__, units))))
+        return out
+
+
+_ENCODERS: dict[tuple[str, str], Encoder] = {}
+
+
+def encoder(path_a: str, path_b: str) -> Encoder:
     key = (path_a, path_b)
-    return _ALIGNERS.get(key) or _ALIGNERS.setdefault(key, Aligner(path_a, path_b))
+    return _ENCODERS.get(key) or _ENCODERS.setdefault(key, Encoder(path_a, path_b))
+
+
+class Aligned:
+    """Documents' groups and links as arrays, from the documents' ids and the tokens' sizes."""
+
+    def __init__(self, docs: list[tuple[np.ndarray, np.ndarray]], size_a: np.ndarray, size_b: np.ndarray, n_b: int):
+        self.n_docs, self.factor = len(docs), n_b
+        self.a, self.b = (np.concatenate([d[k] for d in docs]).astype(np.int64) if docs else np.zeros(0, np.int64) for k in (0, 1))
+        self.n_a, self.n_b = (np.array([len(d[k]) for d in docs], np.int64) for k in (0, 1))
+        end_a, end_b = np.cumsum(size_a[self.a]), np.cumsum(size_b[self.b])
+        ends = np.zeros(int(end_a[-1]) + 1 if len(end_a) else 1, bool)
+        ends[end_a] = True
+        shut_b = ends[end_b]
+        ends[:] = False
+        ends[end_b] = True
+        shut_a = ends[end_a]
+        #: The group of each token, and each group's first tokens.
+        self.group_a, self.group_b = np.cumsum(shut_a) - shut_a, np.cumsum(shut_b) - shut_b
+        self.last_a, self.last_b = np.flatnonzero(shut_a), np.flatnonzero(shut_b)
+        self.first_a = np.concatenate([[0], self.last_a + 1])[:-1] if len(self.last_a) else np.zeros(0, np.int64)
+        self.first_b = np.concatenate([[0], self.last_b + 1])[:-1] if len(self.last_b) else np.zeros(0, np.int64)
+        self.links = (self.last_a - self.first_a + 1) * (self.last_b - self.first_b + 1)
+        self.doc_a = np.repeat(np.arange(self.n_docs), self.n_a)
+        self.doc = self.doc_a[self.last_a]
+
+    def by_doc(self, docs: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Sums of integers a document."""
+        total = np.zeros(self.n_docs, np.int64)
+        np.add.at(total, docs, values)
+        return total
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, pair, times) of all links: one each, but those of large groups by distinct pair."""
+        large = self.links > LARGE_GROUP
+        width = np.where(large, 0, self.last_b - self.first_b + 1)[self.group_a]
+        start = np.concatenate([[0], np.cumsum(width)])
+        at_a = np.repeat(np.arange(len(self.a)), width)
+        at_b = np.arange(start[-1]) - start[at_a] + self.first_b[self.group_a[at_a]]
+        found = [(self.doc_a[at_a], self.a[at_a] * self.factor + self.b[at_b], np.ones(len(at_a), np.int64))]
+        for g in np.flatnonzero(large):
+            x, times_x = np.unique(self.a[self.first_a[g] : self.last_a[g] + 1], return_counts=True)
+            y, times_y = np.unique(self.b[self.first_b[g] : self.last_b[g] + 1], return_counts=True)
+            keys = (x[:, None] * self.factor + y).ravel()
+            found.append((np.full(len(keys), self.doc[g]), keys, np.outer(times_x, times_y).ravel()))
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+    def texts(self, shown: list[bytes], size: int) -> list[bytes]:
+        """The groups of each document in decimal. ``shown`` has all ids behind a semicolon, a comma and a bar, ``size`` of each."""
+        of_a, of_b = self.a + size, self.b + size
+        of_a[self.first_a] -= size
+        of_b[self.first_b] += size
+        merged = np.empty(len(self.a) + len(self.b), np.int64)
+        merged[np.arange(len(self.a)) + self.first_b[self.group_a]] = of_a
+        merged[np.arange(len(self.b)) + self.last_a[self.group_b] + 1] = of_b
+        ends = np.cumsum(self.n_a + self.n_b).tolist()
+        merged = merged.tolist()
+        return [b"".join(map(shown.__getitem__, merged[low:high]))[1:] for low, high in zip([0, *ends], ends, strict=False)]
+
+
+def _slices(batch: pa.RecordBatch, align: Encoder) -> Iterator[tuple[pa.Array, Aligned]]:
+    """(ids, alignment) of so many rows of ``encoded`` at a time that they hold about SLICE_BYTES; a long text is alone."""
+    sizes = [len(x) for x in batch.column("a").to_pylist()]
+    low = held = 0
+    for n, size in enumerate([*sizes, SLICE_BYTES]):
+        if n > low and (held + size > SLICE_BYTES or n == len(sizes)):
+            part = batch.slice(low, n - low)
+            docs = [tuple(np.frombuffer(x, align.kind) for x in pair) for pair in zip(part.column("a").to_pylist(), part.column("b").to_pylist(), strict=True)]
+            yield part.column("doc_id"), Aligned(docs, align.size_a, align.size_b, align.n_b)
+            low, held = n, 0
+        held += size
+
+
+def encode(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
+    """(doc_id, a binary, b binary): both tokenizers' packed ids of every document."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = encoder(path_a, path_b)
+        for batch in batches:
+            for low in range(0, batch.num_rows, 128):
+                part = batch.slice(low, 128)
+                ids = both.encode(part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([a for a, _ in ids], pa.binary()), pa.array([b for _, b in ids], pa.binary())], ["doc_id", "a", "b"])
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Slices of at most 128 rows."""
-    for batch in batches:
-        for low in range(0, batch.num_rows, 128):
-            yield batch.slice(low, 128)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, a binary, b binary")
 
 
-def pair_counts(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
+def pair_counts(encoded: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """(pair long, n long): in how many documents of a part of the table a pair is linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        align, counts = aligner(path_a, path_b), Counter()
-        told = lambda: pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.int64()), pa.array(counts.values(), pa.int64())], ["pair", "n"])
-        for part in _parts(batches):
-            for units in align.units(part.column("text").to_pylist()):
-                counts.update(set().union(*[u.pairs for u in set(units)]))
-            if len(counts) > FLUSH_PAIRS:
-                yield told()
-                counts.clear()
-        yield told()
+        align = encoder(path_a, path_b)
+        pairs, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "pair long, n long")
+        def summed() -> None:
+            keys, at = np.unique(np.concatenate(pairs), return_inverse=True)
+            total = np.zeros(len(keys), np.int64)
+            np.add.at(total, at, np.concatenate(counts))
+            pairs[:], counts[:] = [keys], [total]
+
+        def told() -> pa.RecordBatch:
+            summed()
+            return pa.RecordBatch.from_arrays([pa.array(pairs.pop()), pa.array(counts.pop())], ["pair", "n"])
+
+        for batch in batches:
+            for _, aligned in _slices(batch, align):
+                doc, pair, _ = aligned.pairs()
+                once = np.unique(pair * aligned.n_docs + doc) // aligned.n_docs
+                keys, n = np.unique(once, return_counts=True)
+                pairs.append(keys)
+                counts.append(n)
+                if sum(map(len, pairs)) > 2 * FLUSH_PAIRS:
+                    summed()
+                    if len(pairs[0]) > FLUSH_PAIRS:
+                        yield told()
+        if pairs:
+            yield told()
+
+    return encoded.mapInArrow(run, "pair long, n long")
 
 
 def _mix(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -380,15 +467,15 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     n_best counts the links whose pair is the most frequent of its A id, count_sum adds up the counts of all links.
     """
     context = docs.sparkSession.sparkContext
-    seen = materialize(pair_counts(docs, path_a, path_b), "seen")
+    encoded = materialize(encode(docs, path_a, path_b), "encoded", "zstd")
+    seen = materialize(pair_counts(encoded, path_a, path_b), "seen")
     tables, buckets = build_tables(seen)
     counts = dense_counts(seen, tables, buckets)
-    both = aligner(path_a, path_b)
-    n_b = both.n_b
+    both = encoder(path_a, path_b)
     highest = np.zeros(len(both.bytes_a), np.int64)
-    for a, n in _highest(tables, counts, n_b).items():
+    for a, n in _highest(tables, counts, both.n_b).items():
         highest[a] = n
-    ranges = [context.broadcast(x) for x in _range_counts(tables, counts, buckets, n_b, highest)]
+    ranges = [context.broadcast(x) for x in _range_counts(tables, counts, buckets, both.n_b, highest)]
 
     def looked_up(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n, best = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
@@ -400,36 +487,17 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         return n, best
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        align = aligner(path_a, path_b)
+        align = encoder(path_a, path_b)
+        size = max(len(align.bytes_a), align.n_b)
+        shown = [b"%c%d" % (c, i) for c in b";,|" for i in range(size)]
+        names = [c.split()[0] for c in RESULT.split(", ")]
         for batch in batches:
-            # With several ranges a whole batch shares one reading of each.
-            for part in [batch] if len(ranges) > 1 else _parts([batch]):
-                yield _documents(part.column("doc_id"), align.units(part.column("text").to_pylist()), looked_up)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, RESULT)
-
-
-def _documents(ids: pa.Array, docs: list[list[Unit]], looked_up) -> pa.RecordBatch:
-    place: dict[Unit, int] = {}
-    for units in docs:
-        place.update(dict.fromkeys(units))
-    distinct = list(place)
-    place.update(zip(distinct, range(len(distinct)), strict=True))
-    keys = np.array([k for u in distinct for k in u.pairs], np.int64)
-    times = np.array([t for u in distinct for t in u.times], np.int64)
-    ends = np.concatenate([[0], np.cumsum([len(u.pairs) for u in distinct])]).astype(np.int64)
-    pairs, at = np.unique(keys, return_inverse=True)
-    n, best = looked_up(pairs)
-    totals = [np.concatenate([[0], np.cumsum(times * x[at])]).astype(np.int64) for x in (best, n)]
-    of = np.zeros((len(distinct) + 1, 6), np.int64)
-    if distinct:
-        of[:-1, :4] = [u.counts for u in distinct]
-        of[:-1, 4], of[:-1, 5] = (np.diff(t[ends]) for t in totals)
-    sums = np.zeros((len(docs), 6), np.int64)
-    groups = []
-    for r, units in enumerate(docs):
-        if units:
-            sums[r] = of[np.fromiter(map(place.__getitem__, units), np.int64, len(units))].sum(axis=0)
-        groups.append(sha256(b";".join([u.groups for u in units])).hexdigest() if units else "")
-    names = [c.split()[0] for c in RESULT.split(", ")]
-    return pa.RecordBatch.from_arrays([ids, *[pa.array(c.copy()) for c in sums.T], pa.array(groups, pa.string())], names)
+            for ids, x in _slices(batch, align):
+                doc, pair, times = x.pairs()
+                pairs, at = np.unique(pair, return_inverse=True)
+                n, best = looked_up(pairs)
+                sums = [x.n_a, x.n_b, np.bincount(x.doc, minlength=x.n_docs), x.by_doc(x.doc, x.links), x.by_doc(doc, times * best[at]), x.by_doc(doc, times * n[at])]
+                groups = [sha256(t).hexdigest() if t else "" for t in x.texts(shown, size)]
+                yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, pa.int64()) for c in sums], pa.array(groups, pa.string())], names)
+
+    return encoded.mapInArrow(run, RESULT)

@@ -28,7 +28,7 @@ def rows_of(docs: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:
     return packed.join(keys.select("_k1", "_k2").hint("shuffle_hash"), ["_k1", "_k2"], "left_semi").select("_doc.*")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     This cuts the lineage (a lost executor never forces the work before it to be done again) and is removed
@@ -36,7 +36,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -17,7 +17,8 @@ whole; an empty table gives an empty result; columns other than the two are not
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,8 @@ RUNS = r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]"
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # Each store would set 4 MB aside at once, however little it holds.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 PLACE = ["file", "row"]
 
@@ -49,17 +52,23 @@ def _schema(spark: SparkSession, path: str, *names: str) -> StructType:
     return StructType([fields[n] for n in names])
 
 
-def _run(spark: SparkSession, stream: DataFrame, sink: str, mode: str, state: str, path: str | None = None) -> None:
-    """Run a stream over what its source holds now, with state on disk."""
+@contextmanager
+def _state_on_disk(spark: SparkSession) -> Iterator[None]:
     before = {k: spark.conf.get(k, None) for k in STATE}
     for k, v in STATE.items():
         spark.conf.set(k, v)
     try:
-        writer = stream.writeStream.format(sink).outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True)
-        query = (writer.option("path", path) if path else writer).start()
+        yield
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _run(spark: SparkSession, stream: DataFrame, sink: str, mode: str, state: str, path: str | None = None) -> None:
+    """Run a stream over what its source holds now, with state on disk."""
+    writer = stream.writeStream.format(sink).outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True)
+    with _state_on_disk(spark):
+        query = (writer.option("path", path) if path else writer).start()
     query.awaitTermination()
 
 
@@ -90,7 +99,8 @@ def ledger(spark: SparkSession, work: str) -> DataFrame:
 def decide(spark: SparkSession, path: str, work: str, text_col: str = "text") -> DataFrame:
     """(doc_id, keep_id, group_size, kept, digest, file, row, keep_file, keep_row), one row for each row observed."""
     rows = spark.read.parquet(f"{work}/prints")
-    entries = ledger(spark, work)
+    with _state_on_disk(spark):
+        entries = materialize(ledger(spark, work), "ledger")
     hits = rows.join(entries.where("n > 1").select("digest"), "digest").select("digest", "doc_id", *PLACE)
     read = spark.read.schema(_schema(spark, path, text_col)).parquet(path)
     texts = read.select(F.col(text_col).alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
