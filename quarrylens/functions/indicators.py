@@ -9,12 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The patterns that define each indicator type, and the defanging notations in the order of their use.
-URL = r"\b(?:https?|ftps?)://[^\s<>\"'\[\]{}|\\^`]+"
+WHITE = r"\s\p{Z}\x85\x1c-\x1f"
+URL = rf"\b(?:https?|ftps?)://[^{WHITE}<>\"'\[\]{{}}|\\^`]+"
 EMAIL = r"\b[a-zA-Z0-9._%+\-]+@(?:[a-zA-Z0-9\-]+\.)+[a-zA-Z]{2,63}\b"
 SHA256 = r"\b[a-fA-F0-9]{64}\b"
 SHA1 = r"\b[a-fA-F0-9]{40}\b"
 MD5 = r"\b[a-fA-F0-9]{32}\b"
-CVE = r"\bCVE-\d{4}-\d{4,7}\b"
+CVE = r"\bCVE-\p{Nd}{4}-\p{Nd}{4,7}\b"
 BTC_BECH32 = r"\bbc1[a-z0-9]{39,59}\b"
 BTC_LEGACY = r"\b[13][a-km-zA-HJ-NP-Z1-9]{25,34}\b"
 IPV4 = r"\b(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\b"
@@ -41,7 +42,28 @@ REFANG = (
     ("[@]", "@"),
 )
 DEFANG_SCHEMES = (("https://", "hxxps://"), ("http://", "hxxp://"), ("ftps://", "fxps://"), ("ftp://", "fxp://"))
+#: A label of a domain, of a mail's host, and what a last label starts with.
+_LABEL, _MAIL_LABEL, _LAST = r"[a-zA-Z0-9](?:[a-zA-Z0-9\-]{0,61}[a-zA-Z0-9])?\.", r"[a-zA-Z0-9\-]+\.", r"[a-zA-Z]{2,63}\b"
 LOWER_CASED = ("domain", "email", "url", "md5", "sha1", "sha256")
+
+
+def _hops(label: str) -> str:
+    """Labels as far as the last one before a possible end, without recursion in Java's engine and without steps back.
+
+    A hop passes labels that no end follows and one that an end follows; whether it can be made is decided at each place
+    by what follows alone, so giving nothing back loses no match.
+    """
+    return f"(?:(?:{label}(?!{_LAST}))*+{label}(?={_LAST}))++{_LAST}"
+
+
+#: The same matches of texts of any length. A place whose own run begins earlier, behind the last match, is no first one:
+#: from there the match would have begun, or failed alike.
+LONG = {
+    EMAIL: rf"(?:\G|(?<!\b[a-zA-Z0-9_]{{1,64}})(?<![a-zA-Z0-9_][.%+\-]{{1,64}}))\b[a-zA-Z0-9._%+\-]++@{_hops(_MAIL_LABEL)}",
+    DOMAIN: rf"(?<!\b[a-zA-Z0-9]{{1,63}}\.)\b{_hops(_LABEL)}",
+}
+#: Characters up to which the plain patterns may recurse, and matches of a token that are placed in one go.
+SHORT, BLOCK = 512, 512
 HOST = r"^[A-Za-z]+://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
@@ -73,18 +95,20 @@ def is_ipv6(value: Column) -> Column:
     v = F.regexp_replace(F.regexp_replace(value, "%[^%]+$", ""), ":" + STRICT_IPV4.removeprefix("^"), ":0:0")
     groups = r"[A-Fa-f0-9]{1,4}"
     full = v.rlike(f"^(?:{groups}:){{7}}{groups}$")
-    short = v.rlike(f"^(?:(?:{groups}:)*{groups})?::(?:(?:{groups}:)*{groups})?$") & (F.size(F.filter(F.split(v, ":"), lambda g: g != "")) <= 7)
+    short = v.rlike(f"^(?:(?:{groups}:){{0,6}}{groups})?::(?:(?:{groups}:){{0,6}}{groups})?$") & (F.size(F.filter(F.split(v, ":"), lambda g: g != "")) <= 7)
     return full | short
 
 
 def detect_type(value: Column) -> Column:
     """The indicator type of a whole text, or null. Hashes and CVEs are tested first, domains last."""
-    s = F.trim(F.regexp_replace(value, r"^\s+|\s+$", ""))
+    s = F.regexp_replace(value, rf"^[{WHITE}]+|[{WHITE}]+$", "")
 
     def whole(pattern: str, flags: str = "") -> Column:
         return s.rlike(f"{flags}^(?:{pattern})$")
 
     inner = lambda p: p.removeprefix(r"\b").removesuffix(r"\b")
+    # Of a whole text all labels that end with a dot are passed, so nothing needs to be given back.
+    once = lambda p: inner(p).replace(".)+", ".)++")
     return (
         F.when(s == "", None)
         .when(whole(inner(SHA256)), "sha256")
@@ -92,11 +116,11 @@ def detect_type(value: Column) -> Column:
         .when(whole(inner(MD5)), "md5")
         .when(whole(inner(CVE), "(?i)"), "cve")
         .when(F.lower(s).rlike("^bc1[a-z0-9]{39,59}$") | whole(inner(BTC_LEGACY)), "btc_address")
-        .when(whole(r"(?:https?|ftps?)://\S+", "(?i)"), "url")
-        .when(whole(inner(EMAIL)), "email")
+        .when(whole(rf"(?:https?|ftps?)://[^{WHITE}]+", "(?i)"), "url")
+        .when(whole(once(EMAIL)), "email")
         .when(s.rlike(STRICT_IPV4), "ipv4")
         .when(is_ipv6(s), "ipv6")
-        .when(whole(inner(DOMAIN)), "domain")
+        .when(whole(once(DOMAIN)), "domain")
     )
 
 
@@ -112,7 +136,7 @@ SCANS = (
     ("sha256", SHA256, "", "[a-fA-F0-9]{64}"),
     ("sha1", SHA1, "", "[a-fA-F0-9]{40}"),
     ("md5", MD5, "", "[a-fA-F0-9]{32}"),
-    ("cve", CVE, "(?i)", "(?i)cve-[0-9]"),
+    ("cve", CVE, "(?i)", r"(?i)cve-\p{Nd}"),
     ("btc_address", BTC_BECH32, "", "bc1[a-z0-9]{39}"),
     ("btc_address", BTC_LEGACY, "", "[13][a-km-zA-HJ-NP-Z1-9]{25}"),
     ("ipv6", IPV6, "(?i)", "[A-Fa-f0-9]:[A-Fa-f0-9]|::[A-Fa-f0-9]"),
@@ -123,11 +147,11 @@ DEFANGED = r"(?i)hxxp|fxp|\[|\(at\)|\(dot\)|\(\.\)|\(:\)|\{"
 
 
 #: No indicator holds one of these characters, and each of them bounds words, so matches lie between them.
-BREAKS = r"[\s<>\"'\[\]{}|\\^`]+"
-#: Only addresses hold these.
-MORE_BREAKS = r"[,;()!?#$&*/=~]+"
+BREAKS = rf"[{WHITE}<>\"'\[\]{{}}|\\^`]+"
+#: Only addresses hold these; a colon of another type has a digit of IPv6 or another colon on both sides.
+MORE_BREAKS = r"[,;()!?#$&*/=~]+|:(?![A-Fa-f0-9:])|(?<![A-Fa-f0-9:]):(?!:)"
 #: A quick pattern that every text with an indicator has.
-LIKELY = r"[.:@\-][A-Za-z0-9:/]|[A-Za-z0-9]{26}"
+LIKELY = r"[.:@\-][A-Za-z0-9:/\p{Nd}]|[A-Za-z0-9]{26}"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -135,11 +159,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+_SPANS = "array<struct<scan:int,begin:int,end:int,hit:string>>"
+
+
 def _spans(token: Column, n: int, kind: str, pattern: str) -> Column:
-    """array<struct<scan, begin, end, hit>> of the matches in a token: positions add up from what lies between and within them."""
+    """array<struct<scan, begin, end, hit>> of the matches in a token: positions add up from what lies between and within them.
+
+    Very many matches are placed block by block, so that the work grows little faster than their number.
+    """
     gaps, hits = F.split(token, pattern, -1), F.regexp_extract_all(token, F.lit(pattern), F.lit(0))
     pairs = F.filter(F.zip_with(gaps, hits, lambda g, h: F.struct(F.length(g).alias("gap"), h.alias("hit"))), lambda x: x["hit"].isNotNull())
-    none = F.array().cast("array<struct<scan:int,begin:int,end:int,hit:string>>")
+    none = F.array().cast(_SPANS)
 
     def step(a: Column, x: Column) -> Column:
         begin = a["at"] + x["gap"]
@@ -147,16 +177,30 @@ def _spans(token: Column, n: int, kind: str, pattern: str) -> Column:
         span = F.struct(F.lit(n).alias("scan"), begin.alias("begin"), (begin + F.length(kept)).alias("end"), kept.alias("hit"))
         return F.struct((begin + F.length(x["hit"])).alias("at"), F.concat(a["found"], F.array(span)).alias("found"))
 
-    found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda a: a["found"])
+    placed = lambda xs, at: F.aggregate(xs, F.struct(at.alias("at"), none.alias("found")), step, lambda a: a["found"])
+
+    def blocks(xs: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(1), F.size(xs), F.lit(BLOCK)), lambda i: F.slice(xs, i, BLOCK))
+        long = lambda x: F.aggregate(x, F.lit(0), lambda a, y: a + y["gap"] + F.length(y["hit"]))
+        at = lambda k: F.aggregate(F.slice(F.transform(cut, long), 1, k), F.lit(0), lambda a, y: a + y)
+        return F.flatten(F.transform(cut, lambda x, k: placed(x, at(k))))
+
+    found = let(pairs, lambda xs: F.when(F.size(xs) <= BLOCK, placed(xs, F.lit(0))).otherwise(blocks(xs)))
     return F.filter(found, lambda f: is_ipv6(f["hit"])) if kind == "ipv6" else found
 
 
 def _kept(token: Column) -> Column:
     """The matches of a token in the order of the scans; one that overlaps a match of an earlier scan is left out as a whole."""
-    none = F.array().cast("array<struct<scan:int,begin:int,end:int,hit:string>>")
-    scans = [F.when(token.rlike(guard), _spans(token, n, kind, flags + pattern)).otherwise(none) for n, (kind, pattern, flags, guard) in enumerate(SCANS)]
+
+    def scan(n: int, kind: str, pattern: str, flags: str, guard: str) -> Column:
+        found = F.when(token.rlike(guard), _spans(token, n, kind, flags + pattern))
+        if pattern in LONG:
+            found = F.when(F.length(token) > SHORT, F.when(token.rlike(guard), _spans(token, n, kind, LONG[pattern]))).otherwise(found)
+        return F.coalesce(found, F.array().cast(_SPANS))
+
     overlaps = lambda a, f: F.exists(a, lambda x: (x["begin"] < f["end"]) & (x["end"] > f["begin"]))
-    return F.aggregate(F.concat(*scans), none, lambda a, f: F.when(overlaps(a, f), a).otherwise(F.concat(a, F.array(f))))
+    scans = F.array(*[scan(n, *s) for n, s in enumerate(SCANS)])
+    return F.aggregate(scans, F.array().cast(_SPANS), lambda a, found: F.concat(a, F.filter(found, lambda f: ~overlaps(a, f))))
 
 
 def iocs_of(text: Column, do_refang: bool = True, hosts: bool = True) -> Column:
