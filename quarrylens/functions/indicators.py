@@ -159,48 +159,52 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-_SPANS = "array<struct<scan:int,begin:int,end:int,hit:string>>"
+_SPAN = "struct<scan:int,begin:int,end:int,hit:string>"
 
 
-def _spans(token: Column, n: int, kind: str, pattern: str) -> Column:
-    """array<struct<scan, begin, end, hit>> of the matches in a token: positions add up from what lies between and within them.
-
-    Very many matches are placed block by block, so that the work grows little faster than their number.
-    """
+def _pairs(token: Column, pattern: str) -> Column:
+    """array<struct<gap, hit>>: the matches in a token, each with the length of what lies between it and the one before."""
     gaps, hits = F.split(token, pattern, -1), F.regexp_extract_all(token, F.lit(pattern), F.lit(0))
-    pairs = F.filter(F.zip_with(gaps, hits, lambda g, h: F.struct(F.length(g).alias("gap"), h.alias("hit"))), lambda x: x["hit"].isNotNull())
-    none = F.array().cast(_SPANS)
+    return F.filter(F.zip_with(gaps, hits, lambda g, h: F.struct(F.length(g).alias("gap"), h.alias("hit"))), lambda x: x["hit"].isNotNull())
+
+
+def _spans(pairs: Column, scan: Column) -> Column:
+    """array<struct<scan, begin, end, hit>>: positions add up. Very many matches are placed block by block, so that the
+    work grows little faster than their number."""
+    kinds = [kind for kind, *_ in SCANS]
+    none = F.array().cast(f"array<{_SPAN}>")
 
     def step(a: Column, x: Column) -> Column:
         begin = a["at"] + x["gap"]
-        kept = F.rtrim(x["hit"], F.lit(".,;:)")) if kind == "url" else x["hit"]
-        span = F.struct(F.lit(n).alias("scan"), begin.alias("begin"), (begin + F.length(kept)).alias("end"), kept.alias("hit"))
+        kept = F.when(scan == kinds.index("url"), F.rtrim(x["hit"], F.lit(".,;:)"))).otherwise(x["hit"])
+        span = F.struct(scan.alias("scan"), begin.alias("begin"), (begin + F.length(kept)).alias("end"), kept.alias("hit"))
         return F.struct((begin + F.length(x["hit"])).alias("at"), F.concat(a["found"], F.array(span)).alias("found"))
 
     placed = lambda xs, at: F.aggregate(xs, F.struct(at.alias("at"), none.alias("found")), step, lambda a: a["found"])
 
     def blocks(xs: Column) -> Column:
-        cut = F.transform(F.sequence(F.lit(1), F.size(xs), F.lit(BLOCK)), lambda i: F.slice(xs, i, BLOCK))
+        cut = F.transform(F.sequence(F.lit(1), F.greatest(F.size(xs), F.lit(1)), F.lit(BLOCK)), lambda i: F.slice(xs, i, BLOCK))
         long = lambda x: F.aggregate(x, F.lit(0), lambda a, y: a + y["gap"] + F.length(y["hit"]))
-        at = lambda k: F.aggregate(F.slice(F.transform(cut, long), 1, k), F.lit(0), lambda a, y: a + y)
-        return F.flatten(F.transform(cut, lambda x, k: placed(x, at(k))))
+        at = lambda sizes, k: F.aggregate(F.slice(sizes, 1, k), F.lit(0), lambda a, y: a + y)
+        return let(cut, lambda c: let(F.transform(c, long), lambda sizes: F.flatten(F.transform(c, lambda x, k: placed(x, at(sizes, k))))))
 
-    found = let(pairs, lambda xs: F.when(F.size(xs) <= BLOCK, placed(xs, F.lit(0))).otherwise(blocks(xs)))
-    return F.filter(found, lambda f: is_ipv6(f["hit"])) if kind == "ipv6" else found
+    found = blocks(pairs)
+    return F.when(scan == kinds.index("ipv6"), F.filter(found, lambda f: is_ipv6(f["hit"]))).otherwise(found)
 
 
 def _kept(token: Column) -> Column:
     """The matches of a token in the order of the scans; one that overlaps a match of an earlier scan is left out as a whole."""
 
-    def scan(n: int, kind: str, pattern: str, flags: str, guard: str) -> Column:
-        found = F.when(token.rlike(guard), _spans(token, n, kind, flags + pattern))
+    def scan(kind: str, pattern: str, flags: str, guard: str) -> Column:
+        found = _pairs(token, flags + pattern)
         if pattern in LONG:
-            found = F.when(F.length(token) > SHORT, F.when(token.rlike(guard), _spans(token, n, kind, LONG[pattern]))).otherwise(found)
-        return F.coalesce(found, F.array().cast(_SPANS))
+            found = F.when(F.length(token) > SHORT, _pairs(token, LONG[pattern])).otherwise(found)
+        return F.when(token.rlike(guard), found)
 
     overlaps = lambda a, f: F.exists(a, lambda x: (x["begin"] < f["end"]) & (x["end"] > f["begin"]))
-    scans = F.array(*[scan(n, *s) for n, s in enumerate(SCANS)])
-    return F.aggregate(scans, F.array().cast(_SPANS), lambda a, found: F.concat(a, F.filter(found, lambda f: ~overlaps(a, f))))
+    none = F.array().cast(f"array<{_SPAN}>")
+    all_pairs = F.transform(F.array(*[scan(*s) for s in SCANS]), lambda xs, n: F.when(xs.isNotNull(), _spans(xs, n)))
+    return F.aggregate(all_pairs, none, lambda a, found: F.when(found.isNull(), a).otherwise(F.concat(a, F.filter(found, lambda f: ~overlaps(a, f)))))
 
 
 def iocs_of(text: Column, do_refang: bool = True, hosts: bool = True) -> Column:

@@ -78,7 +78,7 @@ def _carried(rows: DataFrame, keys: list[str], last: Column) -> DataFrame:
     return lasts.select(*keys, "_part", F.last("_last", ignorenulls=True).over(before).alias("_carry"))
 
 
-def _with_carry(rows: DataFrame, keys: list[str], carried: DataFrame) -> DataFrame:
+def with_carry(rows: DataFrame, keys: list[str], carried: DataFrame) -> DataFrame:
     names = [*keys, "_part"]
     carried = carried.select(*[F.col(k).alias(f"_of{i}") for i, k in enumerate(names)], "_carry")
     same = [F.col(k).eqNullSafe(F.col(f"_of{i}")) for i, k in enumerate(names)]
@@ -96,7 +96,7 @@ def beacons(
     rows = events.withColumn("_part", part if part is not None else F.lit(0))
     before = F.lag(ts).over(Window.partitionBy(*keys, "_part").orderBy(order))
     if part is not None:
-        rows = _with_carry(rows, keys, _carried(rows, keys, F.max_by(ts, order)))
+        rows = with_carry(rows, keys, _carried(rows, keys, F.max_by(ts, order)))
         before = F.coalesce(before, F.col("_carry"))
     gaps = rows.withColumn("_gap", F.col(ts) - before)
     some = F.when(F.col("_gap") > 0, F.col("_gap"))
@@ -201,6 +201,6 @@ def last_challenge(messages: DataFrame, flow: list[str], order: str, part: Colum
     w = Window.partitionBy(*flow, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     latest = F.last("challenge", ignorenulls=True).over(w)
     if part is not None:
-        rows = _with_carry(rows, flow, _carried(rows, flow, F.max_by("challenge", F.when(F.col("challenge").isNotNull(), F.col(order)))))
+        rows = with_carry(rows, flow, _carried(rows, flow, F.max_by("challenge", F.when(F.col("challenge").isNotNull(), F.col(order)))))
         latest = F.coalesce(latest, F.col("_carry"))
     return rows.withColumn("as_of", latest).select(*messages.columns, "as_of")
