@@ -12,7 +12,7 @@ of 0.9. Rows are distinct vectors: copies share a row that lists their smallest
 A block is only ever met by slices of at most QUERY_SLICE queries, so no group grows with the table.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do
-rows without id. Shorter vectors count as filled with zeros. Fewer candidates than k give fewer rows. Extra columns
+rows without id; all others do, however long or short their vectors are. Shorter vectors count as filled with zeros. Fewer candidates than k give fewer rows. Extra columns
 are not read. An empty table gives an empty result.
 """
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,8 +34,8 @@ BITS, KEY_BITS = 28, 7
 KEYS = [f"key{i}" for i in range(BITS // KEY_BITS)]
 WINDOW_SHARE = 0.2
 BLOCK_ROWS, MIN_BLOCKS, QUERY_SLICE = 2048, 32, 2048
-#: A window holds so many rows at least, so that small tables are searched whole.
-WINDOW_ROWS = 64
+#: Blocks that a task cuts its range into; it holds so many blocks of rows.
+SPLIT = 32
 #: Rows from which centre and spread of the projections are fitted; every row is indexed.
 FIT_ROWS = 20_000
 SEED = 11
@@ -92,10 +93,17 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return out
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, window_share: float = WINDOW_SHARE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Each row times a power of two, so that its largest component is near 1: cosines stay the same to the last bit,
+    and no square vanishes or overflows, whatever the vector's length."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True, initial=0.0))[1])
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = 5, window_share: float = WINDOW_SHARE, window_rows: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id long, rank int, vec_id long, score double): each query row's k nearest other rows by cosine.
 
-    ``is_query`` is a condition on vec_id. Ties go to the smaller vec_id.
+    ``is_query`` is a condition on vec_id. Ties go to the smaller vec_id. A window holds ``window_share`` of the rows,
+    and ``window_rows`` at least, without which the windows of small tables would hold fewer rows than an answer.
     """
     rows = usable(vectors, id_col, vector_col)
     smallest = Window.partitionBy("v").orderBy("vec_id")
@@ -111,7 +119,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, window_share: floa
     turns = [np.linalg.qr(random.normal(size=(dim, directions)))[0] for _ in range(ORDERINGS)]
     shifts = random.uniform(0, 0.1, size=(ORDERINGS, directions))
     sample = distinct.orderBy(F.xxhash64("rep")).limit(FIT_ROWS).select("v").toArrow()
-    unit = _matrix(sample.column("v"), dim)
+    unit = _scaled(_matrix(sample.column("v"), dim))
     unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-300)
     fits = [((unit @ t).mean(axis=0), (unit @ t).std(axis=0) + 1e-12) if len(unit) else (0.0, 1.0) for t in turns]
 
@@ -119,8 +127,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, window_share: floa
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _matrix(batch.column("v"), dim)
-            x /= np.abs(x).max(axis=1, keepdims=True)
+            x = _scaled(_matrix(batch.column("v"), dim))
             x /= np.linalg.norm(x, axis=1, keepdims=True)
             for o, (turn, shift, (mean, std)) in enumerate(zip(turns, shifts, fits, strict=True)):
                 place = (x @ turn - mean) / std / 6 + 0.5
@@ -131,14 +138,22 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, window_share: floa
 
     per_ordering = max(1, min(count, max(MIN_BLOCKS, -(-count // BLOCK_ROWS))))
     keyed = distinct.select("rep", "v", "asked").mapInArrow(order, f"ordering int, {' long, '.join(KEYS)} long, rep long, v array<double>, asked boolean")
-    blocks = keyed.repartitionByRange(ORDERINGS * per_ordering, "ordering", *KEYS, "rep").withColumn("block", F.spark_partition_id()).drop(*KEYS)
-    blocks = materialize(blocks, "blocks")
+    split = min(per_ordering, SPLIT)
+
+    def cut(batches):
+        rows = pa.Table.from_batches(batches, order_schema)
+        place = TaskContext.get().partitionId() * split + np.arange(rows.num_rows) * split // max(rows.num_rows, 1)
+        yield from rows.append_column("block", pa.array(place, pa.int32())).to_batches()
+
+    order_schema = pa.schema([("ordering", pa.int32()), ("rep", pa.int64()), ("v", pa.list_(pa.float64())), ("asked", pa.bool_())])
+    ranges = keyed.repartitionByRange(-(-ORDERINGS * per_ordering // split), "ordering", *KEYS, "rep").sortWithinPartitions("ordering", *KEYS, "rep")
+    blocks = materialize(ranges.drop(*KEYS).mapInArrow(cut, "ordering int, rep long, v array<double>, asked boolean, block int"), "blocks")
 
     # First and last block of each ordering, one row each. A block that holds the ends of two orderings counts in both.
     ends = {r["ordering"]: (r["low"], r["high"]) for r in blocks.groupBy("ordering").agg(F.min("block").alias("low"), F.max("block").alias("high")).collect()}
     end = lambda k: F.get(F.array(*[F.lit(ends.get(o, (0, 0))[k]) for o in range(ORDERINGS)]), F.col("ordering"))
     most = max((high - low + 1 for low, high in ends.values()), default=1)
-    window = min(1.0, max(window_share, WINDOW_ROWS / max(count, 1)))
+    window = min(1.0, max(window_share, window_rows / max(count, 1)))
     reach = max(0, -(-(int(window * most + 0.999) - 1) // 2))
     slices = max(1, -(-(n_asked or 0) * (2 * reach + 1) // (most * QUERY_SLICE)))
     part = F.pmod(F.xxhash64("rep"), F.lit(slices)).cast("int")
@@ -150,7 +165,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, window_share: floa
     def rerank(asked_rows: pa.Table, near: pa.Table) -> pa.Table:
         if not asked_rows.num_rows or not near.num_rows:
             return pa.table({"q": pa.array([], pa.int64()), "rep": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        q, c = _matrix(asked_rows.column("v"), dim), _matrix(near.column("v"), dim)
+        q, c = _scaled(_matrix(asked_rows.column("v"), dim)), _scaled(_matrix(near.column("v"), dim))
         q_id, c_id = asked_rows.column("rep").to_numpy(), near.column("rep").to_numpy()
         by_id = np.argsort(c_id, kind="stable")
         c, c_id = c[by_id], c_id[by_id]
