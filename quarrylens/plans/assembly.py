@@ -1,4 +1,4 @@
-"""Queries of assembled streams. Each order's lines are segments of one request, out of order, repeated, overlapping and lost."""
+"""Queries of captures and assembled streams. Each order's lines are segments of one request, out of order, repeated, overlapping and lost."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from quarrylens.operators import captures, streams
 from quarrylens.plans.registry import query, table
+from quarrylens.sources.captures import read_captures, write_captures
+from quarrylens.storage import fresh_path
 
 _WIDTH = 30
 #: Packets of a direction are cut at so many frames.
@@ -85,3 +87,29 @@ def http_findings(spark, sf_dir):
     """From packets to findings: assembly, request heads, known agents and credentials in plain text."""
     found = captures.agent_findings(streams.http_requests(streams.heads(_placed(spark, sf_dir))))
     return found.groupBy("file", "rule", F.get("evidence", F.lit(0)).alias("evidence")).agg(F.count("*").alias("n"))
+
+
+_CAPTURED = """c AS (SELECT '10.' || (l_suppkey % 3) || '.0.' || l_linenumber AS src_ip, CAST(l_partkey % 50 + 1 AS INTEGER) AS dst_port, CASE WHEN l_orderkey % 2 = 0 THEN 6 ELSE 17 END AS proto, l_orderkey AS o, length('order ' || l_orderkey || repeat('.', CAST(l_quantity AS INT) % 10)) AS size FROM lineitem)"""
+
+
+def _frames(spark, sf_dir):
+    """Ethernet frames made of columns: a line's numbers in IPv4 and TCP or UDP headers, and a short text."""
+    o = F.col("l_orderkey")
+    wide = lambda n, bytes_: F.lpad(F.hex(n.cast("long")), 2 * bytes_, "0")
+    text = F.concat(F.lit("order "), o.cast("string"), F.repeat(F.lit("."), (F.col("l_quantity").cast("int") % 10)))
+    tcp = o % 2 == 0
+    ports = F.concat(F.lit("1388"), wide(F.col("l_partkey") % 50 + 1, 2))
+    body = F.when(tcp, F.concat(ports, wide(o, 4), F.lit("00000000" + "5010" + "000000000000"))).otherwise(F.concat(ports, wide(F.length(text) + 8, 2), F.lit("0000")))
+    size = F.length(text) + F.when(tcp, 40).otherwise(28)
+    head = F.concat(F.lit("4500"), wide(size, 2), F.lit("0000000040"), F.when(tcp, "06").otherwise("11"), F.lit("0000"), F.lit("0A"), wide(F.col("l_suppkey") % 3, 1), F.lit("00"), wide(F.col("l_linenumber"), 1), F.lit("0A000001"))
+    frame = F.concat(F.unhex(F.concat(F.lit("00" * 12 + "0800"), head, body)), text.cast("binary"))
+    return table(spark, sf_dir, "lineitem").select((o + F.col("l_linenumber") / 8).cast("double").alias("ts"), frame.alias("frame"))
+
+
+@query(f"WITH {_CAPTURED} SELECT src_ip, dst_port, proto, count(*) AS n, CAST(sum(size) AS BIGINT) AS n_bytes, max(CASE WHEN proto = 6 THEN o ELSE 0 END) AS last_seq, sum(o % 1000) AS ts_sum FROM c GROUP BY src_ip, dst_port, proto")
+def capture_rows(spark, sf_dir):
+    """Frames written as capture files and read in partitions of a megabyte, which begin in the middle of records."""
+    path = fresh_path(spark, "captures")
+    write_captures(_frames(spark, sf_dir), path)
+    rows = read_captures(spark, path, partition_bytes=1 << 20)
+    return rows.groupBy("src_ip", "dst_port", "proto").agg(F.count("*").alias("n"), F.sum(F.col("size").cast("long")).alias("n_bytes"), F.max("tcp_seq").alias("last_seq"), F.sum(F.floor("ts") % 1000).alias("ts_sum"))

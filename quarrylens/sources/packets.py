@@ -1,51 +1,53 @@
-"""Captures in the classic libpcap format as rows of ``packets``, read from binary files in Arrow batches."""
+"""Frames of captures as rows of ``packets``: links, IPv4 and IPv6, TCP and UDP."""
 
 from __future__ import annotations
 
 import socket
 import struct
-from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
 
 SCHEMA = "path string, frame_no long, ts double, src_ip string, src_port int, dst_ip string, dst_port int, proto int, size int, tcp_flags int, tcp_seq long, payload binary"
 NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 #: Magic numbers by byte order and unit of time.
 MAGIC = {b"\xd4\xc3\xb2\xa1": ("<", 1e6), b"\xa1\xb2\xc3\xd4": (">", 1e6), b"\x4d\x3c\xb2\xa1": ("<", 1e9), b"\xa1\xb2\x3c\x4d": (">", 1e9)}
-ETHERNET, RAW = 1, 101
-
-
-def frames(data: bytes) -> Iterator[tuple[float, int, bytes]]:
-    """(time, link type, bytes) of each frame; ends at the first damaged record."""
-    if data[:4] not in MAGIC or len(data) < 24:
-        return
-    order, unit = MAGIC[data[:4]]
-    link, at = struct.unpack_from(order + "I", data, 20)[0] & 0xFFFF, 24
-    while at + 16 <= len(data):
-        seconds, fraction, size, _ = struct.unpack_from(order + "4I", data, at)
-        if at + 16 + size > len(data):
-            return
-        yield seconds + fraction / unit, link, data[at + 16 : at + 16 + size]
-        at += 16 + size
+IPV4, IPV6 = b"\x08\x00", b"\x86\xdd"
+#: Links whose frames begin with an IP header, those with a protocol at some place and a header's size, and loopbacks.
+BARE = (12, 14, 101, 228, 229)
+COOKED = {113: (14, 16), 276: (0, 20)}
+#: Extension headers with the unit of their length and what is added to it; fragments have 8 bytes.
+EXTENSIONS = {0: (8, 1), 43: (8, 1), 60: (8, 1), 51: (4, 2), 44: (0, 8)}
+ETHERNET, LOOPBACK = 1, {0: "<", 108: ">"}
+FAMILIES = {2: 4, 24: 6, 28: 6, 30: 6}
 
 
 def packet(link: int, frame: bytes) -> tuple | None:
     """(src, sport, dst, dport, proto, size, flags, seq, payload) of an IP packet, or None."""
     if link == ETHERNET:
         kind, at = frame[12:14], 14
-        while kind in (b"\x81\x00", b"\x88\xa8") and len(frame) >= at + 4:
-            kind, at = frame[at + 2 : at + 4], at + 4
-        frame = frame[at:] if kind in (b"\x08\x00", b"\x86\xdd") else b""
+        for _ in range(2):
+            if kind in (b"\x81\x00", b"\x88\xa8") and len(frame) >= at + 4:
+                kind, at = frame[at + 2 : at + 4], at + 4
+        frame = frame[at:] if kind in (IPV4, IPV6) else b""
+    elif link in COOKED:
+        at, size = COOKED[link]
+        frame = frame[size:] if frame[at : at + 2] in (IPV4, IPV6) else b""
+    elif link in LOOPBACK:
+        family = FAMILIES.get(struct.unpack_from(LOOPBACK[link] + "I", frame)[0]) if len(frame) >= 4 else None
+        frame = frame[4:] if family and len(frame) > 4 and frame[4] >> 4 == family else b""
+    elif link not in BARE:
+        return None
     if len(frame) >= 20 and frame[0] >> 4 == 4:
         head, proto, total = 4 * (frame[0] & 15), frame[9], struct.unpack_from(">H", frame, 2)[0]
         src, dst, body = socket.inet_ntoa(frame[12:16]), socket.inet_ntoa(frame[16:20]), frame[head : max(head, total or len(frame))]
     elif len(frame) >= 40 and frame[0] >> 4 == 6:
-        proto, src, dst, body = frame[6], socket.inet_ntop(socket.AF_INET6, frame[8:24]), socket.inet_ntop(socket.AF_INET6, frame[24:40]), frame[40:]
+        length = struct.unpack_from(">H", frame, 4)[0]
+        proto, src, dst, body = frame[6], socket.inet_ntop(socket.AF_INET6, frame[8:24]), socket.inet_ntop(socket.AF_INET6, frame[24:40]), frame[40 : 40 + (length or len(frame))]
         for _ in range(8):
-            if proto not in (0, 43, 60) or len(body) < 8:
+            if proto not in EXTENSIONS or len(body) < 8:
                 break
-            proto, body = body[0], body[8 * (body[1] + 1) :]
+            unit, more = EXTENSIONS[proto]
+            proto, body = body[0], body[unit * (body[1] + more) if unit else more :]
     else:
         return None
     if proto == 6 and len(body) >= 20:
@@ -57,25 +59,6 @@ def packet(link: int, frame: bytes) -> tuple | None:
     return src, 0, dst, 0, proto, len(body), 0, 0, body
 
 
-def read_pcap(spark: SparkSession, path: str) -> DataFrame:
-    """One row an IP packet of all captures under ``path``; a file is one row of input, so captures are best kept rotated."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                rows = []
-                for n, (ts, link, frame) in enumerate(frames(data), 1):
-                    if found := packet(link, frame):
-                        rows.append((name, n, ts, *found))
-                    if len(rows) == 4096:
-                        yield _batch(rows)
-                        rows = []
-                yield _batch(rows)
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, SCHEMA)
-
-
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.string(), pa.int64(), pa.float64(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
     columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
