@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
-from quarrylens.plans.registry import query
+from quarrylens.plans.registry import query, table
+from quarrylens.sources import logs
 from quarrylens.storage import fresh_path
 from quarrylens.streaming import watch
 from quarrylens.streaming.replay import replay, stream_of
@@ -43,3 +46,22 @@ def rate_windows(spark, sf_dir):
     requests = stream_of(spark, sf_dir, "events.parquet").select(F.col("user_id").cast("string").alias("id"), F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", "1 day")
     rows = replay(watch.rate_limited(requests, limit=5, seconds=1_000_000_000))
     return rows.groupBy("id").agg(F.count_if("allowed").alias("allowed"), F.count_if(~F.col("allowed")).alias("denied"))
+
+
+@query("SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids, CAST(count(DISTINCT event_id) AS BIGINT) AS n_ids FROM events GROUP BY event_type")
+def followed_logs(spark, sf_dir):
+    """Events as log files that grow and are rotated between two runs of the stream: each line is read once."""
+    top = fresh_path(spark, "logs")
+    folder = top.removeprefix("file://")
+    lines = table(spark, sf_dir, "events").select("event_id", F.concat_ws(" ", "event_id", "event_type", "props").alias("value"))
+    stream = lambda: logs.log_lines(spark, f"{top}/*.txt")
+    lines.where("event_id % 2 = 0").select("value").write.mode("append").text(top)
+    replay(stream(), top + "-rows")
+    for name in os.listdir(folder):  # one a task of the writer
+        if name.endswith(".txt"):
+            os.rename(f"{folder}/{name}", f"{folder}/{name}.1")
+    lines.where("event_id % 2 = 1").select("value").write.mode("append").text(top)
+    read = replay(stream(), top + "-rows")
+    fields = F.split("line", " ")
+    found = read.select(F.get(fields, F.lit(0)).cast("long").alias("event_id"), F.get(fields, F.lit(1)).alias("event_type"))
+    return found.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"), F.count_distinct("event_id").alias("n_ids"))
