@@ -622,6 +622,6 @@ def session_batches(spark, sf_dir):
     return s.select("user_id", F.unix_micros(F.col("began").cast("timestamp")).alias("began_us"), "n")
 
 
-from quarrylens.plans import assembly, captures, facts, reports, streams  # noqa: E402
+from quarrylens.plans import assembly, captures, facts, feeds as feed_plans, reports, streams  # noqa: E402, I001
 
-__all__ = ["QUERIES", "SQL", "assembly", "captures", "facts", "reports", "streams"]
+__all__ = ["QUERIES", "SQL", "assembly", "captures", "facts", "feed_plans", "reports", "streams"]

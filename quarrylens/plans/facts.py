@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarrylens.functions import decoders, indicators, network, protocols
-from quarrylens.operators import symbols
+from quarrylens.operators import markers, symbols
 from quarrylens.plans.registry import pick, pick_sql, query, quoted, table
 
 # --- files ------------------------------------------------------------------------------------------------------
@@ -291,3 +291,50 @@ def detect_all_types(spark, sf_dir):
     forms = [F.expr(x.replace("VARCHAR", "STRING").replace("sha256(", "sha2_(")).alias("v") if "sha256" not in x else F.sha2(F.col("o_orderkey").cast("string"), 256) for x in _KINDS.values()]
     value = F.element_at(F.array(*forms), (F.pmod(F.col("o_orderkey"), F.lit(len(forms))) + 1).cast("int"))
     return table(spark, sf_dir, "orders").groupBy(indicators.detect_type(value).alias("type")).agg(F.count("*").alias("n"))
+
+
+# --- bytes ------------------------------------------------------------------------------------------------------
+
+_STEP = 64
+_PATTERN_SQL = ", ".join(f"('{name}', '{pattern.hex().upper()}')" for name, pattern in markers.scan_patterns())
+_BYTES = f"""p(name, h) AS (VALUES {_PATTERN_SQL}),
+c AS (SELECT path, string_agg(h, '' ORDER BY o, n, h) AS h FROM (SELECT l_orderkey % 200 AS path, l_orderkey AS o, l_linenumber AS n, CASE WHEN l_partkey % 5 = 0 THEN {pick_sql('l_partkey // 5', [p.hex().upper() for _, p in markers.scan_patterns()])} WHEN l_partkey % 5 = 1 THEN '4D5A' || repeat('00', 58) || '0' || (l_suppkey % 9) || '000000' ELSE hex(l_returnflag || l_partkey) END AS h FROM lineitem) GROUP BY path)"""
+
+
+def _contents(spark, sf_dir):
+    """Contents in which all patterns lie at places that follow from the lines of many orders."""
+    part = F.col("l_partkey")
+    image = F.concat(F.lit("4D5A" + "00" * 58 + "0"), (F.col("l_suppkey") % 9).cast("string"), F.lit("000000"))
+    piece = F.when(part % 5 == 0, pick(F.floor(part / 5), [p.hex().upper() for _, p in markers.scan_patterns()])).when(part % 5 == 1, image).otherwise(F.hex(F.concat("l_returnflag", part.cast("string"))))
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 200).alias("path"), F.struct("l_orderkey", "l_linenumber", piece.alias("h")).alias("x"))
+    joined = rows.groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["h"]), "").alias("h"))
+    return joined.select(F.col("path").cast("string").alias("path"), F.unhex("h").alias("content"))
+
+
+@query(f"WITH {_BYTES} SELECT CAST(path AS VARCHAR) AS path, name, count(*) AS n, CAST(sum(i) AS BIGINT) AS places FROM (SELECT path, h, unnest(range(length(h) // 2)) AS i FROM c) s JOIN p ON substr(s.h, CAST(2 * i + 1 AS INT), length(p.h)) = p.h GROUP BY path, name")
+def byte_patterns(spark, sf_dir):
+    """All places of 19 patterns, in chunks of 64 bytes whose borders they cross."""
+    return markers.find_all(_contents(spark, sf_dir), markers.scan_patterns(), size=_STEP).groupBy("path", "name").agg(F.count("*").alias("n"), F.sum("place").alias("places"))
+
+
+_SHELLCODE_SQL = ", ".join(f"('{r}', {s})" for r, _, _, s in markers.SHELLCODE)
+_AT = "'0x' || lower(to_hex(i))"
+
+
+@query(
+    f"""WITH {_BYTES}, k AS MATERIALIZED (SELECT CAST(path AS VARCHAR) AS path, s.h AS h, name, i FROM (SELECT path, h, unnest(range(length(h) // 2)) AS i FROM c) s JOIN p ON substr(s.h, CAST(2 * i + 1 AS INT), length(p.h)) = p.h),
+m AS (SELECT path, i, i + CAST('0x' || substr(h, CAST(2 * i + 127 AS INT), 2) || substr(h, CAST(2 * i + 125 AS INT), 2) || substr(h, CAST(2 * i + 123 AS INT), 2) || substr(h, CAST(2 * i + 121 AS INT), 2) AS BIGINT) AS t FROM k WHERE name = 'MZ' AND i > 0 AND 2 * i + 128 <= length(h)),
+e AS (SELECT m.path AS path, 'embedded.pe' AS rule, m.i AS i FROM m JOIN k ON m.path = k.path AND k.name = 'PE' AND k.i = m.t WHERE t - m.i BETWEEN 1 AND 1048575 UNION ALL SELECT path, name, i FROM k WHERE name LIKE 'embedded.%' AND i > 0),
+f AS (SELECT path, rule, i, row_number() OVER (PARTITION BY path, rule ORDER BY i) AS n FROM e),
+a AS (SELECT path, substr(name, 9) AS label, i, CASE substr(name, 9) WHEN 'ZIP' THEN 1 WHEN '7z' THEN 2 WHEN 'RAR' THEN 3 ELSE 4 END AS o, row_number() OVER (PARTITION BY path, name ORDER BY i) AS n FROM k WHERE name LIKE 'archive %'),
+b AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY o, i) AS r FROM a WHERE n <= 4),
+s(rule, severity) AS (VALUES {_SHELLCODE_SQL}),
+z AS (SELECT path, name, min(i) AS i, row_number() OVER (PARTITION BY path ORDER BY CASE name WHEN 'beacon' THEN 1 WHEN 'beacon 0x69' THEN 2 ELSE 3 END) AS n FROM k WHERE name LIKE 'beacon%' GROUP BY path, name)
+SELECT path, rule, 70 AS severity, string_agg({_AT}, ' ' ORDER BY i) AS evidence FROM f WHERE n <= 8 GROUP BY path, rule
+UNION ALL SELECT path, 'embedded.archive', 50, string_agg(label || '@' || {_AT}, ' ' ORDER BY r) FROM b WHERE r <= 8 GROUP BY path
+UNION ALL SELECT path, rule, severity, {_AT} FROM (SELECT path, rule, severity, min(i) AS i FROM k JOIN s ON k.name = s.rule GROUP BY path, rule, severity)
+UNION ALL SELECT path, CASE WHEN name = 'beacon' THEN 'c2.cobalt_strike_beacon_marker' ELSE 'c2.cobalt_strike_xor_marker' END, 90, {_AT} FROM z WHERE n = 1"""
+)
+def marker_findings(spark, sf_dir):
+    """Embedded payloads, shellcode and beacon markers of the same contents."""
+    return markers.findings(_contents(spark, sf_dir), size=_STEP).select("path", "rule", "severity", F.array_join("evidence", " ").alias("evidence"))

@@ -1,4 +1,4 @@
-"""Feed payloads (JSON texts) to verdict, score and tags, by fixed schemas and conditions."""
+"""Feed payloads (JSON texts) to verdict, score, tags, dates and references, by fixed schemas and conditions."""
 
 from __future__ import annotations
 
@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 # The schemas of the payloads and the bounds of their scores.
 SCHEMAS = {
-    "virustotal": "data struct<attributes: struct<last_analysis_stats: struct<malicious: int, suspicious: int, harmless: int, undetected: int, timeout: int>, tags: array<string>>>",
-    "urlhaus": "query_status string, url_status string, tags array<string>",
-    "threatfox": "query_status string, data array<struct<confidence_level: int, malware: string, tags: array<string>>>",
-    "abuseipdb": "data struct<abuseConfidenceScore: int, isWhitelisted: boolean, countryCode: string>",
-    "otx": "pulse_info struct<count: int>, reputation int",
+    "virustotal": "data struct<attributes: struct<last_analysis_stats: struct<malicious: int, suspicious: int, harmless: int, undetected: int, timeout: int>, tags: array<string>, first_submission_date: long, last_analysis_date: long>>",
+    "urlhaus": "query_status string, url_status string, tags array<string>, date_added string, firstseen string, last_online string, lastseen string, urlhaus_reference string",
+    "threatfox": "query_status string, data array<struct<confidence_level: int, malware: string, malware_printable: string, tags: array<string>, first_seen: string, last_seen: string, reference: string>>",
+    "abuseipdb": "data struct<abuseConfidenceScore: int, isWhitelisted: boolean, countryCode: string, usageType: string, isp: string, lastReportedAt: string>",
+    "otx": "pulse_info struct<count: int, pulses: array<struct<tags: array<string>>>>, reputation int",
 }
+PAGES = {"virustotal": "https://www.virustotal.com/gui/search/", "abuseipdb": "https://www.abuseipdb.com/check/", "otx": "https://otx.alienvault.com/indicator/"}
+OTX_SECTIONS = {"cve": "cve", "ipv4": "IPv4", "ipv6": "IPv6", "domain": "domain", "url": "url", "md5": "file", "sha1": "file", "sha256": "file"}
+OTX_PULSES = 10
 
 
 def _result(verdict: Column, score: Column) -> Column:
@@ -42,12 +45,49 @@ def interpret(source: str, payload: Column) -> Column:
         n = F.coalesce(p["data"]["abuseConfidenceScore"], F.lit(0))
         white = F.coalesce(p["data"]["isWhitelisted"], F.lit(False))
         return _result(F.when(white, "benign").when(n >= 75, "malicious").when(n > 0, "suspicious").otherwise("unknown"), F.when(white, zero).otherwise(n / 100))
-    pulses, reputation = F.coalesce(p["pulse_info"]["count"], F.lit(0)), F.coalesce(p["reputation"], F.lit(0))
+    # Without a count, or with 0, the pulses themselves are counted.
+    count = F.coalesce(p["pulse_info"]["count"], F.lit(0))
+    pulses, reputation = F.when(count != 0, count).otherwise(F.coalesce(F.size(p["pulse_info"]["pulses"]), F.lit(0)).cast("int")), F.coalesce(p["reputation"], F.lit(0))
     bad = (pulses >= 5) | (reputation < -2)
     score = F.when(bad, F.least(F.lit(1.0), pulses / 10 + F.greatest(zero, -reputation / 10))).when(pulses >= 1, F.least(F.lit(0.6), pulses / 10)).otherwise(zero)
     return _result(F.when(bad, "malicious").when(pulses >= 1, "suspicious").otherwise("unknown"), score)
 
 
+def details(source: str, payload: Column, ioc_type: Column, value: Column) -> Column:
+    """struct<tags, first_seen, last_seen, references> of a payload: what it says beside its verdict.
+
+    Tags and references are in the order of the payload, each tag once; empty ones are left out.
+    """
+    p = F.from_json(payload, SCHEMAS[source])
+    none = F.array().cast("array<string>")
+    some = lambda x: F.when(x != "", x)
+    given = lambda tags: F.coalesce(F.array_distinct(F.filter(tags, lambda t: t.isNotNull() & (t != ""))), none)
+    told = lambda tags, first, last, references: F.struct(tags.alias("tags"), first.cast("string").alias("first_seen"), last.cast("string").alias("last_seen"), references.alias("references"))
+    page = F.array(F.concat(F.lit(PAGES.get(source, "")), value))
+    null = F.lit(None)
+    if source == "virustotal":
+        a = p["data"]["attributes"]
+        date = lambda d: F.when(d != 0, d)
+        return told(given(a["tags"]), date(a["first_submission_date"]), date(a["last_analysis_date"]), page)
+    if source == "urlhaus":
+        hit = p["query_status"] == "ok"
+        in_hit = lambda x: F.when(hit, x)
+        return told(given(in_hit(p["tags"])), in_hit(F.coalesce(some(p["date_added"]), some(p["firstseen"]))), in_hit(F.coalesce(some(p["last_online"]), some(p["lastseen"]))), F.coalesce(F.array_compact(F.array(in_hit(some(p["urlhaus_reference"])))), none))
+    if source == "threatfox":
+        rows = F.when(p["query_status"] == "ok", p["data"])
+        family = lambda x: F.array(F.coalesce(some(x["malware_printable"]), some(x["malware"])))
+        tags = F.flatten(F.transform(rows, lambda x: F.concat(F.coalesce(x["tags"], none), family(x))))
+        first = F.get(rows, F.lit(0))
+        return told(given(tags), first["first_seen"], first["last_seen"], F.coalesce(F.array_compact(F.transform(rows, lambda x: some(x["reference"]))), none))
+    if source == "abuseipdb":
+        d = p["data"]
+        named = F.array(*[F.concat(F.lit(f"{name}:"), some(d[field])) for name, field in (("country", "countryCode"), ("usage", "usageType"), ("isp", "isp"))])
+        return told(given(named), null, d["lastReportedAt"], page)
+    tags = F.flatten(F.transform(F.slice(p["pulse_info"]["pulses"], 1, OTX_PULSES), lambda x: F.coalesce(x["tags"], none)))
+    section = F.element_at(F.create_map(*[F.lit(x) for pair in OTX_SECTIONS.items() for x in pair]), ioc_type)
+    return told(given(tags), null, null, F.array(F.concat(F.lit(PAGES["otx"]), section, F.lit("/"), value)))
+
+
 def exit_addresses(lines: DataFrame, line_col: str = "value") -> DataFrame:
     """(value) for each distinct address of a text table of exit relays; lines that begin with # are comments."""
     text = F.col(line_col)

@@ -105,3 +105,19 @@ def test_parts_of_a_hot_flow_carry_over(spark):
     assert plain == cut
     plain, cut = ([tuple(r) for r in flows.beacons(df, ["k"], "ts", "n", cv=0.5, part=p).orderBy("k").collect()] for p in (None, part))
     assert [r[:2] for r in plain] == [r[:2] for r in cut] and all(abs(x[2] - y[2]) < 1e-9 for x, y in zip(plain, cut, strict=True)) and len(plain) == 2
+
+
+def test_every_emitted_rule_has_techniques_or_none_on_purpose():
+    """Names of rules are read off the modules that emit them."""
+    import re
+    from pathlib import Path
+
+    from quarrylens.operators import findings
+
+    folder = Path(findings.__file__).parent
+    text = "".join((folder / f"{m}.py").read_text() for m in ("captures", "symbols", "winevents", "markers"))
+    emitted = set(re.findall(r'"((?:pcap|combo|pe|evtx|embedded|shellcode|c2)\.[a-z0-9_]+)"', text)) | {"pcap.tls_no_sni", "pcap.tls_non_standard_port"}
+    emitted.discard("pcap.tls_")
+    assert len(emitted) > 80
+    assert emitted == emitted & (set(findings.TECHNIQUES) | set(findings.WITHOUT_TECHNIQUE)), emitted - set(findings.TECHNIQUES)
+    assert not set(findings.TECHNIQUES) & set(findings.WITHOUT_TECHNIQUE)
