@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylens.functions import decoders, indicators, network
+from quarrylens.functions import sql as sql_functions
 from quarrylens.operators import correlate, enrich, extract, findings, flows, scoring, winevents
 from quarrylens.plans import indicator_sql
-from quarrylens.plans.registry import QUERIES, SQL, query, table
+from quarrylens.plans.registry import QUERIES, SQL, pick, query, table
 from quarrylens.sinks import rules
 from quarrylens.sources import feeds
 
@@ -37,32 +38,35 @@ def ioc_type_counts(spark, sf_dir):
     return extract.extract(texts, "text", ["id"]).groupBy("type").agg(F.count("*").alias("n"), F.count_distinct("id").alias("n_texts"), F.count_distinct("value").alias("n_values"))
 
 
-def _scan(df: DataFrame, key: str, pattern: str, flags: str = "") -> DataFrame:
-    return df.select(key, F.explode(F.regexp_extract_all(ascii_text(), F.lit(flags + pattern), F.lit(0))).alias("hit"))
+def _values_sql(kind: str) -> str:
+    return indicator_sql.found("SELECT doc_id AS id, text AS t FROM documents") + f", v AS (SELECT id AS doc_id, value FROM a WHERE type = '{kind}')"
 
 
-def _scan_sql(pattern: str) -> str:
-    return f"SELECT doc_id, unnest(regexp_extract_all({ASCII_SQL}, '{pattern}', 0)) AS hit FROM documents"
+def _documents(spark, sf_dir, kind: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "documents"), "text", ["doc_id"]).where(F.col("type") == kind)
 
 
-@query(f"WITH s AS ({_scan_sql(indicators.EMAIL)}) SELECT DISTINCT doc_id, lower(hit) AS email FROM s")
+@query(f"{_values_sql('email')} SELECT doc_id, value AS email FROM v")
 def ioc_emails(spark, sf_dir):
-    return _scan(table(spark, sf_dir, "documents"), "doc_id", indicators.EMAIL).select("doc_id", F.lower("hit").alias("email")).distinct()
+    return _documents(spark, sf_dir, "email").select("doc_id", F.col("value").alias("email"))
 
 
-@query(f"WITH s AS ({_scan_sql(indicators.IPV4)}) SELECT hit AS ip, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM s GROUP BY hit")
+@query(f"{_values_sql('ipv4')} SELECT value AS ip, count(*) AS n_docs FROM v GROUP BY 1")
 def ioc_ipv4(spark, sf_dir):
-    return _scan(table(spark, sf_dir, "documents"), "doc_id", indicators.IPV4).groupBy(F.col("hit").alias("ip")).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
+    return _documents(spark, sf_dir, "ipv4").groupBy(F.col("value").alias("ip")).agg(F.count("*").alias("n_docs"))
 
 
-@query(f"WITH s AS ({_scan_sql(indicators.MD5)}) SELECT DISTINCT doc_id, lower(hit) AS md5 FROM s")
+@query("SELECT page_id, md5(url) AS md5 FROM pages")
 def ioc_md5(spark, sf_dir):
-    return _scan(table(spark, sf_dir, "documents"), "doc_id", indicators.MD5).select("doc_id", F.lower("hit").alias("md5")).distinct()
+    """Digests among other hexadecimal digits, which are too many or too few."""
+    text = F.concat_ws(" ", F.lit("see"), F.md5("url"), F.concat(F.md5("url"), F.lit("0")), F.concat(F.lit("_"), F.md5("html")), F.substring(F.md5("html"), 1, 31))
+    found = extract.extract(table(spark, sf_dir, "pages").select("page_id", text.alias("text")), "text", ["page_id"])
+    return found.where("type = 'md5'").select("page_id", F.col("value").alias("md5"))
 
 
-@query(f"WITH s AS ({_scan_sql(indicators.DOMAIN)}) SELECT lower(hit) AS domain, count(*) AS n FROM s GROUP BY 1")
+@query(f"{_values_sql('domain')} SELECT value AS domain, count(*) AS n FROM v GROUP BY 1")
 def ioc_domains(spark, sf_dir):
-    return _scan(table(spark, sf_dir, "documents"), "doc_id", indicators.DOMAIN).groupBy(F.lower("hit").alias("domain")).agg(F.count("*").alias("n"))
+    return _documents(spark, sf_dir, "domain").groupBy(F.col("value").alias("domain")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT page_id, lower(rtrim(url, '.,;:)')) AS url FROM pages")
@@ -71,6 +75,26 @@ def ioc_urls(spark, sf_dir):
     return found.where("type = 'url'").select("page_id", F.col("value").alias("url"))
 
 
+@query(indicator_sql.type_counts("SELECT 'p' || page_id AS id, url AS t FROM pages"))
+def sql_surface(spark, sf_dir):
+    """The same extraction by SQL alone: a table function in a lateral join."""
+    sql_functions.register(spark)
+    table(spark, sf_dir, "pages").createOrReplaceTempView("quarrylens_pages")
+    return spark.sql("SELECT i.type, count(*) AS n, count(DISTINCT page_id) AS n_texts, count(DISTINCT i.value) AS n_values FROM quarrylens_pages, LATERAL extract_iocs(url) AS i GROUP BY i.type")
+
+
+_WHITE = ["\u00a0", "\u2003", "\u3000", "\u0085", "\u2028", "\x1c"]
+
+
+@query(indicator_sql.type_counts("SELECT 'd' || doc_id AS id, text AS t FROM documents"))
+def ioc_unicode_space(spark, sf_dir):
+    """Documents whose spaces are Unicode's others hold the same indicators."""
+    docs = table(spark, sf_dir, "documents")
+    text = F.replace("text", F.lit(" "), pick(F.col("doc_id"), _WHITE))
+    found = extract.extract(docs.select("doc_id", text.alias("text")), "text", ["doc_id"])
+    return found.groupBy("type").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_texts"), F.count_distinct("value").alias("n_values"))
+
+
 @query("SELECT page_id, replace(replace(regexp_replace(regexp_replace(url, 'https://', 'hxxps://', 'gi'), 'http://', 'hxxp://', 'gi'), '.', '[.]'), '@', '[@]') AS defanged FROM pages")
 def defang_urls(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", indicators.defang(F.col("url")).alias("defanged"))

@@ -32,9 +32,12 @@ _STEPS = ",\n".join(
     for n in range(len(i.SCANS))
 )
 
+
 #: Word boundaries are ASCII's in DuckDB: other letters and digits are made underscores, all other characters spaces.
-TYPE_COUNTS = f"""
-WITH x AS (SELECT 'p' || page_id AS id, url AS t FROM pages UNION ALL SELECT 'h' || page_id, html FROM pages UNION ALL SELECT 'd' || doc_id, text FROM documents),
+def found(texts: str) -> str:
+    """WITH ... a(id, type, value): the indicators of ``texts``, a query that gives (id, t)."""
+    return f"""
+WITH x AS ({texts}),
 y AS (SELECT id, CASE WHEN regexp_matches(t, {_Q(i.DEFANGED)}) THEN {_REFANGED} ELSE t END AS t FROM x WHERE t IS NOT NULL),
 z AS (SELECT id, regexp_replace(regexp_replace(t, '[^\\x00-\\x7F\\p{{L}}\\p{{N}}]', ' ', 'g'), '[^\\x00-\\x7F]', '_', 'g') AS t FROM y),
 w AS MATERIALIZED (SELECT * FROM (SELECT id, unnest(range(len(l))) AS k, unnest(l) AS w FROM (SELECT id, string_split_regex(t, {_Q(i.BREAKS)}) AS l FROM z)) WHERE regexp_matches(w, {_Q(i.LIKELY)})),
@@ -42,5 +45,11 @@ m AS MATERIALIZED ({" UNION ALL ".join(_matches(n, kind, pattern, flags) for n,
 {_STEPS},
 o AS (SELECT id, kind AS type, CASE WHEN kind IN ({", ".join(map(_Q, i.LOWER_CASED))}) THEN lower(hit) WHEN kind = 'cve' THEN upper(hit) ELSE hit END AS value, CASE kind WHEN 'url' THEN lower(regexp_extract(hit, {_Q(i.HOST)}, 1)) WHEN 'email' THEN split_part(hit, '@', 2) END AS h FROM r{len(i.SCANS) - 1}),
 a AS (SELECT DISTINCT id, type, value FROM (SELECT id, type, value FROM o UNION ALL SELECT id, {_HOST_TYPE('h')}, lower(h) FROM o WHERE h IS NOT NULL) WHERE type IS NOT NULL)
-SELECT type, count(*) AS n, count(DISTINCT id) AS n_texts, count(DISTINCT value) AS n_values FROM a GROUP BY type
 """.replace("\\\\x", "\\x").replace("\\\\p", "\\p")
+
+
+def type_counts(texts: str) -> str:
+    return found(texts) + "SELECT type, count(*) AS n, count(DISTINCT id) AS n_texts, count(DISTINCT value) AS n_values FROM a GROUP BY type"
+
+
+TYPE_COUNTS = type_counts("SELECT 'p' || page_id AS id, url AS t FROM pages UNION ALL SELECT 'h' || page_id, html FROM pages UNION ALL SELECT 'd' || doc_id, text FROM documents")
