@@ -9,7 +9,7 @@ hash of text and key picks. Every candidate is verified on the whole shingle set
 
 Where a large key still holds texts of several groups, ``across`` looks at what is left exactly: two sets of this
 similarity share one of the rarest shingles of each (a fifth of the set and one more), so these alone are joined, a
-position bound drops what cannot reach the similarity any more, and members of a shingle's largest group never meet each
+position bound and the parities of both sets drop what cannot reach the similarity any more, and members of a shingle's largest group never meet each
 other. The work so grows with the texts and with those pairs of groups that share rare shingles, not with the pairs of a key.
 
 The rows are distinct texts, known by a digest; copies cost nothing more. Texts are shuffled once, for the shingle sets
@@ -31,6 +31,8 @@ from quarrylens.llm.simhash import links, majority, shingle_hashes
 WORDS = 5
 BANDS, ROWS = 16, 4
 ALL_PAIRS = 16
+#: Bits of a set by which pairs that cannot be similar are dropped where they would meet.
+PARITIES = 512
 _RANDOM = np.random.Generator(np.random.PCG64(5))
 _FACTORS = _RANDOM.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _TERMS = _RANDOM.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64)
@@ -72,11 +74,20 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), bands], ["doc_id", "digest", "fp", "size", "bands"])
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """A bit for each of PARITIES classes of a set's hashes: whether their number is odd.
+
+    Two sets differ in at least as many elements as bits, which bounds what they share from above.
+    """
+    odd = np.bincount((hashes % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for node, text in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            found = np.unique(shingle_hashes(text, WORDS)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([node], pa.int64()), pa.array([found], pa.list_(pa.int64()))], ["node", "shingles"])
+            found = np.unique(shingle_hashes(text, WORDS))
+            yield pa.RecordBatch.from_arrays([pa.array([node], pa.int64()), pa.array([found.view(np.int64)], pa.list_(pa.int64())), pa.array([parities(found)], pa.list_(pa.int64()))], ["node", "shingles", "parities"])
 
 
 def keyed(nodes: DataFrame) -> DataFrame:
@@ -117,14 +128,18 @@ def across(linked: DataFrame, groups: DataFrame, sets: DataFrame) -> DataFrame:
     # Shingles of no other text come first; of what follows, the prefix has these.
     alone = F.col("size") - F.size("all")
     length = F.expr("size - (4 * size + 4) div 5 + 1").cast("int") - alone
-    prefix = sorted_.where(length > 0).select("node", "component", "size", alone.alias("alone"), F.posexplode(F.slice("all", 1, length)).alias("i", "x"))
-    prefix = materialize(prefix.select("x.shingle", "node", "component", "size", (F.col("size") - F.col("alone") - F.col("i")).alias("left")), "prefix")
+    words = [F.col("parities")[k].alias(f"p{k}") for k in range(PARITIES // 64)]
+    sorted_ = sorted_.join(one.select("node", *words), "node")
+    bits = [f"p{k}" for k in range(PARITIES // 64)]
+    prefix = sorted_.where(length > 0).select("node", "component", "size", *bits, alone.alias("alone"), F.posexplode(F.slice("all", 1, length)).alias("i", "x"))
+    prefix = materialize(prefix.select("x.shingle", "node", "component", "size", *bits, (F.col("size") - F.col("alone") - F.col("i")).alias("left")), "prefix")
     by_group = prefix.groupBy("shingle", "component").agg(F.count("*").alias("n"))
     main = by_group.groupBy("shingle").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("k")).where("k > 1")
-    x = prefix.join(main, "shingle").where("component <> main").select("shingle", "main", *[F.col(c).alias(f"x_{c}") for c in ("node", "component", "size", "left")])
+    x = prefix.join(main, "shingle").where("component <> main").select("shingle", "main", *[F.col(c).alias(f"x_{c}") for c in ("node", "component", "size", "left", *bits)])
     # Nothing before the first shared shingle is shared, so with it all of the overlap is in what is left of both.
     may = "x_component <> component and (component = main or x_node < node) and 5 * least(x_size, size) >= 4 * greatest(x_size, size) and 9 * least(x_left, left) >= 4 * (x_size + size)"
-    return x.join(prefix, "shingle").where(may).select(F.least("x_node", "node").alias("a"), F.greatest("x_node", "node").alias("b")).distinct()
+    apart = " + ".join(f"bit_count(x_{p} ^ {p})" for p in bits)
+    return x.join(prefix, "shingle").where(f"{may} and 9 * ({apart}) <= x_size + size").select(F.least("x_node", "node").alias("a"), F.greatest("x_node", "node").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -148,7 +163,7 @@ def similar_texts(docs: DataFrame) -> DataFrame:
     pairs = materialize(candidates(nodes, linked), "candidates")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(linked.where(F.col("n") > ALL_PAIRS).select("x.node")).distinct()
     wanted = wanted.join(nodes.select("node", "doc_id", "digest"), "node")
-    sets = texts.join(wanted, ["doc_id", "digest"]).select("node", "text").mapInArrow(_sets, "node long, shingles array<long>")
+    sets = texts.join(wanted, ["doc_id", "digest"]).select("node", "text").mapInArrow(_sets, "node long, shingles array<long>, parities array<long>")
     sets = materialize(sets, "shingles")
     groups = connected_components(verified(pairs, sets))
     more = materialize(verified(across(linked, groups, sets), sets), "across")
