@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,7 +33,7 @@ BITS, KEY_BITS = 28, 7
 KEYS = [f"key{i}" for i in range(BITS // KEY_BITS)]
 WINDOW_SHARE = 0.2
 BLOCK_ROWS, MIN_BLOCKS, QUERY_SLICE = 2048, 32, 2048
-#: Blocks that a task cuts its range into; it holds so many blocks of rows.
+#: Blocks that a task writes.
 SPLIT = 32
 #: Rows from which centre and spread of the projections are fitted; every row is indexed.
 FIT_ROWS = 20_000
@@ -138,16 +137,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, window_share: floa
 
     per_ordering = max(1, min(count, max(MIN_BLOCKS, -(-count // BLOCK_ROWS))))
     keyed = distinct.select("rep", "v", "asked").mapInArrow(order, f"ordering int, {' long, '.join(KEYS)} long, rep long, v array<double>, asked boolean")
-    split = min(per_ordering, SPLIT)
-
-    def cut(batches):
-        rows = pa.Table.from_batches(batches, order_schema)
-        place = TaskContext.get().partitionId() * split + np.arange(rows.num_rows) * split // max(rows.num_rows, 1)
-        yield from rows.append_column("block", pa.array(place, pa.int32())).to_batches()
-
-    order_schema = pa.schema([("ordering", pa.int32()), ("rep", pa.int64()), ("v", pa.list_(pa.float64())), ("asked", pa.bool_())])
-    ranges = keyed.repartitionByRange(-(-ORDERINGS * per_ordering // split), "ordering", *KEYS, "rep").sortWithinPartitions("ordering", *KEYS, "rep")
-    blocks = materialize(ranges.drop(*KEYS).mapInArrow(cut, "ordering int, rep long, v array<double>, asked boolean, block int"), "blocks")
+    # A block is a range; a task writes several of them.
+    ranges = ORDERINGS * per_ordering
+    blocks = keyed.repartitionByRange(ranges, "ordering", *KEYS, "rep").withColumn("block", F.spark_partition_id()).drop(*KEYS)
+    blocks = materialize(blocks.coalesce(max(1, ranges // SPLIT)), "blocks")
 
     # First and last block of each ordering, one row each. A block that holds the ends of two orderings counts in both.
     ends = {r["ordering"]: (r["low"], r["high"]) for r in blocks.groupBy("ordering").agg(F.min("block").alias("low"), F.max("block").alias("high")).collect()}
