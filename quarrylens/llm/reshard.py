@@ -1,7 +1,7 @@
 """Resharding by minimum-cost flow.
 
-From the sizes of the old shards and the capacities of the new ones a small flow network is solved on the driver;
-its size depends on the numbers of shards alone. Each unit of flow between different shards costs one byte moved,
+From the sizes of the old shards and the capacities of the new ones a flow network is solved on the driver; it has one
+arc a shard and a hub, so work grows with the number of shards alone. Each unit of flow between different shards costs one byte moved,
 staying costs nothing. The flow decides all transfers: how many bytes of which old shard go to which new one. It is
 then applied to rows, which cannot be cut:
 
@@ -91,6 +91,35 @@ def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]])
     return [{j: f for j, f in sorted(x.items()) if f} for x in flow]
 
 
+def stay_or_move(supply: list[int], capacity: list[int]) -> list[dict[int, int]]:
+    """``min_cost_flow`` for costs of 0 to stay (old shard i in new shard i) and 1 to move, on a network of n + m arcs.
+
+    Every old shard has one arc to its own new shard, and one to a hub from which all new shards are reached; the hub
+    stands for n * m arcs of equal cost. The primal-dual method needs two steps there: with potentials of 0 the arcs that
+    stay are filled as far as both ends allow; with potentials of 1 the arcs of the hub are, in the order of the shards.
+    Work and result are linear in the shards.
+    """
+    if sum(supply) > sum(capacity):
+        raise ValueError("the capacities do not hold the supply")
+    flow: list[dict[int, int]] = [{} for _ in supply]
+    left, room = list(supply), list(capacity)
+    for i in range(min(len(left), len(room))):
+        if stays := min(left[i], room[i]):
+            flow[i][i] = stays
+            left[i] -= stays
+            room[i] -= stays
+    j = 0
+    for i, rest in enumerate(left):
+        while rest:
+            if moved := min(rest, room[j]):
+                flow[i][j] = flow[i].get(j, 0) + moved
+                rest -= moved
+                room[j] -= moved
+            else:
+                j += 1
+    return [dict(sorted(x.items())) for x in flow]
+
+
 def place_large(large: list[tuple[int, int, int]], flow: list[dict[int, int]]) -> tuple[dict[int, int], list[dict[int, int]]]:
     """Shards for (uid, size, old shard) within the transfers of ``flow``, and the room that each transfer has left."""
     room, at = [dict(x) for x in flow], {}
@@ -154,8 +183,7 @@ def reshard(rows: DataFrame, n_old: int, n_new: int) -> DataFrame:
     bar = max(1, int(total / n_new / LARGE_SHARE))
     large = [tuple(r) for r in rows.where(F.col("size") > bar).select("uid", "size", "old").collect()]  # at most LARGE_SHARE a shard
     supply = [sizes.get(i, (0, 0))[0] for i in range(n_old)]
-    cost = [[int(i != j) for j in range(n_new)] for i in range(n_old)]
-    flow = min_cost_flow(supply, [-(-total // n_new)] * n_new, cost)
+    flow = stay_or_move(supply, [-(-total // n_new)] * n_new)
     at, room = place_large(large, flow)
     small = list(supply)
     for _, size, old in large:

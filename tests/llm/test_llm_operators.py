@@ -69,17 +69,38 @@ def test_reshard(spark, docs, none, tmp_path):
     assert moved <= sum(max(0, b - sum(sizes) / 8) for b in old.values()) + 1000
 
 
+def test_sparse_network_has_the_cost_of_the_dense_one():
+    import random
+    import time
+
+    r = random.Random(2)
+    for _ in range(60):
+        n, m = r.randrange(1, 9), r.randrange(1, 9)
+        supply = [r.choice((0, r.randrange(50))) for _ in range(n)]
+        capacity = [r.randrange(20) for _ in range(m)]
+        capacity[r.randrange(m)] += sum(supply)
+        cost = lambda flow: sum(f for i, x in enumerate(flow) for j, f in x.items() if i != j)
+        flow = reshard.stay_or_move(supply, capacity)
+        assert [sum(x.values()) for x in flow] == supply and sum(map(len, flow)) <= 2 * (n + m)
+        assert all(sum(x.get(j, 0) for x in flow) <= c for j, c in enumerate(capacity))
+        assert cost(flow) == cost(reshard.min_cost_flow(supply, capacity, [[int(i != j) for j in range(m)] for i in range(n)]))
+    began = time.perf_counter()
+    assert len(reshard.stay_or_move([10] * 100_000, [8] * 125_000)) == 100_000 and time.perf_counter() - began < 5
+    with pytest.raises(ValueError):
+        reshard.stay_or_move([3], [2])
+
+
 def test_flow_decides_the_transfers(monkeypatch, spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     seen = {}
-    solve, fix = reshard.min_cost_flow, reshard.correct
+    solve, fix = reshard.stay_or_move, reshard.correct
 
-    def solved(supply, capacity, cost):
-        seen["flow"] = solve(supply, capacity, cost)
+    def solved(supply, capacity):
+        seen["flow"] = solve(supply, capacity)
         seen["supply"] = sum(supply)
         return seen["flow"]
 
-    monkeypatch.setattr(reshard, "min_cost_flow", solved)
+    monkeypatch.setattr(reshard, "stay_or_move", solved)
     monkeypatch.setattr(reshard, "correct", lambda *a: seen.setdefault("moves", fix(*a)))
     old = F.pmod(F.crc32(F.col("source").cast("binary")), F.lit(32))
     rows = reshard.reshard_documents(docs, old).toPandas()
