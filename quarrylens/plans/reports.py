@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarrylens.operators import enrich, findings, scoring
+from quarrylens.operators import enrich, findings, rollup, scoring
 from quarrylens.plans import catalog
 from quarrylens.plans.registry import pick, pick_sql, query, quoted, table
 from quarrylens.sinks import reports, rules
@@ -125,3 +125,50 @@ def import_ordinals(spark, sf_dir):
     library = F.concat(F.lit("LIB"), (F.col("p_size") % 5).cast("string"), pick(F.col("p_partkey"), (".DLL", ".ocx", ".sys")))
     lists = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.sort_array(F.collect_list(F.struct("p_partkey", library.alias("library"), symbol.alias("symbol")))).alias("l"))
     return lists.select("p_brand", findings.import_hash(F.col("l")).alias("imphash"))
+
+
+# --- members of archives ------------------------------------------------------------------------------------------
+
+_LIMITS = {"member_bytes": 900_000, "total_bytes": 30_000_000, "bomb_ratio": 200, "bomb_bytes": 100_000}
+_MEMBERS = """m AS (SELECT 'a' || (event_id % 20) AS file, k AS id, CASE WHEN k = 0 THEN NULL WHEN k % 97 = 50 THEN k ELSE (k - 1) // 4 END AS parent, (k - 1) % 4 AS position, CASE WHEN k = 0 THEN 0 ELSE (k * 7919 % 1000) * 1000 END AS size,
+  (k * 7919 % 1000) * 1000 // (k % 250 + 1) AS packed, k % 11 = 5 AS encrypted, CASE WHEN k % 13 = 7 THEN 'malicious' WHEN k % 17 = 3 THEN 'suspicious' ELSE 'clean' END AS verdict FROM (SELECT event_id, event_id // 20 AS k FROM events)),
+b AS MATERIALIZED (SELECT *, size >= 100000 AND size >= 200 * greatest(packed, 1) AS bomb FROM m),
+w AS (SELECT file, id, 0 AS depth, CAST([] AS BIGINT[]) AS path, [id] AS ids FROM b WHERE parent IS NULL
+  UNION ALL SELECT x.file, x.id, w.depth + 1, list_append(w.path, x.position), list_append(w.ids, x.id) FROM w JOIN b x ON x.file = w.file AND x.parent = w.id JOIN b o ON o.file = w.file AND o.id = w.id WHERE w.depth <= 4 AND (o.parent IS NULL OR NOT (o.bomb OR o.encrypted OR o.size > 900000))),
+j AS (SELECT b.file AS file, b.id AS id, size, bomb, encrypted, verdict, depth, path, ids FROM b LEFT JOIN w ON b.file = w.file AND b.id = w.id),
+c AS (SELECT *, CASE WHEN depth BETWEEN 1 AND 4 AND NOT bomb AND NOT encrypted THEN least(size, 900000) ELSE 0 END AS cost FROM j),
+d AS (SELECT *, coalesce(sum(cost) OVER (PARTITION BY file, depth BETWEEN 1 AND 4 ORDER BY path[:-2], path[-1], id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c),
+e AS (SELECT *, CASE WHEN depth BETWEEN 1 AND 4 AND NOT bomb AND NOT encrypted THEN greatest(0, least(size, 900000, 30000000 - before)) ELSE 0 END AS taken FROM d),
+s AS (SELECT file, id, depth, ids, verdict, CAST(taken AS BIGINT) AS taken, CASE WHEN depth IS NULL THEN 'unreached' WHEN depth = 0 THEN 'file' WHEN depth > 4 THEN 'depth' WHEN encrypted THEN 'encrypted' WHEN bomb THEN 'bomb' WHEN taken = size THEN 'read' WHEN taken > 0 THEN 'partial' ELSE 'budget' END AS status FROM e),
+u AS (SELECT file, id AS own, unnest(ids) AS id, CASE verdict WHEN 'malicious' THEN 2 WHEN 'suspicious' THEN 1 ELSE 0 END AS rank, taken FROM s WHERE status IN ('file', 'read', 'partial')),
+v AS (SELECT file, id, CASE max(rank) WHEN 2 THEN 'malicious' WHEN 1 THEN 'suspicious' ELSE 'clean' END AS verdict, count(*) FILTER (own <> id) AS members, CAST(coalesce(sum(taken) FILTER (own <> id), 0) AS BIGINT) AS bytes FROM u GROUP BY file, id)"""
+
+
+def _expanded(spark, sf_dir):
+    """Trees of members, four to an archive, with bombs, encrypted ones and members that are their own parents."""
+    e = table(spark, sf_dir, "events").select((F.col("event_id") % 20).alias("f"), F.floor(F.col("event_id") / 20).alias("k"))
+    k = F.col("k")
+    size = F.when(k == 0, 0).otherwise(k * 7919 % 1000 * 1000)
+    parent = F.when(k == 0, None).when(k % 97 == 50, k).otherwise(F.floor((k - 1) / 4))
+    verdict = F.when(k % 13 == 7, "malicious").when(k % 17 == 3, "suspicious").otherwise("clean")
+    packed = F.floor(k * 7919 % 1000 * 1000 / (k % 250 + 1))
+    rows = e.select(F.concat(F.lit("a"), F.col("f").cast("string")).alias("file"), k.alias("id"), parent.alias("parent"), ((k - 1) % 4).alias("position"), F.concat(F.lit("m"), k.cast("string")).alias("name"), size.alias("size"), packed.alias("packed"), (k % 11 == 5).alias("encrypted"), verdict.alias("verdict"))
+    return rollup.expand(rows, **_LIMITS)
+
+
+@query(f"WITH RECURSIVE {_MEMBERS} SELECT s.file AS file, s.id AS id, depth, status, taken, v.verdict AS worst, v.members AS members, v.bytes AS bytes FROM s LEFT JOIN v ON s.file = v.file AND s.id = v.id")
+def archive_rollup(spark, sf_dir):
+    """Members by a recursive walk, with the budget in the order of unpacking, and the worst verdict below each."""
+    expanded = _expanded(spark, sf_dir)
+    up = rollup.rolled_up(expanded).withColumnRenamed("verdict", "worst")
+    return expanded.join(up, ["file", "id"], "left").select("file", "id", "depth", "status", "taken", "worst", "members", "bytes")
+
+
+@query(
+    f"""WITH RECURSIVE {_MEMBERS}, i AS (SELECT s.file AS file, s.ids[-2] AS id, CASE WHEN status = 'encrypted' THEN 'archive.encrypted_member' WHEN status = 'bomb' THEN 'archive.zip_bomb' WHEN status = 'depth' THEN 'archive.depth_limit' WHEN status = 'budget' THEN 'archive.budget_exhausted'
+ WHEN status IN ('read', 'partial') AND v.verdict <> 'clean' THEN 'archive.member_' || v.verdict END AS rule FROM s LEFT JOIN v ON s.file = v.file AND s.id = v.id WHERE len(s.ids) > 1)
+SELECT file, id, rule, CASE WHEN rule IN ('archive.zip_bomb', 'archive.member_malicious') THEN 70 WHEN rule IN ('archive.encrypted_member', 'archive.member_suspicious') THEN 50 ELSE 10 END AS severity, count(*) AS n FROM i WHERE rule IS NOT NULL GROUP BY file, id, rule"""
+)
+def archive_findings(spark, sf_dir):
+    expanded = _expanded(spark, sf_dir)
+    return rollup.findings(expanded, rollup.rolled_up(expanded))

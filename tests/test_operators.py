@@ -115,9 +115,10 @@ def test_every_emitted_rule_has_techniques_or_none_on_purpose():
     from quarrylens.operators import findings
 
     folder = Path(findings.__file__).parent
-    text = "".join((folder / f"{m}.py").read_text() for m in ("captures", "symbols", "winevents", "markers"))
-    emitted = set(re.findall(r'"((?:pcap|combo|pe|evtx|embedded|shellcode|c2)\.[a-z0-9_]+)"', text)) | {"pcap.tls_no_sni", "pcap.tls_non_standard_port"}
+    text = {m: (folder / f"{m}.py").read_text() for m in ("captures", "symbols", "winevents", "markers", "rollup")}
+    emitted = set(re.findall(r'"((?:pcap|combo|pe|evtx|embedded|shellcode|c2|archive)\.[a-z0-9_]+)"', "".join(text.values())))
+    emitted |= {f"evtx.{n}" for n in re.findall(r'\(\s*"([a-z0-9_]+)", (?:CRITICAL|HIGH|MEDIUM|LOW|INFO|F\.when)', text["winevents"])} | {"pcap.tls_no_sni", "pcap.tls_non_standard_port"}
     emitted.discard("pcap.tls_")
-    assert len(emitted) > 80
+    assert len(emitted) > 85
     assert emitted == emitted & (set(findings.TECHNIQUES) | set(findings.WITHOUT_TECHNIQUE)), emitted - set(findings.TECHNIQUES)
     assert not set(findings.TECHNIQUES) & set(findings.WITHOUT_TECHNIQUE)
