@@ -192,6 +192,11 @@ def _spans(pairs: Column, scan: Column) -> Column:
     return F.when(scan == kinds.index("ipv6"), F.filter(found, lambda f: is_ipv6(f["hit"]))).otherwise(found)
 
 
+def places(text: Column, pattern: str) -> Column:
+    """array<struct<begin, end, hit>> of the matches in a text, which may be very many."""
+    return F.transform(_spans(_pairs(text, pattern), F.lit(-1)), lambda x: F.struct(x["begin"].alias("begin"), x["end"].alias("end"), x["hit"].alias("hit")))
+
+
 def _kept(token: Column) -> Column:
     """The matches of a token in the order of the scans; one that overlaps a match of an earlier scan is left out as a whole."""
 

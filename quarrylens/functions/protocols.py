@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrylens.functions.indicators import places
+
 # Magic bytes in the order of their test, agents, fingerprints, ports and encryption types.
 FORMATS = (
     ("evtx", "456C6646696C6500"),
@@ -105,6 +107,21 @@ def ascii_strings(content: Column) -> Column:
     return F.regexp_extract_all(F.decode(content, "ISO-8859-1"), F.lit(r"[\x20-\x7E]{6,1024}"), F.lit(0))
 
 
+def wide_strings(content: Column) -> Column:
+    """array<struct<place, text>>: runs of 6 to 1024 printable ASCII characters in UTF-16LE, at even and odd places.
+
+    A character is a printable byte before a zero, so a run of either alignment begins where the scan first meets it, and
+    runs of the two cannot overlap but at a character whose zero is none of its own. Null contents have none.
+    """
+    found = places(F.decode(content, "ISO-8859-1"), r"(?:[\x20-\x7E]\x00){6,1024}")
+    return F.transform(found, lambda x: F.struct(x["begin"].cast("long").alias("place"), F.replace(x["hit"], F.lit("\x00"), F.lit("")).alias("text")))
+
+
+def all_strings(content: Column) -> Column:
+    """The distinct ASCII strings and then the distinct UTF-16LE ones."""
+    return F.array_distinct(F.concat(ascii_strings(content), F.transform(wide_strings(content), lambda x: x["text"])))
+
+
 def human_size(n: Column) -> Column:
     """Bytes in B, KiB, MiB or GiB, with one digit behind the point."""
     scaled = lambda unit, name: F.format_string(f"%.1f {name}", F.bround(n / unit, 1))

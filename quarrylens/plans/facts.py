@@ -36,6 +36,26 @@ def ascii_runs(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.size(runs).cast("long").alias("n"), F.array_join(runs, "|").alias("runs"))
 
 
+_WIDE = "list_reduce(list_prepend('', string_split({c}, '')), lambda a, x: a || CASE WHEN x = '' THEN '' ELSE hex(x) || '00' END)"
+
+
+@query(
+    f"""WITH c AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE 'FF' END || {_WIDE.format(c="p_name")} || repeat('80', CAST(p_partkey % 3 + 1 AS INT)) || {_WIDE.format(c="'short'")} || 'FF' || {_WIDE.format(c="p_type")} AS h FROM part),
+b AS (SELECT p_partkey, h, unnest(range(length(h) // 2 - 1)) AS i FROM c),
+w AS (SELECT p_partkey, i, substr(h, CAST(2 * i + 1 AS INT), 2) AS x FROM b WHERE substr(h, CAST(2 * i + 3 AS INT), 2) = '00' AND substr(h, CAST(2 * i + 1 AS INT), 2) BETWEEN '20' AND '7E'),
+r AS (SELECT *, i - 2 * row_number() OVER (PARTITION BY p_partkey, i % 2 ORDER BY i) AS run FROM w)
+SELECT p_partkey, CAST(min(i) AS BIGINT) AS place, string_agg(chr(CAST('0x' || x AS INT)), '' ORDER BY i) AS text FROM r GROUP BY p_partkey, i % 2, run HAVING count(*) >= 6"""
+)
+def wide_runs(spark, sf_dir):
+    """UTF-16LE strings at even and odd places, by gaps and islands over the bytes in SQL."""
+    wide = lambda c: F.encode(c, "UTF-16LE")
+    odd = F.when(F.col("p_partkey") % 2 == 0, F.lit("").cast("binary")).otherwise(F.lit(b"\xff"))
+    junk = F.unhex(F.repeat(F.lit("80"), (F.col("p_partkey") % 3 + 1).cast("int")))
+    content = F.concat(odd, wide(F.col("p_name")), junk, wide(F.lit("short")), F.lit(b"\xff"), wide(F.col("p_type")))
+    found = table(spark, sf_dir, "part").select("p_partkey", F.explode(protocols.wide_strings(content)).alias("x"))
+    return found.select("p_partkey", "x.place", "x.text")
+
+
 @query("WITH s AS (SELECT o_orderkey, o_orderkey * CAST(power(10, o_orderkey % 7) AS BIGINT) AS n FROM orders) SELECT o_orderkey, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KiB', round_even(n / 1024, 1)) WHEN n < 1073741824 THEN printf('%.1f MiB', round_even(n / 1048576, 1)) ELSE printf('%.1f GiB', round_even(n / 1073741824, 1)) END AS size FROM s")
 def human_sizes(spark, sf_dir):
     n = F.col("o_orderkey") * F.pow(F.lit(10), F.col("o_orderkey") % 7).cast("long")

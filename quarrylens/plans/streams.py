@@ -40,11 +40,19 @@ def watch_alerts(spark, sf_dir):
     return spark.read.schema("type string, value string, verdict string").parquet(path).select("type", "value", "verdict")
 
 
-@query("SELECT CAST(user_id AS VARCHAR) AS id, least(count(*), 5) AS allowed, greatest(count(*) - 5, 0) AS denied FROM events GROUP BY user_id")
+_RATE_SECONDS = 86_400 * 3
+
+
+@query(
+    f"""WITH RECURSIVE w AS (SELECT user_id, min(ts) AS began FROM events GROUP BY user_id
+UNION ALL SELECT w.user_id, min(e.ts) FROM w JOIN events e ON e.user_id = w.user_id AND e.ts >= w.began + INTERVAL {_RATE_SECONDS} SECOND GROUP BY w.user_id, w.began),
+n AS (SELECT w.user_id AS user_id, w.began AS began, count(*) AS n FROM w JOIN events e ON e.user_id = w.user_id AND e.ts >= w.began AND e.ts < w.began + INTERVAL {_RATE_SECONDS} SECOND GROUP BY 1, 2)
+SELECT CAST(user_id AS VARCHAR) AS id, CAST(sum(least(n, 5)) AS BIGINT) AS allowed, CAST(sum(greatest(n - 5, 0)) AS BIGINT) AS denied FROM n GROUP BY user_id"""
+)
 def rate_windows(spark, sf_dir):
-    """At most five requests a client in a window that holds all of the table's time."""
+    """At most five requests a client in windows of three days, each of which starts with the first request after the one before."""
     requests = stream_of(spark, sf_dir, "events.parquet").select(F.col("user_id").cast("string").alias("id"), F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", "1 day")
-    rows = replay(watch.rate_limited(requests, limit=5, seconds=1_000_000_000))
+    rows = replay(watch.rate_limited(requests, limit=5, seconds=_RATE_SECONDS))
     return rows.groupBy("id").agg(F.count_if("allowed").alias("allowed"), F.count_if(~F.col("allowed")).alias("denied"))
 
 
