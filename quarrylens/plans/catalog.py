@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from quarrylens.functions import decoders, indicators, network
 from quarrylens.functions import sql as sql_functions
-from quarrylens.operators import correlate, enrich, extract, findings, flows, scoring, winevents
+from quarrylens.operators import correlate, enrich, extract, findings, flows, scoring, versioned_cache, winevents
 from quarrylens.plans import indicator_sql
 from quarrylens.plans.registry import QUERIES, SQL, pick, query, table
 from quarrylens.sinks import rules
 from quarrylens.sources import feeds
+from quarrylens.storage import fresh_path
 
 def ascii_text(c: str = "text"):
     """Word boundaries differ between engines outside ASCII; compared queries blank such characters on both sides."""
@@ -255,6 +256,18 @@ def cache_latest(spark, sf_dir):
     return enrich.latest(_cache(spark, sf_dir))
 
 
+@query("""WITH b AS (SELECT 'v' || (o_custkey % 500) AS ioc_value, 'p' || o_orderkey AS payload, 100 + o_orderkey % 3 AS cached_at FROM orders WHERE o_orderkey % 7 <> 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY ioc_value ORDER BY cached_at DESC, payload DESC) AS k FROM b) SELECT 'otx' AS source, 'domain' AS ioc_type, ioc_value, payload, CAST(cached_at AS BIGINT) AS cached_at, CAST(cached_at + 50 AS BIGINT) AS expires_at FROM r WHERE k = 1""")
+def cache_versions(spark, sf_dir):
+    """Three batches stored one after the other, and the snapshot of the last version."""
+    cache = versioned_cache.VersionedCache(spark, fresh_path(spark, "cache"), buckets=16)
+    key = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(key.alias("k"), F.lit("otx").alias("source"), F.lit("domain").alias("ioc_type"), F.concat(F.lit("v"), (F.col("o_custkey") % 500).cast("string")).alias("ioc_value"), F.concat(F.lit("p"), key.cast("string")).alias("payload"), F.when(key % 7 == 0, "timeout").alias("error"))
+    for n in range(3):
+        cache.upsert(rows.where(F.col("k") % 3 == n).drop("k"), now=100 + n, ttl=50)
+    return cache.read()
+
+
 @query(f"WITH c AS ({_CACHE_SQL}) SELECT s.source AS source, 'ipv4' AS ioc_type, CAST(c_custkey AS VARCHAR) AS ioc_value FROM customer, (SELECT unnest(['1', '2', '3', '4', '5']) AS source) s WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.source = s.source AND c.ioc_value = CAST(c_custkey AS VARCHAR) AND c.expires_at > {_AS_OF})")
 def cache_misses(spark, sf_dir):
     wanted = table(spark, sf_dir, "customer").select(F.explode(F.array(*[F.lit(str(i)) for i in range(1, 6)])).alias("source"), F.lit("ipv4").alias("ioc_type"), F.col("c_custkey").cast("string").alias("ioc_value"))
