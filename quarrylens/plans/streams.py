@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quarrylens.plans.registry import query, table
 from quarrylens.sources import logs
 from quarrylens.storage import fresh_path
-from quarrylens.streaming import watch
+from quarrylens.streaming import debounce, watch
 from quarrylens.streaming.replay import replay, stream_of
 
 _FOUND = """f AS (SELECT 'ipv4' AS type, '10.0.' || (event_id % 50) || '.' || (event_id % 7) AS value FROM events UNION SELECT 'email', 'u' || user_id || '@h' || (event_id % 20) || '.org' FROM events
@@ -73,3 +73,27 @@ def followed_logs(spark, sf_dir):
     fields = F.split("line", " ")
     found = read.select(F.get(fields, F.lit(0)).cast("long").alias("event_id"), F.get(fields, F.lit(1)).alias("event_type"))
     return found.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"), F.count_distinct("event_id").alias("n_ids"))
+
+
+_SILENCE, _MOST = 600, 4
+
+
+@query(
+    f"""WITH e AS (SELECT event_type AS key, event_id, ts, CASE WHEN date_diff('microsecond', lag(ts) OVER w, ts) <= {_SILENCE} * 1000000 THEN 0 ELSE 1 END AS opens FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)),
+g AS (SELECT *, sum(opens) OVER (PARTITION BY key ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM e),
+c AS (SELECT *, (row_number() OVER (PARTITION BY key, g ORDER BY ts, event_id) - 1) // {_MOST} AS c FROM g),
+b AS (SELECT key, g, c, count(*) AS n, min(event_id) AS least, max(ts) AS last FROM c GROUP BY key, g, c)
+SELECT key, CAST(n AS INTEGER) AS n, count(*) AS batches, CAST(sum(least) AS BIGINT) AS leasts FROM b WHERE n = {_MOST} OR last + INTERVAL {_SILENCE} SECOND <= (SELECT max(ts) FROM events) GROUP BY key, n"""
+)
+def debounced_batches(spark, sf_dir):
+    """Events of a type in batches of four, or fewer after ten minutes of silence; the last ones wait for their timers."""
+    name, provider = debounce.PROVIDER
+    before = spark.conf.get(name, None)
+    events = stream_of(spark, sf_dir, "events.parquet").select(F.col("event_type").alias("key"), F.format_string("%012d", "event_id").alias("value"), F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", "0 seconds")
+    spark.conf.set(name, provider)
+    try:
+        rows = replay(debounce.debounced(events, _SILENCE, _MOST))
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+    least = F.array_min("values").cast("long")
+    return rows.groupBy("key", "n").agg(F.count("*").alias("batches"), F.sum(least).alias("leasts"))
