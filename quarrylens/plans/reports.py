@@ -158,10 +158,10 @@ def _expanded(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {_MEMBERS} SELECT s.file AS file, s.id AS id, depth, status, taken, v.verdict AS worst, v.members AS members, v.bytes AS bytes FROM s LEFT JOIN v ON s.file = v.file AND s.id = v.id")
 def archive_rollup(spark, sf_dir):
-    """Members by a recursive walk, with the budget in the order of unpacking, and the worst verdict below each."""
+    """Members by a walk down the levels, with the budget in the order of unpacking, and the worst verdict below each."""
     expanded = _expanded(spark, sf_dir)
     up = rollup.rolled_up(expanded).withColumnRenamed("verdict", "worst")
-    return expanded.join(up, ["file", "id"], "left").select("file", "id", "depth", "status", "taken", "worst", "members", "bytes")
+    return expanded.join(up.hint("merge"), ["file", "id"], "left").select("file", "id", "depth", "status", "taken", "worst", "members", "bytes")
 
 
 @query(

@@ -72,3 +72,10 @@ def test_walk_budget_and_cycles(spark, monkeypatch, seed):
 def test_empty_table(spark):
     none = rollup.expand(spark.createDataFrame([], SCHEMA))
     assert none.count() == rollup.rolled_up(none).count() == rollup.findings(none, rollup.rolled_up(none)).count() == 0
+
+
+def test_no_table_of_members_is_broadcast(spark):
+    rows = [("f", i, None if i == 0 else 0, i, f"m{i}", 5, 5, False, "clean", 9, 9) for i in range(5)]
+    expanded = rollup.expand(spark.createDataFrame(rows, SCHEMA), **LIMITS)
+    plan = rollup.findings(expanded, rollup.rolled_up(expanded))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
