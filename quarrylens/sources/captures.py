@@ -1,10 +1,11 @@
 """Captures as a Spark data source: classic and next-generation files in planned partitions, and a sink for classic ones.
 
 A large file is cut at every ``partition_bytes``. A partition finds its first record by itself: it begins LEAD bytes early
-and takes the first place from which headers follow each other as far as its own range. A false place lies within
-some record, and a chain from there breaks off or meets the true one at that record's end, long before the range begins.
-Where no place is found the headers are walked from the start of the file. A record belongs to the partition in which it
-begins, so all records are read once.
+and follows the headers from there as far as its own range. In a classic capture a chain from a false place may pass the
+end of its record and never meet the true one. All places within one largest record are therefore followed, of which one is
+true: where they lead to one place, this is the first record. Else the partition begins twice as early, in the end at the start of the
+file. Blocks of next-generation files have their length at both ends, so the first chain that holds is taken. A record
+belongs to the partition in which it begins, so all records are read once.
 
 Packets of next-generation files name an interface of their section. For files of more than one partition a first scan
 lists all sections and interfaces, in the same partitions; the list goes with the second scan. Units of time are those of
@@ -16,6 +17,7 @@ at a damaged record; later partitions go on from their own first record. Files o
 
 from __future__ import annotations
 
+import heapq
 import json
 import struct
 import uuid
@@ -23,6 +25,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -77,6 +80,15 @@ class Classic:
             return None
         return place + 16 + size
 
+    def plausible(self, begin: int, n: int) -> list[int]:
+        """Those of ``n`` places from ``begin`` on where a record may begin."""
+        raw = np.frombuffer(self.view.at(begin, n + 15), np.uint8)
+        number = np.ndarray(max(len(raw) - 3, 0), self.order + "u4", raw, strides=(1,)).astype(np.int64)
+        fraction, size = number[4:-4], number[8:]
+        places = begin + np.arange(len(size))
+        ok = (size > 0) & (size <= MOST_FRAME) & (fraction < self.unit) & (places + 16 + size <= self.view.size)
+        return places[ok].tolist()
+
     def frame(self, place: int, end: int) -> tuple[float, int, bytes]:
         seconds, fraction, size, _ = self.head.unpack(self.view.at(place, 16))
         return seconds + fraction / self.unit, self.link, self.view.at(place + 16, size)
@@ -157,6 +169,23 @@ class Part(InputPartition):
     high: int
 
 
+def _meeting(form: Classic, low: int) -> int | None:
+    """Where the chains from all places of a stretch that holds a record's start come to at ``low``, if it is one place."""
+    lead = LEAD
+    while (begin := low - lead) > form.first:
+        places = form.plausible(begin, MOST_FRAME + 16)  # in order, which makes them a heap
+        seen = set(places)
+        while places and places[0] < low:
+            after = form.after(heapq.heappop(places))
+            if after is not None and after not in seen:
+                seen.add(after)
+                heapq.heappush(places, after)
+        if len(places) < 2:
+            return places[0] if places else None
+        lead *= 2
+    return None
+
+
 def first_record(form: Classic | NextGeneration, low: int) -> int | None:
     """The first record that begins at ``low`` or later."""
 
@@ -182,6 +211,9 @@ def first_record(form: Classic | NextGeneration, low: int) -> int | None:
 
     if low <= form.first:
         return form.first
+    if isinstance(form, Classic) and (found := _meeting(form, low) or walk(form.first)) is not None:
+        return found
+    # Next-generation files, and classic ones that are damaged before ``low``.
     begin = low - LEAD
     if begin > form.first:
         begin -= (begin - form.first) % form.step

@@ -114,3 +114,21 @@ def test_written_captures_read_back(spark, tmp_path):
     assert back.count() == 500 and back.agg({"ts": "sum"}).first()[0] == sum(1.5 + i for i in range(500))
     (tmp_path / "none").mkdir()
     assert read_captures(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_chains_that_never_meet_the_true_one(tmp_path):
+    """Seconds and fractions that read as a fraction and a size four bytes earlier lead past the ends of records."""
+    from quarrylens.sources import captures
+
+    r = random.Random(8)
+    out, places = [struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 262_144, 1)], []
+    at = 24
+    while at < 6 << 20:
+        frame = bytes(12) + b"\x08\0E\0\0" + bytes(r.randrange(20, 30))
+        out.append(struct.pack("<4I", r.randrange(150_000), r.choice([125_000, 250_000]), len(frame), len(frame)) + frame)
+        places.append(at)
+        at += len(out[-1])
+    (tmp_path / "x.pcap").write_bytes(b"".join(out))
+    form = captures.Classic(captures.Window(captures.fs.LocalFileSystem(), str(tmp_path / "x.pcap")))
+    for low in range(1 << 20, at - 100, 70_001):
+        assert captures.first_record(form, low) == next(p for p in places if p >= low)
