@@ -16,7 +16,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 1 << 20
+from quarrylens.functions.indicators import let
+from quarrylens.storage import fresh_path
+
+CHUNK_BYTES, BATCH_ROWS = 1 << 20, 10_000
 # Patterns, keys and bounds.
 MZ, PE = "MZ", "PE"
 EXECUTABLES = {"embedded.elf": ("7F454C46",), "embedded.macho": ("FEEDFACE", "FEEDFACF", "CEFAEDFE", "CFFAEDFE")}
@@ -40,10 +43,13 @@ def keyed(pattern: bytes, key: int) -> bytes:
 
 def chunks(files: DataFrame, overlap: int, size: int = CHUNK_BYTES) -> DataFrame:
     """(path, begin, own, content): chunks of ``files(path, content)`` of ``size`` own bytes and ``overlap`` further ones."""
-    starts = F.sequence(F.lit(0), F.greatest(F.length("content") - 1, F.lit(0)), F.lit(size))
-    cut = files.where(F.length("content") > 0).select("path", "content", F.explode(starts).alias("begin"))
-    part = F.substring("content", F.col("begin") + 1, F.lit(size + overlap))
-    return cut.select("path", F.col("begin").cast("long").alias("begin"), F.least(F.length("content") - F.col("begin"), F.lit(size)).alias("own"), part.alias("content"))
+    def cut(content: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.length(content) - 1, F.lit(0)), F.lit(size))
+        own = lambda begin: F.least(F.length(content) - begin, F.lit(size))
+        return F.transform(starts, lambda b: F.struct(b.cast("long").alias("begin"), own(b).alias("own"), F.substring(content, b + 1, F.lit(size + overlap)).alias("content")))
+
+    # Cut before they become rows: a row of each chunk with its whole content would be quadratic. ``let`` computes a content once.
+    return files.where(F.length("content") > 0).select("path", F.explode(let(F.col("content"), cut)).alias("x")).select("path", "x.*")
 
 
 _AUTOMATA: dict[tuple, object] = {}
@@ -75,9 +81,10 @@ def find_all(files: DataFrame, patterns: list[tuple[str, bytes]], size: int = CH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(fixed)
+        told = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
         for batch in batches:
+            rows: list[tuple] = []
             for path, begin, own, content in zip(*[batch.column(c).to_pylist() for c in ("path", "begin", "own", "content")], strict=True):
-                rows: list[tuple] = []
                 for end, (length, names) in automaton.iter(content.decode("latin-1")):
                     at = end + 1 - length
                     if at >= own:
@@ -85,8 +92,11 @@ def find_all(files: DataFrame, patterns: list[tuple[str, bytes]], size: int = CH
                     for name in names:
                         raw = content[at + POINTER_BYTES : at + POINTER_BYTES + 4] if name == MZ else b""
                         rows.append((path, name, begin + at, begin + at + int.from_bytes(raw, "little") if len(raw) == 4 else None))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                    if len(rows) >= BATCH_ROWS:
+                        yield told(rows)
+                        rows = []
+            if rows:
+                yield told(rows)
 
     return chunks(files, overlap, size).mapInArrow(run, "path string, name string, place long, pointer long")
 
@@ -114,13 +124,19 @@ def scan_patterns() -> list[tuple[str, bytes]]:
 
 
 def findings(files: DataFrame, size: int = CHUNK_BYTES) -> DataFrame:
-    """(path, rule, severity, category, evidence) of ``files(path, content)``; the carrier's own header at 0 does not count."""
+    """(path, rule, severity, category, evidence) of ``files(path, content)``; the carrier's own header at 0 does not count.
+
+    Hits are stored, as every rule reads them: contents are searched once.
+    """
     sizes = {name: len(p) for name, p in scan_patterns()}
+    spark, stored = files.sparkSession, fresh_path(files.sparkSession, "hits")
     hits = find_all(files, scan_patterns(), size)
+    hits.write.parquet(stored)
+    hits = spark.read.schema(hits.schema).parquet(stored)
     inner = hits.where("place > 0")
     images = inner.where(F.col("name") == MZ).select("path", "place", "pointer").where((F.col("pointer") - F.col("place")).between(1, POINTER_MOST - 1))
     heads = hits.where(F.col("name") == PE).select("path", F.col("place").alias("pointer")).distinct()
-    pe = images.join(heads, ["path", "pointer"]).select("path", F.lit("embedded.pe").alias("rule"), "place", "pointer")
+    pe = images.join(heads.hint("merge"), ["path", "pointer"]).select("path", F.lit("embedded.pe").alias("rule"), "place", "pointer")
     programs = inner.where(F.col("name").isin(*EXECUTABLES)).select("path", F.col("name").alias("rule"), "place", "pointer")
     told = lambda df, severity, category: df.select("path", "rule", F.lit(severity).alias("severity"), F.lit(category).alias("category"), "evidence")
     out = told(_first(pe.unionByName(programs), ["path", "rule"], SHOWN, _hex(F.col("place"))), 70, "dropper")
@@ -136,8 +152,9 @@ def findings(files: DataFrame, size: int = CHUNK_BYTES) -> DataFrame:
     length = F.element_at(F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair]), F.col("name"))
     front = hits.where(F.col("name").isin(*[r for r, *_ in SHELLCODE]) | F.col("name").startswith("beacon")).where(F.col("place") + length <= FRONT_BYTES)
     first = front.groupBy("path", "name").agg(F.min("place").alias("place"))
-    for rule, _, category, severity in SHELLCODE:
-        out = out.unionByName(told(first.where(F.col("name") == rule).select("path", F.col("name").alias("rule"), F.array(_hex(F.col("place"))).alias("evidence")), severity, category))
+    kinds = F.create_map(*[x for rule, _, category, severity in SHELLCODE for x in (F.lit(rule), F.struct(F.lit(severity).alias("severity"), F.lit(category).alias("category")))])
+    code = first.where(F.col("name").isin(*[r for r, *_ in SHELLCODE])).withColumn("kind", F.element_at(kinds, F.col("name")))
+    out = out.unionByName(code.select("path", F.col("name").alias("rule"), "kind.severity", "kind.category", F.array(_hex(F.col("place"))).alias("evidence")))
     # The plain marker goes before the keyed ones, and these in the order of the keys.
     names = ["beacon", *[f"beacon {k:#04x}" for k in BEACON_KEYS]]
     turn = F.array_position(F.array(*[F.lit(x) for x in names]), F.col("name"))

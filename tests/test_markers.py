@@ -27,3 +27,13 @@ def test_images_need_their_header_and_markers_their_key(spark):
     rows = [("own", image), ("second", b"x" + image + image), ("none", b"x" + image[:-1]), ("far", b"x" + far), ("late", bytes(markers.FRONT_BYTES - 7) + markers.keyed(marker, 0x69)), ("keyed", markers.keyed(marker, 0x2E) + markers.keyed(marker, 0x69)), ("plain", markers.keyed(marker, 0x69) + marker)]
     got = {(r["path"], r["rule"], tuple(r["evidence"])) for r in markers.findings(spark.createDataFrame(rows, "path string, content binary"), 1 << 16).collect()}
     assert got == {("second", "embedded.pe", ("0x1", "0x45")), ("keyed", "c2.cobalt_strike_xor_marker", ("0x8",)), ("plain", "c2.cobalt_strike_beacon_marker", ("0x8",))}
+
+
+def test_contents_are_cut_and_searched_once(spark):
+    """No chunk's row holds its whole content, and no rule searches the contents again."""
+    df = spark.createDataFrame([("a", bytes(500) + b"MZ")], "path string, content binary")
+    plan = lambda x: x._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan(markers.findings(df, 64))
+    cut = markers.chunks(df, 8, 64)
+    assert "transform(sequence" in plan(cut)
+    assert [(r["begin"], r["own"], len(r["content"])) for r in cut.collect()] == [(i, min(64, 502 - i), min(72, 502 - i)) for i in range(0, 502, 64)]
