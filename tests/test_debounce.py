@@ -35,3 +35,32 @@ def test_silence_number_and_timer(batches):
     assert got == [("a", ["x", "y"]), ("a", ["z", "w", "v"]), ("b", ["p"])]
     got = batches([("c", "later", 30)], seconds=2, most=3)
     assert got == [("a", ["x", "y"]), ("a", ["z", "w", "v"]), ("b", ["p"]), ("c", ["late"])]
+
+
+class Store:
+    """A state that counts its calls."""
+
+    def __init__(self):
+        self.rows, self.calls = {}, 0
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls += 1
+            return {
+                "exists": lambda: bool(self.rows), "get": lambda: self.rows.get(()), "update": lambda v: self.rows.update({(): v}), "clear": self.rows.clear, "keys": lambda: list(self.rows), "iterator": lambda: list(self.rows.items()),
+                "containsKey": lambda k: k in self.rows, "updateValue": lambda k, v: self.rows.update({k: v}), "getMapState": lambda *a: self, "getValueState": lambda *a: Store(), "listTimers": list, "deleteTimer": lambda t: None,
+                "registerTimer": lambda t: None, "getCurrentWatermarkInMs": lambda: 0,
+            }[name](*args)
+
+        return call
+
+
+def test_rows_cost_no_calls_of_the_state():
+    import pandas as pd
+
+    held, processor = Store(), debounce.Debounce(600, 4)
+    processor.init(held)
+    parts = [pd.DataFrame({"ts": [pd.Timestamp(T0) + pd.Timedelta(seconds=i + p) for i in range(0, 4002, 2)], "value": [f"{i + p:05}" for i in range(0, 4002, 2)]}) for p in (0, 1)]
+    got = pd.concat(processor.handleInputRows(("k",), iter(parts), Store()))
+    assert got["values"].tolist() == [[f"{i + j:05}" for j in range(4)] for i in range(0, 4000, 4)]
+    assert sorted(held.rows) == [("04000",), ("04001",)] and held.calls < 20
