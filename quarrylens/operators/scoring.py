@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # Thresholds of the shares, and the least score that a hit counts with.
 PRESENCE, MALICIOUS, SUSPICIOUS, BENIGN = 0.5, 0.25, 0.25, 0.3
+AMOUNT = "decimal(28,12)"
 RANK = {"unknown": 0, "benign": 1, "suspicious": 2, "malicious": 3}
 
 
@@ -28,11 +29,14 @@ def score(results: DataFrame, keys: list[str]) -> DataFrame:
     """One verdict and confidence a key from ``results(keys..., weight, verdict, score, error)``.
 
     Failed results do not count; unknown ones dilute the shares. One combined aggregation, no join.
+    Amounts are summed as decimals, so that the order of a sum does not decide at a threshold. Amounts that are no finite
+    numbers do not count.
     """
     valid = F.col("error").isNull()
     hit = F.col("weight") * F.greatest("score", F.lit(PRESENCE))
-    share = lambda name, amount: F.coalesce(F.sum(F.when(valid & (F.col("verdict") == name), amount)), F.lit(0.0))
-    total = F.coalesce(F.sum(F.when(valid, F.col("weight"))), F.lit(0.0))
+    summed = lambda which, amount: F.coalesce(F.sum(F.when(which, amount.try_cast(AMOUNT))).cast("double"), F.lit(0.0))
+    share = lambda name, amount: summed(valid & (F.col("verdict") == name), amount)
+    total = summed(valid, F.col("weight"))
     sums = results.groupBy(*keys).agg(
         F.count_if(valid).alias("n_valid"), total.alias("total"), share("malicious", hit).alias("m"), share("suspicious", hit).alias("s"), share("benign", F.col("weight")).alias("b")
     )

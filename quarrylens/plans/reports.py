@@ -116,7 +116,7 @@ def weighted_scores(spark, sf_dir):
     k = F.col("o_orderkey") % 8
     verdict = F.when(k == 0, "malicious").when(k.isin(1, 2), "suspicious").when(k == 3, "benign").otherwise("unknown")
     said = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("ioc"), pick(F.col("o_orderkey"), _NAMED).alias("source"), verdict.alias("verdict"), ((F.col("o_orderkey") % 100) / 100.0).alias("score"), F.when(F.col("o_orderkey") % 17 == 0, "timeout").alias("error"))
-    return scoring.score(said.join(enrich.sources(spark).select("source", "weight"), "source"), ["ioc"]).withColumn("confidence", F.round("confidence", 6))
+    return scoring.score(said.join(enrich.sources(spark).select("source", "weight"), "source"), ["ioc"]).withColumn("confidence", catalog.rounded("confidence"))
 
 
 @query("SELECT p_brand, md5(lower(string_agg('lib' || (p_size % 5) || '.' || CASE WHEN p_partkey % 3 = 0 THEN 'ord' || p_partkey ELSE p_name END, ',' ORDER BY p_partkey))) AS imphash FROM part GROUP BY p_brand")
