@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Thresholds of the shares, and the least score that a hit counts with.
@@ -25,20 +25,30 @@ def at_least(df: DataFrame, verdict: str) -> DataFrame:
     return df.where(rank(F.col("verdict")) >= RANK[verdict.lower()])
 
 
-def score(results: DataFrame, keys: list[str]) -> DataFrame:
+def score(results: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
     """One verdict and confidence a key from ``results(keys..., weight, verdict, score, error)``.
 
     Failed results do not count; unknown ones dilute the shares. One combined aggregation, no join.
     Amounts are summed as decimals, so that the order of a sum does not decide at a threshold. Amounts that are no finite
     numbers do not count.
+
+    With ``order``, a column that is unique in a key, scores of hits are added as doubles in that order instead, as an engine
+    does that reads the rows in it; running sums over sorted rows take the place of the combined aggregation.
     """
     valid = F.col("error").isNull()
     hit = F.col("weight") * F.greatest("score", F.lit(PRESENCE))
-    summed = lambda which, amount: F.coalesce(F.sum(F.when(which, amount.try_cast(AMOUNT))).cast("double"), F.lit(0.0))
-    share = lambda name, amount: summed(valid & (F.col("verdict") == name), amount)
-    total = summed(valid, F.col("weight"))
+    amount_of = lambda name, amount: F.when(valid & (F.col("verdict") == name), amount)
+    summed = lambda amount: F.coalesce(F.sum(amount.try_cast(AMOUNT)).cast("double"), F.lit(0.0))
+    hits = {"m": amount_of("malicious", hit), "s": amount_of("suspicious", hit)}
+    if order is None:
+        hits = {c: summed(x) for c, x in hits.items()}
+    else:
+        so_far = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        finite = lambda x: F.when(x.try_cast(AMOUNT).isNotNull(), x)
+        results = results.withColumn("_hits", F.struct(*[F.sum(finite(x)).over(so_far).alias(c) for c, x in hits.items()]))
+        hits = {c: F.coalesce(F.max_by("_hits", order)[c], F.lit(0.0)) for c in hits}
     sums = results.groupBy(*keys).agg(
-        F.count_if(valid).alias("n_valid"), total.alias("total"), share("malicious", hit).alias("m"), share("suspicious", hit).alias("s"), share("benign", F.col("weight")).alias("b")
+        F.count_if(valid).alias("n_valid"), summed(F.when(valid, F.col("weight"))).alias("total"), *[x.alias(c) for c, x in hits.items()], summed(amount_of("benign", F.col("weight"))).alias("b")
     )
     base = F.when(F.col("total") == 0, 1.0).otherwise(F.col("total"))
     sums = sums.select(*keys, "n_valid", *[(F.col(c) / base).alias(c) for c in "msb"])

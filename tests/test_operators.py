@@ -134,3 +134,18 @@ def test_scores_do_not_depend_on_the_order_of_sums(spark):
     df = spark.createDataFrame(rows, "ioc string, weight double, verdict string, score double, error string").coalesce(1)
     got = {r["ioc"]: (r["verdict"], r["confidence"]) for r in scoring.score(df, ["ioc"]).collect()}
     assert got == {"a": ("malicious", 0.25), "b": ("malicious", 0.25), "nan": ("benign", 0.5)}
+
+
+def test_scores_add_hits_in_a_given_order(spark):
+    """As doubles, 0.7 and 0.1 make a little less than 0.8, and three hits another sum backwards; weights stay exact."""
+    from quarrylens.operators import scoring
+
+    hits = [0.1, 0.2, 0.3]
+    rows = [("below", 1, 0.7, "malicious"), ("below", 2, 0.1, "malicious"), ("below", 3, 2.4, "unknown")]
+    rows += [(key, i, w, "malicious") for key, ws in (("up", hits), ("down", hits[::-1])) for i, w in enumerate(ws)] + [(key, 3, 0.6, "unknown") for key in ("up", "down")]
+    rows += [("exact", i, w, "benign" if i == 0 else "unknown") for i, w in enumerate([0.36, 0.1, 0.2, 0.3, 0.24])]
+    df = spark.createDataFrame(rows[::-1], "ioc string, ord int, weight double, verdict string").selectExpr("*", "1.0D AS score", "CAST(null AS string) AS error")
+    got = {r["ioc"]: (r["verdict"], r["confidence"]) for r in scoring.score(df, ["ioc"], "ord").collect()}
+    assert got["below"] == ("suspicious", (0.7 + 0.1) / 3.2) and got["below"][1] < 0.25
+    assert got["up"] == ("malicious", (0.1 + 0.2 + 0.3) / 1.2) and got["down"] == ("malicious", (0.3 + 0.2 + 0.1) / 1.2) and got["up"] != got["down"]
+    assert got["exact"] == ("benign", 0.36 / 1.2)
