@@ -149,3 +149,17 @@ def test_scores_add_hits_in_a_given_order(spark):
     assert got["below"] == ("suspicious", (0.7 + 0.1) / 3.2) and got["below"][1] < 0.25
     assert got["up"] == ("malicious", (0.1 + 0.2 + 0.3) / 1.2) and got["down"] == ("malicious", (0.3 + 0.2 + 0.1) / 1.2) and got["up"] != got["down"]
     assert got["exact"] == ("benign", 0.36 / 1.2)
+
+
+def test_findings_are_dealt_out_by_path_once(spark, capsys):
+    from quarrylens.operators import findings
+
+    df = spark.createDataFrame([(1, "pcap.beaconing"), (1, "pcap.beaconing"), (2, "pcap.beaconing"), (2, "none.such"), (None, "none.such")], "path long, rule string")
+    dealt = findings.by_path(df, 2 * findings.PART_ROWS + 1)
+    assert dealt.rdd.getNumPartitions() == 3 and findings.by_path(df, 0).rdd.getNumPartitions() == 1
+    got = {r["rule"]: (r["n_paths"], len(r["mitre"])) for r in findings.rule_counts(dealt, findings.techniques(spark)).collect()}
+    assert got == {"pcap.beaconing": (2, 3), "none.such": (1, 0)}
+    tagged = findings.tag(dealt, findings.techniques(spark).hint("broadcast"))
+    assert {r["path"]: r["techniques"] for r in findings.coverage(tagged).collect()} == {1: ["T1029", "T1071.001", "T1573"], 2: ["T1029", "T1071.001", "T1573"]}
+    findings.coverage(tagged).explain()
+    assert capsys.readouterr().out.count("Exchange hashpartitioning") == 1
