@@ -125,11 +125,15 @@ def second_level_label(name: Column) -> Column:
 
 
 def entropy(text: Column) -> Column:
-    """Shannon entropy in bits a character; 0 for an empty text."""
-    chars = F.split(text, "")
-    n = F.length(text)
-    p = lambda c: (n - F.length(F.replace(text, c, F.lit("")))) / n
-    return F.when(n == 0, 0.0).otherwise(-F.aggregate(F.array_distinct(F.filter(chars, lambda c: c != "")), F.lit(0.0), lambda a, c: a + p(c) * F.log2(p(c))))
+    """Shannon entropy in bits a character; 0 for an empty text. The text is computed once, and so is each character's share."""
+
+    def of(t: Column) -> Column:
+        n = F.length(t)
+        chars = F.array_distinct(F.filter(F.split(t, ""), lambda c: c != ""))
+        shares = F.transform(chars, lambda c: (n - F.length(F.replace(t, c, F.lit("")))) / n)
+        return F.when(n == 0, 0.0).otherwise(-F.aggregate(shares, F.lit(0.0), lambda a, p: a + p * F.log2(p)))
+
+    return let(text, of)
 
 
 def byte_entropy(content: Column) -> Column:
@@ -145,7 +149,14 @@ def consonant_run(text: Column) -> Column:
 
 def looks_generated(label: Column) -> Column:
     """Whether a label looks like the output of a domain generation algorithm."""
-    h, run = entropy(label), consonant_run(label)
-    digits = F.length(F.regexp_replace(label, "[^0-9]", "")) / F.length(label)
-    odd = (h >= 3.8) | ((h >= 3.4) & (run >= 5)) | ((run >= 7) & (h >= 3.0)) | ((digits >= 0.3) & (h >= 3.2))
-    return (F.length(label) >= 8) & ~label.contains("-") & label.rlike("[A-Za-z]") & odd
+
+    def odd(x: Column) -> Column:
+        h, run, digits = x["h"], x["run"], x["digits"]
+        return (h >= 3.8) | ((h >= 3.4) & (run >= 5)) | ((run >= 7) & (h >= 3.0)) | ((digits >= 0.3) & (h >= 3.2))
+
+    def of(s: Column) -> Column:
+        digits = F.length(F.regexp_replace(s, "[^0-9]", "")) / F.length(s)
+        found = F.struct(entropy(s).alias("h"), consonant_run(s).alias("run"), digits.alias("digits"))
+        return (F.length(s) >= 8) & ~s.contains("-") & s.rlike("[A-Za-z]") & let(found, odd)
+
+    return let(label, of)

@@ -119,3 +119,17 @@ def test_inflated_output_is_never_cut(spark):
     packed = base64.b64encode(zlib.compress(b"a" * 100_000)).decode()
     assert column(spark, [packed], lambda c: F.length(decoders.zlib(c))) == [100_000]
     assert column(spark, [packed], decoders.inflate(1000)) == [None]
+
+
+def test_a_label_is_computed_once(spark, capsys):
+    from pyspark.sql import functions as F
+
+    from quarrylens.functions import network
+
+    df = spark.range(3).selectExpr("CAST(id AS string) AS s")
+    df.select(F.md5("s").alias("label")).where(network.looks_generated(F.col("label"))).explain()
+    assert capsys.readouterr().out.count("md5(") <= 2
+    texts = ["", "aab", "x9f2k7q1z5", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(network.entropy(F.col("t")).alias("h"), network.looks_generated(F.col("t")).alias("g")).collect()
+    assert rows[0]["h"] == 0 and abs(rows[1]["h"] - 0.9182958340544896) < 1e-12 and rows[3]["h"] is None
+    assert [r["g"] for r in rows] == [False, False, True, None]
