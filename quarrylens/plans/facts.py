@@ -227,11 +227,11 @@ _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
 def _base32(text):
-    """Base32 of a text, from its bits in groups of five."""
-    digits = F.translate(F.hex(text), "", "")
-    bits = F.array_join(F.transform(F.filter(F.split(digits, ""), lambda x: x != ""), lambda d: F.lpad(F.conv(d, 16, 2), 4, "0")), "")
-    padded = F.rpad(bits, (F.ceil(F.length(bits) / 5) * 5).cast("int"), "0")
-    return F.array_join(F.transform(F.sequence(F.lit(0), (F.length(padded) / 5).cast("int") - 1), lambda i: F.substr(F.lit(_BASE32), F.conv(F.substr(padded, i * 5 + 1, F.lit(5)), 2, 10).cast("int") + 1, F.lit(1))), "")
+    """Base32 of a text, eight digits from five bytes at a time; zeros fill the last five."""
+    blocks = F.ceil(F.octet_length(text) / 5).cast("int")
+    padded = F.rpad(F.hex(text), blocks * 10, "0")
+    digits = F.array_join(F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.lpad(F.conv(F.substr(padded, i * 10 + 1, F.lit(10)), 16, 32), 8, "0")), "")
+    return F.translate(F.substr(digits, F.lit(1), F.ceil(F.octet_length(text) * 8 / 5).cast("int")), "0123456789ABCDEFGHIJKLMNOPQRSTUV", _BASE32)
 
 
 @query("SELECT p_partkey, p_name AS decoded FROM part")

@@ -48,3 +48,15 @@ def test_ftp(spark):
     rows = [(1, "a", "b", 5, 21, 6, b"USER joe\r\nPASS x\r\n"), (2, "a", "b", 5, 21, 6, b"USER late\r\n"), (3, "a", "b", 5, 80, 6, b"USER no\r\n")]
     df = spark.createDataFrame(rows, "frame_no int, src_ip string, dst_ip string, src_port int, dst_port int, proto int, payload binary")
     assert sorted((r["verb"], r["value"]) for r in p.ftp_credentials(df).collect()) == [("PASS", "x"), ("USER", "joe")]
+
+
+def test_base32_from_five_bytes_at_a_time(spark, capsys):
+    import base64
+
+    from quarrylens.plans import facts
+
+    texts = ["a", "ab", "abc", "abcd", "abcde", "abcdef", "café €", "x" * 41]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", facts._base32(F.col("t")).alias("b"))
+    assert {r["t"]: r["b"] for r in df.collect()} == {t: base64.b32encode(t.encode()).decode().rstrip("=") for t in texts}
+    df.explain()
+    assert capsys.readouterr().out.count("transform(") == 1
