@@ -8,7 +8,7 @@ the order of frames, so that it grows on through any number of wraps; position 0
 at the least position of bytes. A byte that arrives more than once is taken from the frame that came first.
 
 ``part`` is an expression over a packet that never falls along frame_no; it cuts the packets of a hot direction, so
-that no task sorts all of them. What a part needs of the earlier ones comes from one row a part.
+that no task sorts all of them. What a part needs of the earlier ones comes from one row a part and connection in it.
 
 Defined results: null payloads are empty; packets of other protocols or without a sequence number are left out; bytes in
 front of position 0 are dropped; a direction without bytes has no head and no island; an empty table gives empty results.
@@ -20,7 +20,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylens.functions.indicators import let
-from quarrylens.operators.flows import with_carry
 
 FLOW = ["file", "src_ip", "src_port", "dst_ip", "dst_port"]
 STREAM = [*FLOW, "connection"]
@@ -35,65 +34,55 @@ def _signed(difference: Column) -> Column:
     return F.pmod(difference + (1 << 31), F.lit(1 << 32)) - (1 << 31)
 
 
-def _before(rows: DataFrame, value: Column, first: Column) -> Column:
-    """The value of the row before in its part, or that which earlier parts hand on."""
-    own = F.lag(value).over(Window.partitionBy(*FLOW, "_part").orderBy("frame_no"))
-    return F.coalesce(own, first)
-
-
-def _sum_so_far(value: Column) -> Column:
-    return F.sum(value).over(Window.partitionBy(*FLOW, "_part").orderBy("frame_no").rowsBetween(Window.unboundedPreceding, 0))
-
-
-def _earlier(per_part: DataFrame, keys: list[str], how: Column) -> DataFrame:
-    """(keys, _part, _carry): ``how`` over the rows of a key's earlier parts."""
-    return per_part.select(*keys, "_part", how.over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
-
-
 def positions(packets: DataFrame, part: Column | None = None) -> DataFrame:
     """(FLOW, connection, frame_no, begin, end, payload): where each packet's bytes lie in their connection."""
     payload = F.coalesce("payload", F.lit(b""))
     rows = packets.where((F.col("proto") == 6) & F.col("tcp_seq").isNotNull()).select(*FLOW, "frame_no", F.col("tcp_seq").cast("long").alias("seq"), payload.alias("payload"), F.col("tcp_flags").bitwiseAND(2).alias("syn"))
     opens = (F.col("syn") != 0) & (F.length("payload") == 0)
     rows = rows.select(*FLOW, "frame_no", "payload", opens.alias("opens"), F.when(opens, F.col("seq") + 1).otherwise(F.col("seq")).alias("seq"), (part if part is not None else F.lit(0)).alias("_part"))
-    carried = part is not None
-    if carried:
-        last = rows.groupBy(*FLOW, "_part").agg(F.max_by("seq", "frame_no").alias("x"))
-        rows = with_carry(rows, FLOW, _earlier(last, FLOW, F.last("x")))
-    step = _signed(F.col("seq") - _before(rows, F.col("seq"), F.col("_carry") if carried else F.lit(None)))
-    rows = rows.withColumn("step", F.coalesce(step, F.lit(0))).drop("_carry")
-    steps, opened = _sum_so_far(F.col("step")), _sum_so_far(F.col("opens").cast("long"))
-    if carried:
-        sums = rows.groupBy(*FLOW, "_part").agg(F.struct(F.sum("step").alias("step"), F.sum(F.col("opens").cast("long")).alias("opens")).alias("x"))
-        so_far = _earlier(sums.select(*FLOW, "_part", "x.step"), FLOW, F.sum("step")).withColumnRenamed("_carry", "s")
-        and_opens = _earlier(sums.select(*FLOW, "_part", "x.opens"), FLOW, F.sum("opens"))
-        rows = with_carry(rows, FLOW, so_far.join(and_opens, [*FLOW, "_part"]).select(*FLOW, "_part", F.struct("s", F.col("_carry").alias("o")).alias("_carry")))
-        zero = F.lit(0).cast("long")
-        steps, opened = steps + F.coalesce("_carry.s", zero), opened + F.coalesce("_carry.o", zero)
-    placed = rows.select(*FLOW, opened.alias("connection"), "frame_no", steps.alias("at"), "opens", "payload")
-    base = placed.groupBy(*STREAM).agg(F.coalesce(F.min(F.when(F.col("opens"), F.col("at"))), F.min(F.when(F.length("payload") > 0, F.col("at")))).alias("base"))
-    data = placed.where(F.length("payload") > 0)
-    found = data.join(base, STREAM).withColumn("from", F.col("at") - F.col("base")).withColumn("cut", F.greatest(-F.col("from"), F.lit(0)))
+    by_frame = Window.partitionBy(*FLOW, "_part").orderBy("frame_no")
+    so_far = by_frame.rowsBetween(Window.unboundedPreceding, 0)
+    step = _signed(F.col("seq") - F.lag("seq").over(by_frame))
+    rows = rows.withColumn("_step", F.coalesce(step, F.lit(0))).withColumn("_no", F.sum(F.col("opens").cast("long")).over(so_far)).withColumn("_at", F.sum("_step").over(so_far))
+    data = rows.where(F.length("payload") > 0).select(*FLOW, "_part", "_no", "_at", "frame_no", "payload")
+    found = data.join(_shifts(rows), [*FLOW, "_part", "_no"]).withColumn("from", F.col("_at") + F.col("shift")).withColumn("cut", F.greatest(-F.col("from"), F.lit(0)))
     out = found.select(*STREAM, "frame_no", F.greatest("from", F.lit(0)).alias("begin"), (F.col("from") + F.length("payload")).alias("end"), F.substring("payload", (F.col("cut") + 1).cast("int"), F.length("payload")).alias("payload"))
     return out.where(F.col("end") > F.col("begin"))
 
 
+def _shifts(rows: DataFrame) -> DataFrame:
+    """(FLOW, _part, _no, connection, shift): what turns the running sums within a part into connections and positions."""
+    has = F.length("payload") > 0
+    groups = rows.groupBy(*FLOW, "_part", "_no").agg(
+        F.min_by("seq", "frame_no").alias("first"), F.max_by("seq", "frame_no").alias("last"), F.max_by("_at", "frame_no").alias("reach"), F.min(F.when(F.col("opens"), F.col("_at"))).alias("open_at"), F.min(F.when(has, F.col("_at"))).alias("data_at")
+    )
+    order = Window.partitionBy(*FLOW).orderBy("_part", "_no")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    within = F.lag("_part").over(order) == F.col("_part")
+    grown = lambda c: F.col(c) - F.when(within, F.lag(c).over(order)).otherwise(0)
+    jump = F.when(within, 0).otherwise(F.coalesce(_signed(F.col("first") - F.lag("last").over(order)), F.lit(0)))
+    groups = groups.withColumn("_more", grown("_no")).withColumn("_moved", grown("reach") + jump)
+    groups = groups.withColumn("connection", F.sum("_more").over(so_far)).withColumn("offset", F.sum("_moved").over(so_far) - F.col("reach"))
+    one = Window.partitionBy(*STREAM)
+    base = F.coalesce(F.min(F.col("open_at") + F.col("offset")).over(one), F.min(F.col("data_at") + F.col("offset")).over(one))
+    return groups.select(*FLOW, "_part", "_no", "connection", (F.col("offset") - base).alias("shift"))
+
+
 def islands(placed: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """(STREAM, begin, end, segments): the runs of bytes without gap, of ``positions``; gaps lie between them.
 
-    A connection's segments are sorted in parts of ``part_bytes``; each part hands on how far the earlier ones reach.
+    A connection's segments are merged in parts of ``part_bytes``, and the runs of its parts with each other.
     """
-    rows = placed.select(*STREAM, "begin", "end", F.floor(F.col("begin") / part_bytes).alias("_part"))
-    reach = rows.groupBy(*STREAM, "_part").agg(F.max("end").alias("x"))
-    rows = with_carry(rows, STREAM, _earlier(reach, STREAM, F.max("x")))
-    earlier = F.max("end").over(Window.partitionBy(*STREAM, "_part").orderBy("begin", "end").rowsBetween(Window.unboundedPreceding, -1))
-    starts = F.coalesce(F.col("begin") > F.greatest(earlier, F.col("_carry")), F.lit(True))
-    rows = rows.withColumn("starts", starts.cast("long")).drop("_carry")
-    count = rows.groupBy(*STREAM, "_part").agg(F.sum("starts").alias("x"))
-    rows = with_carry(rows, STREAM, _earlier(count, STREAM, F.sum("x")))
-    number = F.sum("starts").over(Window.partitionBy(*STREAM, "_part").orderBy("begin", "end").rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce("_carry", F.lit(0))
-    runs = rows.select(*STREAM, "begin", "end", number.alias("island"))
-    return runs.groupBy(*STREAM, "island").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.count("*").alias("segments")).drop("island")
+
+    def merged(rows: DataFrame, keys: list[str]) -> DataFrame:
+        order = Window.partitionBy(*keys).orderBy("begin", "end")
+        starts = F.coalesce(F.col("begin") > F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+        number = F.sum(F.col("_starts").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+        runs = rows.withColumn("_starts", starts).withColumn("_run", number)
+        return runs.groupBy(*keys, "_run").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.sum("segments").alias("segments")).drop("_run")
+
+    rows = placed.select(*STREAM, "begin", "end", F.lit(1).cast("long").alias("segments"), F.floor(F.col("begin") / part_bytes).alias("_part"))
+    return merged(merged(rows, [*STREAM, "_part"]).drop("_part"), STREAM)
 
 
 def heads(placed: DataFrame, most: int = HEAD_BYTES) -> DataFrame:

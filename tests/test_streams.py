@@ -120,3 +120,16 @@ def test_messages(spark):
 def test_empty_table(spark):
     placed = streams.positions(spark.createDataFrame([], SCHEMA), F.col("frame_no"))
     assert streams.heads(placed).count() == streams.islands(placed).count() == 0
+
+
+def test_packets_are_read_twice(spark, capsys):
+    """Once for what parts hand on, and once for the bytes, however many steps follow."""
+    rows = [("f", 1, "a", 1, "b", 2, 6, 16, 10, b"xy"), ("f", 70, "a", 1, "b", 2, 6, 16, 12, b"z")]
+    df = spark.createDataFrame(rows, "file string, frame_no long, src_ip string, src_port int, dst_ip string, dst_port int, proto int, tcp_flags int, tcp_seq long, payload binary")
+    from pyspark.sql import functions as F
+
+    found = streams.islands(streams.positions(df, part=F.floor(F.col("frame_no") / 64)), part_bytes=1)
+    assert [tuple(r) for r in found.select("begin", "end", "segments").collect()] == [(0, 3, 2)]
+    capsys.readouterr()
+    found.explain()
+    assert capsys.readouterr().out.count("Scan ExistingRDD") <= 2
