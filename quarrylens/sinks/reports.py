@@ -23,10 +23,14 @@ def _with_results(verdicts: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def json_rows(verdicts: DataFrame, results: DataFrame) -> DataFrame:
-    """(type, value, json): one JSON document an indicator, its sources in order."""
+    """(type, value, json): one JSON document an indicator, its sources in order; confidences are written without exponents."""
     sources = F.transform("sources", lambda x: F.struct(x["source"].alias("source"), x["verdict"].alias("verdict"), x["score"].alias("score"), x["tags"].alias("tags"), x["error"].alias("error")))
     rows = _with_results(verdicts, results).withColumn("sources", sources)
-    return rows.select("type", "value", F.to_json(F.struct("value", "type", "verdict", "confidence", "tags", "references", "sources"), {"ignoreNullFields": "false"}).alias("json"))
+    json = F.to_json(F.struct("value", "type", "verdict", "confidence", "tags", "references", "sources"), {"ignoreNullFields": "false"})
+    digits = F.rtrim(F.col("confidence").try_cast("decimal(38,37)").cast("string"), F.lit("0"))
+    field = lambda text: F.concat(F.lit('"confidence":'), text, F.lit(","))
+    small = (F.col("confidence") >= 1e-20) & (F.col("confidence") < 1e-3)
+    return rows.select("type", "value", F.when(small, F.replace(json, field(F.col("confidence").cast("string")), field(digits))).otherwise(json).alias("json"))
 
 
 def markdown_rows(verdicts: DataFrame, results: DataFrame) -> DataFrame:
