@@ -32,8 +32,9 @@ def score(results: DataFrame, keys: list[str], order: str | None = None) -> Data
     Amounts are summed as decimals, so that the order of a sum does not decide at a threshold. Amounts that are no finite
     numbers do not count.
 
-    With ``order``, a column that is unique in a key, scores of hits are added as doubles in that order instead, as an engine
-    does that reads the rows in it; running sums over sorted rows take the place of the combined aggregation.
+    With ``order``, scores of hits are added as doubles in that order instead, as an engine does that reads the rows in it;
+    running sums over sorted rows take the place of the combined aggregation. Rows that share their place in it, or have
+    none, all count; smaller scores come first among them.
     """
     valid = F.col("error").isNull()
     hit = F.col("weight") * F.greatest("score", F.lit(PRESENCE))
@@ -43,10 +44,12 @@ def score(results: DataFrame, keys: list[str], order: str | None = None) -> Data
     if order is None:
         hits = {c: summed(x) for c, x in hits.items()}
     else:
-        so_far = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        in_order = Window.partitionBy(*keys).orderBy(order, *hits.values())
+        so_far = in_order.rowsBetween(Window.unboundedPreceding, 0)
         finite = lambda x: F.when(x.try_cast(AMOUNT).isNotNull(), x)
-        results = results.withColumn("_hits", F.struct(*[F.sum(finite(x)).over(so_far).alias(c) for c, x in hits.items()]))
-        hits = {c: F.coalesce(F.max_by("_hits", order)[c], F.lit(0.0)) for c in hits}
+        running = F.struct(*[F.sum(finite(x)).over(so_far).alias(c) for c, x in hits.items()])
+        results = results.select("*", F.row_number().over(in_order).alias("_row"), running.alias("_hits"))
+        hits = {c: F.coalesce(F.max_by("_hits", "_row")[c], F.lit(0.0)) for c in hits}
     sums = results.groupBy(*keys).agg(
         F.count_if(valid).alias("n_valid"), summed(F.when(valid, F.col("weight"))).alias("total"), *[x.alias(c) for c, x in hits.items()], summed(amount_of("benign", F.col("weight"))).alias("b")
     )
