@@ -30,7 +30,7 @@ def at(tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["report_json", "sigma_rows", "stix_rows", "suricata_all"])
+@pytest.mark.parametrize("name", ["report_json", "sigma_rows", "stix_rows", "suricata_all", "suricata_rules"])
 def test_rows_of_verdicts_at_a_threshold(spark, at, name):
     import duckdb
 
