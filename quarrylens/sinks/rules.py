@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylens.functions.indicators import url_host
 from quarrylens.operators.scoring import at_least
+from quarrylens.storage import fresh_path
 
 # Notations of the formats.
 STIX = {"ipv4": "ipv4-addr:value", "ipv6": "ipv6-addr:value", "domain": "domain-name:value", "url": "url:value", "email": "email-addr:value", "md5": "file:hashes.'MD5'", "sha1": "file:hashes.'SHA-1'", "sha256": "file:hashes.'SHA-256'"}
@@ -88,15 +88,18 @@ def suricata(verdicts: DataFrame, least: str = "malicious", first_sid: int = FIR
         .when(F.col("type") == "url", F.concat(F.lit('http.host; content:"'), escape(host), F.lit('"; nocase; http.uri; content:"'), escape(path), F.lit('"; nocase; ')))
         .otherwise("")
     )
-    rows = at_least(verdicts, least).withColumn("_b", body).where("_b is not null").withColumn("_c", content).select("type", "value", "verdict", "_b", "_c")
-    # Held, so that both uses below read one dealing of the rows, whatever Spark reuses or computes again.
-    rows = rows.repartitionByRange(buckets, "type", "value").withColumn("_k", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
+    spark, stored = verdicts.sparkSession, fresh_path(verdicts.sparkSession, "rules")
+    rows = at_least(verdicts, least).where(body.isNotNull()).select("type", "value", "verdict")
+    # Stored, so that both uses below read one dealing of the rows. Rows held by ``persist`` would also serve a later call, even after a table is written anew.
+    rows = rows.repartitionByRange(buckets, "type", "value").withColumn("_k", F.spark_partition_id())
+    rows.write.parquet(stored)
+    rows = spark.read.schema(rows.schema).parquet(stored)
     rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_k").orderBy("type", "value")))
     starts = rows.groupBy("_k").agg(F.count("*").alias("_size"))
     starts = starts.withColumn("_start", F.coalesce(F.sum("_size").over(Window.orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # at most ``buckets`` rows
     sid = F.col("_start") + F.col("_n") - 1 + first_sid
     msg = F.concat(F.lit("Indicator: "), "type", F.lit(" "), "value", F.lit(" ("), "verdict", F.lit(')"; '))
-    return rows.join(F.broadcast(starts), "_k").select(sid.cast("long").alias("sid"), F.concat("_b", msg, "_c", F.lit("sid:"), sid.cast("string"), F.lit("; rev:1; classtype:trojan-activity;)")).alias("rule"))
+    return rows.join(F.broadcast(starts), "_k").select(sid.cast("long").alias("sid"), F.concat(body, msg, content, F.lit("sid:"), sid.cast("string"), F.lit("; rev:1; classtype:trojan-activity;)")).alias("rule"))
 
 
 def summary(verdicts: DataFrame) -> DataFrame:

@@ -37,3 +37,15 @@ def test_rows_of_verdicts_at_a_threshold(spark, at, name):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW orders AS SELECT * FROM '{at}/orders.parquet'")
     assert compare(spark, con, QUERIES[name], SQL[name], at) == ""
+
+
+@pytest.mark.parametrize("name", ["suricata_all"])
+def test_rows_follow_a_table_that_is_written_anew(spark, tmp_path, name):
+    import duckdb
+
+    for n in (100, 300):
+        keys = pa.array(range(n), pa.int64())
+        pq.write_table(pa.table({"o_orderkey": keys, "o_custkey": keys, "o_orderpriority": ["1"] * n}), tmp_path / "orders.parquet")
+        con = duckdb.connect()
+        con.sql(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet'")
+        assert compare(spark, con, QUERIES[name], SQL[name], str(tmp_path)) == ""
