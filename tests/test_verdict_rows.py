@@ -39,7 +39,7 @@ def test_rows_of_verdicts_at_a_threshold(spark, at, name):
     assert compare(spark, con, QUERIES[name], SQL[name], at) == ""
 
 
-@pytest.mark.parametrize("name", ["suricata_all"])
+@pytest.mark.parametrize("name", ["suricata_all", "suricata_rules"])
 def test_rows_follow_a_table_that_is_written_anew(spark, tmp_path, name):
     import duckdb
 
