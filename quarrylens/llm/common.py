@@ -45,7 +45,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternates the large-star and small-star steps of Kiveris et al. (2014). Every step is one aggregation that
     Spark combines before the shuffle and one join, so that a node with very many neighbours is split by adaptive
-    execution. Each round is written to the shared folder. An empty table gives an empty result.
+    execution. Each round is written to the shared folder, where ids are packed so well that the size of its files says little of
+    what a broadcast would take: no join broadcasts. An empty table gives an empty result.
     """
 
     def counted(df: DataFrame) -> tuple[DataFrame, tuple]:
@@ -60,9 +61,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.join(least.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("e"))
+        small = large.join(least.hint("merge"), "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("e"))
         links, now = counted(small.select("e.a", "e.b").where("a <> b").distinct())
         if now == state:
             break

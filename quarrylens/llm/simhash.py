@@ -166,7 +166,8 @@ def links(nodes: DataFrame, max_bits: int = 3) -> DataFrame:
     x = nodes.mapInArrow(stored, "key long, fp long, node long")
     y = nodes.mapInArrow(looked_up, "key long, fp long, node long").select("key", F.col("fp").alias("fp2"), F.col("node").alias("node2"))
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2")))
-    return x.join(y, "key").where((near <= max_bits) & (near > 0)).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+    # Spark sizes keys by the table of nodes, though there are up to 56 a node, and would send them to the driver to broadcast them.
+    return x.join(y.hint("merge"), "key").where((near <= max_bits) & (near > 0)).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 3) -> DataFrame:
@@ -176,6 +177,6 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 3) -> DataF
     # A node is the smallest doc_id of a fingerprint; repeated doc_ids may give one node to two fingerprints, which joins them.
     nodes = materialize(nodes, "nodes")
     groups = connected_components(links(nodes, max_bits))
-    of = nodes.join(groups, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    out = fps.join(of, "fp", "left")
+    of = nodes.join(groups.hint("merge"), "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    out = fps.join(of.hint("merge"), "fp", "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

@@ -192,6 +192,12 @@ def test_near_duplicates(docs, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_keys_are_not_broadcast(spark):
+    """There are up to 56 keys a node, however small the table of nodes looks; a broadcast goes through the driver."""
+    plan = simhash.links(spark.range(10).select(F.col("id").alias("fp"), F.col("id").alias("node")))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components_of_chains_and_stars(spark):
     chain = [(i, i + 1) for i in range(40)]
     star = [(100, 100 + i) for i in range(1, 60)] + [(159, 50)]
