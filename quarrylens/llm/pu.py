@@ -164,7 +164,7 @@ def _learn(counted: DataFrame, labels: DataFrame) -> tuple[DataFrame, Column]:
     """The stored table of ``counted(_id, x, ...)``, and the score as an expression of x."""
     known = labels.where((fold(F.col("doc_id")) != HELD_OUT) & F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
     trusted = known.groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("q")).where("q = 1").withColumn("trusted", F.lit(True)).drop("q")
-    table = materialize(counted.join(trusted, "_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False))), "features")
+    table = materialize(counted.join(trusted.hint("shuffle_hash"), "_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False))), "features")
 
     k = len(features())
     figures = table.agg(F.count_if("trusted"), *[f(F.get("x", F.lit(i))) for i in range(k) for f in (F.avg, F.stddev_pop)]).first()

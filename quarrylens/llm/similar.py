@@ -13,7 +13,8 @@ position bound and the parities of both sets drop what cannot reach the similari
 other. The work so grows with the texts and with those pairs of groups that share rare shingles, not with the pairs of a key.
 
 The rows are distinct texts, known by a digest; copies cost nothing more. Texts are shuffled once, for the shingle sets
-of candidates, and only the sets of candidates are stored.
+of candidates, and only the sets of candidates are stored. No join broadcasts: Spark sizes rows of an array by the table that holds
+the arrays, 16 keys as one, and packed ids by their files.
 """
 
 from __future__ import annotations
@@ -94,7 +95,7 @@ def keyed(nodes: DataFrame) -> DataFrame:
     """(key, x struct<node, size>, n, first): each key that two or more of ``nodes(node, size, bands)`` have, and its texts."""
     rows = nodes.select(F.explode("bands").alias("key"), F.struct("node", "size").alias("x"))
     groups = rows.groupBy("key").agg(F.count("*").alias("n"), F.min_by("x", F.xxhash64("x.node", "key")).alias("first")).where("n > 1")
-    return rows.join(groups, "key")
+    return rows.join(groups.hint("merge"), "key")
 
 
 def candidates(nodes: DataFrame, linked: DataFrame) -> DataFrame:
@@ -103,10 +104,10 @@ def candidates(nodes: DataFrame, linked: DataFrame) -> DataFrame:
     few = linked.where(F.col("n").between(3, ALL_PAIRS)).groupBy("key").agg(F.collect_list("x").alias("all"))
     pairs = few.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y")).where("x.node < y.node")
     same = nodes.groupBy("fp").agg(F.min(F.struct("node", "size")).alias("x"))
-    alike = nodes.join(same, "fp").select("x", F.struct("node", "size").alias("y"))
+    alike = nodes.join(same.hint("merge"), "fp").select("x", F.struct("node", "size").alias("y"))
     near = links(same.select("fp", F.col("x.node").alias("node")))
     of = lambda end: same.select(F.col("x.node").alias(end), F.col("x").alias(f"{end}x"))
-    near = near.join(of("a"), "a").join(of("b"), "b").select(F.col("ax").alias("x"), F.col("bx").alias("y"))
+    near = near.join(of("a").hint("merge"), "a").join(of("b").hint("merge"), "b").select(F.col("ax").alias("x"), F.col("bx").alias("y"))
     found = star.unionByName(pairs).unionByName(alike).unionByName(near).where("x.node <> y.node and 5 * least(x.size, y.size) >= 4 * greatest(x.size, y.size)")
     return found.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
@@ -116,30 +117,30 @@ def across(linked: DataFrame, groups: DataFrame, sets: DataFrame) -> DataFrame:
 
     ``groups(node, component)`` has the texts in groups of two or more, ``sets(node, shingles)`` those of all large keys.
     """
-    large = linked.where(F.col("n") > ALL_PAIRS).select("key", F.col("x.node").alias("node")).join(groups, "node", "left")
+    large = linked.where(F.col("n") > ALL_PAIRS).select("key", F.col("x.node").alias("node")).join(groups.hint("merge"), "node", "left")
     large = large.withColumn("component", F.coalesce("component", "node"))
     mixed = large.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    rest = large.join(mixed, "key").select("node", "component").distinct()
+    rest = large.join(mixed.hint("merge"), "key").select("node", "component").distinct()
     # Repeated rows of the table have repeated sets.
-    one = sets.join(rest, "node").dropDuplicates(["node"])
+    one = sets.join(rest.hint("shuffle_hash"), "node").dropDuplicates(["node"])
     rows = materialize(one.select("node", "component", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle")), "rest")
     shared = rows.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
-    sorted_ = rows.join(shared, "shingle").groupBy("node", "component", "size").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("all"))
+    sorted_ = rows.join(shared.hint("merge"), "shingle").groupBy("node", "component", "size").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("all"))
     # Shingles of no other text come first; of what follows, the prefix has these.
     alone = F.col("size") - F.size("all")
     length = F.expr("size - (4 * size + 4) div 5 + 1").cast("int") - alone
     words = [F.col("parities")[k].alias(f"p{k}") for k in range(PARITIES // 64)]
-    sorted_ = sorted_.join(one.select("node", *words), "node")
+    sorted_ = sorted_.join(one.select("node", *words).hint("merge"), "node")
     bits = [f"p{k}" for k in range(PARITIES // 64)]
     prefix = sorted_.where(length > 0).select("node", "component", "size", *bits, alone.alias("alone"), F.posexplode(F.slice("all", 1, length)).alias("i", "x"))
     prefix = materialize(prefix.select("x.shingle", "node", "component", "size", *bits, (F.col("size") - F.col("alone") - F.col("i")).alias("left")), "prefix")
     by_group = prefix.groupBy("shingle", "component").agg(F.count("*").alias("n"))
     main = by_group.groupBy("shingle").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("k")).where("k > 1")
-    x = prefix.join(main, "shingle").where("component <> main").select("shingle", "main", *[F.col(c).alias(f"x_{c}") for c in ("node", "component", "size", "left", *bits)])
+    x = prefix.join(main.hint("merge"), "shingle").where("component <> main").select("shingle", "main", *[F.col(c).alias(f"x_{c}") for c in ("node", "component", "size", "left", *bits)])
     # Nothing before the first shared shingle is shared, so with it all of the overlap is in what is left of both.
     may = "x_component <> component and (component = main or x_node < node) and 5 * least(x_size, size) >= 4 * greatest(x_size, size) and 9 * least(x_left, left) >= 4 * (x_size + size)"
     apart = " + ".join(f"bit_count(x_{p} ^ {p})" for p in bits)
-    return x.join(prefix, "shingle").where(f"{may} and 9 * ({apart}) <= x_size + size").select(F.least("x_node", "node").alias("a"), F.greatest("x_node", "node").alias("b")).distinct()
+    return x.join(prefix.hint("merge"), "shingle").where(f"{may} and 9 * ({apart}) <= x_size + size").select(F.least("x_node", "node").alias("a"), F.greatest("x_node", "node").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -147,7 +148,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     of = lambda end: sets.select(F.col("node").alias(end), F.col("shingles").alias(f"{end}_set"))
     both = F.size(F.array_intersect("a_set", "b_set"))
     # J >= 4 / 5 in whole numbers
-    return pairs.join(of("a"), "a").join(of("b"), "b").where(9 * both >= 4 * (F.size("a_set") + F.size("b_set"))).select("a", "b")
+    return pairs.join(of("a").hint("merge"), "a").join(of("b").hint("merge"), "b").where(9 * both >= 4 * (F.size("a_set") + F.size("b_set"))).select("a", "b")
 
 
 def similar_texts(docs: DataFrame) -> DataFrame:
@@ -162,11 +163,11 @@ def similar_texts(docs: DataFrame) -> DataFrame:
     linked = materialize(keyed(nodes), "bands")
     pairs = materialize(candidates(nodes, linked), "candidates")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(linked.where(F.col("n") > ALL_PAIRS).select("x.node")).distinct()
-    wanted = wanted.join(nodes.select("node", "doc_id", "digest"), "node")
-    sets = texts.join(wanted, ["doc_id", "digest"]).select("node", "text").mapInArrow(_sets, "node long, shingles array<long>, parities array<long>")
+    wanted = wanted.join(nodes.select("node", "doc_id", "digest").hint("merge"), "node")
+    sets = texts.join(wanted.hint("shuffle_hash"), ["doc_id", "digest"]).select("node", "text").mapInArrow(_sets, "node long, shingles array<long>, parities array<long>")
     sets = materialize(sets, "shingles")
     groups = connected_components(verified(pairs, sets))
     more = materialize(verified(across(linked, groups, sets), sets), "across")
     if not more.isEmpty():
         groups = connected_components(more.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-    return nodes.join(groups, "node", "left").select("doc_id", "digest", F.coalesce("component", "node").alias("component_id"))
+    return nodes.join(groups.hint("merge"), "node", "left").select("doc_id", "digest", F.coalesce("component", "node").alias("component_id"))

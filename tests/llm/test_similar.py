@@ -5,6 +5,7 @@ import random
 import brute
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
 from quarrylens.llm import similar
 
@@ -35,6 +36,18 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
 
 
+def test_keys_of_texts_are_not_broadcast(spark):
+    """Each text has 16 keys, of which Spark counts one; a broadcast goes through the driver."""
+    i = F.col("id")
+    nodes = spark.range(10).select(i.alias("node"), i.alias("fp"), F.lit(3).alias("size"), F.array(i).alias("bands"))
+    linked = similar.keyed(nodes)
+    pairs = similar.candidates(nodes, linked)
+    sets = nodes.select("node", F.col("bands").alias("shingles"))
+    for df in (linked, pairs, similar.verified(pairs, sets)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_near_dedup_joins_similar_texts(spark):
     rng = random.Random(4)
     rows, dropped = [], set()
