@@ -1,15 +1,16 @@
 """Captures as a Spark data source: classic and next-generation files in planned partitions, and a sink for classic ones.
 
-A large file is cut at every ``partition_bytes``. A partition finds its first record by itself: it begins LEAD bytes early
-and follows the headers from there as far as its own range. In a classic capture a chain from a false place may pass the
-end of its record and never meet the true one. All places within one largest record are therefore followed, of which one is
-true: where they lead to one place, this is the first record. Else the partition begins twice as early, in the end at the start of the
-file. Blocks of next-generation files have their length at both ends, so the first chain that holds is taken. A record
-belongs to the partition in which it begins, so all records are read once.
-
-Packets of next-generation files name an interface of their section. For files of more than one partition a first scan
-lists all sections and interfaces, in the same partitions; the list goes with the second scan. Units of time are those of
-each interface.
+A large file is cut at every ``partition_bytes``. A partition begins LEAD bytes early and follows the headers from there as far
+as its own range. In a classic capture a chain from a false place may pass the end of its record and never meet the true one:
+both sizes of a record are alike, so headers that are read four bytes late follow each other as well. All places within one
+largest record are therefore followed, of which one is true. Blocks of next-generation files have their length at both ends, so
+the first chain that holds is taken. A record belongs to the partition in which it begins, so all records are read once.
+
+For files of more than one partition a first scan, in the same partitions, lists what goes with the second: of classic files the few
+chains that run through a partition, with their first places and where they leave it, of which those that follow each other from the
+start of the file are true; of next-generation files all sections and interfaces, as packets name an interface of their section.
+Units of time are those of each interface. Behind a damaged record, where no list leads, a partition finds its first record by itself:
+it is the one place to which all chains lead, if need be from twice as far, in the end from the start of the file.
 
 ``frame_no`` is the place of the record in its file, so it is unique there and grows along the file. Reading of a partition ends
 at a damaged record; later partitions go on from their own first record. Files of other formats have no rows.
@@ -17,11 +18,10 @@ at a damaged record; later partitions go on from their own first record. Files o
 
 from __future__ import annotations
 
-import heapq
 import json
 import struct
 import uuid
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,7 +33,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from quarrylens.sources.packets import MAGIC, NAMES, SCHEMA, _batch, packet
 
-LAYOUT = "path string, place long, link int, tick double"
+LAYOUT = "path string, place long, link int, tick double, leaves long"
+LAYOUT_NAMES, LAYOUT_KINDS = [c.split()[0] for c in LAYOUT.split(", ")], [pa.string(), pa.int64(), pa.int32(), pa.float64(), pa.int64()]
 FRAMES = "ts double, frame binary"
 PARTITION_BYTES, LEAD, WINDOW = 64 << 20, 1 << 20, 4 << 20
 # Block types and bounds of records.
@@ -80,14 +81,15 @@ class Classic:
             return None
         return place + 16 + size
 
-    def plausible(self, begin: int, n: int) -> list[int]:
-        """Those of ``n`` places from ``begin`` on where a record may begin."""
+    def plausible(self, begin: int, n: int) -> Iterator[tuple[int, int]]:
+        """Those of ``n`` places from ``begin`` on where a record may begin, in order, and where the next one would."""
         raw = np.frombuffer(self.view.at(begin, n + 15), np.uint8)
-        number = np.ndarray(max(len(raw) - 3, 0), self.order + "u4", raw, strides=(1,)).astype(np.int64)
-        fraction, size = number[4:-4], number[8:]
-        places = begin + np.arange(len(size))
-        ok = (size > 0) & (size <= MOST_FRAME) & (fraction < self.unit) & (places + 16 + size <= self.view.size)
-        return places[ok].tolist()
+        number = np.ndarray(max(len(raw) - 3, 0), self.order + "u4", raw, strides=(1,)).astype(np.uint32)
+        size = number[8:][:n]
+        at = np.flatnonzero((number[4:][: len(size)] < int(self.unit)) & (size - np.uint32(1) < MOST_FRAME))  # 0 - 1 is the largest number
+        after = begin + at + 16 + size[at].astype(np.int64)
+        ok = after <= self.view.size
+        return zip((begin + at)[ok].tolist(), after[ok].tolist(), strict=True)
 
     def frame(self, place: int, end: int) -> tuple[float, int, bytes]:
         seconds, fraction, size, _ = self.head.unpack(self.view.at(place, 16))
@@ -169,23 +171,51 @@ class Part(InputPartition):
     high: int
 
 
+def _reached(form: Classic, begin: int, low: int) -> set[int]:
+    """Where the chains come to at ``low`` from all places of a stretch that holds a record's start, or from the first record."""
+    known = begin <= form.first
+    reached, own = ({form.first}, form.first) if known else (set(), begin + MOST_FRAME + 16)
+    for at in range(form.first if known else begin, low, LEAD):
+        end = min(at + LEAD, low)
+        for place, after in form.plausible(at, end - at):
+            if place in reached or place < own:
+                reached.add(after)
+        reached = {place for place in reached if place >= end}
+    return reached
+
+
 def _meeting(form: Classic, low: int) -> int | None:
-    """Where the chains from all places of a stretch that holds a record's start come to at ``low``, if it is one place."""
+    """The one place to which the chains lead at ``low``."""
     lead = LEAD
     while (begin := low - lead) > form.first:
-        places = form.plausible(begin, MOST_FRAME + 16)  # in order, which makes them a heap
-        seen = set(places)
-        while places and places[0] < low:
-            after = form.after(heapq.heappop(places))
-            if after is not None and after not in seen:
-                seen.add(after)
-                heapq.heappush(places, after)
+        places = _reached(form, begin, low)
         if len(places) < 2:
-            return places[0] if places else None
+            return next(iter(places), None)
         lead *= 2
     return None
 
 
+def _chains(form: Classic, low: int, high: int) -> list[tuple[int, int]]:
+    """Where the chains begin that may hold the records from ``low`` to ``high``, and where they leave; -1 if they end before."""
+    now = {place: place for place in _reached(form, low - LEAD, low) if place < high}
+    for at in range(low, high, LEAD):
+        after = dict(form.plausible(at, min(LEAD, high - at)))
+        for first, place in now.items():
+            while place in after:
+                place = after[place]
+            now[first] = place
+    return [(first, place if place >= high else -1) for first, place in sorted(now.items())]
+
+
+def _starts(leaves: dict[int, int]) -> list[int]:
+    """The first record of each partition, by chains that follow each other from the first record of a file."""
+    starts, place = [], Classic.first
+    while place in leaves:
+        starts.append(place)
+        place = leaves[place]
+    return starts
+
+
 def first_record(form: Classic | NextGeneration, low: int) -> int | None:
     """The first record that begins at ``low`` or later."""
 
@@ -239,6 +269,7 @@ class CaptureReader(DataSourceReader):
         self.path, self.step = options["path"], int(options.get("partition_bytes", PARTITION_BYTES))
         self.only_layout = options.get("rows") == "layout"
         self.layout = {p: [tuple(x) for x in rows] for p, rows in json.loads(options.get("layout", "{}")).items()}
+        self.starts = json.loads(options.get("starts", "{}"))
 
     def partitions(self) -> list[Part]:
         system, path = _system(self.path)
@@ -253,26 +284,32 @@ class CaptureReader(DataSourceReader):
         view = Window(_system(self.path)[0], part.path)
         layout = list(self.layout.get(part.path, []))
         form = _form(view, layout)
-        if form is None or (self.only_layout and isinstance(form, Classic)):
+        if form is None:
+            return
+        told = lambda rows: pa.RecordBatch.from_pylist([dict(zip(LAYOUT_NAMES, r, strict=True)) for r in rows], pa.schema(list(zip(LAYOUT_NAMES, LAYOUT_KINDS, strict=True))))
+        if self.only_layout and isinstance(form, Classic):
+            yield told([(part.path, first, None, None, leaves) for first, leaves in _chains(form, part.low, part.high)])
             return
-        rows, place = [], first_record(form, part.low)
+        starts = self.starts.get(part.path, [])
+        known = bisect_left(starts, part.low)
+        rows, place = [], starts[known] if known < len(starts) else first_record(form, part.low)
         while place is not None and place < part.high and (end := form.after(place)) is not None:
             own = form.described(place, end) if isinstance(form, NextGeneration) and (self.only_layout or part.path not in self.layout) else None
             if own and self.only_layout:
-                rows.append((part.path, *own))
+                rows.append((part.path, *own, None))
             elif own:
                 form.layout.append(own)
                 form.places.append(place)
             elif not self.only_layout and (found := form.frame(place, end)):
                 ts, link, frame = found
-                if told := packet(link, frame):
-                    rows.append((part.path, place, ts, *told))
+                if fields := packet(link, frame):
+                    rows.append((part.path, place, ts, *fields))
                 if len(rows) == 4096:
                     yield _batch(rows)
                     rows = []
             place = end
         if self.only_layout:
-            yield pa.RecordBatch.from_pylist([dict(zip(("path", "place", "link", "tick"), r, strict=True)) for r in rows], pa.schema([("path", pa.string()), ("place", pa.int64()), ("link", pa.int32()), ("tick", pa.float64())]))
+            yield told(rows)
         elif rows:
             yield _batch(rows)
 
@@ -295,11 +332,12 @@ class CaptureWriter(DataSourceArrowWriter):
         with system.open_output_stream(name) as out:
             out.write(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, MOST_FRAME, self.link))
             for batch in batches:
+                told = []
                 for ts, frame in zip(batch.column("ts").to_pylist(), batch.column("frame").to_pylist(), strict=True):
                     micros = round((ts or 0.0) * 1e6)
-                    frame = frame or b""
                     if frame:
-                        out.write(struct.pack("<4I", micros // 1_000_000 & 0xFFFFFFFF, micros % 1_000_000, len(frame), len(frame)) + frame)
+                        told += struct.pack("<4I", micros // 1_000_000 & 0xFFFFFFFF, micros % 1_000_000, len(frame), len(frame)), frame
+                out.write(b"".join(told))
         return Written(name)
 
     def commit(self, messages: list[Written | None]) -> None:
@@ -333,10 +371,15 @@ def read_captures(spark: SparkSession, path: str, partition_bytes: int = PARTITI
     spark.dataSource.register(Captures)
     reader = lambda: spark.read.format("captures").option("path", path).option("partition_bytes", partition_bytes)
     layout: dict[str, list] = {}
-    # One row a section or interface of files larger than a partition, not of packets.
-    for r in reader().option("rows", "layout").load().orderBy("path", "place").toLocalIterator():
-        layout.setdefault(r["path"], []).append((r["place"], r["link"], r["tick"]))
-    return reader().option("layout", json.dumps(layout)).load()
+    leaves: dict[str, dict[int, int]] = {}
+    # One row a section or interface, or a chain and partition, of files larger than a partition, not of packets.
+    for r in sorted(reader().option("rows", "layout").load().collect(), key=lambda r: (r["path"], r["place"])):
+        if r["leaves"] is None:
+            layout.setdefault(r["path"], []).append((r["place"], r["link"], r["tick"]))
+        else:
+            leaves.setdefault(r["path"], {})[r["place"]] = r["leaves"]
+    starts = {file: _starts(chains) for file, chains in leaves.items()}
+    return reader().option("layout", json.dumps(layout)).option("starts", json.dumps(starts)).load()
 
 
 def write_captures(frames: DataFrame, path: str, link: int = 1) -> None:

@@ -132,3 +132,20 @@ def test_chains_that_never_meet_the_true_one(tmp_path):
     form = captures.Classic(captures.Window(captures.fs.LocalFileSystem(), str(tmp_path / "x.pcap")))
     for low in range(1 << 20, at - 100, 700_001):
         assert captures.first_record(form, low) == next(p for p in places if p >= low)
+
+
+def test_partitions_begin_where_the_chains_from_the_start_lead(tmp_path, monkeypatch):
+    """Headers that are read four bytes late follow each other to the end of a file; no partition reads what lies far before it."""
+    from quarrylens.sources import captures
+
+    path, step = tmp_path / "x.pcap", 1 << 20
+    path.write_bytes(classic([bytes(12) + p[12:] for p in some_packets(60_000, 120)]))
+    scan = captures.CaptureReader({"path": str(path), "partition_bytes": step, "rows": "layout"})
+    leaves = [(r["place"], r["leaves"]) for part in scan.partitions() for batch in scan.read(part) for r in batch.to_pylist()]
+    assert len(leaves) <= 4 * len(scan.partitions())
+    starts = captures._starts(dict(leaves))
+    calls, after = [], captures.Classic.after
+    monkeypatch.setattr(captures.Classic, "after", lambda self, place: calls.append(place) or after(self, place))
+    reader = captures.CaptureReader({"path": str(path), "partition_bytes": step, "starts": captures.json.dumps({str(path): starts})})
+    rows = [sum(batch.num_rows for batch in reader.read(part)) for part in reader.partitions()]
+    assert len(rows) > 5 and sum(rows) == len(calls) == 60_000 and min(calls) == 24
