@@ -105,10 +105,11 @@ def _hex(place: Column) -> Column:
     return F.concat(F.lit("0x"), F.lower(F.hex(place)))
 
 
-def _first(rows: DataFrame, keys: list[str], most: int, shown: Column) -> DataFrame:
-    """(keys, evidence): the first places in order. Spark drops later ranks before the shuffle, so lists are bounded."""
+def _first(rows: DataFrame, keys: list[str], most: int | None, shown: Column) -> DataFrame:
+    """(keys, evidence): the first places in order, or all. Spark drops later ranks before the shuffle, so ``most`` bounds lists."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("place"))
-    few = rows.select(*keys, "place", shown.alias("shown")).withColumn("n", rank).where(F.col("n") <= most)
+    few = rows.select(*keys, "place", shown.alias("shown"))
+    few = few if most is None else few.withColumn("n", rank).where(F.col("n") <= most)
     listed = few.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("place", "shown"))).alias("x"))
     return listed.select(*keys, F.transform("x", lambda x: x["shown"]).alias("evidence"))
 
@@ -123,10 +124,11 @@ def scan_patterns() -> list[tuple[str, bytes]]:
     return [*out, ("beacon", marker), *[(f"beacon {k:#04x}", keyed(marker, k)) for k in BEACON_KEYS]]
 
 
-def findings(files: DataFrame, size: int = CHUNK_BYTES) -> DataFrame:
+def findings(files: DataFrame, size: int = CHUNK_BYTES, whole: bool = False) -> DataFrame:
     """(path, rule, severity, category, evidence) of ``files(path, content)``; the carrier's own header at 0 does not count.
 
-    Hits are stored, as every rule reads them: contents are searched once.
+    Hits are stored, as every rule reads them: contents are searched once. With ``whole``, markers count wherever they lie, not
+    only within the first FRONT_BYTES, and evidence names every place of an embedded payload, not only the first ones.
     """
     sizes = {name: len(p) for name, p in scan_patterns()}
     spark, stored = files.sparkSession, fresh_path(files.sparkSession, "hits")
@@ -139,18 +141,18 @@ def findings(files: DataFrame, size: int = CHUNK_BYTES) -> DataFrame:
     pe = images.join(heads.hint("merge"), ["path", "pointer"]).select("path", F.lit("embedded.pe").alias("rule"), "place", "pointer")
     programs = inner.where(F.col("name").isin(*EXECUTABLES)).select("path", F.col("name").alias("rule"), "place", "pointer")
     told = lambda df, severity, category: df.select("path", "rule", F.lit(severity).alias("severity"), F.lit(category).alias("category"), "evidence")
-    out = told(_first(pe.unionByName(programs), ["path", "rule"], SHOWN, _hex(F.col("place"))), 70, "dropper")
+    out = told(_first(pe.unionByName(programs), ["path", "rule"], None if whole else SHOWN, _hex(F.col("place"))), 70, "dropper")
 
     packed = hits.where(F.col("name").startswith("archive ")).withColumn("label", F.substring("name", 9, 8))
-    few = packed.withColumn("n", F.row_number().over(Window.partitionBy("path", "label").orderBy("place"))).where(F.col("n") <= SHOWN_ARCHIVES)
+    few = packed if whole else packed.withColumn("n", F.row_number().over(Window.partitionBy("path", "label").orderBy("place"))).where(F.col("n") <= SHOWN_ARCHIVES)
     order = F.array_position(F.array(*[F.lit(x) for x in ARCHIVES]), F.col("label"))
     listed = few.groupBy("path").agg(F.sort_array(F.collect_list(F.struct(order.alias("o"), "place", "label"))).alias("x"))
-    shown = F.transform(F.slice("x", 1, SHOWN), lambda x: F.concat(x["label"], F.lit("@"), _hex(x["place"])))
+    shown = F.transform("x" if whole else F.slice("x", 1, SHOWN), lambda x: F.concat(x["label"], F.lit("@"), _hex(x["place"])))
     out = out.unionByName(told(listed.select("path", F.lit("embedded.archive").alias("rule"), shown.alias("evidence")), 50, "dropper"))
 
-    # Only what lies whole within the first bytes counts for these.
+    # Unless whole contents are asked for, only what lies whole within the first bytes counts for these.
     length = F.element_at(F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair]), F.col("name"))
-    front = hits.where(F.col("name").isin(*[r for r, *_ in SHELLCODE]) | F.col("name").startswith("beacon")).where(F.col("place") + length <= FRONT_BYTES)
+    front = hits.where(F.col("name").isin(*[r for r, *_ in SHELLCODE]) | F.col("name").startswith("beacon")).where(F.lit(whole) | (F.col("place") + length <= FRONT_BYTES))
     first = front.groupBy("path", "name").agg(F.min("place").alias("place"))
     kinds = F.create_map(*[x for rule, _, category, severity in SHELLCODE for x in (F.lit(rule), F.struct(F.lit(severity).alias("severity"), F.lit(category).alias("category")))])
     code = first.where(F.col("name").isin(*[r for r, *_ in SHELLCODE])).withColumn("kind", F.element_at(kinds, F.col("name")))

@@ -345,16 +345,14 @@ _AT = "'0x' || lower(to_hex(i))"
     f"""WITH {_BYTES}, k AS MATERIALIZED (SELECT CAST(path AS VARCHAR) AS path, s.h AS h, name, i FROM (SELECT path, h, unnest(range(length(h) // 2)) AS i FROM c) s JOIN p ON substr(s.h, CAST(2 * i + 1 AS INT), length(p.h)) = p.h),
 m AS (SELECT path, i, i + CAST('0x' || substr(h, CAST(2 * i + 127 AS INT), 2) || substr(h, CAST(2 * i + 125 AS INT), 2) || substr(h, CAST(2 * i + 123 AS INT), 2) || substr(h, CAST(2 * i + 121 AS INT), 2) AS BIGINT) AS t FROM k WHERE name = 'MZ' AND i > 0 AND 2 * i + 128 <= length(h)),
 e AS (SELECT m.path AS path, 'embedded.pe' AS rule, m.i AS i FROM m JOIN k ON m.path = k.path AND k.name = 'PE' AND k.i = m.t WHERE t - m.i BETWEEN 1 AND 1048575 UNION ALL SELECT path, name, i FROM k WHERE name LIKE 'embedded.%' AND i > 0),
-f AS (SELECT path, rule, i, row_number() OVER (PARTITION BY path, rule ORDER BY i) AS n FROM e),
-a AS (SELECT path, substr(name, 9) AS label, i, CASE substr(name, 9) WHEN 'ZIP' THEN 1 WHEN '7z' THEN 2 WHEN 'RAR' THEN 3 ELSE 4 END AS o, row_number() OVER (PARTITION BY path, name ORDER BY i) AS n FROM k WHERE name LIKE 'archive %'),
-b AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY o, i) AS r FROM a WHERE n <= 4),
+a AS (SELECT path, substr(name, 9) AS label, i, CASE substr(name, 9) WHEN 'ZIP' THEN 1 WHEN '7z' THEN 2 WHEN 'RAR' THEN 3 ELSE 4 END AS o FROM k WHERE name LIKE 'archive %'),
 s(rule, severity) AS (VALUES {_SHELLCODE_SQL}),
 z AS (SELECT path, name, min(i) AS i, row_number() OVER (PARTITION BY path ORDER BY CASE name WHEN 'beacon' THEN 1 WHEN 'beacon 0x69' THEN 2 ELSE 3 END) AS n FROM k WHERE name LIKE 'beacon%' GROUP BY path, name)
-SELECT path, rule, 70 AS severity, string_agg({_AT}, ' ' ORDER BY i) AS evidence FROM f WHERE n <= 8 GROUP BY path, rule
-UNION ALL SELECT path, 'embedded.archive', 50, string_agg(label || '@' || {_AT}, ' ' ORDER BY r) FROM b WHERE r <= 8 GROUP BY path
+SELECT path, rule, 70 AS severity, string_agg({_AT}, ' ' ORDER BY i) AS evidence FROM e GROUP BY path, rule
+UNION ALL SELECT path, 'embedded.archive', 50, string_agg(label || '@' || {_AT}, ' ' ORDER BY o, i) FROM a GROUP BY path
 UNION ALL SELECT path, rule, severity, {_AT} FROM (SELECT path, rule, severity, min(i) AS i FROM k JOIN s ON k.name = s.rule GROUP BY path, rule, severity)
 UNION ALL SELECT path, CASE WHEN name = 'beacon' THEN 'c2.cobalt_strike_beacon_marker' ELSE 'c2.cobalt_strike_xor_marker' END, 90, {_AT} FROM z WHERE n = 1"""
 )
 def marker_findings(spark, sf_dir):
-    """Embedded payloads, shellcode and beacon markers of the same contents."""
-    return markers.findings(_contents(spark, sf_dir), size=_STEP).select("path", "rule", "severity", F.array_join("evidence", " ").alias("evidence"))
+    """Embedded payloads, with all their places, shellcode and beacon markers of the same contents, searched to their ends."""
+    return markers.findings(_contents(spark, sf_dir), size=_STEP, whole=True).select("path", "rule", "severity", F.array_join("evidence", " ").alias("evidence"))

@@ -37,3 +37,15 @@ def test_contents_are_cut_and_searched_once(spark):
     cut = markers.chunks(df, 8, 64)
     assert "transform(sequence" in plan(cut)
     assert [(r["begin"], r["own"], len(r["content"])) for r in cut.collect()] == [(i, min(64, 502 - i), min(72, 502 - i)) for i in range(0, 502, 64)]
+
+
+def test_whole_contents_are_used(spark):
+    """Places at the end of a content count and are named like those at its beginning."""
+    marker, late = bytes.fromhex(markers.BEACON), markers.FRONT_BYTES
+    many = b"x" + b"\x7fELF" * 30 + b"PK\3\4" * 20 + b"\x1f\x8b\x08" * 20
+    df = spark.createDataFrame([("late", bytes(late) + marker + bytes.fromhex("FC4883E4F0E8")), ("many", many)], "path string, content binary")
+    got = {(r["path"], r["rule"]): list(r["evidence"]) for r in markers.findings(df, whole=True).collect()}
+    assert got == {
+        ("late", "c2.cobalt_strike_beacon_marker"): [hex(late)], ("late", "shellcode.msfvenom_x64"): [hex(late + 8)], ("many", "embedded.elf"): [hex(1 + 4 * i) for i in range(30)],
+        ("many", "embedded.archive"): [f"ZIP@{hex(121 + 4 * i)}" for i in range(20)] + [f"gzip@{hex(201 + 3 * i)}" for i in range(20)],
+    }
